@@ -1,11 +1,12 @@
 """The twelve per-event statistics.
 
-One scan of the posts. Each post is expanded into three facet rows
-(location, user, hour) and aggregated at (event, facet, key) grain first, so
-a hot event is spread over its locations, users and hours and reduced
-map-side before the per-event shuffle. The per-event step then only sees
-one partial row per (facet, key) per map partition. No count-distinct Expand,
-no collect_list, no driver loop.
+Main branch: each post is expanded into three facet rows (all, user, hour)
+and aggregated at (event, facet, key) grain first, so a hot event is spread
+over its users and hours and reduced map-side before the per-event shuffle;
+the per-event step has fixed-width buffers only (HashAggregate). Location
+branch: an (event, location) pre-aggregate over three pruned columns gives
+the location diversity and the top location. No count-distinct Expand, no
+collect_list, no driver loop.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def facet_counts(typed: DataFrame) -> DataFrame:
     expanded = typed.select(
         "event", "pos", *_FLAGS,
         F.inline(F.array(
-            facet("loc", F.col("location"), loc_measures),
+            facet("all", F.lit(""), loc_measures),
             facet("user", F.col("nickname"), null_measures),
             facet("hour", F.when(F.col("ts").isNotNull(), hour), null_measures),
         )),
@@ -89,30 +90,38 @@ def event_features(posts: DataFrame, default_year: int | None = None,
 
     ``catalogue`` (event) adds events whose file had no rows, with zeros (Q19).
     """
-    fc = facet_counts(typed_posts(posts, default_year))
-    is_loc, is_user, is_hour = (F.col("facet") == k for k in ("loc", "user", "hour"))
-    hour_key = F.col("key").cast("int")
+    typed = typed_posts(posts, default_year)
+    fc = facet_counts(typed)
+    is_all, is_user, is_hour = (F.col("facet") == k for k in ("all", "user", "hour"))
+    # most frequent hour, smallest on ties, as one long: n * 32 + (31 - hour)
+    hour_code = F.col("n") * 32 + (31 - F.col("key").cast("long"))
     agg = fc.groupBy("event").agg(
-        F.sum(F.when(is_loc, F.col("n"))).alias("post_count"),
-        F.sum(F.when(is_loc, F.col("s_reposts"))).alias("s_reposts"),
-        F.sum(F.when(is_loc, F.col("s_comments"))).alias("s_comments"),
-        F.sum(F.when(is_loc, F.col("s_likes"))).alias("s_likes"),
+        F.sum(F.when(is_all, F.col("n"))).alias("post_count"),
+        F.sum("s_reposts").alias("s_reposts"),
+        F.sum("s_comments").alias("s_comments"),
+        F.sum("s_likes").alias("s_likes"),
         F.min("ts_min").alias("ts_min"),
         F.max("ts_max").alias("ts_max"),
-        F.sum(F.when(is_loc, F.col("n_ts"))).alias("n_ts"),
-        F.sum(F.when(is_loc, F.col("n_night"))).alias("n_night"),
-        # most frequent hour, smallest hour on ties
-        F.max_by(F.when(is_hour, hour_key), F.when(is_hour, F.struct(F.col("n"), -hour_key))).alias("peak"),
+        F.sum(F.when(is_all, F.col("n_ts"))).alias("n_ts"),
+        F.sum("n_night").alias("n_night"),
+        (31 - F.max(F.when(is_hour, hour_code)) % 32).alias("peak"),
         F.count(F.when(is_user, F.lit(1))).alias("n_users"),
-        F.count(F.when(is_loc, F.lit(1))).alias("n_locations"),
-        F.max(F.when(is_loc, F.col("n"))).alias("top_n"),
-        # most frequent location, first seen on ties
-        F.max_by(F.when(is_loc, F.col("key")), F.when(is_loc, F.struct(F.col("n"), -F.col("first_pos")))).alias("top_loc"),
         *[(F.max(f) == 1).alias(f) for f in _FLAGS],
     )
+    agg = agg.join(location_stats(typed), "event", "left")
     return _finish(agg, catalogue)
 
 
+def location_stats(typed: DataFrame) -> DataFrame:
+    """A9-A11 inputs: number of locations, count of the most frequent one and
+    its name (first seen on ties), from an (event, location) pre-aggregate."""
+    per_loc = typed.groupBy("event", "location").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("fp"))
+    return per_loc.groupBy("event").agg(
+        F.count(F.lit(1)).alias("n_locations"),
+        F.max("n").alias("top_n"),
+        F.max_by("location", F.struct(F.col("n"), -F.col("fp"))).alias("top_loc"))
+
+
 def _finish(agg: DataFrame, catalogue: DataFrame | None) -> DataFrame:
     n = F.col("post_count").cast("double")
     has_time, has_counts, has_nick, has_loc = (F.col(f) for f in _FLAGS)
