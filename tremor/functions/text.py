@@ -79,34 +79,42 @@ def remove_video(col: Column | str) -> Column:
 def dedupe_hashtags(col: Column | str) -> Column:
     """T4: `#x#` -> `x ` on first sight, removed when seen before.
 
-    A left fold over the `#`-separated parts; state = (out, open, seen). The
-    fold is bounded by the number of `#` in one text.
+    A left fold over the `#`-separated parts with state (out, open, pending,
+    seen): ``open`` = the `#` before this part may open a tag, ``pending`` = a
+    non-empty part after an opener, decided once the closing `#` shows up (the
+    next part arrives) or emitted unchanged when the text ends. The input is
+    referenced once, so chained steps do not duplicate each other.
     """
-    parts = F.split(_c(col), "#", -1)
-    indexed = F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-    rest = F.filter(indexed, lambda e: e["i"] > 0)
-    last = F.size(parts) - 1
     init = F.struct(
-        F.element_at(parts, 1).alias("out"),
-        F.lit(True).alias("open"),
+        F.lit("").alias("out"),
+        F.lit(False).alias("open"),
+        F.lit(None).cast("string").alias("pending"),
         F.array().cast("array<string>").alias("seen"),
     )
 
-    def step(acc, e):
-        def state(out, is_open, seen):
-            return F.struct(out.alias("out"), F.lit(is_open).alias("open"), seen.alias("seen"))
-        p = e["p"]
+    def state(out, is_open, pending, seen):
+        return F.struct(out.alias("out"), F.lit(is_open).alias("open"),
+                        pending.alias("pending"), seen.alias("seen"))
+
+    null = F.lit(None).cast("string")
+
+    def step(acc, p):
+        pend = acc["pending"]
+        dup = F.array_contains(acc["seen"], pend)
+        closed_out = F.when(dup, acc["out"]).otherwise(F.concat(acc["out"], pend, F.lit(" ")))
+        closed_seen = F.when(dup, acc["seen"]).otherwise(F.concat(acc["seen"], F.array(pend)))
         return (
-            F.when(~acc["open"], state(F.concat(acc["out"], p), True, acc["seen"]))
-            .when((p == "") | (e["i"] == last), state(F.concat(acc["out"], F.lit("#"), p), True, acc["seen"]))
-            .when(F.array_contains(acc["seen"], p), state(acc["out"], False, acc["seen"]))
-            .otherwise(state(F.concat(acc["out"], p, F.lit(" ")), False,
-                             F.concat(acc["seen"], F.array(p))))
+            F.when(pend.isNotNull(), state(F.concat(closed_out, p), True, null, closed_seen))
+            .when(~acc["open"], state(F.concat(acc["out"], p), True, null, acc["seen"]))
+            .when(p == "", state(F.concat(acc["out"], F.lit("#")), True, null, acc["seen"]))
+            .otherwise(state(acc["out"], True, p, acc["seen"]))
         )
 
-    folded = F.aggregate(rest, init, step, lambda acc: acc["out"])
-    # Texts without any '#' skip the fold entirely.
-    return F.when(F.instr(_c(col), "#") > 0, folded).otherwise(_c(col))
+    def finish(acc):
+        return F.when(acc["pending"].isNull(), acc["out"]).otherwise(
+            F.concat(acc["out"], F.lit("#"), acc["pending"]))
+
+    return F.aggregate(F.split(_c(col), "#", -1), init, step, finish)
 
 
 def platform_clean(col: Column | str) -> Column:
@@ -131,8 +139,8 @@ def demojize(col: Column | str, names: dict[str, str] | None = None) -> Column:
     """Emoji -> `:name:`, longest sequence first.
 
     Matches are wrapped in NUL separators, split, and each matched token is
-    looked up in a literal map that Catalyst folds to a constant; text without
-    any emoji passes through untouched.
+    looked up in a literal map that Catalyst folds to a constant (text pieces
+    are never keys of the map, so they pass through).
     """
     names = DEFAULT_EMOJI_NAMES if names is None else names
     if not names:
@@ -140,8 +148,7 @@ def demojize(col: Column | str, names: dict[str, str] | None = None) -> Column:
     alt = _emoji_alternation(names)
     lookup = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(f":{v}:"))])
     pieces = F.split(F.regexp_replace(_c(col), alt, "\u0000$1\u0000"), "\u0000", -1)
-    replaced = F.array_join(F.transform(pieces, lambda s: F.coalesce(F.try_element_at(lookup, s), s)), "")
-    return F.when(_c(col).rlike(alt), replaced).otherwise(_c(col))
+    return F.array_join(F.transform(pieces, lambda s: F.coalesce(F.try_element_at(lookup, s), s)), "")
 
 
 def remove_forward(col: Column | str) -> Column:

@@ -356,7 +356,7 @@ SELECT round(avg(words), 6) AS words_mean, round(median(words), 6) AS words_medi
   max(chars) AS chars_max, round(stddev_pop(chars), 6) AS chars_std
 FROM ln""")
 def q_length_stats(spark, sf):
-    d = FX.table(spark, sf, "documents")
+    d = FX.documents(spark, sf)
     out = PR.length_stats(d.select(F.col("source").alias("event"), "text"))
     return rounded(out.select(*[F.col(c).cast("double") if "median" in c or "mean" in c or "std" in c
                                 else F.col(c).cast("long") for c in out.columns]))
@@ -372,7 +372,7 @@ GROUP BY 1, 2"""
 
 @register("length_histogram", "WITH " + _LEN_SQL + _hist_sql("words") + "\nUNION ALL" + _hist_sql("chars"))
 def q_length_histogram(spark, sf):
-    d = FX.table(spark, sf, "documents")
+    d = FX.documents(spark, sf)
     return PR.length_histogram(d.select(F.col("source").alias("event"), "text"))
 
 

@@ -23,6 +23,7 @@ DEFAULTS = {
     # that are broadcast explicitly are bounded by construction (see joins).
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 

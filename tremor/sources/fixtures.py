@@ -33,6 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table, spread over the cluster when its scan is narrow
+    (long texts, CPU-heavy cleaning)."""
+    from ..plans.tuning import spread
+    return spread(table(spark, sf_dir, "documents"))
+
+
 # ----------------------------------------------------------------------------- Spark
 
 def fx_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +69,7 @@ def fx_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     k = F.col("doc_id") % 9
     text = None
     for i, (pre, suf) in TEXT_DECOR.items():
