@@ -1,0 +1,139 @@
+"""P1-P11 goldens (FIXTURES time/counter tables) and the 12 event features."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from tremor.functions import scalars as S
+from tremor.operators import features as A
+
+from conftest import plan_of
+
+TIME_TABLE = [
+    ("2025-01-01 08:05:03", dt.datetime(2025, 1, 1, 8, 5, 3)),
+    ("2025/1/1 8:5:3", dt.datetime(2025, 1, 1, 8, 5, 3)),
+    ("2025-1-1  8:05", dt.datetime(2025, 1, 1, 8, 5)),
+    ("05-17 08:13:00", dt.datetime(2024, 5, 17, 8, 13)),
+    ("05/18 21:25乱码", dt.datetime(2024, 5, 18, 21, 25)),
+    ("24-05-17 08:13", dt.datetime(2024, 5, 17, 8, 13)),
+    ("2025-13-01 08:00", None),
+    ("2025-2-30 10:00", None),
+    ("2025-1-1 24:00", None),
+    ("2025-1-1 23:60", None),
+    ("2025年1月1日 8:00", None),
+    ("", None),
+    (None, None),
+]
+
+
+def test_time_table(spark):
+    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(TIME_TABLE)], "i int, r string")
+    got = [r.ts for r in df.select("i", S.post_time("r", 2024).alias("ts")).orderBy("i").collect()]
+    assert got == [e for _, e in TIME_TABLE]
+
+
+COUNTERS = [("1", 1.0), (" 2 ", 2.0), ("3.5", 3.5), ("1e3", 1000.0), ("-5", -5.0), ("1,234", 0.0), ("10万", 0.0),
+            ("0x10", 0.0), ("12d", 0.0), ("12f", 0.0), ("True", 0.0), ("", 0.0), (None, 0.0), ("nan", 0.0)]
+
+
+def test_counter_table(spark):
+    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(COUNTERS)], "i int, r string")
+    got = [r.v for r in df.select("i", S.to_number("r").alias("v")).orderBy("i").collect()]
+    assert got == [e for _, e in COUNTERS]
+
+
+def test_na_tokens(spark):
+    vals = S.NA_TOKENS + [" ", "ok", "NA "]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    out = [r.o for r in df.select(S.na_to_null("v").alias("o")).collect()]
+    assert out == [None] * len(S.NA_TOKENS) + [" ", "ok", "NA "]
+
+
+def test_severity_and_labels(spark):
+    df = spark.createDataFrame([("轻微",), ("中等",), ("严重",), ("一般",)], "s string")
+    assert [r.l for r in df.select(S.severity_level("s").alias("l")).collect()] == [0, 1, 2, 1]
+    bad = spark.createDataFrame([("unknown",)], "s string").select(S.severity_level("s"))
+    with pytest.raises(Exception):
+        bad.collect()
+    lab = spark.createDataFrame([(0,), (2,)], "c int").select(S.level_label("c").alias("n"))
+    assert [r.n for r in lab.collect()] == ["轻微", "严重"]
+
+
+def test_argmax_softmax(spark):
+    df = spark.createDataFrame([([1.0, 3.0, 3.0],), ([0.0, 0.0, 0.0],)], "z array<double>")
+    out = df.select(S.argmax("z").alias("a"), S.softmax("z").alias("p")).collect()
+    assert [r.a for r in out] == [1, 0]
+    assert all(abs(sum(r.p) - 1) < 1e-12 for r in out)
+
+
+def test_event_from_path(spark):
+    paths = ["file:/d/每加一箱油被偷走1.5升/每加一箱油被偷走1.5升.csv", "file:/d/a%20b/a%20b.csv", "file:/d/x+y/x+y.csv"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert [r.e for r in df.select(S.event_from_path("p").alias("e")).collect()] == ["每加一箱油被偷走1.5升", "a b", "x+y"]
+
+
+def test_result_id_fallback(spark):
+    df = spark.createDataFrame([("7", 0), ("", 3), (None, 4)], "id string, pos long")
+    assert [r.i for r in df.select(S.result_id("id", "pos").alias("i")).collect()] == ["7", "3", "4"]
+
+
+POSTS = [
+    # event, pos, published_raw, reposts, comments, likes, nickname, location
+    ("e1", 0, "2025-01-01 23:00:00", "1", "2", "3", "u1", "北京"),
+    ("e1", 1, "2025-01-01 08:00", "1", "0", "10万", "u2", None),
+    ("e1", 2, "2025-01-02 08:30", "x", "4", "1", "u1", "北京"),
+    ("e1", 3, "garbage", "2", "2", "2", "NA", "上海"),
+    ("e1", 4, "2025-01-02 23:59", "0", "0", "0", "u3", "上海"),
+    ("e2", 0, None, "5", "5", "5", None, None),
+]
+
+
+def posts_df(spark, rows=POSTS):
+    return spark.createDataFrame(rows, "event string, pos long, published_raw string, reposts string, "
+                                       "comments string, likes string, nickname string, location string")
+
+
+def test_event_features_goldens(spark):
+    f = {r.event: r for r in A.event_features(posts_df(spark), default_year=2024).collect()}
+    e1 = f["e1"]
+    assert e1.post_count == 5
+    assert e1.timespan_hours == pytest.approx((dt.datetime(2025, 1, 2, 23, 59) - dt.datetime(2025, 1, 1, 8, 0)).total_seconds() / 3600)
+    assert e1.peak_hour == 8          # hours 23, 8, 8, 23 -> tie 2/2 -> smallest hour
+    assert e1.night_ratio == pytest.approx(2 / 4)
+    assert e1.avg_reposts == pytest.approx(4 / 5)
+    assert e1.avg_comments == pytest.approx(8 / 5)
+    assert e1.avg_likes == pytest.approx(6 / 5)
+    assert e1.engagement_ratio == pytest.approx(12 / 7)
+    assert e1.unique_users == 3       # NA is missing
+    assert e1.user_post_ratio == pytest.approx(3 / 5)
+    assert e1.location_diversity == pytest.approx(3 / 5)   # 北京, 未知, 上海
+    assert e1.top_location_ratio == pytest.approx(2 / 5)
+    assert e1.top_location == "北京"  # tie 2/2 -> first seen
+    e2 = f["e2"]
+    assert (e2.timespan_hours, e2.peak_hour, e2.night_ratio, e2.unique_users) == (0.0, 0, 0.0, 0)
+    assert e2.top_location == "未知" and e2.top_location_ratio == 1.0
+
+
+def test_optional_columns_and_empty_events(spark):
+    df = posts_df(spark).withColumn("has_location", F.col("event") != "e1").withColumn("has_counts", F.lit(False))
+    cat = spark.createDataFrame([("e1",), ("e2",), ("empty",)], "event string")
+    f = {r.event: r for r in A.event_features(df, default_year=2024, catalogue=cat).collect()}
+    assert f["e1"].location_diversity == 0.0 and f["e1"].top_location == "未知"
+    assert f["e1"].avg_reposts == 0.0 and f["e1"].engagement_ratio == 0.0
+    assert f["e2"].location_diversity == 1.0
+    assert all(getattr(f["empty"], c) == 0 for c in A.FEATURES)
+    assert A.check_features(A.event_features(df, 2024, cat)).count() == 0
+
+
+def test_feature_order_and_vector(spark):
+    vec = A.feature_vector(A.event_features(posts_df(spark), 2024))
+    r = {x.event: x for x in vec.collect()}["e1"]
+    assert len(r.stats) == 12 and r.stats[0] == 5.0 and r.stats[2] == 8.0
+
+
+def test_features_plan_is_native(spark):
+    plan = plan_of(A.event_features(posts_df(spark), 2024))
+    assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan
+    assert "SortAggregate" in plan  # only the small location branch
+    assert plan.count("Scan ExistingRDD") <= 2

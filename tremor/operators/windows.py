@@ -25,7 +25,9 @@ def cap_posts(posts: DataFrame, n: int = MAX_TWEETS, text_col: str = "text",
     """
     src = posts if count_blank else posts.where(is_valid(text_col))
     w = Window.partitionBy("event").orderBy("pos")
-    return src.withColumn("slot", (F.row_number().over(w) - 1).cast("int")).where(F.col("slot") < n)
+    # filter on the bare row_number so Catalyst plans a partial WindowGroupLimit
+    return (src.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+            .withColumn("slot", (F.col("_rn") - 1).cast("int")).drop("_rn"))
 
 
 def post_lists(capped: DataFrame, n: int = MAX_TWEETS, text_col: str = "text",

@@ -133,9 +133,12 @@ def first_root(rows: DataFrame) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, roots: str | list[str]) -> DataFrame:
-    """events = folders holding ``<name>/<name>.csv`` (zero-byte files included).
+    """events = folders holding ``<name>/<name>.csv``; header-only files
+    are included (events with no posts, Q19).
 
     Only the file listing is read (binaryFile without the content column).
+    Zero-byte files are skipped by Spark's file sources; the reference fails
+    to parse them, so they are not valid event files either.
     """
     roots = [roots] if isinstance(roots, str) else list(roots)
     frames = []
