@@ -89,7 +89,8 @@ def embed(posts: DataFrame, encoder: Callable | None = None, dim: int | None = N
         raise ValueError("dim is required with a custom encoder")
     import pandas as pd
     src = posts.where(is_valid(text_col)).withColumn(text_col, truncate_len(F.col(text_col), max_len))
-    schema = src.schema.add("vec", "array<double>")
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+    schema = StructType(list(src.schema.fields) + [StructField("vec", ArrayType(DoubleType()))])
 
     def run(batches):
         for pdf in batches:
