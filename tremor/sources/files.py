@@ -64,24 +64,19 @@ def _csv_reader(spark: SparkSession, width: int = WIDTH):
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
 
 
-def read_raw_posts(spark: SparkSession, roots: str | list[str], width: int = WIDTH,
-                   event_pattern: str | None = None) -> DataFrame:
-    """S1 + U1 + P11: all rows of all CSV files under the roots, header applied.
-
-    -> (event, root_rank, file, pos, cells MAP<name, value>, header ARRAY<name>)
-    """
-    roots = [roots] if isinstance(roots, str) else list(roots)
-    frames = []
-    for rank, root in enumerate(roots):
-        df = _csv_reader(spark, width).csv(root)
-        frames.append(df.select(
-            F.array(*[F.col(f"c{i}") for i in range(width)]).alias("cells"),
-            F.col("_metadata.file_path").alias("file"),
-            F.monotonically_increasing_id().alias("mid"),
-            F.lit(rank).alias("root_rank")))
-    raw = frames[0]
-    for f in frames[1:]:
-        raw = raw.unionByName(f)
+def cells_frame(df: DataFrame, width: int = WIDTH, root_rank: int = 0) -> DataFrame:
+    """Positional CSV rows -> (cells, file, mid, root_rank)."""
+    return df.select(
+        F.array(*[F.col(f"c{i}") for i in range(width)]).alias("cells"),
+        F.col("_metadata.file_path").alias("file") if "file" not in df.columns else F.col("file"),
+        F.monotonically_increasing_id().alias("mid"),
+        F.lit(root_rank).alias("root_rank"))
+
+
+def apply_headers(raw: DataFrame, event_pattern: str | None = None) -> DataFrame:
+    """First row of each file = its header (BOM stripped); the other rows get
+    it attached and a 0-based ``pos``. The per-file header table has one row per
+    file and is joined back on ``file``."""
     headers = (raw.groupBy("file")
                .agg(F.min("mid").alias("hmid"), F.min_by("cells", "mid").alias("h")))
     headers = headers.select(
@@ -96,6 +91,20 @@ def read_raw_posts(spark: SparkSession, roots: str | list[str], width: int = WID
                        "cells", "header")
 
 
+def read_raw_posts(spark: SparkSession, roots: str | list[str], width: int = WIDTH,
+                   event_pattern: str | None = None) -> DataFrame:
+    """S1 + U1 + P11: all rows of all CSV files under the roots, header applied.
+
+    -> (event, root_rank, file, pos, cells ARRAY<value>, header ARRAY<name>)
+    """
+    roots = [roots] if isinstance(roots, str) else list(roots)
+    raw = None
+    for rank, root in enumerate(roots):
+        frame = cells_frame(_csv_reader(spark, width).csv(root), width, rank)
+        raw = frame if raw is None else raw.unionByName(frame)
+    return apply_headers(raw, event_pattern)
+
+
 def _cell(name: str) -> F.Column:
     idx = F.array_position(F.col("header"), name)
     return F.when(idx > 0, F.element_at(F.col("cells"), idx.cast("int")))
@@ -109,9 +118,14 @@ def read_posts(spark: SparkSession, roots: str | list[str], width: int = WIDTH,
     likes, published_raw, clean_text, has_time, has_counts, has_nickname,
     has_location, has_text). Missing tokens are already null (S2).
     """
-    raw = read_raw_posts(spark, roots, width, event_pattern)
+    posts = canonical_posts(read_raw_posts(spark, roots, width, event_pattern))
+    return first_root(posts) if first_root_only and not isinstance(roots, str) else posts
+
+
+def canonical_posts(raw: DataFrame) -> DataFrame:
+    """Header-mapped rows -> canonical post columns + per-file has_* flags."""
     has = {n: F.coalesce(F.array_contains("header", n), F.lit(False)) for n in POST_COLUMNS}
-    posts = raw.select(
+    return raw.select(
         "event", "root_rank", "pos",
         *[na_to_null(_cell(h)).alias(c) for h, c in POST_COLUMNS.items()],
         has["发布时间"].alias("has_time"),
@@ -120,7 +134,6 @@ def read_posts(spark: SparkSession, roots: str | list[str], width: int = WIDTH,
         has["发布位置"].alias("has_location"),
         has["微博正文"].alias("has_text"),
     )
-    return first_root(posts) if first_root_only and not isinstance(roots, str) else posts
 
 
 def first_root(rows: DataFrame) -> DataFrame:
@@ -173,12 +186,20 @@ def cleaned_cache(spark: SparkSession, posts: DataFrame, cache_path: str, text_c
         todo = posts.join(uncached_events(requested, cached), "event", "left_semi")
     else:
         todo = posts
-    cleaned = (todo.withColumn("clean_text", clean_text(text_col))
-               .withColumn("bucket", F.pmod(F.xxhash64("event"), F.lit(CACHE_BUCKETS)).cast("int")))
-    cleaned.write.mode("append").partitionBy("bucket").parquet(cache_path)
+    write_cache_run(todo.withColumn("clean_text", clean_text(text_col)), cache_path, uuid.uuid4().hex)
     return spark.read.parquet(cache_path).join(requested, "event", "left_semi")
 
 
+def write_cache_run(cleaned: DataFrame, cache_path: str, run: str) -> None:
+    """Write one run of cleaned posts to ``<cache>/run=<run>/bucket=<b>``.
+
+    Overwriting the run's own folder makes a retried run idempotent; runs never
+    touch each other's files.
+    """
+    (cleaned.withColumn("bucket", F.pmod(F.xxhash64("event"), F.lit(CACHE_BUCKETS)).cast("int"))
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{cache_path.rstrip('/')}/run={run}"))
+
+
 # ----------------------------------------------------------------------------- JSON sources / sinks
 
 LABEL_SCHEMA = "array<struct<topic:string,reason:string,severity:string>>"
