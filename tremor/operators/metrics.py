@@ -28,11 +28,11 @@ def label_set(pred: DataFrame) -> DataFrame:
 def confusion(pred: DataFrame) -> DataFrame:
     """Counts for every (true, pred) pair of U3 labels, zeros included.
 
-    The pair grid is generated from the (bounded) label set by exploding one
-    aggregated array twice, then left-joined with the observed counts.
+    One partial aggregate on (true, pred); the pair grid comes from the (at
+    most C) labels of those counts, exploded twice, and is left-joined with them.
     """
     counts = pred.groupBy("true", "pred").agg(F.count(F.lit(1)).alias("n"))
-    labels = label_set(pred).agg(F.array_sort(F.collect_set("label")).alias("ls"))
+    labels = counts.agg(F.array_sort(F.array_union(F.collect_set("true"), F.collect_set("pred"))).alias("ls"))
     grid = (labels.select(F.explode("ls").alias("true"), "ls")
             .select("true", F.explode("ls").alias("pred")))
     return (grid.join(counts, ["true", "pred"], "left")
@@ -40,19 +40,28 @@ def confusion(pred: DataFrame) -> DataFrame:
 
 
 def per_class(cm: DataFrame) -> DataFrame:
-    """Precision / recall / F1 / support per label; 0 where a denominator is 0."""
-    tp = cm.where(F.col("true") == F.col("pred")).select(F.col("true").alias("label"), F.col("n").alias("tp"))
-    support = cm.groupBy(F.col("true").alias("label")).agg(F.sum("n").alias("support"))
-    predicted = cm.groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("predicted"))
-    t = tp.join(support, "label").join(predicted, "label")
+    """Precision / recall / F1 / support per label; 0 where a denominator is 0.
+
+    Each confusion cell feeds its true label (tp, support) and its predicted
+    label (predicted) in one pass.
+    """
+    n = F.col("n").cast("long")
+    zero = F.lit(0).cast("long")
+
+    def side(label, tp, support, predicted):
+        return F.struct(label.cast("int").alias("label"), tp.alias("tp"), support.alias("support"),
+                        predicted.alias("predicted"))
+    sides = cm.select(F.inline(F.array(
+        side(F.col("true"), F.when(F.col("true") == F.col("pred"), n).otherwise(zero), n, zero),
+        side(F.col("pred"), zero, zero, n))))
+    t = sides.groupBy("label").agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"),
+                                   F.sum("predicted").alias("predicted"))
 
     def div(a, b):
-        return F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0)) if isinstance(a, str) else \
-            F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(0.0))
-    p, r = div("tp", "predicted"), div("tp", "support")
-    t = t.select("label", "tp", "support", "predicted", p.alias("precision"), r.alias("recall"))
-    f1 = div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
-    return t.withColumn("f1", f1)
+        return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+    t = t.select("label", "tp", "support", "predicted", div(F.col("tp"), F.col("predicted")).alias("precision"),
+                 div(F.col("tp"), F.col("support")).alias("recall"))
+    return t.withColumn("f1", div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
 def macro_metrics(pred: DataFrame) -> DataFrame:

@@ -62,8 +62,13 @@ def max_pool(posts: DataFrame, vec: str = "vec", valid: str = "valid", compat_in
 
 
 def cls_pool(posts: DataFrame, vec: str = "vec") -> DataFrame:
-    """V3: the vector at the first position, valid or not."""
-    return posts.groupBy("event").agg(F.min_by(F.col(vec), F.col("pos")).alias("vec"))
+    """V3: the vector at the first position, valid or not.
+
+    The first position per event is a fixed-width hash aggregate; the vector is
+    fetched with a semi-join on (event, pos), never sorting the posts.
+    """
+    first = posts.groupBy("event").agg(F.min("pos").alias("pos"))
+    return posts.join(first, ["event", "pos"], "left_semi").select("event", F.col(vec).alias("vec"))
 
 
 def _score_max(posts: DataFrame, score: str, valid: str) -> DataFrame:

@@ -74,21 +74,21 @@ def drop_posts(posts: DataFrame, p: float, seed: int = 42, epoch: int = 0) -> Da
     """R2: drop each post with probability ``p``, keeping at least one per event.
 
     Kept = ``u > p``; an event where nothing survives keeps its highest-``u``
-    post. The rescue rows come from a per-event ``max_by`` (partial aggregate,
-    one row per event), unioned with the survivors, so posts are never
-    shuffled by event.
+    post. Which post that is comes from a fixed-width hash aggregate per event
+    (``max_by(pos, u)``); the rescued rows are found with a semi-join on
+    (event, pos) against that one-row-per-event table, so posts are never
+    sorted or shuffled by event.
     """
     if p <= 0:
         return posts
     u = uniform(seed, F.lit(str(epoch)), "event", "pos")
     scored = posts.withColumn("_u", u)
-    kept = scored.where(F.col("_u") > p)
-    cols = [c for c in posts.columns if c != "event"]
-    rescue = (scored.groupBy("event")
-              .agg(F.max(F.col("_u") > p).alias("_any"), F.max_by(F.struct(*cols), F.col("_u")).alias("_r"))
-              .where(~F.col("_any"))
-              .select("event", "_r.*"))
-    return kept.drop("_u").unionByName(rescue.select(*posts.columns))
+    kept = scored.where(F.col("_u") > p).drop("_u")
+    rescue_keys = (scored.groupBy("event")
+                   .agg(F.max("_u").alias("_m"), F.max_by("pos", "_u").alias("pos"))
+                   .where(F.col("_m") <= p).select("event", "pos"))
+    rescued = posts.join(rescue_keys, ["event", "pos"], "left_semi")
+    return kept.unionByName(rescued)
 
 
 def sample_events(events: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:

@@ -22,6 +22,9 @@ DEFAULTS = {
     # Never plan a broadcast of a side whose size is unknown or large; sides
     # that are broadcast explicitly are bounded by construction (see joins).
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Keep vector-buffer aggregates (ML Summarizer) hash-based when one task
+    # holds many events before falling back to sorting.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
