@@ -62,9 +62,20 @@ def normalize_time(col: Column | str, default_year: int | Column | None = None)
 
 
 def parse_time(col: Column | str) -> Column:
-    """Normalised string -> TIMESTAMP_NTZ; invalid dates/times -> null."""
+    """Normalised `Y-M-D H:M[:S]` string -> TIMESTAMP_NTZ; invalid dates or
+    times (month 13, Feb 30, 24:00, :60) -> null.
+
+    Built from the fields with ``try_make_timestamp_ntz``, so the result never
+    depends on the session time zone (no DST gap shifts).
+    """
     s = F.regexp_replace(_c(col), f"{WS}+", " ")
-    return F.try_to_timestamp(s, F.lit("yyyy-M-d H:m[:s]")).cast("timestamp_ntz")
+    pat = r"^(\d{4})-(\d{1,2})-(\d{1,2}) (\d{1,2}):(\d{1,2})(:(\d{1,2}))?$"
+
+    def part(i):
+        return F.nullif(F.regexp_extract(s, pat, i), F.lit("")).try_cast("int")
+    sec = F.coalesce(part(7), F.when(part(1).isNotNull(), F.lit(0)))
+    ts = F.try_make_timestamp_ntz(part(1), part(2), part(3), part(4), part(5), sec.cast("decimal(8,6)"))
+    return F.when(sec < 60, ts)
 
 
 def post_time(col: Column | str, default_year: int | Column | None = None) -> Column:

@@ -209,5 +209,7 @@ def char_length(col: Column | str) -> Column:
 
 
 def token_count(col: Column | str) -> Column:
-    """Whitespace token count (pluggable segmenters go through E14-style mapInPandas)."""
-    return F.size(F.filter(F.split(_c(col), f"{WS}+", -1), lambda x: x != ""))
+    """Whitespace token count = number of maximal non-whitespace runs
+    (no token array is built; pluggable segmenters go through E14-style
+    mapInPandas)."""
+    return F.coalesce(F.regexp_count(_c(col), F.lit(f"{NON_WS}+")), F.lit(0))

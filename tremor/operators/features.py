@@ -126,7 +126,8 @@ def _finish(agg: DataFrame, catalogue: DataFrame | None) -> DataFrame:
     n = F.col("post_count").cast("double")
     has_time, has_counts, has_nick, has_loc = (F.col(f) for f in _FLAGS)
     timed = has_time & (F.col("n_ts") > 0)
-    span = (F.unix_micros(F.col("ts_max").cast("timestamp")) - F.unix_micros(F.col("ts_min").cast("timestamp"))) / 3.6e9
+    # zone-independent: both ends are TIMESTAMP_NTZ
+    span = F.timestamp_diff("MICROSECOND", F.col("ts_min"), F.col("ts_max")) / 3.6e9
     out = agg.select(
         "event",
         F.col("post_count").cast("long").alias("post_count"),
