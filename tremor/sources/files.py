@@ -207,10 +207,17 @@ SPLIT_SCHEMA = "struct<train_topics:array<string>,val_topics:array<string>>"
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Label JSON list -> (event, reason, severity, position) in file order."""
-    doc = spark.read.text(path, wholetext=True)
-    items = doc.select(F.posexplode(F.from_json("value", LABEL_SCHEMA)).alias("position", "x"))
-    return items.select(F.col("x.topic").alias("event"), "x.reason", "x.severity", "position")
+    """Label JSON list -> (event, reason, severity, position).
+
+    The multi-line JSON reader streams the top-level array into one row per
+    element (no whole-file string); a file is parsed in order by one task, so
+    ``monotonically_increasing_id`` grows in file order and serves as the
+    position for "last one wins".
+    """
+    df = (spark.read.schema("topic string, reason string, severity string")
+          .option("multiLine", True).option("encoding", "UTF-8").json(path))
+    return df.select(F.col("topic").alias("event"), "reason", "severity",
+                     F.monotonically_increasing_id().alias("position"))
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
