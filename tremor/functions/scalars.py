@@ -66,20 +66,24 @@ def parse_time(col: Column | str) -> Column:
     times (month 13, Feb 30, 24:00, :60) -> null.
 
     Built from the fields with ``try_make_timestamp_ntz``, so the result never
-    depends on the session time zone (no DST gap shifts).
+    depends on the session time zone (no DST gap shifts). One shape check and
+    one split instead of a regex extraction per field.
     """
     s = F.regexp_replace(_c(col), f"{WS}+", " ")
-    pat = r"^(\d{4})-(\d{1,2})-(\d{1,2}) (\d{1,2}):(\d{1,2})(:(\d{1,2}))?$"
+    shape = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}(:\d{1,2})?$"
+    parts = F.split(s, "[-: ]")
 
     def part(i):
-        return F.nullif(F.regexp_extract(s, pat, i), F.lit("")).try_cast("int")
-    sec = F.coalesce(part(7), F.when(part(1).isNotNull(), F.lit(0)))
+        return F.try_element_at(parts, F.lit(i)).try_cast("int")
+    sec = F.coalesce(part(6), F.lit(0))
     ts = F.try_make_timestamp_ntz(part(1), part(2), part(3), part(4), part(5), sec.cast("decimal(8,6)"))
-    return F.when(sec < 60, ts)
+    return F.when(s.rlike(shape) & (sec < 60), ts)
 
 
 def post_time(col: Column | str, default_year: int | Column | None = None) -> Column:
-    """P1 + P2."""
+    """P1 + P2 as one expression. On large inputs prefer normalising in one
+    projection and parsing in the next (as ``features.typed_posts`` does), so
+    the normalised string is computed once."""
     return parse_time(normalize_time(col, default_year))
 
 

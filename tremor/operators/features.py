@@ -31,13 +31,17 @@ def _flag(df: DataFrame, name: str) -> Column:
 
 
 def typed_posts(posts: DataFrame, default_year: int | None = None) -> DataFrame:
-    """P1-P4 + S2 on the raw all-string post columns that features need."""
+    """P1-P4 + S2 on the raw all-string post columns that features need.
+
+    The normalised time string is its own projection: the parse references it
+    several times, and a separate (non-collapsed) projection computes it once.
+    """
     def opt(name):
         return S.na_to_null(F.col(name)) if name in posts.columns else F.lit(None).cast("string")
-    return posts.select(
+    staged = posts.select(
         "event",
         F.col("pos").cast("long").alias("pos"),
-        S.post_time(opt("published_raw"), default_year).alias("ts"),
+        S.normalize_time(opt("published_raw"), default_year).alias("_norm"),
         S.to_number(opt("reposts")).alias("reposts"),
         S.to_number(opt("comments")).alias("comments"),
         S.to_number(opt("likes")).alias("likes"),
@@ -45,6 +49,8 @@ def typed_posts(posts: DataFrame, default_year: int | None = None) -> DataFrame:
         S.location_or_unknown(opt("location")).alias("location"),
         *[_flag(posts, f).alias(f) for f in _FLAGS],
     )
+    return staged.select("event", "pos", S.parse_time("_norm").alias("ts"), "reposts", "comments", "likes",
+                         "nickname", "location", *_FLAGS)
 
 
 def facet_counts(typed: DataFrame) -> DataFrame:

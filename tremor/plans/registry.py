@@ -102,8 +102,8 @@ FROM fx_meta""")
 def q_normalize_time(spark, sf):
     m = FX.fx_meta(spark, sf)
     raw = S.na_to_null("published_raw")
-    return m.select("event", "pos", "published_raw", S.normalize_time(raw, YEAR).alias("normalized"),
-                    S.post_time(raw, YEAR).alias("ts"))
+    staged = m.select("event", "pos", "published_raw", S.normalize_time(raw, YEAR).alias("normalized"))
+    return staged.select("*", S.parse_time("normalized").alias("ts"))
 
 
 @register("numeric_coerce", V_("fx_meta") + f"""
