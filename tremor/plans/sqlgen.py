@@ -42,7 +42,7 @@ def post_time(col: str, year: int) -> str:
 
 
 def is_valid(col: str) -> str:
-    return f"(length(regexp_replace(coalesce({col}, ''), {q(WS + '+')}, '', 'g')) > 0)"
+    return f"coalesce(regexp_matches({col}, {q(T.NON_WS)}), false)"
 
 
 def words(col: str) -> str:
