@@ -216,3 +216,26 @@ def test_losses_vs_numpy(spark):
     b = M.batched_loss(df).first()
     assert b.loss == pytest.approx(np.mean([nll[i:i + 4].mean() for i in range(0, 40, 4)]))
     assert b.n_batches == 10
+
+
+def test_mlp_classifier_and_split_object_guard(spark, tmp_path):
+    from tremor.operators import scoring as E
+    from tremor.sources import files as IO
+    rng = np.random.default_rng(2)
+    rows_ = [(str(i), rng.normal(size=4).tolist(), int(i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows_, "event string, features array<double>, label int")
+    model = E.train_classifier(df, classifier="mlp", weight_col=None, max_iter=20, hidden=8)
+    out = E.predict_classes(model, df)
+    assert out.count() == 60 and set(r.pred for r in out.collect()) <= {0, 1, 2}
+    with pytest.raises(ValueError):
+        E.train_classifier(df, classifier="svm")
+    split = spark.createDataFrame([("a", "train"), ("b", "val")], "event string, part string")
+    with pytest.raises(ValueError):
+        IO.write_split_object(split, str(tmp_path / "s"), max_events=1)
+
+
+def test_shuffle_key_is_seeded(spark):
+    ev = spark.createDataFrame([(f"e{i}",) for i in range(20)], "event string")
+    order = lambda s, e: [r.event for r in ev.orderBy(W.shuffle_key(s, e)).collect()]
+    assert order(1, 0) == order(1, 0)
+    assert order(1, 0) != order(1, 1)

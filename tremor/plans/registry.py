@@ -731,3 +731,13 @@ def q_train_classifier(spark, sf):
     scored = E.predict_classes(model, v.select(F.col("pos").cast("string").alias("event"),
                                                F.col("vec").alias("features"), F.col("y").alias("label")))
     return scored.select("event", "true", "pred")
+
+
+@register("epoch_order", V_("fx_catalogue") + f"""
+SELECT event, epoch, md5(concat_ws(':', '{SEED}', CAST(epoch AS VARCHAR), event)) AS sort_key
+FROM fx_catalogue, (SELECT unnest([0, 1]) AS epoch)""")
+def q_epoch_order(spark, sf):
+    """The seeded per-epoch sort key of every event (order by it to shuffle)."""
+    cat = FX.fx_catalogue(spark, sf)
+    per_epoch = [cat.select("event", F.lit(e).alias("epoch"), W.shuffle_key(SEED, e).alias("sort_key")) for e in (0, 1)]
+    return per_epoch[0].unionByName(per_epoch[1])
