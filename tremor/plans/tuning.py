@@ -2,19 +2,52 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 
+# Parquet writers cut row groups at about this size (parquet.block.size).
+DEFAULT_ROW_GROUP_BYTES = 128 * 1024 * 1024
+
+
+def _size_in_bytes(df: DataFrame) -> int | None:
+    """Optimizer size estimate of ``df`` (the file sizes for a plain scan)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no JVM handle (e.g. a remote session)
+        return None
+
+
+def estimated_row_groups(df: DataFrame) -> int | None:
+    """Lower bound on the scan units of a file read: every file holds at least
+    one row group and a row group holds at most about one block of bytes.
+    ``None`` when the input is not a file scan."""
+    try:
+        n_files = len(df.inputFiles())
+    except Exception:  # noqa: BLE001
+        return None
+    if n_files == 0:
+        return None
+    size = _size_in_bytes(df)
+    by_size = math.ceil(size / DEFAULT_ROW_GROUP_BYTES) if size else 0
+    return max(n_files, by_size)
+
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin rows over at least ``min_partitions`` tasks (default: the
-    cluster's default parallelism) when the input has fewer partitions.
+    """Round-robin rows over ``min_partitions`` tasks (default: the cluster's
+    default parallelism) when the scan has fewer row groups than that.
 
-    For CPU-heavy per-row work (regex cleaning of long texts) fed by a scan
-    with few row groups. A no-op when the scan is already wide, which is the
-    normal case for large inputs, so no shuffle is added there.
+    A Parquet row group is read by one task, however many splits the planner
+    makes, so a small file with one row group leaves the other cores idle for
+    CPU-heavy per-row work (regex cleaning, time parsing). The estimate is
+    ``max(files, bytes / block)``; it only falls below the core count for
+    inputs of at most about one block per core, so the added shuffle is
+    bounded. Large inputs (many files or many blocks) are returned untouched:
+    their scan is already wide and no shuffle is added.
     """
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    units = estimated_row_groups(df)
+    if units is None or units >= target:
         return df
     return df.repartition(target)

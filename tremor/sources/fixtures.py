@@ -43,7 +43,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ----------------------------------------------------------------------------- Spark
 
 def fx_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    from ..plans.tuning import spread
+    e = spread(table(spark, sf_dir, "events"))  # time parsing is the CPU-heavy part
     eid, uid, ts = F.col("event_id"), F.col("user_id"), F.col("ts")
     ymd_slash = F.concat_ws("/", F.year(ts), F.month(ts), F.dayofmonth(ts))
     hm = F.concat_ws(":", F.hour(ts), F.minute(ts))
