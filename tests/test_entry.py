@@ -7,7 +7,7 @@ from oracle_check import duck, rows_of
 
 from conftest import SF_SMALL
 
-ROWS_ONLY = {"write_results", "embed_posts", "train_classifier"}
+ROWS_ONLY = {"train_classifier"}
 
 
 def test_entry_smoke(spark):

@@ -56,7 +56,10 @@ def batch_predict(requested: DataFrame, scored: DataFrame, reason: str = "event
 
 # ----------------------------------------------------------------------------- E14
 
-def hashed_bigram_embedding(posts: DataFrame, text_col: str = "text", num_features: int = 1 << 12,
+EMBED_DIM = 1 << 12  # hashed bigram buckets of the default embedding
+
+
+def hashed_bigram_embedding(posts: DataFrame, text_col: str = "text", num_features: int = EMBED_DIM,
                             max_len: int | None = 300) -> DataFrame:
     """Default JVM-only post embedding: char bigrams -> HashingTF -> L2 norm.
 

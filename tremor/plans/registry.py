@@ -705,7 +705,10 @@ def q_read_posts(spark, sf):
     return posts.select("event", "id", F.col("text"))
 
 
-@register("write_results")
+@register("write_results", V_("fx_vec") + f"""
+SELECT CAST(pos AS VARCHAR) AS event_name, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS predicted_class,
+  {G.level_label('list_position(logits, list_max(logits)) - 1')} AS predicted_label
+FROM fx_vec""")
 def q_write_results(spark, sf):
     from ..sources.files import read_event_results, scratch_dir, write_event_results
     v = _vec(spark, sf).select(F.col("pos").cast("string").alias("event"), "logits")
@@ -714,11 +717,16 @@ def q_write_results(spark, sf):
     return read_event_results(spark, out).select("event_name", "predicted_class", "predicted_label")
 
 
-@register("embed_posts")
+@register("embed_posts", V_("fx_text") + f"""
+, c AS (SELECT event, pos, {G.clean_text('text')} AS text FROM fx_text)
+SELECT event, pos, {E.EMBED_DIM} AS dim, CASE WHEN length(substr(text, 1, 300)) >= 2 THEN 1.0 ELSE 0.0 END AS norm
+FROM c WHERE {G.is_valid('text')}""")
 def q_embed_posts(spark, sf):
     d = FX.fx_text(spark, sf).select("event", "pos", T.clean_text("text").alias("text"))
     emb = E.embed(d)
-    return emb.select("event", "pos", F.size("vec").alias("dim"))
+    # a post with at least one bigram has a unit vector, a one-character post the zero vector
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x))
+    return emb.select("event", "pos", F.size("vec").alias("dim"), F.round(norm, 6).alias("norm"))
 
 
 @register("train_classifier")
