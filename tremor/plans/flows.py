@@ -26,6 +26,7 @@ from ..operators import metrics as M
 from ..operators import pooling as V
 from ..operators import scoring as E
 from ..operators import windows as W
+from ..session import ensure_checkpoint_dir
 from ..sources import files as IO
 
 POOLINGS = ("mean", "max", "cls", "attentive")
@@ -47,11 +48,14 @@ def prepare_corpus(spark: SparkSession, roots: str | list[str], default_year: in
     if events is not None:
         posts = posts.join(events.select("event"), "event", "left_semi")
         cat = cat.join(events.select("event"), "event", "left_semi")
-    features = A.event_features(posts, default_year, catalogue=cat)
+    # The cleaned posts become a written table once (the cache, or a landing
+    # folder under the shared checkpoint dir); statistics, vectors and post
+    # results all read it instead of re-parsing CSVs and re-running the regexes.
     if cache_path:
-        cleaned = IO.cleaned_cache(spark, posts, cache_path, "text")
+        cleaned = IO.cleaned_cache(spark, posts, cache_path, "text", requested=cat)
     else:
-        cleaned = posts.withColumn("clean_text", clean_text("text"))
+        cleaned = IO.land(posts.withColumn("clean_text", clean_text("text")), "posts")
+    features = A.event_features(cleaned, default_year, catalogue=cat)
     return Corpus(cleaned, features, cat)
 
 
@@ -98,7 +102,9 @@ def train_and_evaluate(corpus: Corpus, labels: DataFrame, split: DataFrame | Non
     lab = L.encode_labels(L.dedupe_labels(labels))
     if split is None:
         split = L.stratified_split(corpus.catalogue, lab, train_ratio, seed)
-    vecs = event_vectors(corpus, pooling, encoder, dim)
+    # one row per event, read by the fit and by the val scoring: embed once
+    ensure_checkpoint_dir(corpus.posts.sparkSession)
+    vecs = event_vectors(corpus, pooling, encoder, dim).checkpoint()
     table = L.join_labels(vecs, lab).join(split.select("event", "part"), "event")
     weights = L.class_weights(lab.join(split.where(F.col("part") == "train").select("event"), "event"), class_counts)
     train = table.where(F.col("part") == "train").join(weights.select("level", "weight"), "level", "left") \
@@ -122,6 +128,9 @@ def predict_events(spark: SparkSession, model, corpus: Corpus, requested: DataFr
         F.col("event").alias("event_name"), F.col("pred").alias("predicted_class"),
         level_label("pred").alias("predicted_label"),
         F.map_from_arrays(F.slice(names, 1, F.size("probability")), F.col("probability")).alias("probabilities"))
+    # event results feed the JSON, the post results and the batch status: score once
+    ensure_checkpoint_dir(spark)
+    events = events.checkpoint()
     posts = W.cap_posts(corpus.posts.select("event", "pos", "id", F.col("clean_text").alias("text")), MAX_TWEETS)
     post_res = E.post_results(posts, events)
     req = requested if requested is not None else corpus.catalogue.select("event")

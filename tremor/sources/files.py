@@ -49,6 +49,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/tremor-{name}-{uuid.uuid4().hex}"
 
 
+def land(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the session's shared checkpoint folder and
+    read it back. Later actions start from the written table: the CSV parse and
+    regex cleaning run once, and a lost executor re-reads files instead of
+    replaying the whole plan."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -174,13 +185,17 @@ def uncached_events(requested: DataFrame, cached: DataFrame) -> DataFrame:
     return requested.select("event").distinct().join(cached.select("event"), "event", "left_anti")
 
 
-def cleaned_cache(spark: SparkSession, posts: DataFrame, cache_path: str, text_col: str = "text") -> DataFrame:
+def cleaned_cache(spark: SparkSession, posts: DataFrame, cache_path: str, text_col: str = "text",
+                  requested: DataFrame | None = None) -> DataFrame:
     """Read-through cache of cleaned posts (Parquet, bucketed folders by event).
 
     Only events missing from the cache are cleaned and appended; the result is
-    the cache restricted to the requested events. Timestamps stay typed (Q7b).
+    the cache restricted to the requested events (default: the events of
+    ``posts``; pass the file catalogue to avoid parsing the CSVs for it).
+    The cache keeps every canonical column, so statistics can be computed
+    from it. Timestamps stay typed (Q7b).
     """
-    requested = posts.select("event").distinct()
+    requested = (posts if requested is None else requested).select("event").distinct()
     if path_exists(spark, cache_path):
         cached = spark.read.parquet(cache_path).select("event").distinct()
         todo = posts.join(uncached_events(requested, cached), "event", "left_semi")
