@@ -76,3 +76,15 @@ def test_custom_encoder_mapinpandas(spark, corpus_root):
     assert len(r["事件0"]) == 14 and r["空事件"][:2] == [0.0, 0.0]
     with pytest.raises(ValueError):
         flows.event_vectors(corpus, "median")
+
+
+def test_prepare_corpus_lands_posts_once(spark, corpus_root):
+    from conftest import plan_of
+    root, _ = corpus_root
+    corpus = flows.prepare_corpus(spark, root, default_year=2024)
+    plan = plan_of(corpus.posts)
+    assert "parquet" in plan.lower() and "csv" not in plan.lower()
+    feats = plan_of(corpus.features).lower()
+    # statistics read the landed table; only the file listing touches the roots
+    assert "csv" not in feats.replace("*.csv", "")
+    assert corpus.posts.where(F.col("event") == "事件0").count() == 5

@@ -239,3 +239,19 @@ def test_shuffle_key_is_seeded(spark):
     order = lambda s, e: [r.event for r in ev.orderBy(W.shuffle_key(s, e)).collect()]
     assert order(1, 0) == order(1, 0)
     assert order(1, 0) != order(1, 1)
+
+
+def test_spread_only_narrow_scans(spark, tmp_path):
+    from conftest import plan_of
+    from tremor.plans import tuning
+    path = str(tmp_path / "one")
+    spark.range(1000).coalesce(1).write.parquet(path)  # one file, one row group
+    df = spark.read.parquet(path)
+    assert tuning.estimated_row_groups(df) == 1
+    wide = tuning.spread(df, min_partitions=1)
+    assert wide is df
+    narrow = tuning.spread(df, min_partitions=4)
+    assert "RoundRobinPartitioning" in plan_of(narrow)
+    assert narrow.count() == 1000
+    # not a file scan: left alone
+    assert tuning.spread(spark.range(10), min_partitions=4).count() == 10
