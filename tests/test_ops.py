@@ -255,3 +255,15 @@ def test_spread_only_narrow_scans(spark, tmp_path):
     assert narrow.count() == 1000
     # not a file scan: left alone
     assert tuning.spread(spark.range(10), min_partitions=4).count() == 10
+
+
+def test_shuffle_partitions_sized_from_input(spark):
+    from tremor.plans import tuning
+    gb = 1024 ** 3
+    assert tuning.shuffle_partitions_for(0, 8) == 8
+    assert tuning.shuffle_partitions_for(100 * gb, 8) == 160          # capped at 20 waves
+    assert tuning.shuffle_partitions_for(100 * 1024 * gb, 8000) == 160000   # 100 TB: 204,800 wanted, capped
+    assert tuning.shuffle_partitions_for(50 * gb, 1000) == 1000       # one wave at least
+    assert tuning.shuffle_partitions_for(5000 * gb, 1000) == 10000
+    # the test session chose its own value: left alone
+    assert tuning.size_shuffles(spark, 100 * gb) is None

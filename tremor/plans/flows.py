@@ -27,6 +27,7 @@ from ..operators import pooling as V
 from ..operators import scoring as E
 from ..operators import windows as W
 from ..session import ensure_checkpoint_dir
+from .tuning import size_shuffles
 from ..sources import files as IO
 
 POOLINGS = ("mean", "max", "cls", "attentive")
@@ -44,6 +45,8 @@ def prepare_corpus(spark: SparkSession, roots: str | list[str], default_year: in
     """Read, type and clean all event posts; compute per-event statistics."""
     cat = IO.catalogue(spark, roots)
     cat = IO.first_root(cat) if not isinstance(roots, str) else cat
+    # shuffle partitions from the listed CSV bytes (only when the job set none)
+    size_shuffles(spark, cat.agg(F.sum("length")).first()[0] or 0)
     posts = IO.read_posts(spark, roots)
     if events is not None:
         posts = posts.join(events.select("event"), "event", "left_semi")

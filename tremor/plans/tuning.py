@@ -51,3 +51,33 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if units is None or units >= target:
         return df
     return df.repartition(target)
+
+
+# Input bytes per shuffle partition when sizing from the input: shuffles see
+# less than the input (pruned columns, map-side pre-aggregation), and AQE
+# coalesces partitions that come out small.
+INPUT_BYTES_PER_SHUFFLE_PARTITION = 512 * 1024 * 1024
+DEFAULT_SHUFFLE_PARTITIONS = "200"
+
+
+def shuffle_partitions_for(input_bytes: int, cores: int) -> int:
+    """ceil(input / 512 MB), at least one wave of tasks and at most twenty
+    (bounds the reducer x mapper block count of one shuffle)."""
+    wanted = math.ceil(max(input_bytes, 0) / INPUT_BYTES_PER_SHUFFLE_PARTITION)
+    return int(min(max(wanted, cores), 20 * cores))
+
+
+def size_shuffles(spark, input_bytes: int) -> int | None:
+    """Set ``spark.sql.shuffle.partitions`` from the job's input size unless
+    the job or cluster already chose a value; returns the value set, or None.
+
+    With the default of 200, a 100 TB input would give reduce tasks of many
+    GB; sized this way a reduce task stays near the advisory size and AQE
+    merges the small ones.
+    """
+    explicit = spark.sparkContext.getConf().contains("spark.sql.shuffle.partitions")
+    if explicit or spark.conf.get("spark.sql.shuffle.partitions") != DEFAULT_SHUFFLE_PARTITIONS:
+        return None
+    n = shuffle_partitions_for(input_bytes, spark.sparkContext.defaultParallelism)
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return n
