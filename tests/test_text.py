@@ -123,3 +123,22 @@ def test_no_python_in_cleaning_plan(spark):
     df = spark.createDataFrame([("a",)], "t string").select(T.clean_text("t").alias("c"))
     plan = plan_of(df)
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_hashtag_tokens_long_text_is_linear(spark):
+    """Many tags in one long text: same result as a plain Python scan, no quadratic rebuild."""
+    import re
+    from pyspark.sql import functions as F
+    from tremor.functions import text as T
+    n = 4000
+    body = " ".join(f"#t{i % 1000}# w{i}" for i in range(n)) + " #open"
+    seen, out, pos = set(), [], 0
+    for m in re.finditer(r"#([^#]+)#", body):
+        out.append(body[pos:m.start()])
+        if m.group(1) not in seen:
+            seen.add(m.group(1))
+            out.append(m.group(1) + " ")
+        pos = m.end()
+    out.append(body[pos:])
+    got = spark.createDataFrame([(body,)], "text string").select(T.dedupe_hashtags("text").alias("x")).first().x
+    assert got == "".join(out)

@@ -31,6 +31,9 @@ WS_CLASS = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
 # -------------------------------------------------------------------------------
 
 WS = f"[{WS_CLASS}]"
+# T4 tokens, tried in this order at each position: a closed tag, a run
+# without `#`, a lone `#`.
+HASHTAG_TOKEN_PATTERN = "#[^#]+#|[^#]+|#"
 NON_WS = f"[^{WS_CLASS}]"
 
 # T5: our own platform cleaner (the third-party one is not part of the
@@ -79,42 +82,27 @@ def remove_video(col: Column | str) -> Column:
 def dedupe_hashtags(col: Column | str) -> Column:
     """T4: `#x#` -> `x ` on first sight, removed when seen before.
 
-    A left fold over the `#`-separated parts with state (out, open, pending,
-    seen): ``open`` = the `#` before this part may open a tag, ``pending`` = a
-    non-empty part after an opener, decided once the closing `#` shows up (the
-    next part arrives) or emitted unchanged when the text ends. The input is
-    referenced once, so chained steps do not duplicate each other.
+    A left-to-right scan for `#x#` (x non-empty, may span lines) is exactly
+    the tag rule: an empty or unclosed part is not a tag, and a closing `#`
+    cannot open the next tag. So one ``regexp_extract_all`` cuts the text into
+    tokens (a tag, a run without `#`, or a lone `#`) in a single pass, and one
+    ``transform`` rewrites them: a tag whose first position in the token list
+    is its own becomes `x `, a repeated one becomes empty, other tokens stay.
+    The token array is bound once (as the element of a one-item array) so the
+    lambda does not re-evaluate it, and the input is referenced once. Linear
+    in the text, unlike a fold that rebuilds the output string at every `#`.
     """
-    init = F.struct(
-        F.lit("").alias("out"),
-        F.lit(False).alias("open"),
-        F.lit(None).cast("string").alias("pending"),
-        F.array().cast("array<string>").alias("seen"),
-    )
-
-    def state(out, is_open, pending, seen):
-        return F.struct(out.alias("out"), F.lit(is_open).alias("open"),
-                        pending.alias("pending"), seen.alias("seen"))
-
-    null = F.lit(None).cast("string")
-
-    def step(acc, p):
-        pend = acc["pending"]
-        dup = F.array_contains(acc["seen"], pend)
-        closed_out = F.when(dup, acc["out"]).otherwise(F.concat(acc["out"], pend, F.lit(" ")))
-        closed_seen = F.when(dup, acc["seen"]).otherwise(F.concat(acc["seen"], F.array(pend)))
-        return (
-            F.when(pend.isNotNull(), state(F.concat(closed_out, p), True, null, closed_seen))
-            .when(~acc["open"], state(F.concat(acc["out"], p), True, null, acc["seen"]))
-            .when(p == "", state(F.concat(acc["out"], F.lit("#")), True, null, acc["seen"]))
-            .otherwise(state(acc["out"], True, p, acc["seen"]))
-        )
-
-    def finish(acc):
-        return F.when(acc["pending"].isNull(), acc["out"]).otherwise(
-            F.concat(acc["out"], F.lit("#"), acc["pending"]))
-
-    return F.aggregate(F.split(_c(col), "#", -1), init, step, finish)
+    tokens = F.regexp_extract_all(_c(col), F.lit(HASHTAG_TOKEN_PATTERN), 0)
+
+    def rewrite(tk):
+        def token(t, i):
+            is_tag = (F.length(t) >= 3) & t.startswith("#")
+            first = F.array_position(tk, t) == i + 1
+            body = F.substring(t, F.lit(2), F.length(t) - 2)
+            return F.when(is_tag & first, F.concat(body, F.lit(" "))).when(is_tag, F.lit("")).otherwise(t)
+        return F.array_join(F.transform(tk, token), "")
+
+    return F.element_at(F.transform(F.array(tokens), rewrite), 1)
 
 
 def platform_clean(col: Column | str) -> Column:
