@@ -267,3 +267,18 @@ def test_shuffle_partitions_sized_from_input(spark):
     assert tuning.shuffle_partitions_for(5000 * gb, 1000) == 10000
     # the test session chose its own value: left alone
     assert tuning.size_shuffles(spark, 100 * gb) is None
+
+
+def test_session_fills_only_unset_settings(spark):
+    from tremor import session
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "20m")                      # the cluster's / job's choice
+        assert session.fill_unset(spark, {key: "1"}) == {}
+        assert spark.conf.get(key) == "20m"
+        spark.conf.unset(key)                           # nothing chosen: the default is filled
+        assert session.fill_unset(spark, {key: "12345"}) == {key: "12345"}
+        assert spark.conf.get(key) == "12345"
+    finally:
+        spark.conf.set(key, before)

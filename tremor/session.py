@@ -11,8 +11,9 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings every job in this package relies on. They are applied only when the
-# caller has not set them already.
+# Runtime SQL settings every job in this package relies on. Each one is set
+# only when the session (cluster defaults, submit options or the job) has not
+# set it already.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -25,6 +26,9 @@ DEFAULTS = {
     # Keep vector-buffer aggregates (ML Summarizer) hash-based when one task
     # holds many events before falling back to sorting.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
+}
+# Launch-time settings, used only when this process starts the first session.
+STATIC_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -32,21 +36,44 @@ DEFAULTS = {
 
 def get_session(master: str | None = None, app: str = "tremor",
                 shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
-    """Return the active session, creating a local one with sane defaults."""
+    """Return the active session (or a new local one) with the package's
+    defaults filled in where unset. Settings passed here are explicit and win."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in DEFAULTS.items():
-        builder = builder.config(key, value)
+    if SparkSession.getActiveSession() is None:
+        for key, value in STATIC_DEFAULTS.items():
+            builder = builder.config(key, value)
+    requested = {key.replace("__", "."): value for key, value in conf.items()}
     if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for key, value in conf.items():
-        builder = builder.config(key.replace("__", "."), value)
+        requested["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    for key, value in requested.items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    fill_unset(spark, DEFAULTS)
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def is_set(spark: SparkSession, key: str) -> bool:
+    """True when the session holds an explicit value for ``key`` (from the
+    cluster, the submit options or the job), not just Spark's built-in default."""
+    try:
+        return bool(spark._jsparkSession.sessionState().conf().contains(key))
+    except Exception:  # noqa: BLE001 - no JVM handle: trust the launch conf
+        return spark.sparkContext.getConf().contains(key)
+
+
+def fill_unset(spark: SparkSession, settings: dict[str, str]) -> dict[str, str]:
+    """Apply the runtime settings the session has not set; returns those applied."""
+    applied = {}
+    for key, value in settings.items():
+        if not is_set(spark, key) and spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
+            applied[key] = value
+    return applied
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder of the session.
 
