@@ -129,3 +129,20 @@ def test_cleaned_cache(spark, roots, tmp_path):
     both = IO.cleaned_cache(spark, posts, cache)
     assert both.count() == 5
     assert spark.read.parquet(cache).count() == 5               # ev1 was not cleaned twice
+
+
+def test_split_layouts_and_post_csv_whitespace(spark, tmp_path):
+    split = spark.createDataFrame([("a", "train"), ("b", "val"), ("c d", "train")], "event string, part string")
+    want = [("a", "train"), ("b", "val"), ("c d", "train")]
+    IO.write_split(split, str(tmp_path / "lines"))
+    IO.write_split_object(split, str(tmp_path / "obj"))
+    os.makedirs(tmp_path / "pretty")
+    with open(tmp_path / "pretty" / "split.json", "w", encoding="utf-8") as f:
+        json.dump({"train_topics": ["a", "c d"], "val_topics": ["b"]}, f, indent=2, ensure_ascii=False)
+    for layout in ("lines", "obj", "pretty"):
+        assert rows(IO.read_split(spark, str(tmp_path / layout)), "event", "part") == want, layout
+    res = spark.createDataFrame([("e1", "1", "  lead and trail  ", 1, "中等"), ("e1", "2", 'quote " and\nnewline', 2, "严重")],
+                                "event string, id string, text string, predicted_class int, predicted_label string")
+    IO.write_post_results(res, str(tmp_path / "csv"), partition_by_event=True)
+    back = IO.read_post_results(spark, str(tmp_path / "csv"), partitioned_by_event=True)
+    assert rows(back, "event", "id", "text") == [("e1", "1", "  lead and trail  "), ("e1", "2", 'quote " and\nnewline')]

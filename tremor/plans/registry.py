@@ -717,6 +717,30 @@ def q_write_results(spark, sf):
     return read_event_results(spark, out).select("event_name", "predicted_class", "predicted_label")
 
 
+@register("split_files", V_("fx_labels", "fx_catalogue") + ", " + _ENC_SQL + "," + _SPLIT_SQL + """
+SELECT 'lines' AS layout, event, part FROM split
+UNION ALL SELECT 'object' AS layout, event, part FROM split""")
+def q_split_files(spark, sf):
+    from ..sources.files import read_split, scratch_dir, write_split, write_split_object
+    split = _split(spark, sf)
+    lines, obj = scratch_dir(spark, "split-lines"), scratch_dir(spark, "split-object")
+    write_split(split, lines)
+    write_split_object(split, obj)
+    return (read_split(spark, lines).select(F.lit("lines").alias("layout"), "event", "part")
+            .unionByName(read_split(spark, obj).select(F.lit("object").alias("layout"), "event", "part")))
+
+
+@register("post_results_csv", V_("fx_conv") + "," + _CAPPED_SQL + _CONV_PRED_SQL + """
+SELECT c.event, coalesce(nullif(c.id, ''), CAST(c.pos AS VARCHAR)) AS id, c.text, p.predicted_class, p.predicted_label
+FROM capped c JOIN preds p ON c.event = p.event""")
+def q_post_results_csv(spark, sf):
+    from ..sources.files import read_post_results, scratch_dir, write_post_results
+    out = scratch_dir(spark, "post-results")
+    write_post_results(E.post_results(_capped(spark, sf), _conv_preds(spark, sf)), out, partition_by_event=True)
+    return read_post_results(spark, out, partitioned_by_event=True).select(
+        "event", "id", "text", "predicted_class", "predicted_label")
+
+
 @register("embed_posts", V_("fx_text") + f"""
 , c AS (SELECT event, pos, {G.clean_text('text')} AS text FROM fx_text)
 SELECT event, pos, {E.EMBED_DIM} AS dim, CASE WHEN length(substr(text, 1, 300)) >= 2 THEN 1.0 ELSE 0.0 END AS norm

@@ -236,14 +236,20 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
-    """Split JSON ({train_topics, val_topics} object, or JSON lines of
-    {event, part}) -> (event, part)."""
+    """Split JSON -> (event, part). Reads both layouts: the single
+    ``{train_topics, val_topics}`` object (pretty-printed or on one line, one
+    per file; its size is bounded by the writer's guard) and JSON lines of
+    ``{event, part}`` written in parallel by ``write_split`` (read line by line,
+    splittable). Records of the other layout parse to nulls and drop out."""
     doc = spark.read.text(path, wholetext=True)
     obj = F.from_json("value", SPLIT_SCHEMA)
     as_obj = doc.select(F.inline(F.array(
         F.struct(F.lit("train").alias("part"), obj["train_topics"].alias("events")),
         F.struct(F.lit("val").alias("part"), obj["val_topics"].alias("events")))))
-    return as_obj.where(F.col("events").isNotNull()).select(F.explode("events").alias("event"), "part")
+    objects = as_obj.where(F.col("events").isNotNull()).select(F.explode("events").alias("event"), "part")
+    lines = (spark.read.schema("event string, part string").json(path)
+             .where(F.col("event").isNotNull() & F.col("part").isNotNull()))
+    return objects.unionByName(lines)
 
 
 def write_split(split: DataFrame, path: str) -> None:
@@ -275,13 +281,25 @@ def read_event_results(spark: SparkSession, path: str) -> DataFrame:
 
 def write_post_results(results: DataFrame, path: str, partition_by_event: bool = False) -> None:
     """CSV id,text,predicted_class,predicted_label with a header (header-only when empty)."""
+    # texts are written as they are (Spark's CSV writer trims by default)
     w = results.select(*(["event"] if partition_by_event else []), "id", "text", "predicted_class", "predicted_label") \
-        .write.mode("overwrite").option("header", True).option("escape", '"')
+        .write.mode("overwrite").option("header", True).option("escape", '"') \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     if partition_by_event:
         w = w.partitionBy("event")
     w.csv(path)
 
 
+POST_RESULT_SCHEMA = "id string, text string, predicted_class int, predicted_label string"
+
+
+def read_post_results(spark: SparkSession, path: str, partitioned_by_event: bool = False) -> DataFrame:
+    """Read S10 output back (texts as written; ``event`` from the folder names)."""
+    schema = POST_RESULT_SCHEMA + (", event string" if partitioned_by_event else "")
+    return (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Predictions / history tables."""
     df.write.mode("overwrite").format(fmt).save(path)
