@@ -696,6 +696,20 @@ def q_event_name(spark, sf):
 
 # ============================================================================ file round trips and ML (rows-only checks)
 
+@register("catalogue_listing", V_("fx_text") + """
+SELECT event, count(*) AS n_posts FROM fx_text GROUP BY event""")
+def q_catalogue_listing(spark, sf):
+    """S4 over per-event CSVs written from the documents: every event folder
+    is found from the listing alone; post counts come from reading them back."""
+    from ..sources.files import catalogue, read_posts, scratch_dir, write_event_csvs
+    root = scratch_dir(spark, "catalogue")
+    pattern = r"event=([^/]+)/[^/]+$"
+    write_event_csvs(FX.fx_text(spark, sf).select("event", "id", F.col("text").alias("微博正文")), root)
+    events = catalogue(spark, root, event_pattern=pattern).select("event").distinct()
+    counts = read_posts(spark, root, event_pattern=pattern).groupBy("event").agg(F.count(F.lit(1)).alias("n_posts"))
+    return events.join(counts, "event", "left").fillna({"n_posts": 0})
+
+
 @register("read_posts", V_("fx_text") + "SELECT event, id, text FROM fx_text")
 def q_read_posts(spark, sf):
     from ..sources.files import read_posts, scratch_dir, write_event_csvs

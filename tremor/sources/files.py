@@ -156,19 +156,27 @@ def first_root(rows: DataFrame) -> DataFrame:
     return rows.join(win, ["event", "root_rank"], "left_semi")
 
 
-def catalogue(spark: SparkSession, roots: str | list[str]) -> DataFrame:
+def catalogue(spark: SparkSession, roots: str | list[str], event_pattern: str | None = None) -> DataFrame:
     """events = folders holding ``<name>/<name>.csv``; header-only files
     are included (events with no posts, Q19).
 
     Only the file listing is read (binaryFile without the content column).
     Zero-byte files are skipped by Spark's file sources; the reference fails
-    to parse them, so they are not valid event files either.
+    to parse them, so they are not valid event files either. ``event_pattern``
+    (a regex whose group 1 is the event, matched on the path) replaces the
+    folder = file-stem rule for layouts written by Spark
+    (``event=<name>/part-*.csv``), as in ``read_posts``.
     """
     roots = [roots] if isinstance(roots, str) else list(roots)
     frames = []
     for rank, root in enumerate(roots):
         ls = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
               .option("recursiveFileLookup", True).load(root).select("path", "length"))
+        if event_pattern:
+            ev = F.url_decode(F.replace(F.regexp_extract("path", event_pattern, 1), F.lit("+"), F.lit("%2B")))
+            frames.append(ls.select(ev.alias("event"), "path", "length", F.lit(rank).alias("root_rank"))
+                          .where(F.col("event") != ""))
+            continue
         folder = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)
         frames.append(ls.select(event_from_path("path").alias("event"),
                                 F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))).alias("_folder"),
