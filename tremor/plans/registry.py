@@ -710,6 +710,18 @@ def q_catalogue_listing(spark, sf):
     return events.join(counts, "event", "left").fillna({"n_posts": 0})
 
 
+@register("cleaned_cache", V_("fx_text") + f"""
+SELECT event, pos, {G.clean_text('text')} AS clean_text FROM fx_text""")
+def q_cleaned_cache(spark, sf):
+    """S5 + J4: the first run cleans and writes every event; the second finds
+    them all cached, cleans nothing and reads each post back once."""
+    from ..sources.files import cleaned_cache, scratch_dir
+    posts = FX.fx_text(spark, sf).select("event", "pos", "text")
+    path = scratch_dir(spark, "clean-cache")
+    cleaned_cache(spark, posts, path)
+    return cleaned_cache(spark, posts, path).select("event", "pos", "clean_text")
+
+
 @register("read_posts", V_("fx_text") + "SELECT event, id, text FROM fx_text")
 def q_read_posts(spark, sf):
     from ..sources.files import read_posts, scratch_dir, write_event_csvs
