@@ -32,19 +32,21 @@ def landing_stream(spark: SparkSession, landing: str, width: int = IO.WIDTH,
     return src.select(*[F.col(f"c{i}") for i in range(width)], F.col("_metadata.file_path").alias("file"))
 
 
-def clean_batch(batch: DataFrame, width: int = IO.WIDTH) -> DataFrame:
+def clean_batch(batch: DataFrame, width: int = IO.WIDTH, event_pattern: str | None = None) -> DataFrame:
     """One micro-batch of positional rows -> cleaned canonical posts."""
-    posts = IO.canonical_posts(IO.apply_headers(IO.cells_frame(batch, width)))
+    posts = IO.canonical_posts(IO.apply_headers(IO.cells_frame(batch, width), event_pattern))
     return posts.withColumn("clean_text", clean_text("text"))
 
 
 def start_cache_stream(spark: SparkSession, landing: str, cache_path: str, checkpoint: str | None = None,
-                       available_now: bool = True, width: int = IO.WIDTH) -> StreamingQuery:
-    """Start the stream; ``available_now`` processes what has landed and stops."""
+                       available_now: bool = True, width: int = IO.WIDTH,
+                       event_pattern: str | None = None) -> StreamingQuery:
+    """Start the stream; ``available_now`` processes what has landed and stops.
+    ``event_pattern`` names events from the path as in ``files.read_posts``."""
     checkpoint = checkpoint or IO.scratch_dir(spark, "cache-stream-checkpoint")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        IO.write_cache_run(clean_batch(batch, width), cache_path, f"stream-{batch_id}")
+        IO.write_cache_run(clean_batch(batch, width, event_pattern), cache_path, f"stream-{batch_id}")
 
     writer = (landing_stream(spark, landing, width).writeStream.foreachBatch(sink)
               .option("checkpointLocation", checkpoint))
