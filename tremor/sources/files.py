@@ -84,29 +84,46 @@ def cells_frame(df: DataFrame, width: int = WIDTH, root_rank: int = 0) -> DataFr
         F.lit(root_rank).alias("root_rank"))
 
 
-def apply_headers(raw: DataFrame, event_pattern: str | None = None) -> DataFrame:
-    """First row of each file = its header (BOM stripped); the other rows get
-    it attached and a 0-based ``pos``. The per-file header table has one row per
-    file and is joined back on ``file``."""
-    headers = (raw.groupBy("file")
-               .agg(F.min("mid").alias("hmid"), F.min_by("cells", "mid").alias("h")))
-    headers = headers.select(
-        "file", "hmid",
-        F.transform("h", lambda x, i: F.when(i == 0, F.regexp_replace(x, f"^{BOM}", "")).otherwise(x)).alias("header"))
+def apply_headers(raw: DataFrame, event_pattern: str | None = None,
+                  columns: dict[str, str] | None = None) -> DataFrame:
+    """First row of each file = its header (BOM stripped); the other rows get a
+    0-based ``pos`` and ``hidx``: for each wanted column (header name ->
+    canonical name, default ``POST_COLUMNS``) its 1-based cell position in that
+    file, 0 when the file lacks it.
+
+    The positions are read off each row and the header row's values kept per
+    file with ``min_by(position, mid)``: fixed-width buffers, so a partial
+    hash aggregate (no sort of the rows by file). The rows then carry a few
+    ints instead of the header strings, and the one-row-per-file table is
+    joined back on ``file`` (AQE broadcasts it when it fits).
+    """
+    columns = POST_COLUMNS if columns is None else columns
+    first_cell = F.element_at("cells", 1)
+
+    def position(name: str) -> F.Column:
+        # cell position of `name` if this row is its file's header (a BOM may
+        # lead the first cell); only the header row's value is kept below
+        return (F.when(first_cell == F.lit(BOM + name), F.lit(1))
+                .otherwise(F.array_position("cells", name)).cast("int"))
+    # fixed-width buffers only (min, min_by of ints): a partial hash aggregate,
+    # no sort of the rows by file
+    headers = raw.groupBy("file").agg(
+        F.min("mid").alias("hmid"),
+        F.struct(*[F.min_by(position(name), "mid").alias(canon) for name, canon in columns.items()]).alias("hidx"))
     rows = raw.join(headers, "file").where(F.col("mid") != F.col("hmid"))
     if event_pattern:
         ev = F.url_decode(F.replace(F.regexp_extract("file", event_pattern, 1), F.lit("+"), F.lit("%2B")))
     else:
         ev = event_from_path("file")
     return rows.select(ev.alias("event"), "root_rank", "file", (F.col("mid") - F.col("hmid") - 1).alias("pos"),
-                       "cells", "header")
+                       "cells", "hidx")
 
 
 def read_raw_posts(spark: SparkSession, roots: str | list[str], width: int = WIDTH,
                    event_pattern: str | None = None) -> DataFrame:
     """S1 + U1 + P11: all rows of all CSV files under the roots, header applied.
 
-    -> (event, root_rank, file, pos, cells ARRAY<value>, header ARRAY<name>)
+    -> (event, root_rank, file, pos, cells ARRAY<value>, hidx STRUCT<canonical name: position>)
     """
     roots = [roots] if isinstance(roots, str) else list(roots)
     raw = None
@@ -116,9 +133,12 @@ def read_raw_posts(spark: SparkSession, roots: str | list[str], width: int = WID
     return apply_headers(raw, event_pattern)
 
 
-def _cell(name: str) -> F.Column:
-    idx = F.array_position(F.col("header"), name)
-    return F.when(idx > 0, F.element_at(F.col("cells"), idx.cast("int")))
+def _has(canon: str) -> F.Column:
+    return F.col("hidx")[canon] > 0
+
+
+def _cell(canon: str) -> F.Column:
+    return F.when(_has(canon), F.element_at(F.col("cells"), F.col("hidx")[canon]))
 
 
 def read_posts(spark: SparkSession, roots: str | list[str], width: int = WIDTH,
@@ -135,15 +155,14 @@ def read_posts(spark: SparkSession, roots: str | list[str], width: int = WIDTH,
 
 def canonical_posts(raw: DataFrame) -> DataFrame:
     """Header-mapped rows -> canonical post columns + per-file has_* flags."""
-    has = {n: F.coalesce(F.array_contains("header", n), F.lit(False)) for n in POST_COLUMNS}
     return raw.select(
         "event", "root_rank", "pos",
-        *[na_to_null(_cell(h)).alias(c) for h, c in POST_COLUMNS.items()],
-        has["发布时间"].alias("has_time"),
-        (has["转发数"] & has["评论数"] & has["点赞数"]).alias("has_counts"),
-        has["用户昵称"].alias("has_nickname"),
-        has["发布位置"].alias("has_location"),
-        has["微博正文"].alias("has_text"),
+        *[na_to_null(_cell(c)).alias(c) for c in POST_COLUMNS.values()],
+        _has("published_raw").alias("has_time"),
+        (_has("reposts") & _has("comments") & _has("likes")).alias("has_counts"),
+        _has("nickname").alias("has_nickname"),
+        _has("location").alias("has_location"),
+        _has("text").alias("has_text"),
     )
 
 
