@@ -12,7 +12,7 @@ from tremor.operators import scoring as E
 from tremor.operators import windows as W
 from tremor.sources import fixtures as FX
 
-from conftest import SF_MID
+from conftest import SF_MID, rows
 
 
 def test_feature_invariants(spark):
@@ -89,3 +89,12 @@ def test_hot_event_caps_and_pools(spark, hot):
     dropped = W.drop_posts(df.select("event", "pos"), 0.99, seed=5)
     per = dropped.groupBy("event").count()
     assert per.count() == 301 and per.agg(F.min("count")).first()[0] >= 1
+
+
+def test_hot_event_two_stage_cap_is_exact(spark, hot):
+    """Forcing every event through the hot path gives the same first n rows."""
+    _, df = hot
+    one = rows(W.cap_posts(df, 5, hot_rows=10**12), "event", "pos", "slot")
+    two = rows(W.cap_posts(df, 5, hot_rows=0), "event", "pos", "slot")
+    assert one == two and len(one) > 0
+    assert rows(W.hot_events(df, 0).limit(1)) != []

@@ -120,9 +120,8 @@ def compact_slots(posts: DataFrame, n_slots: int, vec: str = "vec", valid: str =
     Returns the list view (event, vecs ARRAY<ARRAY<DOUBLE>>, n_valid); call it on
     capped posts so a list holds at most ``n_slots`` vectors.
     """
-    first = Window.partitionBy("event").orderBy("pos")
-    ok = (posts.where(F.col(valid)).withColumn("_rn", F.row_number().over(first))
-          .where(F.col("_rn") <= n_slots))  # partial WindowGroupLimit before the shuffle
+    from .windows import first_n
+    ok = first_n(posts.where(F.col(valid)), n_slots)  # partial group limit; hot events in two stages
     lists = ok.groupBy("event").agg(
         F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col(vec).alias("v")))).alias("l"),
         _dim(vec).alias("dim"))
