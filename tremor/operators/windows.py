@@ -26,6 +26,16 @@ from ..functions.text import is_valid
 HOT_FACTOR = 50
 MAX_HOT_EVENTS = 10_000
 HOT_BUCKETS = 64
+# Below this estimated input size no reducer can receive more than this much,
+# so the hot-event count is skipped.
+SMALL_INPUT_BYTES = 1024 ** 3
+
+
+def _hot_threshold(counts: DataFrame, min_rows: int) -> tuple[int, int]:
+    """(row threshold, rows of the biggest key) from per-key counts; two
+    numbers reach the driver."""
+    total, biggest = counts.agg(F.sum("_n"), F.max("_n")).first()
+    return max(int(min_rows), (total or 0) // MAX_HOT_EVENTS), biggest or 0
 
 
 def hot_events(df: DataFrame, min_rows: int, key: str = "event") -> DataFrame:
@@ -33,12 +43,10 @@ def hot_events(df: DataFrame, min_rows: int, key: str = "event") -> DataFrame:
 
     Each such key holds more than 1 / MAX_HOT_EVENTS of all rows, so at most
     MAX_HOT_EVENTS keys qualify: the list has a proven size bound and is safe
-    to broadcast. Counting is a partial hash aggregate on ``key`` alone; only
-    the total (one number) reaches the driver.
+    to broadcast. Counting is a partial hash aggregate on ``key`` alone.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    threshold = max(int(min_rows), total // MAX_HOT_EVENTS)
+    threshold, _ = _hot_threshold(counts, min_rows)
     return counts.where(F.col("_n") > threshold).select(key)
 
 
@@ -52,13 +60,25 @@ def first_n(df: DataFrame, n: int, key: str = "event", order: str = "pos",
     first ``n`` per (key, hash bucket of ``order``), then first ``n`` per key,
     which keeps every row of the key's first ``n`` (each is among its bucket's
     first ``n``). Hot and cold keys are routed by a broadcast of the bounded
-    hot list, so the posts themselves are not shuffled for the routing.
+    hot list, so the posts themselves are not shuffled for the routing. When
+    no key is hot (the usual case), or the input is estimated at most
+    ``SMALL_INPUT_BYTES`` (no reducer can get more), the plan is the single
+    window and, for small inputs, no count is run.
     """
     def ranked(src: DataFrame, part: list[str]) -> DataFrame:
         w = Window.partitionBy(*part).orderBy(order)
         return src.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
 
-    hot = F.broadcast(hot_events(df, n * HOT_FACTOR if hot_rows is None else hot_rows, key))
+    if hot_rows is None:
+        from ..plans.tuning import _size_in_bytes
+        size = _size_in_bytes(df)
+        if size is not None and size <= SMALL_INPUT_BYTES:
+            return ranked(df, [key])
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    threshold, biggest = _hot_threshold(counts, n * HOT_FACTOR if hot_rows is None else hot_rows)
+    if biggest <= threshold:
+        return ranked(df, [key])
+    hot = F.broadcast(counts.where(F.col("_n") > threshold).select(key))
     cold = ranked(df.join(hot, key, "left_anti"), [key])
     spread = df.join(hot, key, "left_semi").withColumn("_b", F.pmod(F.xxhash64(order), F.lit(HOT_BUCKETS)))
     pre = ranked(spread, [key, "_b"]).drop("_rn", "_b")
