@@ -88,3 +88,22 @@ def test_prepare_corpus_lands_posts_once(spark, corpus_root):
     # statistics read the landed table; only the file listing touches the roots
     assert "csv" not in feats.replace("*.csv", "")
     assert corpus.posts.where(F.col("event") == "事件0").count() == 5
+
+
+def test_predict_reports_file_without_text_column(spark, corpus_root, tmp_path):
+    import shutil
+    root, levels = corpus_root
+    mixed = str(tmp_path / "mixed")
+    shutil.copytree(root, mixed)
+    os.makedirs(f"{mixed}/无正文")
+    with open(f"{mixed}/无正文/无正文.csv", "w", encoding="utf-8") as f:
+        f.write("id,用户昵称,发布时间\n1,u1,2025-01-01 08:00\n")
+    corpus = flows.prepare_corpus(spark, mixed, default_year=2024)
+    labels = spark.createDataFrame([(k, "r", v) for k, v in levels.items()], "event string, reason string, severity string")
+    model, _, _, _ = flows.train_and_evaluate(corpus, labels, pooling="mean", max_iter=10)
+    events, posts, status = flows.predict_events(spark, model, corpus)
+    st = {r.event: r for r in status.collect()}
+    assert st["无正文"].error == "no text column" and st["无正文"].predicted_class is None
+    assert st["事件1"].error is None
+    assert "无正文" not in {r.event_name for r in events.collect()}
+    assert posts.where(F.col("event") == "无正文").count() == 0

@@ -45,11 +45,24 @@ def post_results(posts: DataFrame, event_preds: DataFrame, text_col: str = "text
                     "predicted_class", "predicted_label"))
 
 
-def batch_predict(requested: DataFrame, scored: DataFrame, reason: str = "event file not found") -> DataFrame:
-    """Every requested event, with its prediction or an error string."""
+def batch_predict(requested: DataFrame, scored: DataFrame, reason: str = "event file not found",
+                  errors: DataFrame | None = None) -> DataFrame:
+    """Every requested event, with its prediction or an error string.
+
+    ``errors(event, error)`` names events that failed for a known reason (for
+    example a file without the text column); they get that error and no
+    prediction. Other unscored events get ``reason``.
+    """
     ev = "event_name" if "event_name" in scored.columns else "event"
     s = scored.select(F.col(ev).alias("event"), "predicted_class", "predicted_label", F.lit(True).alias("_ok"))
     out = requested.select("event").distinct().join(s, "event", "left")
+    if errors is not None:
+        out = out.join(errors.select("event", F.col("error").alias("_err")), "event", "left")
+        failed = F.col("_err").isNotNull()
+        return out.select("event",
+                          F.when(~failed, F.col("predicted_class")).alias("predicted_class"),
+                          F.when(~failed, F.col("predicted_label")).alias("predicted_label"),
+                          F.coalesce(F.col("_err"), F.when(F.col("_ok").isNull(), F.lit(reason))).alias("error"))
     return out.select("event", "predicted_class", "predicted_label",
                       F.when(F.col("_ok").isNull(), F.lit(reason)).alias("error"))
 

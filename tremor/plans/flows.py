@@ -122,7 +122,14 @@ def train_and_evaluate(corpus: Corpus, labels: DataFrame, split: DataFrame | Non
 def predict_events(spark: SparkSession, model, corpus: Corpus, requested: DataFrame | None = None,
                    pooling: str = "mean", encoder: Callable | None = None, dim: int | None = None):
     """Score every event. Returns (event_results, post_results, batch_status)."""
+    # a file without the text column fails in the reference; report it
+    errors = None
+    if "has_text" in corpus.posts.columns:
+        errors = (corpus.posts.groupBy("event").agg(F.max(F.col("has_text").cast("int")).alias("_t"))
+                  .where(F.col("_t") == 0).select("event", F.lit("no text column").alias("error")))
     vecs = event_vectors(corpus, pooling, encoder, dim)
+    if errors is not None:
+        vecs = vecs.join(errors, "event", "left_anti")
     scored = E.predict_classes(model, vecs, label_col=None)
     from ..functions.scalars import level_label
     from ..operators.scoring import LABEL_NAMES
@@ -137,5 +144,5 @@ def predict_events(spark: SparkSession, model, corpus: Corpus, requested: DataFr
     posts = W.cap_posts(corpus.posts.select("event", "pos", "id", F.col("clean_text").alias("text")), MAX_TWEETS)
     post_res = E.post_results(posts, events)
     req = requested if requested is not None else corpus.catalogue.select("event")
-    status = E.batch_predict(req, events)
+    status = E.batch_predict(req, events, errors=errors)
     return events, post_res, status
