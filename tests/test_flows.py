@@ -107,3 +107,12 @@ def test_predict_reports_file_without_text_column(spark, corpus_root, tmp_path):
     assert st["事件1"].error is None
     assert "无正文" not in {r.event_name for r in events.collect()}
     assert posts.where(F.col("event") == "无正文").count() == 0
+
+
+def test_given_split_with_missing_event_file_raises(spark, corpus_root):
+    root, levels = corpus_root
+    corpus = flows.prepare_corpus(spark, root, default_year=2024)
+    labels = spark.createDataFrame([(k, "r", v) for k, v in levels.items()], "event string, reason string, severity string")
+    split = spark.createDataFrame([("事件0", "train"), ("事件1", "val"), ("没有文件", "train")], "event string, part string")
+    with pytest.raises(FileNotFoundError):
+        flows.train_and_evaluate(corpus, labels, split=split, max_iter=5)

@@ -100,11 +100,18 @@ def _dim(encoder, dim):
 
 def train_and_evaluate(corpus: Corpus, labels: DataFrame, split: DataFrame | None = None, train_ratio: float = 0.8,
                        seed: int = 42, pooling: str = "mean", classifier: str = "lr", class_counts: list[int] | None = None,
-                       encoder: Callable | None = None, dim: int | None = None, max_iter: int = 50):
-    """Fit on the train part, evaluate on val. Returns (model, predictions, metrics, split)."""
+                       encoder: Callable | None = None, dim: int | None = None, max_iter: int = 50,
+                       strict: bool = True):
+    """Fit on the train part, evaluate on val. Returns (model, predictions, metrics, split).
+
+    With a given ``split`` and ``strict``, split events without an event file
+    raise (J2), as the reference's loader does; otherwise they are left out.
+    """
     lab = L.encode_labels(L.dedupe_labels(labels))
     if split is None:
         split = L.stratified_split(corpus.catalogue, lab, train_ratio, seed)
+    elif strict:
+        L.missing_events(split, corpus.catalogue, strict=True)
     # one row per event, read by the fit and by the val scoring: embed once
     ensure_checkpoint_dir(corpus.posts.sparkSession)
     vecs = event_vectors(corpus, pooling, encoder, dim).checkpoint()
