@@ -109,8 +109,10 @@ def platform_clean(col: Column | str) -> Column:
     """T5: URLs, e-mails, @mentions, leftover topics, tags, whitespace runs."""
     t = _c(col)
     t = F.regexp_replace(t, URL_PATTERN, "")
-    t = F.regexp_replace(t, EMAIL_PATTERN, "")
-    t = F.regexp_replace(t, MENTION_PATTERN, " ")
+    # both the e-mail and the mention rule need an `@`: texts without one skip
+    # the two scans (same result; the shared input is computed once)
+    at_rules = F.regexp_replace(F.regexp_replace(t, EMAIL_PATTERN, ""), MENTION_PATTERN, " ")
+    t = F.when(F.instr(t, "@") > 0, at_rules).otherwise(t)
     t = F.regexp_replace(t, TOPIC_LEFTOVER_PATTERN, "")
     t = F.regexp_replace(t, TAG_PATTERN, "")
     t = F.regexp_replace(t, f"({WS}){WS}*", "$1")
