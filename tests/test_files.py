@@ -146,3 +146,29 @@ def test_split_layouts_and_post_csv_whitespace(spark, tmp_path):
     IO.write_post_results(res, str(tmp_path / "csv"), partition_by_event=True)
     back = IO.read_post_results(spark, str(tmp_path / "csv"), partitioned_by_event=True)
     assert rows(back, "event", "id", "text") == [("e1", "1", "  lead and trail  "), ("e1", "2", 'quote " and\nnewline')]
+
+
+AWKWARD = ["a b", "百分%号", "pct%20lit", "plus+x", "事件1.5"]
+
+
+def test_awkward_event_names_in_both_layouts(spark, tmp_path):
+    root = tmp_path / "ref"
+    for name in AWKWARD:
+        os.makedirs(root / name / "images")
+        with open(root / name / f"{name}.csv", "w", encoding="utf-8") as f:
+            f.write(f"id,微博正文\n{name}1,hello {name}\n")
+        with open(root / name / "images" / f"{name}1.png", "wb") as f:
+            f.write(b"\x89PNG\r\n\x1a\n")
+    assert rows(IO.catalogue(spark, str(root)), "event") == sorted((n,) for n in AWKWARD)
+    posts = IO.read_posts(spark, str(root))
+    assert rows(posts, "event", "id") == sorted((n, n + "1") for n in AWKWARD)
+    assert rows(IO.image_manifest(spark, str(root)), "event", "id") == sorted((n, n + "1") for n in AWKWARD)
+    # Spark-written key=value folders (their own %XX escaping)
+    spark_root = str(tmp_path / "spark")
+    df = spark.createDataFrame([(n, n + "1", "t " + n) for n in AWKWARD], "event string, id string, `微博正文` string")
+    IO.write_event_csvs(df, spark_root)
+    pattern = r"event=([^/]+)/[^/]+$"
+    assert rows(IO.catalogue(spark, spark_root, event_pattern=pattern).select("event").distinct(), "event") == \
+        sorted((n,) for n in AWKWARD)
+    assert rows(IO.read_posts(spark, spark_root, event_pattern=pattern), "event", "id") == \
+        sorted((n, n + "1") for n in AWKWARD)

@@ -133,10 +133,23 @@ def result_id(id_col: Column | str, pos_col: Column | str) -> Column:
     return F.coalesce(F.nullif(_c(id_col).cast("string"), F.lit("")), _c(pos_col).cast("string"))
 
 
-def event_from_path(path: Column | str) -> Column:
-    """Event name = file stem (last dot), URL-decoded."""
-    stem = F.regexp_extract(_c(path), r"([^/]+)\.[^./]+$", 1)
-    return F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B")))
+def unescape_path(col: Column | str, times: int = 1) -> Column:
+    """Undo ``times`` rounds of %XX escaping of a path part (``+`` is literal).
+
+    ``_metadata.file_path`` is URI-encoded (one round), a file listing
+    (``binaryFile``'s ``path``) is raw (none), and Spark-written
+    ``key=value`` folders add one round of their own.
+    """
+    c = _c(col)
+    for _ in range(times):
+        c = F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    return c
+
+
+def event_from_path(path: Column | str, decodes: int = 1) -> Column:
+    """Event name = file stem (last dot), unescaped ``decodes`` times
+    (1 for ``_metadata.file_path``, 0 for a raw listing path)."""
+    return unescape_path(F.regexp_extract(_c(path), r"([^/]+)\.[^./]+$", 1), decodes)
 
 
 def is_night(ts: Column | str) -> Column:

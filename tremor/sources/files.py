@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.scalars import event_from_path, na_to_null
+from ..functions.scalars import event_from_path, na_to_null, unescape_path
 from ..functions.text import clean_text
 from ..session import ensure_checkpoint_dir
 
@@ -112,9 +112,10 @@ def apply_headers(raw: DataFrame, event_pattern: str | None = None,
         F.struct(*[F.min_by(position(name), "mid").alias(canon) for name, canon in columns.items()]).alias("hidx"))
     rows = raw.join(headers, "file").where(F.col("mid") != F.col("hmid"))
     if event_pattern:
-        ev = F.url_decode(F.replace(F.regexp_extract("file", event_pattern, 1), F.lit("+"), F.lit("%2B")))
+        # URI-encoded file path of a Spark-written key=value folder: two rounds
+        ev = unescape_path(F.regexp_extract("file", event_pattern, 1), 2)
     else:
-        ev = event_from_path("file")
+        ev = event_from_path("file", decodes=1)
     return rows.select(ev.alias("event"), "root_rank", "file", (F.col("mid") - F.col("hmid") - 1).alias("pos"),
                        "cells", "hidx")
 
@@ -192,13 +193,14 @@ def catalogue(spark: SparkSession, roots: str | list[str], event_pattern: str |
         ls = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
               .option("recursiveFileLookup", True).load(root).select("path", "length"))
         if event_pattern:
-            ev = F.url_decode(F.replace(F.regexp_extract("path", event_pattern, 1), F.lit("+"), F.lit("%2B")))
+            # raw listing path of a Spark-written key=value folder: one round
+            ev = unescape_path(F.regexp_extract("path", event_pattern, 1), 1)
             frames.append(ls.select(ev.alias("event"), "path", "length", F.lit(rank).alias("root_rank"))
                           .where(F.col("event") != ""))
             continue
         folder = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)
-        frames.append(ls.select(event_from_path("path").alias("event"),
-                                F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))).alias("_folder"),
+        # listing paths are raw: names are compared as they are on disk
+        frames.append(ls.select(event_from_path("path", decodes=0).alias("event"), folder.alias("_folder"),
                                 "path", "length", F.lit(rank).alias("root_rank"))
                       .where(F.col("event") == F.col("_folder")).drop("_folder"))
     out = frames[0]
@@ -353,8 +355,9 @@ def image_manifest(spark: SparkSession, roots: str | list[str], verify: bool = F
         cols = ["path", "length"] + (["content"] if verify else [])
         m = src.select(*cols).select(
             "*",
-            F.url_decode(F.replace(F.regexp_extract("path", r"/([^/]+)/images/[^/]+$", 1), F.lit("+"), F.lit("%2B"))).alias("event"),
-            F.url_decode(F.replace(F.regexp_extract("path", r"/images/([^/]+)\.[^./]+$", 1), F.lit("+"), F.lit("%2B"))).alias("id"),
+            # listing paths are raw (no %XX escaping)
+            F.regexp_extract("path", r"/([^/]+)/images/[^/]+$", 1).alias("event"),
+            F.regexp_extract("path", r"/images/([^/]+)\.[^./]+$", 1).alias("id"),
             F.regexp_extract("path", r"\.([^./]+)$", 1).alias("ext"),
             F.lit(root_rank).alias("root_rank"))
         m = m.where(F.col("event") != "").withColumn("ext_rank", rank.cast("int"))
