@@ -47,16 +47,21 @@ def prepare_corpus(spark: SparkSession, roots: str | list[str], default_year: in
     cat = IO.first_root(cat) if not isinstance(roots, str) else cat
     # shuffle partitions from the listed CSV bytes (only when the job set none)
     size_shuffles(spark, cat.agg(F.sum("length")).first()[0] or 0)
-    posts = IO.read_posts(spark, roots)
     if events is not None:
-        posts = posts.join(events.select("event"), "event", "left_semi")
         cat = cat.join(events.select("event"), "event", "left_semi")
     # The cleaned posts become a written table once (the cache, or a landing
     # folder under the shared checkpoint dir); statistics, vectors and post
     # results all read it instead of re-parsing CSVs and re-running the regexes.
+    # Only the event files that are needed are parsed: with a cache, those of
+    # events not cached yet; with an event list, those of the listed events.
     if cache_path:
-        cleaned = IO.cleaned_cache(spark, posts, cache_path, "text", requested=cat)
+        todo = cat
+        if IO.path_exists(spark, cache_path):
+            cached = spark.read.parquet(cache_path).select("event").distinct()
+            todo = cat.join(cached, "event", "left_anti")
+        cleaned = IO.cleaned_cache(spark, IO.read_posts_of(spark, todo), cache_path, "text", requested=cat)
     else:
+        posts = IO.read_posts(spark, roots) if events is None else IO.read_posts_of(spark, cat)
         cleaned = IO.land(posts.withColumn("clean_text", clean_text("text")), "posts")
     features = A.event_features(cleaned, default_year, catalogue=cat)
     return Corpus(cleaned, features, cat)

@@ -134,6 +134,31 @@ def read_raw_posts(spark: SparkSession, roots: str | list[str], width: int = WID
     return apply_headers(raw, event_pattern)
 
 
+_GLOB_CHARS = set("\\*?[]{}")
+
+
+def _literal_path(path: str) -> str:
+    """Escape glob characters so the reader takes the path literally."""
+    return "".join("\\" + ch if ch in _GLOB_CHARS else ch for ch in path)
+
+
+def read_posts_of(spark: SparkSession, files: DataFrame, width: int = WIDTH) -> DataFrame:
+    """S1 over chosen event files (rows of ``catalogue``): only those files are
+    parsed, e.g. the events missing from the cleaned cache.
+
+    A reader takes its inputs on the driver, so the chosen paths are collected
+    there: file metadata, one entry per event file (what any file scan lists
+    anyway), never row data. With no file the result is empty.
+    """
+    paths = sorted({r.path for r in files.select("path").distinct().collect()})
+    if paths:
+        raw = cells_frame(_csv_reader(spark, width).csv([_literal_path(p) for p in paths]), width, 0)
+    else:
+        schema = "cells array<string>, file string, mid long, root_rank int"
+        raw = spark.createDataFrame([], schema)
+    return canonical_posts(apply_headers(raw))
+
+
 def _has(canon: str) -> F.Column:
     return F.col("hidx")[canon] > 0
 
