@@ -172,3 +172,18 @@ def test_awkward_event_names_in_both_layouts(spark, tmp_path):
         sorted((n,) for n in AWKWARD)
     assert rows(IO.read_posts(spark, spark_root, event_pattern=pattern), "event", "id") == \
         sorted((n, n + "1") for n in AWKWARD)
+
+
+def test_header_table_broadcast_under_bound(spark, roots):
+    from conftest import plan_of
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "-1")  # AQE would never broadcast on its own
+        posts = IO.read_posts(spark, roots[0] if isinstance(roots, (list, tuple)) else roots)
+        assert "BroadcastHashJoin" in plan_of(posts)
+        assert posts.count() > 0
+    finally:
+        spark.conf.set(key, before)
+    scan = spark.read.csv(roots[0] if isinstance(roots, (list, tuple)) else roots, recursiveFileLookup=True)
+    assert 0 < IO.header_table_bound(scan) <= IO.HEADER_BROADCAST_BYTES

@@ -84,8 +84,24 @@ def cells_frame(df: DataFrame, width: int = WIDTH, root_rank: int = 0) -> DataFr
         F.lit(root_rank).alias("root_rank"))
 
 
+# The per-file header table (path, two longs, a few ints per file) is broadcast
+# when its size, bounded from the file list, is at most this.
+HEADER_BROADCAST_BYTES = 256 * 1024 * 1024
+
+
+def header_table_bound(scan: DataFrame) -> int | None:
+    """Upper bound on the per-file header table of a CSV scan, from the file
+    list the scan already holds on the driver: each entry is the path (twice:
+    key and row) plus fixed-width ints. None when the input is not listed."""
+    try:
+        files = scan.inputFiles()
+    except Exception:  # noqa: BLE001 - not a file scan (e.g. a micro-batch)
+        return None
+    return sum(2 * len(p.encode("utf-8")) + 128 for p in files)
+
+
 def apply_headers(raw: DataFrame, event_pattern: str | None = None,
-                  columns: dict[str, str] | None = None) -> DataFrame:
+                  columns: dict[str, str] | None = None, header_bytes: int | None = None) -> DataFrame:
     """First row of each file = its header (BOM stripped); the other rows get a
     0-based ``pos`` and ``hidx``: for each wanted column (header name ->
     canonical name, default ``POST_COLUMNS``) its 1-based cell position in that
@@ -95,7 +111,9 @@ def apply_headers(raw: DataFrame, event_pattern: str | None = None,
     file with ``min_by(position, mid)``: fixed-width buffers, so a partial
     hash aggregate (no sort of the rows by file). The rows then carry a few
     ints instead of the header strings, and the one-row-per-file table is
-    joined back on ``file`` (AQE broadcasts it when it fits).
+    joined back on ``file``: broadcast when ``header_bytes`` (a proven bound,
+    see ``header_table_bound``) is at most HEADER_BROADCAST_BYTES, so the
+    rows are never shuffled for it; otherwise AQE chooses.
     """
     columns = POST_COLUMNS if columns is None else columns
     first_cell = F.element_at("cells", 1)
@@ -110,6 +128,8 @@ def apply_headers(raw: DataFrame, event_pattern: str | None = None,
     headers = raw.groupBy("file").agg(
         F.min("mid").alias("hmid"),
         F.struct(*[F.min_by(position(name), "mid").alias(canon) for name, canon in columns.items()]).alias("hidx"))
+    if header_bytes is not None and header_bytes <= HEADER_BROADCAST_BYTES:
+        headers = F.broadcast(headers)
     rows = raw.join(headers, "file").where(F.col("mid") != F.col("hmid"))
     if event_pattern:
         # URI-encoded file path of a Spark-written key=value folder: two rounds
@@ -127,11 +147,14 @@ def read_raw_posts(spark: SparkSession, roots: str | list[str], width: int = WID
     -> (event, root_rank, file, pos, cells ARRAY<value>, hidx STRUCT<canonical name: position>)
     """
     roots = [roots] if isinstance(roots, str) else list(roots)
-    raw = None
+    raw, bound = None, 0
     for rank, root in enumerate(roots):
-        frame = cells_frame(_csv_reader(spark, width).csv(root), width, rank)
+        scan = _csv_reader(spark, width).csv(root)
+        b = header_table_bound(scan)
+        bound = None if (b is None or bound is None) else bound + b
+        frame = cells_frame(scan, width, rank)
         raw = frame if raw is None else raw.unionByName(frame)
-    return apply_headers(raw, event_pattern)
+    return apply_headers(raw, event_pattern, header_bytes=bound)
 
 
 _GLOB_CHARS = set("\\*?[]{}")
@@ -151,12 +174,11 @@ def read_posts_of(spark: SparkSession, files: DataFrame, width: int = WIDTH) ->
     anyway), never row data. With no file the result is empty.
     """
     paths = sorted({r.path for r in files.select("path").distinct().collect()})
-    if paths:
-        raw = cells_frame(_csv_reader(spark, width).csv([_literal_path(p) for p in paths]), width, 0)
-    else:
+    if not paths:
         schema = "cells array<string>, file string, mid long, root_rank int"
-        raw = spark.createDataFrame([], schema)
-    return canonical_posts(apply_headers(raw))
+        return canonical_posts(apply_headers(spark.createDataFrame([], schema)))
+    scan = _csv_reader(spark, width).csv([_literal_path(p) for p in paths])
+    return canonical_posts(apply_headers(cells_frame(scan, width, 0), header_bytes=header_table_bound(scan)))
 
 
 def _has(canon: str) -> F.Column:
