@@ -187,3 +187,17 @@ def test_header_table_broadcast_under_bound(spark, roots):
         spark.conf.set(key, before)
     scan = spark.read.csv(roots[0] if isinstance(roots, (list, tuple)) else roots, recursiveFileLookup=True)
     assert 0 < IO.header_table_bound(scan) <= IO.HEADER_BROADCAST_BYTES
+
+
+def test_first_root_broadcast_under_bound(spark, roots):
+    from conftest import plan_of
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "-1")
+        posts = IO.read_posts(spark, list(roots))
+        plan = plan_of(posts)
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+        assert rows(posts.select("event").distinct()) == rows(IO.read_posts(spark, list(roots)).select("event").distinct())
+    finally:
+        spark.conf.set(key, before)

@@ -140,12 +140,8 @@ def apply_headers(raw: DataFrame, event_pattern: str | None = None,
                        "cells", "hidx")
 
 
-def read_raw_posts(spark: SparkSession, roots: str | list[str], width: int = WIDTH,
-                   event_pattern: str | None = None) -> DataFrame:
-    """S1 + U1 + P11: all rows of all CSV files under the roots, header applied.
-
-    -> (event, root_rank, file, pos, cells ARRAY<value>, hidx STRUCT<canonical name: position>)
-    """
+def _read_raw(spark: SparkSession, roots: str | list[str], width: int,
+              event_pattern: str | None) -> tuple[DataFrame, int | None]:
     roots = [roots] if isinstance(roots, str) else list(roots)
     raw, bound = None, 0
     for rank, root in enumerate(roots):
@@ -154,7 +150,16 @@ def read_raw_posts(spark: SparkSession, roots: str | list[str], width: int = WID
         bound = None if (b is None or bound is None) else bound + b
         frame = cells_frame(scan, width, rank)
         raw = frame if raw is None else raw.unionByName(frame)
-    return apply_headers(raw, event_pattern, header_bytes=bound)
+    return apply_headers(raw, event_pattern, header_bytes=bound), bound
+
+
+def read_raw_posts(spark: SparkSession, roots: str | list[str], width: int = WIDTH,
+                   event_pattern: str | None = None) -> DataFrame:
+    """S1 + U1 + P11: all rows of all CSV files under the roots, header applied.
+
+    -> (event, root_rank, file, pos, cells ARRAY<value>, hidx STRUCT<canonical name: position>)
+    """
+    return _read_raw(spark, roots, width, event_pattern)[0]
 
 
 _GLOB_CHARS = set("\\*?[]{}")
@@ -197,8 +202,13 @@ def read_posts(spark: SparkSession, roots: str | list[str], width: int = WIDTH,
     likes, published_raw, clean_text, has_time, has_counts, has_nickname,
     has_location, has_text). Missing tokens are already null (S2).
     """
-    posts = canonical_posts(read_raw_posts(spark, roots, width, event_pattern))
-    return first_root(posts) if first_root_only and not isinstance(roots, str) else posts
+    raw, bound = _read_raw(spark, roots, width, event_pattern)
+    posts = canonical_posts(raw)
+    if first_root_only and not isinstance(roots, str):
+        # one (event, root) row per event and at most one event per file: the
+        # file-list bound of the header table bounds this table too
+        return first_root(posts, size_bound=bound)
+    return posts
 
 
 def canonical_posts(raw: DataFrame) -> DataFrame:
@@ -214,12 +224,16 @@ def canonical_posts(raw: DataFrame) -> DataFrame:
     )
 
 
-def first_root(rows: DataFrame) -> DataFrame:
+def first_root(rows: DataFrame, size_bound: int | None = None) -> DataFrame:
     """S3: keep the rows of the first root (lowest ``root_rank``) holding each event.
 
-    A per-event min (partial aggregate) joined back; never a window over an event.
+    A per-event min (partial aggregate) joined back; never a window over an
+    event. With a proven ``size_bound`` of the per-event table at most
+    HEADER_BROADCAST_BYTES it is broadcast, so the rows are not shuffled.
     """
     win = rows.groupBy("event").agg(F.min("root_rank").alias("root_rank"))
+    if size_bound is not None and size_bound <= HEADER_BROADCAST_BYTES:
+        win = F.broadcast(win)
     return rows.join(win, ["event", "root_rank"], "left_semi")
 
 
