@@ -70,8 +70,8 @@ def first_n(df: DataFrame, n: int, key: str = "event", order: str = "pos",
         return src.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
 
     if hot_rows is None:
-        from ..plans.tuning import _size_in_bytes
-        size = _size_in_bytes(df)
+        from ..plans.tuning import estimated_bytes
+        size = estimated_bytes(df)
         if size is not None and size <= SMALL_INPUT_BYTES:
             return ranked(df, [key])
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 DEFAULT_ROW_GROUP_BYTES = 128 * 1024 * 1024
 
 
-def _size_in_bytes(df: DataFrame) -> int | None:
+def estimated_bytes(df: DataFrame) -> int | None:
     """Optimizer size estimate of ``df`` (the file sizes for a plain scan)."""
     try:
         return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -28,7 +28,7 @@ def estimated_row_groups(df: DataFrame) -> int | None:
         return None
     if n_files == 0:
         return None
-    size = _size_in_bytes(df)
+    size = estimated_bytes(df)
     by_size = math.ceil(size / DEFAULT_ROW_GROUP_BYTES) if size else 0
     return max(n_files, by_size)
 
