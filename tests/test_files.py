@@ -201,3 +201,11 @@ def test_first_root_broadcast_under_bound(spark, roots):
         assert rows(posts.select("event").distinct()) == rows(IO.read_posts(spark, list(roots)).select("event").distinct())
     finally:
         spark.conf.set(key, before)
+
+
+def test_read_posts_of_keeps_root_rank(spark, roots):
+    cat = IO.first_root(IO.catalogue(spark, list(roots)))
+    posts = IO.read_posts_of(spark, cat)
+    got = {(r.event, r.root_rank) for r in posts.select("event", "root_rank").distinct().collect()}
+    assert ("ev5", 1) in got and ("ev1", 0) in got
+    assert rows(posts, "event", "pos") == rows(IO.read_posts(spark, list(roots)), "event", "pos")

@@ -178,12 +178,21 @@ def read_posts_of(spark: SparkSession, files: DataFrame, width: int = WIDTH) ->
     there: file metadata, one entry per event file (what any file scan lists
     anyway), never row data. With no file the result is empty.
     """
-    paths = sorted({r.path for r in files.select("path").distinct().collect()})
-    if not paths:
+    rank = F.col("root_rank") if "root_rank" in files.columns else F.lit(0)
+    by_root: dict[int, list[str]] = {}
+    for r in files.select("path", rank.alias("root_rank")).distinct().collect():
+        by_root.setdefault(int(r.root_rank), []).append(r.path)
+    if not by_root:
         schema = "cells array<string>, file string, mid long, root_rank int"
         return canonical_posts(apply_headers(spark.createDataFrame([], schema)))
-    scan = _csv_reader(spark, width).csv([_literal_path(p) for p in paths])
-    return canonical_posts(apply_headers(cells_frame(scan, width, 0), header_bytes=header_table_bound(scan)))
+    raw, bound = None, 0
+    for root_rank in sorted(by_root):  # one reader per root (a handful)
+        scan = _csv_reader(spark, width).csv([_literal_path(p) for p in sorted(by_root[root_rank])])
+        b = header_table_bound(scan)
+        bound = None if (b is None or bound is None) else bound + b
+        frame = cells_frame(scan, width, root_rank)
+        raw = frame if raw is None else raw.unionByName(frame)
+    return canonical_posts(apply_headers(raw, header_bytes=bound))
 
 
 def _has(canon: str) -> F.Column:
