@@ -55,11 +55,12 @@ def prepare_corpus(spark: SparkSession, roots: str | list[str], default_year: in
     # Only the event files that are needed are parsed: with a cache, those of
     # events not cached yet; with an event list, those of the listed events.
     if cache_path:
-        todo = cat
         if IO.path_exists(spark, cache_path):
             cached = spark.read.parquet(cache_path).select("event").distinct()
-            todo = cat.join(cached, "event", "left_anti")
-        cleaned = IO.cleaned_cache(spark, IO.read_posts_of(spark, todo), cache_path, "text", requested=cat)
+            posts = IO.read_posts_of(spark, cat.join(cached, "event", "left_anti"))
+        else:  # first run: nothing to skip, let the scan list the roots itself
+            posts = IO.read_posts(spark, roots) if events is None else IO.read_posts_of(spark, cat)
+        cleaned = IO.cleaned_cache(spark, posts, cache_path, "text", requested=cat)
     else:
         posts = IO.read_posts(spark, roots) if events is None else IO.read_posts_of(spark, cat)
         cleaned = IO.land(posts.withColumn("clean_text", clean_text("text")), "posts")
