@@ -68,11 +68,23 @@ def histogram(values: DataFrame, col: str, bins: int = N_BINS) -> DataFrame:
 
 
 def length_histogram(posts: DataFrame, text_col: str = "text", bins: int = N_BINS) -> DataFrame:
-    """A16 over word and char lengths: (measure, bin, n)."""
+    """A16 over word and char lengths: (measure, bin, n).
+
+    One pass over the texts: both measures are stacked and reduced to one row
+    per (measure, distinct value) before the per-measure range and binning.
+    """
     ln = lengths(posts, text_col)
-    w = histogram(ln, "words", bins).select(F.lit("words").alias("measure"), "bin", "n")
-    c = histogram(ln, "chars", bins).select(F.lit("chars").alias("measure"), "bin", "n")
-    return w.unionByName(c)
+    stacked = ln.select(F.inline(F.array(
+        F.struct(F.lit("words").alias("measure"), F.col("words").cast("double").alias("x")),
+        F.struct(F.lit("chars").alias("measure"), F.col("chars").cast("double").alias("x")))))
+    per_value = stacked.groupBy("measure", "x").agg(F.count(F.lit(1)).alias("n"))
+    by_measure = Window.partitionBy("measure")  # one row per distinct value of a measure
+    ranged = per_value.select("measure", "x", "n", F.min("x").over(by_measure).alias("lo"),
+                              F.max("x").over(by_measure).alias("hi"))
+    width = F.col("hi") - F.col("lo")
+    b = F.when(width == 0, F.lit(0)).otherwise(
+        F.least(F.floor((F.col("x") - F.col("lo")) / width * bins), F.lit(bins - 1))).cast("int")
+    return ranged.groupBy("measure", b.alias("bin")).agg(F.sum("n").cast("long").alias("n"))
 
 
 def pick_images(manifest: DataFrame) -> DataFrame:
