@@ -41,3 +41,22 @@ def test_query_matches_oracle(spark, con, name):
     assert sc == dc
     assert len(sr) == len(dr)
     assert sr == dr
+
+
+WRITES_OR_TRAINS = {"write_results", "split_files", "post_results_csv", "catalogue_listing", "cleaned_cache",
+                    "stream_cache", "read_posts", "train_classifier"}
+
+
+def test_no_cross_join_or_row_python_in_any_query(spark):
+    """Every registered query plans without cartesian / nested-loop joins and
+    without row-at-a-time Python UDFs."""
+    from conftest import plan_of
+    bad = {}
+    for name, fn in entry.queries().items():
+        if name in WRITES_OR_TRAINS:
+            continue
+        plan = plan_of(fn(spark, SF_SMALL))
+        found = [op for op in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython") if op in plan]
+        if found:
+            bad[name] = found
+    assert bad == {}
