@@ -176,3 +176,20 @@ def test_normalize_time_random_vs_python(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r.n for r in df.select("i", S.normalize_time("t", 2024).alias("n")).orderBy("i").collect()]
     assert got == [_py_normalize(t) for t in texts]
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    """Time parsing and hour statistics use TIMESTAMP_NTZ end to end."""
+    import __spark_entry__ as entry
+    from conftest import SF_SMALL
+    key = "spark.sql.session.timeZone"
+    before = spark.conf.get(key)
+    out = {}
+    try:
+        for zone in ("UTC", "America/Los_Angeles", "Asia/Shanghai"):
+            spark.conf.set(key, zone)
+            out[zone] = [sorted(tuple(r) for r in entry.queries()[q](spark, SF_SMALL).collect())
+                         for q in ("event_features", "normalize_time", "hour_histogram")]
+    finally:
+        spark.conf.set(key, before)
+    assert out["UTC"] == out["America/Los_Angeles"] == out["Asia/Shanghai"]
