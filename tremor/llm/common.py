@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,15 +18,44 @@ from tremor.session import ensure_checkpoint_dir, fill_unset
 
 # Rows per Arrow batch sent to Python where the session sets none: whole
 # documents travel in these batches, so a batch is kept to a few MB of typical text.
-BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 # Bytes of text handled at once inside a batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def prepare(spark: SparkSession) -> None:
     fill_unset(spark, BATCH_ROWS)
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the workers import this package where neither PYTHONPATH nor submit options do."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    sc = spark.sparkContext
+    local = sc.master.startswith("local[") or sc.master == "local"
+    if not os.path.isdir(root) or root in paths or local and os.getcwd() == root or sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    # The driver serves this archive to the executors as long as it lives.
+    sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='tremor-code-')}/tremor", "zip", root, "tremor"))
+
+
+_SHIPPED: set[str] = set()
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the jobs run inside, for tables of wide rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

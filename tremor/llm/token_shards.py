@@ -29,7 +29,7 @@ from tremor.llm import mph
 from tremor.llm.common import prepare, stored, text_hash, text_slices
 from tremor.llm.encoding import encoder_of
 
-BUCKET_KEYS = 50_000
+BUCKET_KEYS = 4096
 ENTRY = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("key", pa.int64()), ("shard", pa.int32()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
 
 
