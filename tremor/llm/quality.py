@@ -8,10 +8,9 @@ labels, train a linear scorer on hashed features (logistic regression) over a
 sample of at most about ``sample`` documents, chosen by text hash. The scorer
 then rates every whole document; ``kept`` means a probability of 0.5 or more.
 
-Null and empty texts have no features and no votes; they get the probability
-of the intercept... of a document without evidence, the share of good ones,
-and are kept when that is at least 0.5. Ties in votes need no rule. Repeated rows get
-equal scores. An empty table gives no rows.
+Null and empty texts have no votes and no features: their score is that of the
+intercept alone. Null keys are scored like others, repeated rows get equal
+scores, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +31,12 @@ SAMPLE = 8_000  # documents the scorer is fitted on, about
 HASHES = 1 << 13  # hashed features of words, and as many of character shapes
 REPEATED = 2 * HASHES  # one more feature: the share of words that repeat the one before
 N_FEATURES = 2 * HASHES + 1
-ROUNDS, SMOOTHING = 60, 1.0
+ROUNDS = 60
+# Prior beliefs about a labeller: how often it calls a good document bad, how many of the
+# bad ones it finds (each looks for one kind of junk), and the weight of these
+# beliefs in corpora. Without them the largest kind of junk becomes the bad class
+# and other kinds pass for noise of single labellers.
+FALSE_ALARM, FINDS, WEIGHT_GOOD, WEIGHT_BAD = 0.001, 0.3, 10.0, 0.1
 LABELLERS = ("capitals", "symbols", "repeats", "bars", "marks", "lower_starts", "sentences", "word_length")
 
 NOT_SPACE = np.ones(256, dtype=bool)
@@ -172,17 +176,20 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
     kinds = len(LABELLERS)
     vote = (patterns[:, None] // 3 ** np.arange(kinds)) % 3  # 0 none, 1 bad, 2 good
     counts = counts.astype(float)
+    total = counts.sum()
+    prior = 1 + total * np.array([[0, WEIGHT_BAD * FINDS, WEIGHT_BAD * (1 - FINDS)], [0, WEIGHT_GOOD * FALSE_ALARM, WEIGHT_GOOD * (1 - FALSE_ALARM)]])
     good = np.clip(((vote == 2).sum(1) + 1.0) / ((vote > 0).sum(1) + 1.5) - 0.5 * (vote == 1).any(1), 0.05, 0.95)
     for _ in range(ROUNDS):
-        share = (good @ counts + SMOOTHING) / (counts.sum() + 2 * SMOOTHING)
+        share = (good @ counts + 1) / (total + 2)
         logit = np.full(len(patterns), np.log(share) - np.log(1 - share))
         accuracy = np.zeros(kinds)
         for n in range(kinds):
-            table = np.array([[(w * counts)[vote[:, n] == v].sum() + SMOOTHING for v in range(3)] for w in (1 - good, good)])
-            chance = table / table.sum(1, keepdims=True)
-            # None is no evidence: a labeller may be silent for reasons of length alone.
-            logit += np.where(vote[:, n] > 0, np.log(chance[1] / chance[1, 1:].sum())[vote[:, n]] - np.log(chance[0] / chance[0, 1:].sum())[vote[:, n]], 0)
-            accuracy[n] = (table[1, 2] + table[0, 1]) / table[:, 1:].sum()
+            seen = np.array([[(w * counts)[vote[:, n] == v].sum() for v in range(3)] for w in (1 - good, good)])
+            table = seen + prior
+            chance = np.log(table / table[:, 1:].sum(1, keepdims=True))
+            # Silence is no evidence: a labeller may be silent for reasons of length alone.
+            logit += np.where(vote[:, n] > 0, (chance[1] - chance[0])[vote[:, n]], 0)
+            accuracy[n] = (seen[1, 2] + seen[0, 1]) / max(seen[:, 1:].sum(), 1)
         good = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return good, accuracy
 
