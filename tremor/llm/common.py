@@ -95,11 +95,12 @@ def keep_rows(docs: DataFrame, wanted: DataFrame, key: str = "doc_id", text: str
     Null keys match null keys. With ``once``, rows that agree in key and text
     are reduced to one of them (partial aggregation before the shuffle).
     """
-    own = temp_name(docs, "_text_hash")
-    left = docs.withColumn(own, text_hash(text))
-    right = wanted.select(F.col(key).alias("_want_key"), F.col("text_hash").alias("_want_hash")).distinct()
-    kept = left.join(right, left[key].eqNullSafe(right["_want_key"]) & (left[own] == right["_want_hash"]), how)
-    return (kept.dropDuplicates([key, own]) if once else kept).select(*docs.columns)
+    own = [temp_name(docs, f"_row_key{n}") for n in range(3)]
+    found = F.col(key)
+    left = docs.withColumns(dict(zip(own, (F.coalesce(found, F.lit(0)), found.isNull(), text_hash(text)), strict=True)))
+    right = wanted.select(F.coalesce(found, F.lit(0)).alias(own[0]), found.isNull().alias(own[1]), F.col("text_hash").alias(own[2])).distinct()
+    kept = left.join(right, own, how)  # plain equality, so that what follows reuses the partitioning
+    return (kept.dropDuplicates(own) if once else kept).select(*docs.columns)
 
 
 def text_slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

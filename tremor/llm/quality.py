@@ -25,8 +25,9 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm.common import keep_rows, spread_ranges, text_bytes, text_hash, text_slices, words_of
+from tremor.llm.common import prepare, spread_ranges, text_bytes, text_hash, text_slices, words_of
 
+KEEP = 0.5  # least score of a document that stays
 SAMPLE = 8_000  # documents the scorer is fitted on, about
 HASHES = 1 << 13  # hashed features of words, and as many of character shapes
 REPEATED = 2 * HASHES  # one more feature: the share of words that repeat the one before
@@ -241,30 +242,40 @@ def fit(spark: SparkSession, docs: DataFrame, *, text: str = "text", sample: int
     return Model(posterior, dict(zip(LABELLERS, accuracy.tolist(), strict=True)), trained.coefficients.toArray(), float(trained.intercept))
 
 
-def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text_hash, weak_posterior, score, kept) of every document."""
-    weights, intercept, posterior = model.weights, model.intercept, model.posterior
+def rate(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(weak posterior, score) of every text."""
+    t = tables(column)
+    row, feature, value = features(t)
+    linear = np.bincount(row, model.weights[feature] * value, minlength=t.n) + model.intercept
+    weak = np.array([model.posterior.get(p, 0.5) for p in pattern_of(votes(t)).tolist()], float)
+    return weak, np.round(1 / (1 + np.exp(-np.clip(linear, -30, 30))), 9)
+
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, weak_posterior, score, kept) of every document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                t = tables(part.column(2))
-                row, feature, value = features(t)
-                linear = np.bincount(row, weights[feature] * value, minlength=t.n) + intercept
-                weak = [posterior.get(p, 0.5) for p in pattern_of(votes(t)).tolist()]
-                chance = np.round(1 / (1 + np.exp(-np.clip(linear, -30, 30))), 9)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(weak), pa.array(chance)], names=["key", "text_hash", "weak_posterior", "score"])
+                weak, chance = rate(part.column(1), model)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(weak), pa.array(chance)], names=["key", "weak_posterior", "score"])
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), text_hash(text).alias("text_hash"), F.col(text).alias("text"))
-    scored = rows.mapInArrow(rate, "key long, text_hash long, weak_posterior double, score double")
-    return scored.select(F.col("key").alias(key), "text_hash", "weak_posterior", "score", (F.col("score") >= 0.5).alias("kept"))
+    kind = docs.schema[key].dataType.simpleString()
+    scored = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, weak_posterior double, score double")
+    return scored.select(F.col("key").alias(key), "weak_posterior", "score", (F.col("score") >= KEEP).alias("kept"))
 
 
 def classify(spark: SparkSession, docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     return score(docs, fit(spark, docs, text=text, sample=sample), key=key, text=text)
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that the classifier keeps, with all their columns."""
-    rated = classify(spark, docs, key=key, text=text)
-    return keep_rows(docs, rated.filter("not kept").select(key, "text_hash"), key, text, "left_anti")
+def keep_good(spark: SparkSession, docs: DataFrame, *, text: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """The documents that the classifier keeps, with all their columns; no shuffle."""
+    prepare(spark)
+    model = fit(spark, docs, text=text, sample=sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, text):
+                yield part.filter(pa.array(rate(part.column(part.schema.get_field_index(text)), model)[1] >= KEEP))
+
+    return docs.mapInArrow(run, docs.schema)

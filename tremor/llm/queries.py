@@ -28,8 +28,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     found, _ = decontaminate.decontaminate(spark, docs, benchmark)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
-                        F.size("near_items").cast("long").alias("n_near_items"))
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +75,60 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_shards, op2_secret_scan, op3_decontaminate, op4_token_counts, op5_exact_dedup, op6_packing,
                                    op7_license_scan, op8_quality, op9_simhash, op10_chat_format)}
-ORACLES: dict[str, str] = {}
+
+
+def sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOW.format('text')}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOW.format('text')}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark),
+asked AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS g
+          FROM (SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+grams AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS g
+          FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM asked) WHERE len(w) >= size)),
+hits AS (SELECT DISTINCT doc_id, item_id, i, size FROM grams JOIN asked USING (size, g)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, coalesce(CAST(item_id AS VARCHAR), '') AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+       sha256(coalesce(items.list, '')) AS items_sha256, words.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP5_SQL = f"""
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(low) AS text_sha256
+FROM (SELECT doc_id, {LOW.format('text')} AS low FROM documents) WINDOW same AS (PARTITION BY low)
+"""
+
+BIGRAMS = """CASE WHEN len(w) > 1 THEN list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) ELSE [] END"""
+WORDS = "string_split(trim(regexp_replace({}, '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g')), ' ')"
+
+OP7_SQL = f"""
+WITH wording AS (SELECT name, {BIGRAMS} AS grams FROM (SELECT name, {WORDS.format(LOW.format('t'))} AS w FROM (VALUES
+    {", ".join(f"({sql_text(name)}, {sql_text(text)})" for name, texts in licenses.TEMPLATES.items() for text in texts)}) AS v(name, t))),
+docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT row, doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(0, len(string_split(text, chr(10))))) AS unit FROM docs
+          UNION ALL SELECT row, doc_id, text, -1 FROM docs WHERE contains(text, chr(10))),
+units AS (SELECT row, doc_id, unit, {BIGRAMS} AS grams FROM (SELECT row, doc_id, unit, {WORDS.format(LOW.format('s'))} AS w FROM lines)),
+scored AS (SELECT row, doc_id, unit, name, 2.0 * len(list_intersect(units.grams, wording.grams)) / (len(units.grams) + len(wording.grams)) AS dice
+           FROM units, wording WHERE len(units.grams) > 0 AND len(units.grams) < 3 * len(wording.grams) AND len(wording.grams) < 3 * len(units.grams))
+SELECT doc_id, CAST(unit AS INTEGER) AS unit, name AS license, round(CAST(dice AS DOUBLE), 6) AS dice
+FROM (SELECT *, row_number() OVER (PARTITION BY row, unit ORDER BY dice DESC, name) AS place FROM scored WHERE dice >= 0.8) WHERE place = 1
+"""
+
+OP10_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(regexp_replace(text, '(\\*)(<\|[^|<>]*\|>|</?s>|\[/?INST\]|<</?SYS>>)', '\\\1\2', 'g')) AS size,
+             role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS merged FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(size + CASE WHEN merged THEN 9 ELSE 12 + length(role) + 1 + 12 END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_license_scan": OP7_SQL, "op10_chat_format": OP10_SQL}
