@@ -128,7 +128,61 @@ def test_cleaned_cache(spark, roots, tmp_path):
     assert first.count() == 3
     both = IO.cleaned_cache(spark, posts, cache)
     assert both.count() == 5
-    assert spark.read.parquet(cache).count() == 5               # ev1 was not cleaned twice
+    assert IO.read_cache(spark, cache).count() == 5             # ev1 was not cleaned twice
+    assert rows(IO.cached_events(spark, cache), "event") == sorted((e,) for e in ("ev1", "ev2", "a b.c"))
+
+
+def test_cache_with_header_only_event(spark, roots, tmp_path):
+    cache = str(tmp_path / "cache")
+    cat = IO.event_files(spark, roots[0]).where(F.col("event") == "ev3")
+    first = IO.cleaned_cache(spark, IO.read_posts_of(spark, cat), cache, requested=cat)
+    assert first.count() == 0 and "clean_text" in first.columns
+    assert rows(IO.cached_events(spark, cache), "event") == [("ev3",)]
+
+
+def test_unfinished_cache_run_is_not_read(spark, roots, tmp_path):
+    cache = str(tmp_path / "cache")
+    posts = IO.read_posts(spark, roots[0]).select("event", "pos", "text")
+    IO.cleaned_cache(spark, posts.where(F.col("event") == "ev1"), cache)
+    # posts of a run that died before it entered its events
+    IO.write_cache_run(posts.withColumn("clean_text", F.lit("x")), posts, cache, "dead")
+    import shutil
+    shutil.rmtree(f"{cache}/events/run=dead")
+    assert IO.cleaned_cache(spark, posts, cache).count() == 5
+
+
+def test_two_roots_wide_headers_and_stray_files(spark, tmp_path):
+    a, b = str(tmp_path / "A"), str(tmp_path / "B")
+    wide = ",".join(["id"] + [f'"x,{i}"' for i in range(60)] + ["微博正文"])
+    write(f"{a}/ev1/ev1.csv", HEAD1 + "\n")                       # header-only: still the event's file
+    write(f"{b}/ev1/ev1.csv", HEAD1 + "\n99,zz,from B,x,1,1,1,2025-01-01 00:00\n")
+    write(f"{b}/ev2/ev2.csv", wide + "\n1," + ",".join(["z"] * 60) + ",wide text\n")
+    write(f"{b}/ev2/ev3.csv", HEAD1 + "\n5,u,stray,x,1,1,1,2025-01-01 00:00\n")
+    write(f"{b}/ev3/ev3.csv", HEAD1 + "\n6,u,own,x,1,1,1,2025-01-01 00:00\n")
+    write(f"{b}/ev3/ev3_post_results.csv", "id,text\n1,stray\n")
+    posts = IO.read_posts(spark, [a, b])
+    assert rows(posts, "event", "pos", "id", "text") == [("ev2", 0, "1", "wide text"), ("ev3", 0, "6", "own")]
+    from tremor.plans import flows
+    plain = flows.prepare_corpus(spark, [a, b], default_year=2024)
+    listed = flows.prepare_corpus(spark, [a, b], default_year=2024, events=plain.catalogue.select("event"))
+    cached = flows.prepare_corpus(spark, [a, b], default_year=2024, cache_path=str(tmp_path / "c"))
+    again = flows.prepare_corpus(spark, [a, b], default_year=2024, cache_path=str(tmp_path / "c"))
+    want = [("ev1", 0), ("ev2", 1), ("ev3", 1)]
+    for corpus in (plain, listed, cached, again):
+        assert rows(corpus.features, "event", "post_count") == want
+
+
+def test_paths_reach_the_reader_in_batches(spark, roots, monkeypatch):
+    monkeypatch.setattr(IO, "FILES_PER_READ", 2)
+    many = rows(IO.read_posts(spark, list(roots)), "event", "pos", "text")
+    monkeypatch.setattr(IO, "FILES_PER_READ", 1000)
+    assert many == rows(IO.read_posts(spark, list(roots)), "event", "pos", "text")
+
+
+def test_large_split_objects_are_read_back_whole(spark, tmp_path):
+    split = spark.range(25).select(F.concat(F.lit("e"), F.col("id")).alias("event"), F.when(F.col("id") % 3 == 0, "val").otherwise("train").alias("part"))
+    IO.write_split_object(split, str(tmp_path / "o"), events_per_object=4)
+    assert rows(IO.read_split(spark, str(tmp_path / "o")), "event", "part") == rows(split, "event", "part")
 
 
 def test_split_layouts_and_post_csv_whitespace(spark, tmp_path):
@@ -174,37 +228,8 @@ def test_awkward_event_names_in_both_layouts(spark, tmp_path):
         sorted((n, n + "1") for n in AWKWARD)
 
 
-def test_header_table_broadcast_under_bound(spark, roots):
-    from conftest import plan_of
-    key = "spark.sql.autoBroadcastJoinThreshold"
-    before = spark.conf.get(key)
-    try:
-        spark.conf.set(key, "-1")  # AQE would never broadcast on its own
-        posts = IO.read_posts(spark, roots[0] if isinstance(roots, (list, tuple)) else roots)
-        assert "BroadcastHashJoin" in plan_of(posts)
-        assert posts.count() > 0
-    finally:
-        spark.conf.set(key, before)
-    scan = spark.read.csv(roots[0] if isinstance(roots, (list, tuple)) else roots, recursiveFileLookup=True)
-    assert 0 < IO.header_table_bound(scan) <= IO.HEADER_BROADCAST_BYTES
-
-
-def test_first_root_broadcast_under_bound(spark, roots):
-    from conftest import plan_of
-    key = "spark.sql.autoBroadcastJoinThreshold"
-    before = spark.conf.get(key)
-    try:
-        spark.conf.set(key, "-1")
-        posts = IO.read_posts(spark, list(roots))
-        plan = plan_of(posts)
-        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
-        assert rows(posts.select("event").distinct()) == rows(IO.read_posts(spark, list(roots)).select("event").distinct())
-    finally:
-        spark.conf.set(key, before)
-
-
 def test_read_posts_of_keeps_root_rank(spark, roots):
-    cat = IO.first_root(IO.catalogue(spark, list(roots)))
+    cat = IO.event_files(spark, list(roots))
     posts = IO.read_posts_of(spark, cat)
     got = {(r.event, r.root_rank) for r in posts.select("event", "root_rank").distinct().collect()}
     assert ("ev5", 1) in got and ("ev1", 0) in got

@@ -137,9 +137,7 @@ def test_cache_run_parses_only_new_event_files(spark, corpus_root, tmp_path, mon
         return real(spark_, files, *a, **k)
     monkeypatch.setattr(IO, "read_posts_of", spy)
     second = flows.prepare_corpus(spark, mine, default_year=2024, cache_path=cache)
-    # cached events' CSVs are not parsed again (a header-only file has no cached
-    # rows, so it is listed again; it holds no posts)
-    assert seen == [["新事件", "空事件"]]
+    assert seen == [["新事件"]]                     # cached events' CSVs are not parsed again
     assert second.posts.count() == n_first + 1     # every post once
     feats = {r.event: r.post_count for r in second.features.collect()}
     assert feats["新事件"] == 1 and feats["事件0"] == 5 and len(feats) == 26

@@ -28,7 +28,6 @@ from ..operators import scoring as E
 from ..operators import windows as W
 from ..session import ensure_checkpoint_dir
 from ..sources import files as IO
-from .tuning import size_shuffles
 
 POOLINGS = ("mean", "max", "cls", "attentive")
 
@@ -42,28 +41,22 @@ class Corpus:
 
 def prepare_corpus(spark: SparkSession, roots: str | list[str], default_year: int | None = None,
                    cache_path: str | None = None, events: DataFrame | None = None) -> Corpus:
-    """Read, type and clean all event posts; compute per-event statistics."""
-    cat = IO.catalogue(spark, roots)
-    cat = IO.first_root(cat) if not isinstance(roots, str) else cat
-    # shuffle partitions from the listed CSV bytes (only when the job set none)
-    size_shuffles(spark, cat.agg(F.sum("length")).first()[0] or 0)
+    """Read, type and clean all event posts; compute per-event statistics.
+
+    The listing names the files to read (first root that has an event's file);
+    with a cache, only those of events that are not in it are parsed.
+    """
+    cat = IO.event_files(spark, roots)
     if events is not None:
         cat = cat.join(events.select("event"), "event", "left_semi")
     # The cleaned posts become a written table once (the cache, or a landing
     # folder under the shared checkpoint dir); statistics, vectors and post
     # results all read it instead of re-parsing CSVs and re-running the regexes.
-    # Only the event files that are needed are parsed: with a cache, those of
-    # events not cached yet; with an event list, those of the listed events.
     if cache_path:
-        if IO.path_exists(spark, cache_path):
-            cached = spark.read.parquet(cache_path).select("event").distinct()
-            posts = IO.read_posts_of(spark, cat.join(cached, "event", "left_anti"))
-        else:  # first run: nothing to skip, let the scan list the roots itself
-            posts = IO.read_posts(spark, roots) if events is None else IO.read_posts_of(spark, cat)
-        cleaned = IO.cleaned_cache(spark, posts, cache_path, "text", requested=cat)
+        todo = cat.join(IO.cached_events(spark, cache_path).select("event").distinct(), "event", "left_anti")
+        cleaned = IO.cleaned_cache(spark, IO.read_posts_of(spark, todo), cache_path, "text", requested=cat)
     else:
-        posts = IO.read_posts(spark, roots) if events is None else IO.read_posts_of(spark, cat)
-        cleaned = IO.land(posts.withColumn("clean_text", clean_text("text")), "posts")
+        cleaned = IO.land(IO.read_posts_of(spark, cat).withColumn("clean_text", clean_text("text")), "posts")
     features = A.event_features(cleaned, default_year, catalogue=cat)
     return Corpus(cleaned, features, cat)
 

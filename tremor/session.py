@@ -78,7 +78,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder of the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (local tests) a fresh scratch folder is made.
+    is; without it a cluster job stops here. Only a local master gets a fresh
+    scratch folder (tests, laptops).
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -86,6 +87,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tremor-ckpt-")
         os.makedirs(configured, exist_ok=True)
     sc.setCheckpointDir(configured)

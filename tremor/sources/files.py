@@ -1,21 +1,23 @@
 """File sources and sinks.
 
 Event posts live in ``<root>/<event>/<event>.csv`` with a header row whose
-column set and order differ between files. All files of all roots are read in
-one pass with a wide positional all-string schema; each file's first row is
-its header and maps cells to names. A multi-line CSV file is not splittable,
-so each file is parsed in order by one task: its rows get consecutive
-``monotonically_increasing_id`` values, and the row index inside the file is
-the distance to the file's header id. No window over files is needed.
+column set and order differ between files. The file listing decides which
+files are read (``event_files``: folder = file stem, first root that has the
+event's file). Exactly these are parsed, each once, into a landed Parquet table
+of positional cells; header rows and the name mapping come from that table. A
+multi-line CSV file is not splittable, so a file is parsed in order by one
+task: its rows get consecutive ``monotonically_increasing_id`` values, and the
+row index inside the file is the distance to the file's header id.
 """
 
 from __future__ import annotations
 
 import uuid
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.scalars import event_from_path, na_to_null, unescape_path
 from ..functions.text import clean_text
@@ -38,9 +40,12 @@ POST_COLUMNS = {
 IMAGE_EXTS = ["jpg", "png", "jpeg"]
 # -------------------------------------------------------------------------------
 
-WIDTH = 48  # widest header accepted (the reference layout has 20 columns)
-BOM = "﻿"
+WIDTH = 48  # cells the parser is first asked for; wider headers are parsed again at their width
+FILES_PER_READ = 20_000  # paths handed to one reader, which takes them on the driver
+BOM = "\ufeff"
 CACHE_BUCKETS = 64
+CACHE_SALTS = 8  # files per bucket and run, so that a hot event is written by several tasks
+RAW = "cells array<string>, file string, mid long, root_rank int, commas int"
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -66,133 +71,111 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _csv_reader(spark: SparkSession, width: int = WIDTH):
-    schema = StructType([StructField(f"c{i}", StringType()) for i in range(width)])
-    return (spark.read.schema(schema)
-            .option("header", False).option("multiLine", True).option("escape", '"')
-            .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-            .option("emptyValue", "").option("encoding", "UTF-8").option("mode", "PERMISSIVE")
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+CSV_OPTIONS = {
+    "header": False, "multiLine": True, "escape": '"', "emptyValue": "", "encoding": "UTF-8", "mode": "PERMISSIVE",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "columnNameOfCorruptRecord": "_raw",
+}
+
+
+def csv_schema(width: int) -> StructType:
+    return StructType([StructField(f"c{i}", StringType()) for i in range(width)] + [StructField("_raw", StringType())])
 
 
 def cells_frame(df: DataFrame, width: int = WIDTH, root_rank: int = 0) -> DataFrame:
-    """Positional CSV rows -> (cells, file, mid, root_rank)."""
+    """Positional CSV rows -> RAW. ``commas`` of a row that does not have ``width`` cells
+    bounds how many it has."""
     return df.select(
         F.array(*[F.col(f"c{i}") for i in range(width)]).alias("cells"),
         F.col("_metadata.file_path").alias("file") if "file" not in df.columns else F.col("file"),
         F.monotonically_increasing_id().alias("mid"),
-        F.lit(root_rank).alias("root_rank"))
+        F.lit(root_rank).alias("root_rank"),
+        F.coalesce(F.length("_raw") - F.length(F.replace(F.col("_raw"), F.lit(","))), F.lit(0)).alias("commas"))
+
+
+def widest_header(raw: DataFrame) -> int:
+    """Cells of the widest header row (an upper bound)."""
+    heads = raw.groupBy("file").agg(F.min_by("commas", "mid").alias("commas"))
+    return (heads.agg(F.max("commas")).first()[0] or 0) + 1
 
 
-# The per-file header table (path, two longs, a few ints per file) is broadcast
-# when its size, bounded from the file list, is at most this.
-HEADER_BROADCAST_BYTES = 256 * 1024 * 1024
+_GLOB_CHARS = set("\\*?[]{}")
+
 
+def _literal_path(path: str) -> str:
+    """Escape glob characters so the reader takes the path literally."""
+    return "".join("\\" + ch if ch in _GLOB_CHARS else ch for ch in path)
 
-def header_table_bound(scan: DataFrame) -> int | None:
-    """Upper bound on the per-file header table of a CSV scan, from the file
-    list the scan already holds on the driver: each entry is the path (twice:
-    key and row) plus fixed-width ints. None when the input is not listed."""
-    try:
-        files = scan.inputFiles()
-    except Exception:  # noqa: BLE001 - not a file scan (e.g. a micro-batch)
-        return None
-    return sum(2 * len(p.encode("utf-8")) + 128 for p in files)
 
+def land_cells(spark: SparkSession, files: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Parse the listed files (path, root_rank), each once, and land their cells.
 
-def apply_headers(raw: DataFrame, event_pattern: str | None = None,
-                  columns: dict[str, str] | None = None, header_bytes: int | None = None) -> DataFrame:
+    Paths reach the readers in batches of ``FILES_PER_READ``; no list of all of
+    them is held. A batch with a header wider than ``width`` is parsed again
+    at that width, so no column is lost.
+    """
+    out, folders = scratch_dir(spark, "cells"), []
+    listed = files.select("path", F.col("root_rank") if "root_rank" in files.columns else F.lit(0).alias("root_rank"))
+    rows = listed.toLocalIterator()
+    while batch := list(islice(rows, FILES_PER_READ)):
+        for rank in sorted({r.root_rank for r in batch}):
+            paths, folder, cells = [_literal_path(r.path) for r in batch if r.root_rank == rank], f"{out}/{len(folders)}", width
+            while True:
+                scan = spark.read.schema(csv_schema(cells)).options(**CSV_OPTIONS).csv(paths)
+                cells_frame(scan, cells, rank).write.mode("overwrite").parquet(folder)
+                needed = widest_header(spark.read.schema(RAW).parquet(folder))
+                if needed <= cells:
+                    break
+                cells = needed
+            folders.append(folder)
+    if not folders:
+        return spark.createDataFrame([], RAW)
+    return spark.read.schema(RAW).parquet(*folders)
+
+
+def apply_headers(raw: DataFrame, event_pattern: str | None = None, columns: dict[str, str] | None = None) -> DataFrame:
     """First row of each file = its header (BOM stripped); the other rows get a
     0-based ``pos`` and ``hidx``: for each wanted column (header name ->
     canonical name, default ``POST_COLUMNS``) its 1-based cell position in that
-    file, 0 when the file lacks it.
-
-    The positions are read off each row and the header row's values kept per
-    file with ``min_by(position, mid)``: fixed-width buffers, so a partial
-    hash aggregate (no sort of the rows by file). The rows then carry a few
-    ints instead of the header strings, and the one-row-per-file table is
-    joined back on ``file``: broadcast when ``header_bytes`` (a proven bound,
-    see ``header_table_bound``) is at most HEADER_BROADCAST_BYTES, so the
-    rows are never shuffled for it; otherwise AQE chooses.
+    file, 0 when the file lacks it. ``raw`` is a landed table.
+
+    The first row of each file is a fixed-width min per file; the header rows
+    become a table of a few ints per file, joined back on ``file``.
     """
     columns = POST_COLUMNS if columns is None else columns
-    first_cell = F.element_at("cells", 1)
 
     def position(name: str) -> F.Column:
-        # cell position of `name` if this row is its file's header (a BOM may
-        # lead the first cell); only the header row's value is kept below
-        return (F.when(first_cell == F.lit(BOM + name), F.lit(1))
+        # a BOM may lead the first cell
+        return (F.when(F.element_at("cells", 1) == F.lit(BOM + name), F.lit(1))
                 .otherwise(F.array_position("cells", name)).cast("int"))
-    # fixed-width buffers only (min, min_by of ints): a partial hash aggregate,
-    # no sort of the rows by file
-    headers = raw.groupBy("file").agg(
-        F.min("mid").alias("hmid"),
-        F.struct(*[F.min_by(position(name), "mid").alias(canon) for name, canon in columns.items()]).alias("hidx"))
-    if header_bytes is not None and header_bytes <= HEADER_BROADCAST_BYTES:
-        headers = F.broadcast(headers)
+
+    first = raw.groupBy("file").agg(F.min("mid").alias("mid"))
+    headers = raw.join(first, ["file", "mid"]).select(
+        "file", F.col("mid").alias("hmid"), F.struct(*[position(name).alias(canon) for name, canon in columns.items()]).alias("hidx"))
     rows = raw.join(headers, "file").where(F.col("mid") != F.col("hmid"))
-    if event_pattern:
-        # URI-encoded file path of a Spark-written key=value folder: two rounds
-        ev = unescape_path(F.regexp_extract("file", event_pattern, 1), 2)
-    else:
-        ev = event_from_path("file", decodes=1)
-    return rows.select(ev.alias("event"), "root_rank", "file", (F.col("mid") - F.col("hmid") - 1).alias("pos"),
+    return rows.select(event_of_file(event_pattern).alias("event"), "root_rank", "file", (F.col("mid") - F.col("hmid") - 1).alias("pos"),
                        "cells", "hidx")
 
 
-def _read_raw(spark: SparkSession, roots: str | list[str], width: int,
-              event_pattern: str | None) -> tuple[DataFrame, int | None]:
-    roots = [roots] if isinstance(roots, str) else list(roots)
-    raw, bound = None, 0
-    for rank, root in enumerate(roots):
-        scan = _csv_reader(spark, width).csv(root)
-        b = header_table_bound(scan)
-        bound = None if (b is None or bound is None) else bound + b
-        frame = cells_frame(scan, width, rank)
-        raw = frame if raw is None else raw.unionByName(frame)
-    return apply_headers(raw, event_pattern, header_bytes=bound), bound
+def event_of_file(event_pattern: str | None = None) -> F.Column:
+    """Event of a scanned row's ``file`` (a URI-encoded path)."""
+    if event_pattern:  # key=value folder written by Spark: two rounds of escaping
+        return unescape_path(F.regexp_extract("file", event_pattern, 1), 2)
+    return event_from_path("file", decodes=1)
 
 
 def read_raw_posts(spark: SparkSession, roots: str | list[str], width: int = WIDTH,
-                   event_pattern: str | None = None) -> DataFrame:
-    """S1 + U1 + P11: all rows of all CSV files under the roots, header applied.
+                   event_pattern: str | None = None, first_root_only: bool = True) -> DataFrame:
+    """S1 + U1 + P11: all rows of the event files under the roots, header applied.
 
     -> (event, root_rank, file, pos, cells ARRAY<value>, hidx STRUCT<canonical name: position>)
     """
-    return _read_raw(spark, roots, width, event_pattern)[0]
+    files = event_files(spark, roots, event_pattern) if first_root_only else catalogue(spark, roots, event_pattern)
+    return apply_headers(land_cells(spark, files, width), event_pattern)
 
 
-_GLOB_CHARS = set("\\*?[]{}")
-
-
-def _literal_path(path: str) -> str:
-    """Escape glob characters so the reader takes the path literally."""
-    return "".join("\\" + ch if ch in _GLOB_CHARS else ch for ch in path)
-
-
-def read_posts_of(spark: SparkSession, files: DataFrame, width: int = WIDTH) -> DataFrame:
-    """S1 over chosen event files (rows of ``catalogue``): only those files are
-    parsed, e.g. the events missing from the cleaned cache.
-
-    A reader takes its inputs on the driver, so the chosen paths are collected
-    there: file metadata, one entry per event file (what any file scan lists
-    anyway), never row data. With no file the result is empty.
-    """
-    rank = F.col("root_rank") if "root_rank" in files.columns else F.lit(0)
-    by_root: dict[int, list[str]] = {}
-    for r in files.select("path", rank.alias("root_rank")).distinct().collect():
-        by_root.setdefault(int(r.root_rank), []).append(r.path)
-    if not by_root:
-        schema = "cells array<string>, file string, mid long, root_rank int"
-        return canonical_posts(apply_headers(spark.createDataFrame([], schema)))
-    raw, bound = None, 0
-    for root_rank in sorted(by_root):  # one reader per root (a handful)
-        scan = _csv_reader(spark, width).csv([_literal_path(p) for p in sorted(by_root[root_rank])])
-        b = header_table_bound(scan)
-        bound = None if (b is None or bound is None) else bound + b
-        frame = cells_frame(scan, width, root_rank)
-        raw = frame if raw is None else raw.unionByName(frame)
-    return canonical_posts(apply_headers(raw, header_bytes=bound))
+def read_posts_of(spark: SparkSession, files: DataFrame, width: int = WIDTH, event_pattern: str | None = None) -> DataFrame:
+    """S1 over chosen event files (rows of ``catalogue``): only those are parsed."""
+    return canonical_posts(apply_headers(land_cells(spark, files, width), event_pattern))
 
 
 def _has(canon: str) -> F.Column:
@@ -211,13 +194,7 @@ def read_posts(spark: SparkSession, roots: str | list[str], width: int = WIDTH,
     likes, published_raw, clean_text, has_time, has_counts, has_nickname,
     has_location, has_text). Missing tokens are already null (S2).
     """
-    raw, bound = _read_raw(spark, roots, width, event_pattern)
-    posts = canonical_posts(raw)
-    if first_root_only and not isinstance(roots, str):
-        # one (event, root) row per event and at most one event per file: the
-        # file-list bound of the header table bounds this table too
-        return first_root(posts, size_bound=bound)
-    return posts
+    return canonical_posts(read_raw_posts(spark, roots, width, event_pattern, first_root_only))
 
 
 def canonical_posts(raw: DataFrame) -> DataFrame:
@@ -233,19 +210,21 @@ def canonical_posts(raw: DataFrame) -> DataFrame:
     )
 
 
-def first_root(rows: DataFrame, size_bound: int | None = None) -> DataFrame:
+def first_root(rows: DataFrame) -> DataFrame:
     """S3: keep the rows of the first root (lowest ``root_rank``) holding each event.
 
-    A per-event min (partial aggregate) joined back; never a window over an
-    event. With a proven ``size_bound`` of the per-event table at most
-    HEADER_BROADCAST_BYTES it is broadcast, so the rows are not shuffled.
+    A per-event min (partial aggregation) joined back; never a window over an event.
     """
     win = rows.groupBy("event").agg(F.min("root_rank").alias("root_rank"))
-    if size_bound is not None and size_bound <= HEADER_BROADCAST_BYTES:
-        win = F.broadcast(win)
     return rows.join(win, ["event", "root_rank"], "left_semi")
 
 
+def event_files(spark: SparkSession, roots: str | list[str], event_pattern: str | None = None) -> DataFrame:
+    """S3 + S4: (event, path, length, root_rank) of the files to read: for each event those of
+    the first root that has its file, with or without rows."""
+    return first_root(catalogue(spark, roots, event_pattern))
+
+
 def catalogue(spark: SparkSession, roots: str | list[str], event_pattern: str | None = None) -> DataFrame:
     """events = folders holding ``<name>/<name>.csv``; header-only files
     are included (events with no posts, Q19).
@@ -284,6 +263,33 @@ def uncached_events(requested: DataFrame, cached: DataFrame) -> DataFrame:
     return requested.select("event").distinct().join(cached.select("event"), "event", "left_anti")
 
 
+def bucket_of(event: str = "event") -> F.Column:
+    return F.pmod(F.xxhash64(event), F.lit(CACHE_BUCKETS)).cast("int")
+
+
+def cached_events(spark: SparkSession, cache_path: str) -> DataFrame:
+    """(event, run) of every event in the cache, with or without posts."""
+    path = f"{cache_path.rstrip('/')}/events"
+    schema = "event string, run string"
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def read_cache(spark: SparkSession, cache_path: str, schema: StructType | None = None,
+               requested: DataFrame | None = None) -> DataFrame:
+    """The cached posts (of the requested events). Only runs that finished count:
+    an event's posts are those of the run that its entry names."""
+    reader = spark.read
+    if schema is not None:
+        extra = [StructField("run", StringType()), StructField("bucket", IntegerType())]
+        reader = reader.schema(StructType([f for f in schema.fields if f.name not in ("run", "bucket")] + extra))
+    posts = reader.parquet(f"{cache_path.rstrip('/')}/posts")
+    posts = posts.withColumn("run", F.col("run").cast("string")).join(cached_events(spark, cache_path), ["run", "event"], "left_semi")
+    if requested is not None:
+        wanted = requested.select("event").distinct().withColumn("bucket", bucket_of())
+        posts = posts.join(wanted, ["bucket", "event"], "left_semi")
+    return posts.drop("run", "bucket")
+
+
 def cleaned_cache(spark: SparkSession, posts: DataFrame, cache_path: str, text_col: str = "text",
                   requested: DataFrame | None = None) -> DataFrame:
     """Read-through cache of cleaned posts (Parquet, bucketed folders by event).
@@ -292,32 +298,33 @@ def cleaned_cache(spark: SparkSession, posts: DataFrame, cache_path: str, text_c
     the cache restricted to the requested events (default: the events of
     ``posts``; pass the file catalogue to avoid parsing the CSVs for it).
     The cache keeps every canonical column, so statistics can be computed
-    from it. Timestamps stay typed (Q7b).
+    from it. Timestamps stay typed (Q7b). Events without posts are entered
+    too, so they are not looked for again.
     """
     requested = (posts if requested is None else requested).select("event").distinct()
-    if path_exists(spark, cache_path):
-        cached = spark.read.parquet(cache_path).select("event").distinct()
-        todo = posts.join(uncached_events(requested, cached), "event", "left_semi")
-    else:
-        todo = posts
-    write_cache_run(todo.withColumn("clean_text", clean_text(text_col)), cache_path, uuid.uuid4().hex)
-    return spark.read.parquet(cache_path).join(requested, "event", "left_semi")
+    new = land(uncached_events(requested, cached_events(spark, cache_path).select("event").distinct()), "uncached")
+    todo = posts.join(new, "event", "left_semi").withColumn("clean_text", clean_text(text_col))
+    write_cache_run(todo, new, cache_path, f"batch-{uuid.uuid4().hex}")
+    return read_cache(spark, cache_path, todo.schema, requested)
 
 
-def write_cache_run(cleaned: DataFrame, cache_path: str, run: str) -> None:
-    """Write one run of cleaned posts to ``<cache>/run=<run>/bucket=<b>``.
+def write_cache_run(cleaned: DataFrame, events: DataFrame, cache_path: str, run: str) -> None:
+    """Write one run of cleaned posts to ``<cache>/posts/run=<run>/bucket=<b>``, then enter its events.
 
-    Overwriting the run's own folder makes a retried run idempotent; runs never
-    touch each other's files.
+    Rows are dealt by bucket and a salt of the position: at most
+    ``CACHE_BUCKETS * CACHE_SALTS`` files, and a hot event is not one task's.
+    Overwriting the run's own folders makes a retried run idempotent; runs
+    never touch each other's files.
     """
-    (cleaned.withColumn("bucket", F.pmod(F.xxhash64("event"), F.lit(CACHE_BUCKETS)).cast("int"))
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{cache_path.rstrip('/')}/run={run}"))
+    root = cache_path.rstrip("/")
+    (cleaned.withColumn("bucket", bucket_of())
+     .repartition(CACHE_BUCKETS * CACHE_SALTS, "bucket", F.pmod(F.xxhash64("pos"), F.lit(CACHE_SALTS)))
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/posts/run={run}"))
+    events.select("event").distinct().coalesce(1).write.mode("overwrite").parquet(f"{root}/events/run={run}")
 
 
 # ----------------------------------------------------------------------------- JSON sources / sinks
 
-LABEL_SCHEMA = "array<struct<topic:string,reason:string,severity:string>>"
-SPLIT_SCHEMA = "struct<train_topics:array<string>,val_topics:array<string>>"
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -335,20 +342,23 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
-    """Split JSON -> (event, part). Reads both layouts: the single
-    ``{train_topics, val_topics}`` object (pretty-printed or on one line, one
-    per file; its size is bounded by the writer's guard) and JSON lines of
-    ``{event, part}`` written in parallel by ``write_split`` (read line by line,
-    splittable). Records of the other layout parse to nulls and drop out."""
-    doc = spark.read.text(path, wholetext=True)
-    obj = F.from_json("value", SPLIT_SCHEMA)
-    as_obj = doc.select(F.inline(F.array(
-        F.struct(F.lit("train").alias("part"), obj["train_topics"].alias("events")),
-        F.struct(F.lit("val").alias("part"), obj["val_topics"].alias("events")))))
-    objects = as_obj.where(F.col("events").isNotNull()).select(F.explode("events").alias("event"), "part")
-    lines = (spark.read.schema("event string, part string").json(path)
-             .where(F.col("event").isNotNull() & F.col("part").isNotNull()))
-    return objects.unionByName(lines)
+    """Split JSON -> (event, part). Reads both layouts: ``{train_topics, val_topics}``
+    objects (pretty-printed or not) and JSON lines of ``{event, part}``.
+
+    The multi-line JSON parser streams a file's records; one pass serves both
+    layouts, as a record of one kind has nulls in the fields of the other. Line
+    layouts written by ``write_split`` are read line by line (splittable).
+    """
+    schema = "train_topics array<string>, val_topics array<string>, event string, part string"
+    lines = spark.read.schema(schema + ", _raw string").option("columnNameOfCorruptRecord", "_raw").json(path)
+    objects = lines
+    if not lines.where("event is not null or train_topics is not null or val_topics is not null").take(1):
+        objects = spark.read.schema(schema).option("multiLine", True).json(path)  # pretty-printed objects
+    parts = objects.select(F.inline(F.array(
+        F.struct(F.lit("train").alias("part"), F.col("train_topics").alias("events")),
+        F.struct(F.lit("val").alias("part"), F.col("val_topics").alias("events")),
+        F.struct(F.col("part").alias("part"), F.when(F.col("event").isNotNull(), F.array("event")).alias("events")))))
+    return parts.where("events is not null and part is not null").select(F.explode("events").alias("event"), "part")
 
 
 def write_split(split: DataFrame, path: str) -> None:
@@ -356,15 +366,19 @@ def write_split(split: DataFrame, path: str) -> None:
     split.select("event", "part").write.mode("overwrite").json(path)
 
 
-def write_split_object(split: DataFrame, path: str, max_events: int = 1_000_000) -> None:
-    """S8 in the reference's single-object layout; refuses splits above ``max_events``."""
-    n = split.count()
-    if n > max_events:
-        raise ValueError(f"{n} events is too many for a single-object split file; use write_split")
-    obj = (split.groupBy().agg(
+def write_split_object(split: DataFrame, path: str, events_per_object: int = 100_000) -> None:
+    """S8 in the reference's object layout ``{train_topics, val_topics}``.
+
+    Splits of up to ``events_per_object`` events make one object; larger ones
+    are written as several of the same layout (a reader takes their union), each
+    a bounded array in its own row, dealt by event hash.
+    """
+    objects = max(1, -(-split.count() // events_per_object))
+    split = split.withColumn("_object", F.pmod(F.xxhash64("event"), F.lit(objects)))
+    obj = (split.groupBy("_object").agg(
         F.array_sort(F.collect_list(F.when(F.col("part") == "train", F.col("event")))).alias("train_topics"),
-        F.array_sort(F.collect_list(F.when(F.col("part") == "val", F.col("event")))).alias("val_topics")))
-    obj.coalesce(1).write.mode("overwrite").json(path)
+        F.array_sort(F.collect_list(F.when(F.col("part") == "val", F.col("event")))).alias("val_topics")).drop("_object"))
+    (obj.coalesce(1) if objects == 1 else obj).write.mode("overwrite").json(path)
 
 
 def write_event_results(scored: DataFrame, path: str) -> None:

@@ -1,54 +1,56 @@
 """Incremental cleaned-post cache with Structured Streaming.
 
 Event CSV files landing under ``<landing>/<event>/<event>.csv`` are picked up
-by a file stream. Each micro-batch applies the same header recipe as the batch
-reader (a file always arrives whole in one batch), cleans the text natively
-and writes ``<cache>/run=stream-<batch id>/bucket=<b>``. The stream's
-checkpoint records which files were processed; a retried batch overwrites only
-its own run folder, so the sink is idempotent.
+by a file stream. Each micro-batch lands its cells once, applies the same
+header recipe as the batch reader (a file always arrives whole in one batch),
+cleans the text natively and adds a run to the cache. The stream's checkpoint
+lies beside the cache, one per landing folder, and run names carry it, so
+a restarted stream goes on where it stopped, streams of several landings
+do not touch each other's runs, and a retried batch overwrites only its own.
 """
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import clean_text
 from ..sources import files as IO
 
 
 def landing_stream(spark: SparkSession, landing: str, width: int = IO.WIDTH,
-                   max_files_per_trigger: int = 1000) -> DataFrame:
-    """Streaming positional rows of new event files: (cells, file)."""
-    schema = StructType([StructField(f"c{i}", StringType()) for i in range(width)])
-    src = (spark.readStream.schema(schema)
-           .option("header", False).option("multiLine", True).option("escape", '"')
-           .option("emptyValue", "").option("encoding", "UTF-8")
-           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+                   max_files_per_trigger: int = 1000, event_pattern: str | None = None) -> DataFrame:
+    """Streaming positional rows of new event files, with their ``file``."""
+    src = (spark.readStream.schema(IO.csv_schema(width)).options(**IO.CSV_OPTIONS)
            .option("maxFilesPerTrigger", max_files_per_trigger)
            .csv(f"{landing.rstrip('/')}/*/*.csv"))
-    return src.select(*[F.col(f"c{i}") for i in range(width)], F.col("_metadata.file_path").alias("file"))
-
-
-def clean_batch(batch: DataFrame, width: int = IO.WIDTH, event_pattern: str | None = None) -> DataFrame:
-    """One micro-batch of positional rows -> cleaned canonical posts."""
-    posts = IO.canonical_posts(IO.apply_headers(IO.cells_frame(batch, width), event_pattern))
-    return posts.withColumn("clean_text", clean_text("text"))
+    rows = src.select(*[F.col(f"c{i}") for i in range(width)], "_raw", F.col("_metadata.file_path").alias("file"))
+    if event_pattern:
+        return rows
+    return rows.where(F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1) == F.regexp_extract("file", r"/([^/]+)\.[^./]+$", 1))
 
 
 def start_cache_stream(spark: SparkSession, landing: str, cache_path: str, checkpoint: str | None = None,
                        available_now: bool = True, width: int = IO.WIDTH,
                        event_pattern: str | None = None) -> StreamingQuery:
     """Start the stream; ``available_now`` processes what has landed and stops.
-    ``event_pattern`` names events from the path as in ``files.read_posts``."""
-    checkpoint = checkpoint or IO.scratch_dir(spark, "cache-stream-checkpoint")
+    ``event_pattern`` names events from the path as in ``files.read_posts``. A
+    header wider than ``width`` fails the batch instead of losing columns."""
+    checkpoint = checkpoint or f"{cache_path.rstrip('/')}/checkpoints/{md5(landing.rstrip('/').encode()).hexdigest()}"
+    stream = md5(checkpoint.rstrip("/").encode()).hexdigest()
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        IO.write_cache_run(clean_batch(batch, width, event_pattern), cache_path, f"stream-{batch_id}")
-
-    writer = (landing_stream(spark, landing, width).writeStream.foreachBatch(sink)
+        raw = IO.land(IO.cells_frame(batch, width), "stream-cells")
+        if (needed := IO.widest_header(raw)) > width:
+            raise ValueError(f"a header has up to {needed} columns: start the stream with width={needed}")
+        posts = IO.canonical_posts(IO.apply_headers(raw, event_pattern)).withColumn("clean_text", clean_text("text"))
+        events = raw.select(IO.event_of_file(event_pattern).alias("event")).distinct()
+        IO.write_cache_run(posts, events, cache_path, f"stream-{stream}-{batch_id}")
+
+    writer = (landing_stream(spark, landing, width, event_pattern=event_pattern).writeStream.foreachBatch(sink)
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
