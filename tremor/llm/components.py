@@ -27,6 +27,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, path: str) -> Da
         turn += 1
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stored(least, f"{path}/least{turn}")  # so that AQE can split the join where a node has many neighbours
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large, f"{path}/large{turn}")
         least = large.groupBy("u").agg(F.min("v").alias("m"))

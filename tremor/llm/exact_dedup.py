@@ -114,8 +114,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, *, key: str = "doc_id", te
     """One row per document: key, keep_id, group_size, kept, text_sha256, text_hash, round, name."""
     path = path or scratch(spark, "dedup")
     rows = stored(name_documents(spark, docs, path, key=key, text=text, block_bytes=block_bytes), f"{path}/identities")
-    groups = rows.groupBy("round", "name").agg(F.max(F.struct("key", "row")).alias("best"), F.count("*").alias("group_size"))
-    # A text shared by many rows makes (round, name) hot; AQE splits that join.
+    # A text shared by many rows makes (round, name) hot. Written on its own, the table of groups
+    # meets the rows in a join of two exchanges, which AQE splits where it is skewed.
+    groups = stored(rows.groupBy("round", "name").agg(F.max(F.struct("key", "row")).alias("best"), F.count("*").alias("group_size")), f"{path}/groups")
     return (rows.join(groups, ["round", "name"])
             .select(F.col("key").alias(key), F.col("best.key").alias("keep_id"), "group_size",
                     (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
