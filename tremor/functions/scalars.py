@@ -89,7 +89,7 @@ def post_time(col: Column | str, default_year: int | Column | None = None) -> Co
 
 def to_number(col: Column | str) -> Column:
     """Pandas.to_numeric(errors='coerce').fillna(0) as DOUBLE."""
-    s = F.trim(_c(col).cast("string"))
+    s = F.btrim(_c(col).cast("string"), F.lit(" \t\n\r\x0b\f"))
     parsed = F.when(s.rlike(NUMERIC_PATTERN), s.try_cast("double"))
     return F.when(F.isnan(parsed), F.lit(0.0)).otherwise(F.coalesce(parsed, F.lit(0.0)))
 

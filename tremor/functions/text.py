@@ -37,11 +37,11 @@ HASHTAG_TOKEN_PATTERN = "#[^#]+#|[^#]+|#"
 NON_WS = f"[^{WS_CLASS}]"
 
 # T5: our own platform cleaner (the third-party one is not part of the
-# reference, so parity is not claimed). Rules, applied in this order:
-URL_PATTERN = r"(?i)https?://[A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+"
-EMAIL_PATTERN = r"[-A-Za-z0-9_.]+@(?:[-A-Za-z0-9]+\.)+[A-Za-z]{2,6}"
-MENTION_PATTERN = f"(回复)?(//)?{WS}*@{NON_WS}*?{WS}*(:|：| |\\z)"
-TOPIC_LEFTOVER_PATTERN = f"#{NON_WS}+#"
+# reference, so parity is not claimed). One rule per pattern.
+MARKDOWN_LINK_PATTERN = rf"\[([^\[\]]+)\]\([^(){WS_CLASS}]+\)"
+URL_PATTERN = r"(?i)https?://[a-z0-9\-._~:/?#@!$&'*+,;=%]+"
+EMAIL_PATTERN = r"[A-Za-z0-9_.+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+MENTION_PATTERN = f"(?:回复)?(?://)?@[^@:：{WS_CLASS}]+[:：]?"
 TAG_PATTERN = r"<[A-Za-z/!][^<>]*>"
 
 # Default emoji -> name table (Chinese CLDR short names). Callers pass
@@ -105,20 +105,46 @@ def dedupe_hashtags(col: Column | str) -> Column:
     return F.element_at(F.transform(F.array(tokens), rewrite), 1)
 
 
-def platform_clean(col: Column | str) -> Column:
-    """T5: URLs, e-mails, @mentions, leftover topics, tags, whitespace runs."""
-    t = _c(col)
-    t = F.regexp_replace(t, URL_PATTERN, "")
-    # both the e-mail and the mention rule need an `@`: texts without one skip
-    # the two scans (same result; the shared input is computed once)
-    at_rules = F.regexp_replace(F.regexp_replace(t, EMAIL_PATTERN, ""), MENTION_PATTERN, " ")
-    t = F.when(F.instr(t, "@") > 0, at_rules).otherwise(t)
-    t = F.regexp_replace(t, TOPIC_LEFTOVER_PATTERN, "")
-    t = F.regexp_replace(t, TAG_PATTERN, "")
-    t = F.regexp_replace(t, f"({WS}){WS}*", "$1")
+def remove_markdown_links(col: Column | str) -> Column:
+    """T5: `[text](target)` -> `text`."""
+    return F.regexp_replace(_c(col), MARKDOWN_LINK_PATTERN, "$1")
+
+
+def remove_urls(col: Column | str) -> Column:
+    """T5: drop http(s) addresses; closing brackets are not part of one."""
+    return F.regexp_replace(_c(col), URL_PATTERN, "")
+
+
+def remove_emails(col: Column | str) -> Column:
+    """T5: drop e-mail addresses."""
+    return F.regexp_replace(_c(col), EMAIL_PATTERN, "")
+
+
+def remove_mentions(col: Column | str) -> Column:
+    """T5: `@name`, `//@name:` and `回复@name:` -> one blank."""
+    return F.regexp_replace(_c(col), MENTION_PATTERN, " ")
+
+
+def remove_tags(col: Column | str) -> Column:
+    """T5: drop HTML tags."""
+    return F.regexp_replace(_c(col), TAG_PATTERN, "")
+
+
+def dedupe_ws(col: Column | str) -> Column:
+    """T5: a whitespace run becomes its first character; ends are stripped."""
+    t = F.regexp_replace(_c(col), f"({WS}){WS}*", "$1")
     return F.regexp_replace(t, f"^{WS}+|{WS}+\\z", "")
 
 
+def platform_clean(col: Column | str) -> Column:
+    """T5: Markdown links, URLs, e-mails, mentions, tags, whitespace runs."""
+    t = remove_urls(remove_markdown_links(col))
+    # the e-mail and the mention rule need an `@`: texts without one skip both
+    # scans (same result; the shared input is computed once)
+    t = F.when(F.instr(t, "@") > 0, remove_mentions(remove_emails(t))).otherwise(t)
+    return dedupe_ws(remove_tags(t))
+
+
 def _emoji_alternation(names: dict[str, str]) -> str:
     import re as _re
     keys = sorted(names, key=len, reverse=True)
@@ -128,16 +154,17 @@ def _emoji_alternation(names: dict[str, str]) -> str:
 def demojize(col: Column | str, names: dict[str, str] | None = None) -> Column:
     """Emoji -> `:name:`, longest sequence first.
 
-    Matches are wrapped in NUL separators, split, and each matched token is
-    looked up in a literal map that Catalyst folds to a constant (text pieces
-    are never keys of the map, so they pass through).
+    The text is cut into table sequences, runs of characters that begin none,
+    and single characters; each token is looked up in a literal map that
+    Catalyst folds to a constant, other tokens stay.
     """
     names = DEFAULT_EMOJI_NAMES if names is None else names
     if not names:
         return _c(col)
-    alt = _emoji_alternation(names)
+    first = "".join(sorted({k[0] for k in names}))
+    token = f"(?s){_emoji_alternation(names)}|[^{first}]+|."
     lookup = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(f":{v}:"))])
-    pieces = F.split(F.regexp_replace(_c(col), alt, "\u0000$1\u0000"), "\u0000", -1)
+    pieces = F.regexp_extract_all(_c(col), F.lit(token), 0)
     return F.array_join(F.transform(pieces, lambda s: F.coalesce(F.try_element_at(lookup, s), s)), "")
 
 
@@ -178,11 +205,6 @@ def clean_text(col: Column | str, emoji_names: dict[str, str] | None = None,
     return collapse_ws(t)
 
 
-def is_blank(col: Column | str) -> Column:
-    """Negation of F2: text is missing or only whitespace."""
-    return ~is_valid(col)
-
-
 def is_valid(col: Column | str) -> Column:
     """non-blank text (``text.strip() != ''``): one non-whitespace
     character exists; the regex search stops at the first one."""

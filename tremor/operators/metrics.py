@@ -20,9 +20,9 @@ FOCAL_GAMMA = 2.0
 
 
 def label_set(pred: DataFrame) -> DataFrame:
-    """Sorted distinct labels seen in true or pred."""
-    return (pred.select(F.col("true").alias("label")).union(pred.select(F.col("pred").alias("label")))
-            .distinct())
+    """U3 + O3: distinct labels seen in true or pred, in ascending order (one row per class)."""
+    return (pred.select(F.explode(F.array(F.col("true").cast("int"), F.col("pred").cast("int"))).alias("label"))
+            .distinct().orderBy("label"))
 
 
 def confusion(pred: DataFrame) -> DataFrame:

@@ -1,20 +1,25 @@
 """Pooling post vectors into event vectors.
 
 Input: posts(event, pos, vec ARRAY<DOUBLE>, valid BOOLEAN[, score DOUBLE]).
-Vectors are summed element-wise by an ML ``Summarizer`` (one vector buffer
-per event and map partition, partial aggregation before the shuffle), so a
-hot event never lands as raw rows on one task and nothing is exploded.
+``vec`` may also be an ML vector, which stays sparse up to the pool. Vectors are
+summed element-wise by an ML ``Summarizer`` (one vector buffer per event and
+map partition, partial aggregation before the shuffle); softmax sums go by
+(event, salt) first. So a hot event never lands as raw rows on one task and
+nothing is exploded.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-EPS = 1e-10          # mean-pool denominator guard (reference value)
-MASK_SCORE = -1e9    # score given to invalid posts before the softmax (reference value)
+# --- fixed values that must equal the reference --------------------------------
+EPS = 1e-10          # mean-pool denominator guard
+MASK_SCORE = -1e9    # score given to invalid posts before the softmax
+# -------------------------------------------------------------------------------
+SALTS = 64           # parts of an event in the softmax sums
 
 
 def _vsum(vec_col: F.Column, weight: F.Column | None = None) -> F.Column:
@@ -71,47 +76,67 @@ def cls_pool(posts: DataFrame, vec: str = "vec") -> DataFrame:
     return posts.join(first, ["event", "pos"], "left_semi").select("event", F.col(vec).alias("vec"))
 
 
-def _score_max(posts: DataFrame, score: str, valid: str) -> DataFrame:
-    masked = F.when(F.col(valid), F.col(score)).otherwise(F.lit(MASK_SCORE))
-    return posts.groupBy("event").agg(F.max(masked).alias("_m"))
+def _salted(posts: DataFrame) -> DataFrame:
+    return posts.withColumn("_salt", F.pmod(F.xxhash64("pos"), F.lit(SALTS)).cast("int"))
+
+
+def _softmax_parts(posts: DataFrame, score: F.Column, vec: str | None) -> DataFrame:
+    """(event, _salt, _m, _z, _n[, _s]) for each salt of an event: the largest score, the sum of
+    ``exp(score - _m)``, the number of posts and the sum of their vectors weighted alike.
+
+    Posts meet their part's maximum on (event, salt), so no event's posts come together in one task.
+    """
+    rows = _salted(posts.withColumn("_score", score)).select("event", "_salt", "_score", *([F.col(vec).alias("_v")] if vec else []))
+    top = rows.groupBy("event", "_salt").agg(F.max("_score").alias("_m"))
+    weighted = rows.join(top, ["event", "_salt"]).withColumn("_w", F.exp(F.col("_score") - F.col("_m")))
+    sums = [F.first("_m").alias("_m"), F.sum("_w").alias("_z"), F.count(F.lit(1)).alias("_n")]
+    return weighted.groupBy("event", "_salt").agg(*sums, *([_vsum(F.col("_v"), F.col("_w")).alias("_s")] if vec else []))
+
+
+def _masked(score: str, valid: str) -> F.Column:
+    return F.when(F.col(valid), F.col(score)).otherwise(F.lit(MASK_SCORE))
+
+
+def _merged_parts(parts: DataFrame, floor: F.Column | None = None) -> DataFrame:
+    """Parts (at most SALTS rows per event) with the event's maximum ``_top`` and their factor ``_f``."""
+    w = Window.partitionBy("event")
+    top = F.max("_m").over(w) if floor is None else F.greatest(F.max("_m").over(w), floor)
+    return parts.withColumn("_all", F.sum("_n").over(w)).withColumn("_top", top).withColumn("_f", F.exp(F.col("_m") - F.col("_top")))
 
 
 def attentive_pool(posts: DataFrame, vec: str = "vec", valid: str = "valid", score: str = "score") -> DataFrame:
     """V4: masked softmax over posts (invalid -> -1e9), weighted sum of vectors.
 
-    Pass 1: per-event max score (partial aggregate). Pass 2: weights
-    exp(s - max) and their weighted vector sum. The per-event max is joined back
-    on ``event``; AQE broadcasts it when small and splits skewed partitions
-    otherwise.
+    Softmax sums of each (event, salt) are brought to the event's maximum by
+    ``exp(part maximum - maximum)`` and added up.
     """
-    masked = F.when(F.col(valid), F.col(score)).otherwise(F.lit(MASK_SCORE))
-    w = F.exp(masked - F.col("_m"))
-    weighted = posts.join(_score_max(posts, score, valid), "event").withColumn("_w", w)
-    agg = weighted.groupBy("event").agg(_vsum(F.col(vec), F.col("_w")).alias("s"), F.sum("_w").alias("z"))
+    parts = _merged_parts(_softmax_parts(posts, _masked(score, valid), vec))
+    agg = parts.groupBy("event").agg(_vsum(F.col("_s"), F.col("_f")).alias("s"), F.sum(F.col("_z") * F.col("_f")).alias("z"))
     return agg.select("event", F.transform("s", lambda x: x / F.col("z")).alias("vec"))
 
 
 def attention_weights(posts: DataFrame, valid: str = "valid", score: str = "score") -> DataFrame:
-    """V4's second output: alpha per post."""
-    masked = F.when(F.col(valid), F.col(score)).otherwise(F.lit(MASK_SCORE))
-    weighted = posts.join(_score_max(posts, score, valid), "event").withColumn("_w", F.exp(masked - F.col("_m")))
-    z = weighted.groupBy("event").agg(F.sum("_w").alias("_z"))
-    return weighted.join(z, "event").select("event", "pos", (F.col("_w") / F.col("_z")).alias("alpha"))
+    """V4's second output: alpha per post. The event's maximum and sum are repeated for
+    each salt, so the posts are joined on (event, salt)."""
+    masked = _masked(score, valid)
+    parts = _merged_parts(_softmax_parts(posts, masked, None))
+    total = parts.groupBy("event").agg(F.max("_top").alias("_top"), F.sum(F.col("_z") * F.col("_f")).alias("_z"))
+    spread = total.select("event", "_top", "_z", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    rows = _salted(posts).select("event", "_salt", "pos", masked.alias("_score"))
+    return rows.join(spread, ["event", "_salt"]).select("event", "pos", (F.exp(F.col("_score") - F.col("_top")) / F.col("_z")).alias("alpha"))
 
 
 def attentive_pool_unmasked(posts: DataFrame, n_slots: int, pad_score: float = 0.0,
                             vec: str = "vec", score: str = "score") -> DataFrame:
     """V5: softmax over all ``n_slots`` slots, the (n_slots - n_posts) padding
     slots being zero vectors with a constant score. Closed form, no padding rows."""
-    stats = posts.groupBy("event").agg(F.max(score).alias("_smax"), F.count(F.lit(1)).alias("_n"))
-    stats = stats.select("event", "_n", F.when(F.col("_n") < n_slots, F.greatest("_smax", F.lit(pad_score)))
-                         .otherwise(F.col("_smax")).alias("_m"))
-    weighted = posts.join(stats, "event").withColumn("_w", F.exp(F.col(score) - F.col("_m")))
-    agg = weighted.groupBy("event").agg(
-        _vsum(F.col(vec), F.col("_w")).alias("s"), F.sum("_w").alias("zw"),
-        F.first("_n").alias("n"), F.first("_m").alias("m"))
+    parts = _softmax_parts(posts, F.col(score), vec)
+    fewer = F.sum("_n").over(Window.partitionBy("event")) < n_slots
+    parts = _merged_parts(parts, F.when(fewer, F.lit(float(pad_score))))  # greatest() skips null
+    agg = parts.groupBy("event").agg(_vsum(F.col("_s"), F.col("_f")).alias("s"), F.sum(F.col("_z") * F.col("_f")).alias("z"),
+                                     F.max("_all").alias("n"), F.max("_top").alias("m"))
     pad = F.greatest(F.lit(n_slots) - F.col("n"), F.lit(0)) * F.exp(F.lit(pad_score) - F.col("m"))
-    return agg.select("event", F.transform("s", lambda x: x / (F.col("zw") + pad)).alias("vec"))
+    return agg.select("event", F.transform("s", lambda x: x / (F.col("z") + pad)).alias("vec"))
 
 
 def compact_slots(posts: DataFrame, n_slots: int, vec: str = "vec", valid: str = "valid") -> DataFrame:

@@ -1,8 +1,7 @@
 """Corpus profiles and image coverage (A12, A15, A16, E15, F5, J5, S12 pick).
 
-Global statistics are partial aggregates. The histogram first reduces the
-data to one row per distinct value (bounded by the value range, not the row
-count) and only that small table is binned.
+Global statistics are partial aggregates; histograms take the range first and
+then count per bin.
 """
 
 from __future__ import annotations
@@ -52,19 +51,16 @@ def length_stats(posts: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def histogram(values: DataFrame, col: str, bins: int = N_BINS) -> DataFrame:
-    """Equal-width histogram over [min, max], last bin closed.
+    """Equal-width histogram over [min, max], last bin closed: (bin, min, max, n).
 
-    values -> (bin, lo, hi, n). Steps: count per distinct value (partial
-    aggregate), then min/max over that small table, then bin.
+    The range is one aggregate (two numbers), the bins a second partial aggregate.
     """
-    per_value = values.groupBy(F.col(col).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    everything = Window.partitionBy(F.lit(0))  # one row per distinct value
-    ranged = per_value.select("x", "n", F.min("x").over(everything).alias("lo"), F.max("x").over(everything).alias("hi"))
-    width = F.col("hi") - F.col("lo")
-    b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("x") - F.col("lo")) / width * bins), F.lit(bins - 1))).cast("int")
-    return ranged.groupBy(b.alias("bin")).agg(F.first("lo").alias("min"), F.first("hi").alias("max"),
-                                              F.sum("n").cast("long").alias("n"))
+    x = F.col(col).cast("double")
+    lo, hi = values.agg(F.min(x), F.max(x)).first()
+    lo, hi = (0.0, 0.0) if lo is None else (lo, hi)
+    b = F.lit(0) if hi == lo else F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * bins), F.lit(bins - 1)).cast("int")
+    return (values.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+            .select("bin", F.lit(lo).alias("min"), F.lit(hi).alias("max"), "n"))
 
 
 def length_histogram(posts: DataFrame, text_col: str = "text", bins: int = N_BINS) -> DataFrame:

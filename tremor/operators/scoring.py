@@ -17,19 +17,23 @@ from pyspark.sql import functions as F
 from ..functions.scalars import LEVEL_TO_LABEL, argmax, level_label, result_id, softmax
 from ..functions.text import is_valid, truncate_len
 
+# --- fixed values that must equal the reference: result columns -----------------
+EVENT_RESULT = ["event_name", "predicted_class", "predicted_label", "probabilities"]
+# -------------------------------------------------------------------------------
 LABEL_NAMES = [LEVEL_TO_LABEL[i] for i in sorted(LEVEL_TO_LABEL)]
 
 
 def score_events(events: DataFrame, logits: str = "logits") -> DataFrame:
     """Logits -> probabilities, class, label and the label->probability map."""
-    probs = softmax(logits)
+    return event_results(events.select("event", argmax(logits).alias("predicted_class"), softmax(logits).alias("probs")))
+
+
+def event_results(scored: DataFrame) -> DataFrame:
+    """(event, predicted_class, probs) -> the event result columns."""
     names = F.array(*[F.lit(n) for n in LABEL_NAMES])
-    return events.select(
-        F.col("event").alias("event_name"),
-        argmax(logits).alias("predicted_class"),
-        level_label(argmax(logits)).alias("predicted_label"),
-        F.map_from_arrays(F.slice(names, 1, F.size(probs)), probs).alias("probabilities"),
-    )
+    return scored.select(
+        F.col("event").alias("event_name"), "predicted_class", level_label("predicted_class").alias("predicted_label"),
+        F.map_from_arrays(F.slice(names, 1, F.size("probs")), F.col("probs")).alias("probabilities"))
 
 
 def post_results(posts: DataFrame, event_preds: DataFrame, text_col: str = "text") -> DataFrame:
@@ -73,11 +77,11 @@ EMBED_DIM = 1 << 12  # hashed bigram buckets of the default embedding
 
 
 def hashed_bigram_embedding(posts: DataFrame, text_col: str = "text", num_features: int = EMBED_DIM,
-                            max_len: int | None = 300) -> DataFrame:
+                            max_len: int | None = None) -> DataFrame:
     """Default JVM-only post embedding: char bigrams -> HashingTF -> L2 norm.
 
     Only non-blank posts are embedded (blank ones are left to the caller as
-    zero / invalid). ``max_len`` is the reference's per-post truncation.
+    zero / invalid). ``max_len`` (P6) cuts posts first; by default whole texts are embedded.
     """
     from pyspark.ml.feature import HashingTF, NGram, Normalizer
     from pyspark.ml.functions import vector_to_array
@@ -91,15 +95,16 @@ def hashed_bigram_embedding(posts: DataFrame, text_col: str = "text", num_featur
 
 
 def embed(posts: DataFrame, encoder: Callable | None = None, dim: int | None = None,
-          text_col: str = "text", max_len: int | None = 300) -> DataFrame:
+          text_col: str = "text", max_len: int | None = None, encoder_factory: Callable | None = None) -> DataFrame:
     """Post vectors for non-blank posts.
 
-    ``encoder(list[str]) -> sequence of float sequences`` is loaded once per
-    task and called per Arrow batch (batch size from
-    ``spark.sql.execution.arrow.maxRecordsPerBatch``). Without an encoder the
-    JVM-only hashed char-bigram embedding is used.
+    ``encoder(list[str]) -> sequence of float sequences`` is called per Arrow
+    batch (batch size from ``spark.sql.execution.arrow.maxRecordsPerBatch``).
+    ``encoder_factory()`` returns such an encoder and runs once per task, on the
+    executor, so a model is loaded there instead of travelling with the task.
+    Without either the JVM-only hashed char-bigram embedding is used.
     """
-    if encoder is None:
+    if encoder is None and encoder_factory is None:
         return hashed_bigram_embedding(posts, text_col, max_len=max_len)
     if dim is None:
         raise ValueError("dim is required with a custom encoder")
@@ -109,8 +114,9 @@ def embed(posts: DataFrame, encoder: Callable | None = None, dim: int | None = N
     schema = StructType(list(src.schema.fields) + [StructField("vec", ArrayType(DoubleType()))])
 
     def run(batches):
+        encode = encoder_factory() if encoder_factory is not None else encoder
         for pdf in batches:
-            vecs = encoder(pdf[text_col].tolist()) if len(pdf) else []
+            vecs = encode(pdf[text_col].tolist()) if len(pdf) else []
             yield pdf.assign(vec=pd.Series([list(map(float, v)) for v in vecs], index=pdf.index, dtype=object))
     return src.mapInPandas(run, schema)
 

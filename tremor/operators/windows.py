@@ -1,14 +1,11 @@
 """Per-event caps, list views, sampling and epoch windows (W1-W3, P6, P7,
 R2, O4, O5).
 
-Caps use ``row_number() <= n``; Spark plans a partial ``WindowGroupLimit``
-before the shuffle, so an event ships at most ``n`` rows per map partition.
-A hot event spread over many map partitions would still send ``n`` rows per
-partition to one reducer, so events above a row threshold are capped in two
-stages (first ``n`` per (event, hash bucket of pos), then first ``n`` per
-event): exact, and no reducer sees more than ``n`` rows per bucket and map
-partition. List views run only after the cap, so a list holds at most ``n``
-entries.
+Caps run in two stages: the first ``n`` rows per (event, hash bucket of pos),
+then the first ``n`` per event. Each of an event's first ``n`` rows is among its
+bucket's first ``n``, so the result is exact, and no task sees a whole hot event.
+Spark plans a partial ``WindowGroupLimit`` before each shuffle. List views run
+only after the cap, so a list holds at most ``n`` entries.
 """
 
 from __future__ import annotations
@@ -20,81 +17,28 @@ from ..functions.scalars import MAX_TWEETS, topic_sentence, truncate
 from ..functions.text import is_valid
 
 
-# Hot-event split of per-event caps: an event with more than HOT_FACTOR * n
-# rows (and more than 1 / MAX_HOT_EVENTS of all rows) is capped in two stages
-# over HOT_BUCKETS hash buckets of its rows.
-HOT_FACTOR = 50
-MAX_HOT_EVENTS = 10_000
-HOT_BUCKETS = 64
-# Below this estimated input size no reducer can receive more than this much,
-# so the hot-event count is skipped.
-SMALL_INPUT_BYTES = 1024 ** 3
+CAP_BUCKETS = 64  # hash buckets of an event in the first stage of a cap
 
 
-def _hot_threshold(counts: DataFrame, min_rows: int) -> tuple[int, int]:
-    """(row threshold, rows of the biggest key) from per-key counts; two
-    numbers reach the driver."""
-    total, biggest = counts.agg(F.sum("_n"), F.max("_n")).first()
-    return max(int(min_rows), (total or 0) // MAX_HOT_EVENTS), biggest or 0
-
-
-def hot_events(df: DataFrame, min_rows: int, key: str = "event") -> DataFrame:
-    """Keys holding more than ``max(min_rows, total / MAX_HOT_EVENTS)`` rows.
-
-    Each such key holds more than 1 / MAX_HOT_EVENTS of all rows, so at most
-    MAX_HOT_EVENTS keys qualify: the list has a proven size bound and is safe
-    to broadcast. Counting is a partial hash aggregate on ``key`` alone.
-    """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    threshold, _ = _hot_threshold(counts, min_rows)
-    return counts.where(F.col("_n") > threshold).select(key)
-
-
-def first_n(df: DataFrame, n: int, key: str = "event", order: str = "pos",
-            hot_rows: int | None = None) -> DataFrame:
-    """The first ``n`` rows per ``key`` by ``order``, with their rank ``_rn``.
-
-    Cold keys: one window whose bare ``row_number() <= n`` filter gives a
-    partial WindowGroupLimit before the shuffle. Hot keys (see ``hot_events``;
-    ``hot_rows`` overrides the row threshold, default ``HOT_FACTOR * n``):
-    first ``n`` per (key, hash bucket of ``order``), then first ``n`` per key,
-    which keeps every row of the key's first ``n`` (each is among its bucket's
-    first ``n``). Hot and cold keys are routed by a broadcast of the bounded
-    hot list, so the posts themselves are not shuffled for the routing. When
-    no key is hot (the usual case), or the input is estimated at most
-    ``SMALL_INPUT_BYTES`` (no reducer can get more), the plan is the single
-    window and, for small inputs, no count is run.
-    """
+def first_n(df: DataFrame, n: int, key: str = "event", order: str = "pos", buckets: int = CAP_BUCKETS) -> DataFrame:
+    """The first ``n`` rows per ``key`` by ``order``, with their rank ``_rn``."""
     def ranked(src: DataFrame, part: list[str]) -> DataFrame:
         w = Window.partitionBy(*part).orderBy(order)
         return src.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
 
-    if hot_rows is None:
-        from ..plans.tuning import estimated_bytes
-        size = estimated_bytes(df)
-        if size is not None and size <= SMALL_INPUT_BYTES:
-            return ranked(df, [key])
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    threshold, biggest = _hot_threshold(counts, n * HOT_FACTOR if hot_rows is None else hot_rows)
-    if biggest <= threshold:
-        return ranked(df, [key])
-    hot = F.broadcast(counts.where(F.col("_n") > threshold).select(key))
-    cold = ranked(df.join(hot, key, "left_anti"), [key])
-    spread = df.join(hot, key, "left_semi").withColumn("_b", F.pmod(F.xxhash64(order), F.lit(HOT_BUCKETS)))
-    pre = ranked(spread, [key, "_b"]).drop("_rn", "_b")
-    return cold.unionByName(ranked(pre, [key]))
+    dealt = df.withColumn("_b", F.pmod(F.xxhash64(order), F.lit(buckets)))
+    return ranked(ranked(dealt, [key, "_b"]).drop("_rn", "_b"), [key])
 
 
 def cap_posts(posts: DataFrame, n: int = MAX_TWEETS, text_col: str = "text",
-              count_blank: bool = False, hot_rows: int | None = None) -> DataFrame:
+              count_blank: bool = False, buckets: int = CAP_BUCKETS) -> DataFrame:
     """First ``n`` posts per event in file order (``pos``), with ``slot``.
 
     By default blank posts neither use up the cap nor appear (Q7);
-    ``count_blank=True`` keeps them and counts them like a first run. Hot
-    events are capped in two stages (``first_n``).
+    ``count_blank=True`` keeps them and counts them like a first run.
     """
     src = posts if count_blank else posts.where(is_valid(text_col))
-    return (first_n(src, n, hot_rows=hot_rows)
+    return (first_n(src, n, buckets=buckets)
             .withColumn("slot", (F.col("_rn") - 1).cast("int")).drop("_rn"))
 
 

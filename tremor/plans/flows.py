@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MAX_LEN, MAX_TWEETS
+from ..functions.scalars import MAX_LEN, MAX_TWEETS, topic_sentence
 from ..functions.text import clean_text
 from ..operators import features as A
 from ..operators import labels as L
@@ -62,19 +62,29 @@ def prepare_corpus(spark: SparkSession, roots: str | list[str], default_year: in
 
 
 def event_vectors(corpus: Corpus, pooling: str = "mean", encoder: Callable | None = None, dim: int | None = None,
-                  max_posts: int = MAX_TWEETS, max_len: int = MAX_LEN, score: Callable | None = None) -> DataFrame:
-    """(event, features ARRAY<DOUBLE>): pooled post vectors ⊕ the 12 statistics.
+                  max_posts: int = MAX_TWEETS, max_len: int | None = MAX_LEN, score: Callable | None = None,
+                  add_topic: bool = True, use_stats: bool = True, drop_p: float = 0.0, seed: int = 42, epoch: int = 0,
+                  encoder_factory: Callable | None = None) -> DataFrame:
+    """(event, features ARRAY<DOUBLE>): pooled post vectors, followed by the 12 statistics with ``use_stats``.
 
     Posts are capped per event before embedding (only non-blank posts are
-    embedded); ``pooling`` in mean / max / cls / attentive. For attentive
-    pooling ``score(vec_col) -> Column`` gives the per-post score (default: the
+    embedded). ``drop_p`` drops posts at random, keeping one per event (R2, for
+    training). ``add_topic`` puts the sentence `Topic: {event}` first (P7).
+    ``pooling`` in mean / max / cls / attentive. For attentive pooling
+    ``score(vec_col) -> Column`` gives the per-post score (default: the
     vector's L2 norm).
     """
     if pooling not in POOLINGS:
         raise ValueError(f"unknown pooling: {pooling}")
-    posts = corpus.posts.select("event", "pos", "id", F.col("clean_text").alias("text"))
-    capped = W.cap_posts(posts, max_posts)
-    emb = E.embed(capped, encoder=encoder, dim=dim, max_len=max_len).withColumn("valid", F.lit(True))
+    posts = corpus.posts.select("event", F.col("pos").cast("long").alias("pos"), "id", F.col("clean_text").alias("text"))
+    capped = W.cap_posts(posts, max_posts).select("event", "pos", "id", "text")
+    if drop_p > 0:
+        capped = W.drop_posts(capped, drop_p, seed, epoch)
+    if add_topic:
+        topics = corpus.features.select("event", F.lit(-1).cast("long").alias("pos"), F.lit(None).cast("string").alias("id"),
+                                        topic_sentence("event").alias("text"))
+        capped = capped.unionByName(topics)
+    emb = E.embed(capped, encoder=encoder, dim=dim, max_len=max_len, encoder_factory=encoder_factory).withColumn("valid", F.lit(True))
     if pooling == "mean":
         pooled = V.mean_pool(emb)
     elif pooling == "max":
@@ -84,70 +94,81 @@ def event_vectors(corpus: Corpus, pooling: str = "mean", encoder: Callable | Non
     else:
         s = score(F.col("vec")) if score else F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
         pooled = V.attentive_pool(emb.withColumn("score", s))
+    # events without any embedded post get a zero text vector of the same width
+    width = int(dim) if encoder is not None or encoder_factory is not None else E.EMBED_DIM
     stats = V.stats_array(corpus.features, A.FEATURES)
-    # events without any non-blank post get a zero text vector of the same width
     joined = stats.join(pooled.select("event", F.col("vec").alias("tv")), "event", "left")
-    return joined.select("event", F.concat(F.coalesce("tv", F.array_repeat(F.lit(0.0), F.lit(_dim(encoder, dim)))),
-                                           F.col("vec")).alias("features"))
-
-
-def _dim(encoder, dim):
-    if encoder is None:
-        return 1 << 12
-    return int(dim)
+    text = F.coalesce("tv", F.array_repeat(F.lit(0.0), F.lit(width)))
+    return joined.select("event", (F.concat(text, F.col("vec")) if use_stats else text).alias("features"))
 
 
 def train_and_evaluate(corpus: Corpus, labels: DataFrame, split: DataFrame | None = None, train_ratio: float = 0.8,
                        seed: int = 42, pooling: str = "mean", classifier: str = "lr", class_counts: list[int] | None = None,
                        encoder: Callable | None = None, dim: int | None = None, max_iter: int = 50,
-                       strict: bool = True):
+                       strict: bool = True, drop_p: float = 0.0, **vectors):
     """Fit on the train part, evaluate on val. Returns (model, predictions, metrics, split).
 
     With a given ``split`` and ``strict``, split events without an event file
     raise (J2), as the reference's loader does; otherwise they are left out.
+    ``drop_p`` drops posts of the train part only; other keyword arguments go
+    to ``event_vectors``. ``metrics`` has one row per part: accuracy, macro
+    precision, recall and F1, weighted F1 and loss (train: class-weighted
+    smoothed cross-entropy, val: cross-entropy), the val row first.
     """
     lab = L.encode_labels(L.dedupe_labels(labels))
     if split is None:
         split = L.stratified_split(corpus.catalogue, lab, train_ratio, seed)
     elif strict:
         L.missing_events(split, corpus.catalogue, strict=True)
-    # one row per event, read by the fit and by the val scoring: embed once
+    # one row per event, read by the fit and by the scoring: embed once
     ensure_checkpoint_dir(corpus.posts.sparkSession)
-    vecs = event_vectors(corpus, pooling, encoder, dim).checkpoint()
+    vecs = event_vectors(corpus, pooling, encoder, dim, **vectors).checkpoint()
     table = L.join_labels(vecs, lab).join(split.select("event", "part"), "event")
     weights = L.class_weights(lab.join(split.where(F.col("part") == "train").select("event"), "event"), class_counts)
-    train = table.where(F.col("part") == "train").join(weights.select("level", "weight"), "level", "left") \
-        .fillna({"weight": 1.0})
-    model = E.train_classifier(train.select("event", "features", F.col("level").alias("label"), "weight"),
-                               classifier=classifier, max_iter=max_iter, weight_col="weight" if classifier == "lr" else None)
-    val = table.where(F.col("part") == "val").select("event", "features", F.col("level").alias("label"))
+    table = table.join(weights.select("level", "weight"), "level", "left").fillna({"weight": 1.0})
+    table = table.select("event", "part", "features", F.col("level").alias("label"), "weight")
+    train = table.where(F.col("part") == "train")
+    fitted = train
+    if drop_p > 0:
+        thinned = event_vectors(corpus, pooling, encoder, dim, drop_p=drop_p, seed=seed, **vectors)
+        fitted = train.drop("features").join(thinned, "event")
+    model = E.train_classifier(fitted, classifier=classifier, max_iter=max_iter, weight_col="weight" if classifier == "lr" else None)
+    val = table.where(F.col("part") == "val")
     preds = E.predict_classes(model, val).select("event", "true", "pred")
-    return model, preds, M.macro_metrics(preds), split
+    report = part_metrics(model, val, "val").unionByName(part_metrics(model, train, "train", class_counts, weighted=True))
+    return model, preds, report, split
+
+
+def part_metrics(model, rows: DataFrame, part: str, class_counts: list[int] | None = None, weighted: bool = False) -> DataFrame:
+    """One row of metrics and loss of a fitted model over labelled event vectors."""
+    scored = E.predict_classes(model, rows)
+    # log-probabilities are logits up to a constant, which the loss does not see
+    logits = scored.select(F.col("true").alias("y"), F.transform("probability", lambda p: F.log(F.greatest(p, F.lit(1e-12)))).alias("logits"))
+    loss = M.weighted_smoothed_cross_entropy(logits, counts=class_counts) if weighted else M.cross_entropy(logits)
+    one = F.lit(part).alias("part")
+    pred = scored.select("event", "true", "pred")
+    return (M.macro_metrics(pred).select(one, "*").join(M.weighted_metrics(pred).select(one, "weighted_f1"), "part")
+            .join(loss.select(one, "loss"), "part"))
 
 
 def predict_events(spark: SparkSession, model, corpus: Corpus, requested: DataFrame | None = None,
-                   pooling: str = "mean", encoder: Callable | None = None, dim: int | None = None):
-    """Score every event. Returns (event_results, post_results, batch_status)."""
+                   pooling: str = "mean", encoder: Callable | None = None, dim: int | None = None,
+                   max_posts: int = MAX_TWEETS, **vectors):
+    """Score every event. Returns (event_results, post_results, batch_status).
+    ``vectors``: further arguments of ``event_vectors``, as in training."""
     # a file without the text column fails in the reference; report it
     errors = None
     if "has_text" in corpus.posts.columns:
         errors = (corpus.posts.groupBy("event").agg(F.max(F.col("has_text").cast("int")).alias("_t"))
                   .where(F.col("_t") == 0).select("event", F.lit("no text column").alias("error")))
-    vecs = event_vectors(corpus, pooling, encoder, dim)
+    vecs = event_vectors(corpus, pooling, encoder, dim, max_posts=max_posts, **vectors)
     if errors is not None:
         vecs = vecs.join(errors, "event", "left_anti")
     scored = E.predict_classes(model, vecs, label_col=None)
-    from ..functions.scalars import level_label
-    from ..operators.scoring import LABEL_NAMES
-    names = F.array(*[F.lit(n) for n in LABEL_NAMES])
-    events = scored.select(
-        F.col("event").alias("event_name"), F.col("pred").alias("predicted_class"),
-        level_label("pred").alias("predicted_label"),
-        F.map_from_arrays(F.slice(names, 1, F.size("probability")), F.col("probability")).alias("probabilities"))
     # event results feed the JSON, the post results and the batch status: score once
     ensure_checkpoint_dir(spark)
-    events = events.checkpoint()
-    posts = W.cap_posts(corpus.posts.select("event", "pos", "id", F.col("clean_text").alias("text")), MAX_TWEETS)
+    events = E.event_results(scored.select("event", F.col("pred").alias("predicted_class"), F.col("probability").alias("probs"))).checkpoint()
+    posts = W.cap_posts(corpus.posts.select("event", "pos", "id", F.col("clean_text").alias("text")), max_posts)
     post_res = E.post_results(posts, events)
     req = requested if requested is not None else corpus.catalogue.select("event")
     status = E.batch_predict(req, events, errors=errors)

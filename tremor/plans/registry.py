@@ -64,7 +64,7 @@ typed AS (
   SELECT event, pos, {G.post_time(G.na('published_raw'), YEAR)} AS ts,
     {G.to_number(G.na('reposts'))} AS reposts, {G.to_number(G.na('comments'))} AS comments,
     {G.to_number(G.na('likes'))} AS likes, {G.na('nickname')} AS nickname,
-    coalesce({G.na('location')}, '{S.UNKNOWN_LOCATION}') AS location
+    coalesce({G.na('location')}, '未知') AS location
   FROM fx_meta)"""
 
 _R6 = "round({}, 6)"
@@ -117,7 +117,7 @@ def q_numeric_coerce(spark, sf):
 
 @register("na_tokens", V_("fx_meta") + f"""
 SELECT pos, {G.na('nickname')} AS nickname, {G.na('location')} AS location,
-  coalesce({G.na('location')}, '{S.UNKNOWN_LOCATION}') AS location_filled
+  coalesce({G.na('location')}, '未知') AS location_filled
 FROM fx_meta""")
 def q_na_tokens(spark, sf):
     m = FX.fx_meta(spark, sf)
@@ -133,7 +133,7 @@ def q_hour_histogram(spark, sf):
 
 @register("top_location", V_("fx_meta") + f"""
 , locs AS (
-  SELECT event, coalesce({G.na('location')}, '{S.UNKNOWN_LOCATION}') AS location, count(*) AS n, min(pos) AS fp
+  SELECT event, coalesce({G.na('location')}, '未知') AS location, count(*) AS n, min(pos) AS fp
   FROM fx_meta GROUP BY 1, 2)
 SELECT event, location, n, CAST(row_number() OVER (PARTITION BY event ORDER BY n DESC, fp ASC) AS BIGINT) AS rank
 FROM locs""")
@@ -142,18 +142,51 @@ def q_top_location(spark, sf):
 
 
 @register("feature_check", V_("fx_meta") + """
-SELECT CAST(NULL AS VARCHAR) AS event, CAST(NULL AS VARCHAR) AS null_features WHERE false""")
+SELECT event, 'avg_likes' AS null_features FROM fx_meta GROUP BY event HAVING min(pos) % 2 = 0
+UNION ALL SELECT DISTINCT event, 'avg_likes,unique_users' FROM fx_meta GROUP BY event HAVING min(pos) % 2 = 1""")
 def q_feature_check(spark, sf):
-    bad = A.check_features(A.event_features(FX.fx_meta(spark, sf), default_year=YEAR))
+    """P13 on features with holes: every event lacks one value, some lack two."""
+    m = FX.fx_meta(spark, sf)
+    odd = m.groupBy("event").agg((F.min("pos") % 2 == 1).alias("odd"))
+    feats = A.event_features(m, default_year=YEAR).join(odd, "event")
+    holes = (feats.withColumn("avg_likes", F.lit(None).cast("double"))
+             .withColumn("unique_users", F.when(~F.col("odd"), F.col("unique_users"))).drop("odd"))
+    bad = A.check_features(holes)
     return bad.select("event", F.array_join("null_features", ",").alias("null_features"))
 
 
+@register("features_absent_columns", V_("fx_meta") + """
+SELECT event, count(*) AS post_count, 0.0 AS timespan_hours, CAST(0 AS BIGINT) AS peak_hour, 0.0 AS location_diversity,
+  '未知' AS top_location FROM fx_meta GROUP BY event""")
+def q_features_absent_columns(spark, sf):
+    """P5: files without a time and a location column."""
+    m = FX.fx_meta(spark, sf).drop("published_raw", "location")
+    m = m.withColumns({"has_time": F.lit(False), "has_location": F.lit(False)})
+    return A.event_features(m, default_year=YEAR).select("event", "post_count", "timespan_hours", "peak_hour", "location_diversity", "top_location")
+
+
+@register("feature_vector", f"""
+WITH f AS ({ORACLES["event_features"]})
+SELECT event, CAST(i - 1 AS INTEGER) AS i, round(v, 6) AS v FROM (
+  SELECT event, [{", ".join(f"CAST({c} AS DOUBLE)" for c in A.FEATURES)}] AS vec FROM f), unnest(vec) WITH ORDINALITY AS u(v, i)""")
+def q_feature_vector(spark, sf):
+    """The 12 statistics as an ML vector in the reference's order."""
+    from pyspark.ml.functions import vector_to_array
+    out = A.feature_vector(A.event_features(FX.fx_meta(spark, sf), default_year=YEAR))
+    return _long(out.select("event", vector_to_array("stats").alias("vec")), digits=6)
+
+
 # ============================================================================ text chain
 
 _TEXT_STEPS = {
     "clean_links": (T.remove_links, G.remove_links),
     "clean_video": (T.remove_video, G.remove_video),
     "clean_hashtags": (T.dedupe_hashtags, G.dedupe_hashtags),
+    "clean_markdown": (T.remove_markdown_links, G.remove_markdown_links),
+    "clean_url": (T.remove_urls, G.remove_urls),
+    "clean_email": (T.remove_emails, G.remove_emails),
+    "clean_mention": (T.remove_mentions, G.remove_mentions),
+    "clean_tags": (T.remove_tags, G.remove_tags),
     "clean_platform": (T.platform_clean, G.platform_clean),
     "clean_emoji": (T.demojize, G.demojize),
     "clean_forward": (T.remove_forward, G.remove_forward),
@@ -209,18 +242,26 @@ def q_padded_posts(spark, sf):
     return W.explode_lists(W.post_lists(_capped(spark, sf), CAP))
 
 
-@register("topic_prefix", V_("fx_conv") + "," + _CAPPED_SQL + f"""
-SELECT event, slot, text FROM capped
+_VALID_SQL = f"valid_posts AS (SELECT * FROM fx_conv WHERE {G.is_valid('text')})"
+
+
+def _valid(spark, sf):
+    c = FX.fx_conv(spark, sf).drop("conv_id")
+    return c.where(T.is_valid("text"))
+
+
+@register("topic_prefix", V_("fx_conv") + "," + _VALID_SQL + """
+SELECT event, CAST(pos AS INTEGER) AS slot, text FROM valid_posts
 UNION ALL
-SELECT DISTINCT event, -1 AS slot, '{S.TOPIC_PREFIX}' || event AS text FROM capped""")
+SELECT DISTINCT event, -1 AS slot, 'Topic: ' || event AS text FROM valid_posts""")
 def q_topic_prefix(spark, sf):
-    return W.with_topic_sentence(_capped(spark, sf))
+    return W.with_topic_sentence(_valid(spark, sf).withColumn("slot", F.col("pos").cast("int")))
 
 
-@register("truncate_posts", V_("fx_conv") + "," + _CAPPED_SQL + f"""
-SELECT event, pos, substring(text, 1, {TRUNC}) AS text FROM capped""")
+@register("truncate_posts", V_("fx_conv") + f"""
+SELECT event, pos, substring(text, 1, {TRUNC}) AS text FROM fx_conv""")
 def q_truncate_posts(spark, sf):
-    return W.truncate_posts(_capped(spark, sf), TRUNC).select("event", "pos", "text")
+    return W.truncate_posts(FX.fx_conv(spark, sf), TRUNC).select("event", "pos", "text")
 
 
 @register("valid_posts", V_("fx_conv") + f"""
@@ -287,9 +328,12 @@ def q_stratified_split(spark, sf):
 
 
 @register("split_overlap", V_("fx_labels", "fx_catalogue") + ", " + _ENC_SQL + "," + _SPLIT_SQL + """
-SELECT event FROM split WHERE part = 'train' INTERSECT SELECT event FROM split WHERE part = 'val'""")
+SELECT event FROM split WHERE part = 'train' AND level = 2""")
 def q_split_overlap(spark, sf):
-    return L.split_overlap(_split(spark, sf))
+    """U2 on a split into which all train events of level 2 were put a second time, as val."""
+    split = _split(spark, sf).select("event", "level", "part")
+    twice = split.where((F.col("part") == "train") & (F.col("level") == 2)).withColumn("part", F.lit("val"))
+    return L.split_overlap(split.unionByName(twice))
 
 
 @register("label_distribution", V_("fx_labels", "fx_catalogue") + ", " + _ENC_SQL + "," + _SPLIT_SQL + """
@@ -340,7 +384,7 @@ SELECT event, pos, text FROM first2 WHERE event IN (SELECT event FROM picked)"""
 def q_sample_events(spark, sf):
     c = FX.fx_conv(spark, sf).drop("conv_id")
     picked = W.sample_events(c, 3, SEED)
-    return W.cap_posts(c, 2).join(picked, "event", "left_semi").select("event", "pos", "text")
+    return W.cap_posts(c.join(picked, "event", "left_semi"), 2).select("event", "pos", "text")
 
 
 # ============================================================================ profiles
@@ -385,6 +429,24 @@ def q_corpus_summary(spark, sf):
     return PR.corpus_summary(d.select("event", T.clean_text("text").alias("text")))
 
 
+@register("corpus_summary_cached", V_("fx_text") + f"""
+SELECT count(DISTINCT event) AS n_events, count(*) AS n_posts, count(*) FILTER (WHERE {G.is_valid('text')}) AS n_valid_posts,
+  count(DISTINCT CASE WHEN event < 'src5' THEN event END) AS n_cached_events,
+  count(DISTINCT CASE WHEN event >= 'src5' THEN event END) AS n_new_events
+FROM fx_text""")
+def q_corpus_summary_cached(spark, sf):
+    d = FX.fx_text(spark, sf).select("event", "text")
+    return PR.corpus_summary(d, cached=d.select("event").distinct().where("event < 'src5'"))
+
+
+@register("value_histogram", """
+WITH v AS (SELECT CAST(value AS DOUBLE) AS x FROM events WHERE value IS NOT NULL), r AS (SELECT min(x) AS lo, max(x) AS hi FROM v)
+SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((x - lo) / (hi - lo) * 50), 49) END AS INTEGER) AS bin, count(*) AS n
+FROM v, r GROUP BY 1""")
+def q_value_histogram(spark, sf):
+    return PR.histogram(FX.table(spark, sf, "events"), "value").select("bin", "n")
+
+
 # ============================================================================ pooling
 
 def _vec(spark, sf):
@@ -525,11 +587,11 @@ def _conv_preds(spark, sf):
                     cls.alias("predicted_class"), S.level_label(cls).alias("predicted_label"))
 
 
-@register("post_results", V_("fx_conv") + "," + _CAPPED_SQL + _CONV_PRED_SQL + """
+@register("post_results", V_("fx_conv") + "," + _VALID_SQL + _CONV_PRED_SQL + """
 SELECT c.event, coalesce(nullif(c.id, ''), CAST(c.pos AS VARCHAR)) AS id, c.text, p.predicted_class, p.predicted_label
-FROM capped c JOIN preds p ON c.event = p.event""")
+FROM valid_posts c JOIN preds p ON c.event = p.event""")
 def q_post_results(spark, sf):
-    return E.post_results(_capped(spark, sf), _conv_preds(spark, sf))
+    return E.post_results(FX.fx_conv(spark, sf), _conv_preds(spark, sf))
 
 
 @register("batch_predict", V_("fx_labels", "fx_catalogue") + ", " + _ENC_SQL + f"""
@@ -542,6 +604,25 @@ def q_batch_predict(spark, sf):
     return E.batch_predict(FX.fx_catalogue(spark, sf), scored)
 
 
+@register("batch_predict_errors", V_("fx_labels", "fx_catalogue") + ", " + _ENC_SQL + f"""
+SELECT c.event, CASE WHEN l.level = 2 THEN NULL ELSE l.level END AS predicted_class,
+  CASE WHEN l.level = 2 THEN NULL ELSE {G.level_label('l.level')} END AS predicted_label,
+  CASE WHEN l.level = 2 THEN 'no text column' WHEN l.event IS NULL THEN 'event file not found' END AS error
+FROM (SELECT DISTINCT event FROM fx_catalogue) c LEFT JOIN lab l ON c.event = l.event""")
+def q_batch_predict_errors(spark, sf):
+    """E12 with known errors: events of level 2 failed."""
+    lab = _labels(spark, sf)
+    scored = lab.select("event", F.col("level").alias("predicted_class"), S.level_label("level").alias("predicted_label"))
+    errors = lab.where(F.col("level") == 2).select("event", F.lit("no text column").alias("error"))
+    return E.batch_predict(FX.fx_catalogue(spark, sf), scored, errors=errors)
+
+
+@register("clean_tags_pages", f"SELECT page_id, {G.remove_tags('html')} AS text FROM pages")
+def q_clean_tags_pages(spark, sf):
+    """T5's tag rule on whole web pages."""
+    return FX.table(spark, sf, "pages").select("page_id", T.remove_tags("html").alias("text"))
+
+
 # ============================================================================ metrics and losses
 
 @register("predictions", V_("fx_pred") + "SELECT event, \"true\", pred FROM fx_pred")
@@ -618,6 +699,25 @@ def q_loss_focal(spark, sf):
     return rounded(M.focal_loss(_vec(spark, sf)), 9)
 
 
+@register("loss_focal_sum", V_("fx_vec") + _NLL_SQL + """
+SELECT round(sum(0.5 * pow(1.0 - exp(-nll), 3.0) * nll), 6) AS loss FROM r""")
+def q_loss_focal_sum(spark, sf):
+    return rounded(M.focal_loss(_vec(spark, sf), 0.5, 3.0, "sum"), 6)
+
+
+@register("loss_focal_rows", V_("fx_vec") + f"""
+, lp AS (SELECT pos, y, {G.log_softmax_list('logits')} AS lp FROM fx_vec)
+SELECT pos, round(pow(1.0 - exp(lp[y + 1]), 2.0) * -lp[y + 1], 9) AS loss FROM lp""")
+def q_loss_focal_rows(spark, sf):
+    return rounded(M.focal_loss(_vec(spark, sf), reduction="none").select("pos", "loss"), 9)
+
+
+@register("label_set", V_("fx_pred") + """
+SELECT CAST("true" AS INTEGER) AS label FROM fx_pred UNION SELECT CAST(pred AS INTEGER) FROM fx_pred""")
+def q_label_set(spark, sf):
+    return M.label_set(FX.fx_pred(spark, sf))
+
+
 @register("loss_batched", V_("fx_vec") + _NLL_SQL + """
 , b AS (SELECT batch, avg(nll) AS b, sum(nll) AS s, count(*) AS n FROM r GROUP BY batch)
 SELECT round(avg(b), 9) AS loss, round(sum(s) / sum(n), 9) AS row_mean_loss, count(*) AS n_batches FROM b""")
@@ -752,15 +852,59 @@ def q_read_posts(spark, sf):
 
 
 @register("write_results", V_("fx_vec") + f"""
-SELECT CAST(pos AS VARCHAR) AS event_name, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS predicted_class,
-  {G.level_label('list_position(logits, list_max(logits)) - 1')} AS predicted_label
-FROM fx_vec""")
+, p AS (SELECT CAST(pos AS VARCHAR) AS event_name, logits, list_transform(logits, lambda x: exp(x - list_max(logits))) AS e FROM fx_vec)
+SELECT event_name, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS predicted_class,
+  {G.level_label('list_position(logits, list_max(logits)) - 1')} AS predicted_label,
+  round(e[1] / list_sum(e), 9) AS prob_0, round(e[2] / list_sum(e), 9) AS prob_1, round(e[3] / list_sum(e), 9) AS prob_2
+FROM p""")
 def q_write_results(spark, sf):
     from ..sources.files import read_event_results, scratch_dir, write_event_results
     v = _vec(spark, sf).select(F.col("pos").cast("string").alias("event"), "logits")
     out = scratch_dir(spark, "event-results")
     write_event_results(E.score_events(v), out)
-    return read_event_results(spark, out).select("event_name", "predicted_class", "predicted_label")
+    back = read_event_results(spark, out)
+    return rounded(back.select("event_name", "predicted_class", "predicted_label",
+                               *[F.col("probabilities")[n].alias(f"prob_{i}") for i, n in enumerate(["轻微", "中等", "严重"])]), 9)
+
+
+@register("write_table", V_("fx_pred") + "SELECT event, \"true\", pred FROM fx_pred")
+def q_write_table(spark, sf):
+    """Predictions written as a table and read back."""
+    from ..sources.files import scratch_dir, write_table
+    out = scratch_dir(spark, "predictions")
+    write_table(M.predictions_table(_vec(spark, sf).withColumn("event", F.col("pos").cast("string"))), out)
+    return spark.read.parquet(out)
+
+
+@register("label_json", V_("fx_label_dups") + """
+SELECT event, arg_max(reason, position) AS reason, arg_max(severity, position) AS severity
+FROM fx_label_dups GROUP BY event""")
+def q_label_json(spark, sf):
+    """Label lists written as JSON arrays, read back in file order; the last entry of an event wins."""
+    from ..sources.files import read_labels, scratch_dir
+    out = scratch_dir(spark, "labels")
+    rows = FX.fx_label_dups(spark, sf).select("position", F.col("event").alias("topic"), "reason", "severity")
+    entry = F.struct("position", F.to_json(F.struct("topic", "reason", "severity")).alias("json"))
+    lists = (rows.groupBy(F.pmod(F.xxhash64("topic"), F.lit(16)).alias("file")).agg(F.sort_array(F.collect_list(entry)).alias("l"))
+             .select("file", F.concat(F.lit("["), F.array_join(F.col("l.json"), ",\n"), F.lit("]")).alias("value")))
+    lists.repartition(16, "file").write.partitionBy("file").text(out)
+    return L.dedupe_labels(read_labels(spark, f"{out}/*")).select("event", "reason", "severity")
+
+
+@register("read_two_roots", V_("fx_text") + """
+, r AS (SELECT event, id, CAST(regexp_extract(event, '[0-9]+') AS INTEGER) % 2 = 0 AS first, text FROM fx_text)
+SELECT event, id, CASE WHEN first THEN 'A:' ELSE 'B:' END || text AS text, CASE WHEN first THEN 0 ELSE 1 END AS root_rank FROM r""")
+def q_read_two_roots(spark, sf):
+    """S1 + S3: the first root lacks half of the events; the second has all of them, with other
+    column order and more than 48 columns."""
+    from ..sources.files import read_posts, scratch_dir, write_event_csvs
+    a, b = scratch_dir(spark, "root-a"), scratch_dir(spark, "root-b")
+    posts = FX.fx_text(spark, sf).select("event", "id", "text")
+    even = F.regexp_extract("event", "[0-9]+", 0).cast("int") % 2 == 0
+    write_event_csvs(posts.where(even).select("event", "id", F.concat(F.lit("A:"), F.col("text")).alias("微博正文")), a)
+    others = [F.lit(f"x{i}").alias(f"列{i}") for i in range(60)]
+    write_event_csvs(posts.select("event", *others, F.concat(F.lit("B:"), F.col("text")).alias("微博正文"), "id"), b)
+    return read_posts(spark, [a, b], event_pattern=r"event=([^/]+)/[^/]+$").select("event", "id", "text", "root_rank")
 
 
 @register("split_files", V_("fx_labels", "fx_catalogue") + ", " + _ENC_SQL + "," + _SPLIT_SQL + """
@@ -776,20 +920,20 @@ def q_split_files(spark, sf):
             .unionByName(read_split(spark, obj).select(F.lit("object").alias("layout"), "event", "part")))
 
 
-@register("post_results_csv", V_("fx_conv") + "," + _CAPPED_SQL + _CONV_PRED_SQL + """
+@register("post_results_csv", V_("fx_conv") + "," + _VALID_SQL + _CONV_PRED_SQL + """
 SELECT c.event, coalesce(nullif(c.id, ''), CAST(c.pos AS VARCHAR)) AS id, c.text, p.predicted_class, p.predicted_label
-FROM capped c JOIN preds p ON c.event = p.event""")
+FROM valid_posts c JOIN preds p ON c.event = p.event""")
 def q_post_results_csv(spark, sf):
     from ..sources.files import read_post_results, scratch_dir, write_post_results
     out = scratch_dir(spark, "post-results")
-    write_post_results(E.post_results(_capped(spark, sf), _conv_preds(spark, sf)), out, partition_by_event=True)
+    write_post_results(E.post_results(FX.fx_conv(spark, sf), _conv_preds(spark, sf)), out, partition_by_event=True)
     return read_post_results(spark, out, partitioned_by_event=True).select(
         "event", "id", "text", "predicted_class", "predicted_label")
 
 
 @register("embed_posts", V_("fx_text") + f"""
 , c AS (SELECT event, pos, {G.clean_text('text')} AS text FROM fx_text)
-SELECT event, pos, {E.EMBED_DIM} AS dim, CASE WHEN length(substr(text, 1, 300)) >= 2 THEN 1.0 ELSE 0.0 END AS norm
+SELECT event, pos, 4096 AS dim, CASE WHEN length(text) >= 2 THEN 1.0 ELSE 0.0 END AS norm
 FROM c WHERE {G.is_valid('text')}""")
 def q_embed_posts(spark, sf):
     d = FX.fx_text(spark, sf).select("event", "pos", T.clean_text("text").alias("text"))
@@ -799,16 +943,38 @@ def q_embed_posts(spark, sf):
     return emb.select("event", "pos", F.size("vec").alias("dim"), F.round(norm, 6).alias("norm"))
 
 
-@register("train_classifier")
+def _counting_encoder():
+    """A small encoder with known vectors: length, number of blanks, number of `e`."""
+    return lambda texts: [[float(len(t)), float(t.count(" ")), float(t.count("e"))] for t in texts]
+
+
+@register("embed_custom", V_("fx_text") + f"""
+, c AS (SELECT event, pos, coalesce(text, '') AS text FROM fx_text)
+SELECT event, pos, CAST(length(text) AS DOUBLE) AS v0, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS v1,
+  CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS v2 FROM c WHERE {G.is_valid('text')}""")
+def q_embed_custom(spark, sf):
+    """E14 with a caller's encoder, made once per task."""
+    emb = E.embed(FX.fx_text(spark, sf).select("event", "pos", "text"), dim=3, encoder_factory=_counting_encoder)
+    return emb.select("event", "pos", *[F.col("vec")[i].alias(f"v{i}") for i in range(3)])
+
+
+@register("train_classifier", V_("fx_vec") + """
+SELECT CAST(pos AS VARCHAR) AS event, y AS "true", true AS class_known, true AS at_least_majority FROM fx_vec""")
 def q_train_classifier(spark, sf):
-    v = _vec(spark, sf).where(F.col("valid"))
-    weights = L.class_weights(v.select(F.col("y").alias("level")))
-    train = v.join(weights.select(F.col("level").alias("y"), "weight"), "y")
+    """Fitted on the valid rows, scored on all of them; every prediction is a known class and the
+    model is right at least as often as the commonest class."""
+    from ..sources.files import land
+    v = _vec(spark, sf)
+    fitted = v.where(F.col("valid"))
+    weights = L.class_weights(fitted.select(F.col("y").alias("level")))
+    train = fitted.join(weights.select(F.col("level").alias("y"), "weight"), "y")
     model = E.train_classifier(train.select("event", "pos", F.col("vec").alias("features"),
                                             F.col("y").alias("label"), "weight"), max_iter=20)
-    scored = E.predict_classes(model, v.select(F.col("pos").cast("string").alias("event"),
-                                               F.col("vec").alias("features"), F.col("y").alias("label")))
-    return scored.select("event", "true", "pred")
+    scored = land(E.predict_classes(model, v.select(F.col("pos").cast("string").alias("event"), F.col("vec").alias("features"),
+                                                    F.col("y").alias("label"))).select("event", "true", "pred"), "scored")
+    right = scored.agg(F.avg((F.col("true") == F.col("pred")).cast("double"))).first()[0]
+    common = scored.groupBy("true").count().agg(F.max("count") / F.sum("count")).first()[0]
+    return scored.select("event", "true", F.col("pred").isin(0, 1, 2).alias("class_known"), F.lit(bool(right >= common)).alias("at_least_majority"))
 
 
 @register("epoch_order", V_("fx_catalogue") + f"""

@@ -4,60 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
-
-# Parquet writers cut row groups at about this size (parquet.block.size).
-DEFAULT_ROW_GROUP_BYTES = 128 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Optimizer size estimate of ``df`` (the file sizes for a plain scan)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no JVM handle (e.g. a remote session)
-        return None
-
-
-def estimated_row_groups(df: DataFrame) -> int | None:
-    """Lower bound on the scan units of a file read: every file holds at least
-    one row group and a row group holds at most about one block of bytes.
-    ``None`` when the input is not a file scan."""
-    try:
-        n_files = len(df.inputFiles())
-    except Exception:  # noqa: BLE001
-        return None
-    if n_files == 0:
-        return None
-    size = estimated_bytes(df)
-    by_size = math.ceil(size / DEFAULT_ROW_GROUP_BYTES) if size else 0
-    return max(n_files, by_size)
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin rows over ``min_partitions`` tasks (default: the cluster's
-    default parallelism) when the scan has fewer row groups than that.
-
-    A Parquet row group is read by one task, however many splits the planner
-    makes, so a small file with one row group leaves the other cores idle for
-    CPU-heavy per-row work (regex cleaning, time parsing). The estimate is
-    ``max(files, bytes / block)``; it only falls below the core count for
-    inputs of at most about one block per core, so the added shuffle is
-    bounded. Large inputs (many files or many blocks) are returned untouched:
-    their scan is already wide and no shuffle is added.
-    """
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    units = estimated_row_groups(df)
-    if units is None or units >= target:
-        return df
-    return df.repartition(target)
-
-
 # Input bytes per shuffle partition when sizing from the input: shuffles see
 # less than the input (pruned columns, map-side pre-aggregation), and AQE
 # coalesces partitions that come out small.
 INPUT_BYTES_PER_SHUFFLE_PARTITION = 512 * 1024 * 1024
-DEFAULT_SHUFFLE_PARTITIONS = "200"
 
 
 def shuffle_partitions_for(input_bytes: int, cores: int) -> int:
@@ -67,17 +17,8 @@ def shuffle_partitions_for(input_bytes: int, cores: int) -> int:
     return int(min(max(wanted, cores), 20 * cores))
 
 
-def size_shuffles(spark, input_bytes: int) -> int | None:
-    """Set ``spark.sql.shuffle.partitions`` from the job's input size unless
-    the job or cluster already chose a value; returns the value set, or None.
-
-    With the default of 200, a 100 TB input would give reduce tasks of many
-    GB; sized this way a reduce task stays near the advisory size and AQE
-    merges the small ones.
-    """
-    explicit = spark.sparkContext.getConf().contains("spark.sql.shuffle.partitions")
-    if explicit or spark.conf.get("spark.sql.shuffle.partitions") != DEFAULT_SHUFFLE_PARTITIONS:
-        return None
-    n = shuffle_partitions_for(input_bytes, spark.sparkContext.defaultParallelism)
-    spark.conf.set("spark.sql.shuffle.partitions", str(n))
-    return n
+def suggested_shuffle_partitions(spark, catalogue) -> int:
+    """A value for ``spark.sql.shuffle.partitions`` from the listed bytes of a
+    catalogue (event, path, length); the caller decides whether to set it."""
+    from pyspark.sql import functions as F
+    return shuffle_partitions_for(catalogue.agg(F.sum("length")).first()[0] or 0, spark.sparkContext.defaultParallelism)

@@ -21,6 +21,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.scalars import event_from_path, na_to_null, unescape_path
 from ..functions.text import clean_text
+from ..operators.scoring import EVENT_RESULT
 from ..session import ensure_checkpoint_dir
 
 # --- fixed values that must equal the reference --------------------------------
@@ -383,8 +384,7 @@ def write_split_object(split: DataFrame, path: str, events_per_object: int = 100
 
 def write_event_results(scored: DataFrame, path: str) -> None:
     """One JSON object per event {event_name, predicted_class, predicted_label, probabilities}."""
-    scored.select("event_name", "predicted_class", "predicted_label", "probabilities") \
-        .write.mode("overwrite").json(path)
+    scored.select(*EVENT_RESULT).write.mode("overwrite").json(path)
 
 
 def read_event_results(spark: SparkSession, path: str) -> DataFrame:

@@ -16,7 +16,7 @@ DEFAULT_YEAR = 2024
 CONV_CAP = 4
 CONV_TRUNCATE = 30
 
-# Decorations for fx_text, by doc_id % 9 (prefix, suffix); 8 = null text.
+# Decorations for fx_text, by doc_id % 14 (prefix, suffix); 8 = null text.
 TEXT_DECOR = {
     0: ("", ""),
     1: ("O网页链接", ""),
@@ -26,6 +26,11 @@ TEXT_DECOR = {
     5: ("回复@甲:", ""),
     6: ("《", "》，。！？；：（）【】、"),
     7: ("　\t", "\t　 "),
+    9: ("见 [链接](http://a.example/x) ", ""),
+    10: ("(https://b.example/p?q=1) ", " HTTP://C.example/"),
+    11: ("a.b+c@mail.example.org ", "//@某人: @another_one ok"),
+    12: ("<p class=\"x\">", "</p><br/>"),
+    13: ("😂👍", "❤️好🔥"),
 }
 
 
@@ -34,17 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table, spread over the cluster when its scan is narrow
-    (long texts, CPU-heavy cleaning)."""
-    from ..plans.tuning import spread
-    return spread(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 # ----------------------------------------------------------------------------- Spark
 
 def fx_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..plans.tuning import spread
-    e = spread(table(spark, sf_dir, "events"))  # time parsing is the CPU-heavy part
+    e = table(spark, sf_dir, "events")
     eid, uid, ts = F.col("event_id"), F.col("user_id"), F.col("ts")
     ymd_slash = F.concat_ws("/", F.year(ts), F.month(ts), F.dayofmonth(ts))
     hm = F.concat_ws(":", F.hour(ts), F.minute(ts))
@@ -71,7 +72,7 @@ def fx_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
-    k = F.col("doc_id") % 9
+    k = F.col("doc_id") % 14
     text = None
     for i, (pre, suf) in TEXT_DECOR.items():
         val = F.concat(F.lit(pre), F.col("text"), F.lit(suf))
@@ -167,7 +168,7 @@ def fx_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _text_case() -> str:
     arms = []
     for i, (pre, suf) in TEXT_DECOR.items():
-        arms.append(f"WHEN doc_id % 9 = {i} THEN '{pre}' || text || '{suf}'")
+        arms.append(f"WHEN doc_id % 14 = {i} THEN '{pre}' || text || '{suf}'")
     return "CASE " + " ".join(arms) + " END"
 
 
