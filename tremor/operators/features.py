@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-# Output order is the reference's dict order (it becomes the model vector).
+# --- fixed values that must equal the reference: feature names in its dict order,
+# which becomes the model vector.
 FEATURES = [
     "post_count", "timespan_hours", "peak_hour", "night_ratio",
     "avg_reposts", "avg_comments", "avg_likes", "engagement_ratio",
