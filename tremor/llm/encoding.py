@@ -49,7 +49,7 @@ class TextEncoder:
     """Ids as little-endian ``dtype``; special strings in a text get their ids, as
     the library does by default. Null counts as empty."""
 
-    def __init__(self, path: str, max_pieces: int = 400_000):
+    def __init__(self, path: str, max_pieces: int = 120_000):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -83,7 +83,7 @@ class TextEncoder:
         got = self.words.get(word)
         if got is None:
             shown = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.letters)
-            if len(self.words) >= 2 * self.max_pieces:
+            if len(self.words) >= self.max_pieces:
                 self.words.clear()
             got = self.words[word] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
         return got
@@ -150,7 +150,7 @@ class TextEncoder:
 class SpanEncoder:
     """Tokens of whole texts with the characters they come from."""
 
-    def __init__(self, path: str, max_pieces: int = 400_000):
+    def __init__(self, path: str, max_pieces: int = 120_000):
         self.encoder = TextEncoder(path, max_pieces)
         self.sizes: dict[str, bytes] = {}
         self.max_pieces = max_pieces
