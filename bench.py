@@ -29,6 +29,10 @@ HEADLINE = [
     "loss_ce_weighted_smoothed",  # E6
     "length_stats",         # A15
     "modality_mix",         # S12 + J5 + E15
+    "read_posts",           # S1: write event CSVs, parse them
+    "cleaned_cache",        # S5: two runs over the cache
+    "embed_posts",          # E14 over whole texts
+    "train_classifier",     # E13
 ]
 
 

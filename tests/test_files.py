@@ -121,6 +121,13 @@ def test_image_manifest_pick(spark, roots):
     assert (mix.multimodal, mix.text_only, mix.none) == (1, 1, 1)
 
 
+def test_modality_of_a_prepared_corpus(spark, roots):
+    from tremor.plans import flows
+    corpus = flows.prepare_corpus(spark, roots[0], default_year=2024, images=True)
+    mix = {r.event: (r.multimodal, r.text_only, r.none) for r in corpus.modality().collect()}
+    assert mix["ev1"] == (2, 0, 1) and mix["ev2"] == (0, 1, 0)
+
+
 def test_cleaned_cache(spark, roots, tmp_path):
     cache = str(tmp_path / "cache")
     posts = IO.read_posts(spark, roots[0]).select("event", "pos", "text")

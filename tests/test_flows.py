@@ -71,7 +71,7 @@ def test_custom_encoder_mapinpandas(spark, corpus_root):
 
     def enc(texts):
         return [[float(len(t)), float(t.count("地"))] for t in texts]
-    vecs = flows.event_vectors(corpus, "mean", encoder=enc, dim=2)
+    vecs = flows.event_vectors(corpus, "mean", encoder=enc, dim=2, add_topic=False)
     r = {x.event: x.features for x in vecs.collect()}
     assert len(r["事件0"]) == 14 and r["空事件"][:2] == [0.0, 0.0]
     with pytest.raises(ValueError):
@@ -141,3 +141,38 @@ def test_cache_run_parses_only_new_event_files(spark, corpus_root, tmp_path, mon
     assert second.posts.count() == n_first + 1     # every post once
     feats = {r.event: r.post_count for r in second.features.collect()}
     assert feats["新事件"] == 1 and feats["事件0"] == 5 and len(feats) == 26
+
+
+def test_topic_and_statistics_switches(spark, corpus_root):
+    root, _ = corpus_root
+    corpus = flows.prepare_corpus(spark, root, default_year=2024)
+
+    def enc(texts):
+        return [[float(len(t)), float(t.startswith("Topic: "))] for t in texts]
+    vecs = {r.event: r.features for r in flows.event_vectors(corpus, "cls", encoder=enc, dim=2, use_stats=False).collect()}
+    # cls pooling takes the topic sentence, also of an event without posts
+    assert vecs["事件0"] == [len("Topic: 事件0"), 1.0] and vecs["空事件"] == [len("Topic: 空事件"), 1.0]
+    plain = {r.event: r.features for r in flows.event_vectors(corpus, "cls", encoder=enc, dim=2, use_stats=False, add_topic=False).collect()}
+    assert plain["事件0"][1] == 0.0 and plain["空事件"] == [0.0, 0.0]
+
+
+def test_post_drop_and_encoder_factory(spark, corpus_root):
+    root, _ = corpus_root
+    corpus = flows.prepare_corpus(spark, root, default_year=2024)
+
+    def factory():
+        return lambda texts: [[1.0] for _ in texts]
+    full = flows.event_vectors(corpus, "mean", encoder_factory=factory, dim=1, use_stats=False, add_topic=False)
+    assert {round(r.features[0], 6) for r in full.collect()} == {0.0, 1.0}
+    a, b = (flows.event_vectors(corpus, "attentive", dim=1, encoder_factory=lambda: lambda ts: [[float(len(t))] for t in ts],
+                                use_stats=False, add_topic=False, drop_p=p).collect() for p in (0.0, 0.9))
+    assert {r.event for r in a} == {r.event for r in b} and all(r.features[0] > 0 for r in b if r.event != "空事件")
+
+
+def test_report_has_both_parts(spark, corpus_root):
+    root, levels = corpus_root
+    corpus = flows.prepare_corpus(spark, root, default_year=2024)
+    labels = spark.createDataFrame([(k, "r", v) for k, v in levels.items()], "event string, reason string, severity string")
+    _, _, report, _ = flows.train_and_evaluate(corpus, labels, max_iter=20, drop_p=0.3)
+    got = {r.part: r for r in report.collect()}
+    assert set(got) == {"train", "val"} and all(r.loss >= 0 and 0 <= r.weighted_f1 <= 1 for r in got.values())

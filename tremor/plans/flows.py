@@ -24,6 +24,7 @@ from ..operators import features as A
 from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import pooling as V
+from ..operators import profile as PR
 from ..operators import scoring as E
 from ..operators import windows as W
 from ..session import ensure_checkpoint_dir
@@ -37,14 +38,24 @@ class Corpus:
     posts: DataFrame      # event, pos, id, text (raw), clean_text, nickname, ...
     features: DataFrame   # event + 12 statistics + top_location
     catalogue: DataFrame  # event, path, root_rank
+    images: DataFrame | None = None  # event, id, path, ext: the image picked for a post
+
+    def modality(self) -> DataFrame:
+        """Per event, posts with text and image, text only, neither."""
+        if self.images is None:
+            raise ValueError("prepare the corpus with images=True")
+        posts = self.posts.select("event", "id", F.col("clean_text").alias("text"))
+        return PR.modality_mix(PR.attach_images(posts, self.images))
 
 
 def prepare_corpus(spark: SparkSession, roots: str | list[str], default_year: int | None = None,
-                   cache_path: str | None = None, events: DataFrame | None = None) -> Corpus:
+                   cache_path: str | None = None, events: DataFrame | None = None, images: bool = False) -> Corpus:
     """Read, type and clean all event posts; compute per-event statistics.
 
     The listing names the files to read (first root that has an event's file);
-    with a cache, only those of events that are not in it are parsed.
+    with a cache, only those of events that are not in it are parsed. ``images``
+    lists the events' image files too and picks one for each post (S12), reading
+    signatures to skip unreadable ones.
     """
     cat = IO.event_files(spark, roots)
     if events is not None:
@@ -58,7 +69,8 @@ def prepare_corpus(spark: SparkSession, roots: str | list[str], default_year: in
     else:
         cleaned = IO.land(IO.read_posts_of(spark, cat).withColumn("clean_text", clean_text("text")), "posts")
     features = A.event_features(cleaned, default_year, catalogue=cat)
-    return Corpus(cleaned, features, cat)
+    picked = PR.pick_images(IO.image_manifest(spark, roots, verify=True)) if images else None
+    return Corpus(cleaned, features, cat, picked)
 
 
 def event_vectors(corpus: Corpus, pooling: str = "mean", encoder: Callable | None = None, dim: int | None = None,
