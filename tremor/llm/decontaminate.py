@@ -103,15 +103,18 @@ class Block:
 
 
 def item_blocks(benchmark: DataFrame, item: str, text: str, width: int, limit: int) -> Iterator[Block]:
-    """The windows of all items in blocks of at most ``limit`` (plus one item's copies)."""
+    """The windows of all items in blocks of at most ``limit`` (window, item) pairs; a window that
+    many items share may come in several blocks."""
     windows: dict[tuple[str, ...], set] = {}
+    held = 0
     for item_id, content in benchmark.select(F.col(item).cast("string"), text).toLocalIterator():
         words = words_in(pa.array([content], pa.string()))[0].to_pylist()
         for at in range(max(1, len(words) - width + 1) if words else 0):
             windows.setdefault(tuple(words[at:at + width]), set()).add(item_id or "")
-            if len(windows) >= limit:
+            held += 1
+            if held >= limit:
                 yield Block(windows)
-                windows = {}
+                windows, held = {}, 0
     if windows:
         yield Block(windows)
 
