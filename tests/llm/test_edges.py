@@ -255,6 +255,20 @@ def test_trie_join_finds_every_link(spark, tmp_path, monkeypatch):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
 
 
+def test_trie_join_of_a_dense_cluster(spark, tmp_path, monkeypatch):
+    """All fingerprints share their first bits: the walk is dealt at deeper levels."""
+    monkeypatch.setattr(simhash, "SUBTRIE_ROWS", 8)
+    rnd = random.Random(6)
+    values = {rnd.getrandbits(24) << 20 for _ in range(300)} | {5, 7}
+    frame = spark.createDataFrame([(v,) for v in values], "fp long")
+    roots = {r["node"]: r["root"] for r in simhash.linked_components(spark, frame, f"{tmp_path}/c", 4).collect()}
+    want, groups, found = brute.components({v: v for v in values}), {}, {}
+    for v in values:
+        groups.setdefault(want[v], set()).add(v)
+        found.setdefault(roots.get(v, ("alone", v)), set()).add(v)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
+
+
 def test_chat_round_trip(spark):
     rnd = random.Random(5)
     parts = ["</s>", "[INST]", "[/INST]", "<|im_end|>", "<|im_start|>", "<|row|>", "\\", "\n", "<", "|", ">", "[", "ok", "é", "<<SYS>>", "<|", "|>", "s>", "/", " "]

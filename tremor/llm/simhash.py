@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.llm.common import LOWER_A_Z, keep_rows, scratch, spread_ranges, stored, text_bytes, text_hash, text_slices, words_of
@@ -192,15 +192,31 @@ def unit_forest(pdf: pd.DataFrame, max_bits: int, depth: int) -> pd.DataFrame:
     return pd.DataFrame({"u": back[moved].view(np.int64), "v": back[roots[moved]].view(np.int64)})
 
 
+def top_bits(half: str, fp: str, depth: int) -> Column:
+    """The first ``depth`` bits of a fingerprint with the given half on top."""
+    return F.shiftrightunsigned(F.when(F.col(half) == 0, F.col(fp)).otherwise(F.shiftleft(fp, 32)), 64 - depth)
+
+
+def top_depth(halves: DataFrame, total: int) -> int:
+    """Levels walked by dealing: enough for cells of about SUBTRIE_ROWS, and more while one
+    top-level node holds several times that many."""
+    depth = min(30, max(4, math.ceil(math.log2(max(2, total) / SUBTRIE_ROWS))))
+    while depth < 30:
+        largest = halves.groupBy("half", top_bits("half", "fp", depth).alias("p")).count().agg(F.max("count")).first()[0]
+        if (largest or 0) <= 4 * SUBTRIE_ROWS:
+            break
+        depth += 2
+    return min(depth, 30)
+
+
 def linked_components(spark: SparkSession, distinct: DataFrame, path: str, max_bits: int) -> DataFrame:
     """(node, root) of the distinct fingerprints ``fp`` that have a link."""
     total = distinct.count()
-    depth = min(30, max(4, math.ceil(math.log2(max(2, total) / SUBTRIE_ROWS))))
+    halves = distinct.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
+    depth = top_depth(halves, total)
     flips = [sum(1 << bit for bit in bits) for k in range(max_bits // 2 + 1) for bits in combinations(range(depth), k)]
     masks = F.array(*[F.lit(m) for m in flips])
-    halves = distinct.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
-    top = F.shiftrightunsigned(F.when(F.col("half") == 0, F.col("fp")).otherwise(F.shiftleft("fp", 32)), 64 - depth)
-    near = halves.withColumn("p", top).select("fp", "half", "p", F.explode(F.transform(masks, lambda m: F.col("p").bitwiseXOR(m.cast("long")))).alias("q"))
+    near = halves.withColumn("p", top_bits("half", "fp", depth)).select("fp", "half", "p", F.explode(F.transform(masks, lambda m: F.col("p").bitwiseXOR(m.cast("long")))).alias("q"))
     units = near.select("half", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "fp")
     edges = units.groupBy("half", "a", "b").applyInPandas(lambda pdf: unit_forest(pdf, max_bits, depth), "u long, v long")
     return connected_components(spark, edges, path)
