@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 
 from tremor.llm.common import prepare, spread_ranges, text_bytes, text_hash, text_slices, words_of
 
+SLICE = 1 << 20  # bytes of text whose tables are held at once
 KEEP = 0.5  # least score of a document that stays
 SAMPLE = 8_000  # documents the scorer is fitted on, about
-HASHES = 1 << 13  # hashed features of words, and as many of character shapes
-REPEATED = 2 * HASHES  # one more feature: the share of words that repeat the one before
-N_FEATURES = 2 * HASHES + 1
+HASHES = 1 << 10  # hashed features of words, and as many of character shapes
+# Bounds of the ranges that the labellers' measures fall into, a feature for each measure and range.
+STEPS = np.array([0.005, 0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.5, 2, 2.5, 3, 4, 6, 9, 12, 16])
 ROUNDS = 60
 # Prior beliefs about a labeller: how often it calls a good document bad, how many of the
 # bad ones it finds (each looks for one kind of junk), and the weight of these
@@ -40,6 +41,7 @@ ROUNDS = 60
 FALSE_ALARM, FINDS, WEIGHT_GOOD, WEIGHT_BAD = 0.001, 0.3, 10.0, 0.1
 LABELLERS = ("capitals", "symbols", "repeats", "bars", "marks", "lower_starts", "sentences", "word_length")
 
+N_FEATURES = 2 * HASHES + len(LABELLERS) * (len(STEPS) + 1)
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 UPPER = np.zeros(256, np.int64)
@@ -108,32 +110,42 @@ def tables(column: pa.Array) -> Texts:
 POWERS = np.cumprod(np.full(256, 0x100000001B3, np.uint64))
 
 
-def votes(t: Texts) -> np.ndarray:
-    """Vote of every labeller (columns) on every row: 1 good, 0 bad, -1 none."""
+def shares(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the labellers' measures by row, words, words that begin with a letter)."""
     words = t.words()
     safe = np.maximum(words, 1)
-    letters = t.per_row(UPPER[t.raw]) + t.per_row(LOWER[t.raw])
+    upper, lower = np.concatenate(([0], np.cumsum(UPPER[t.raw]))), np.concatenate(([0], np.cumsum(LOWER[t.raw])))
+    high, low = upper[t.ends] - upper[t.starts], lower[t.ends] - lower[t.starts]  # letters of each word
+    letters = t.words(high + low)
     last = t.raw[t.ends - 1]
     firsts = t.raw[t.starts]
-    capitals = t.per_row(UPPER[t.raw]) / np.maximum(letters, 1)
+    capitals = t.words((high > 1) & (low == 0)) / np.maximum(t.words(high + low > 0), 1)
     symbols = t.per_row(SYMBOL[t.raw]) / safe
     repeats = t.words(t.repeats()) / safe
     bars = t.words((last == ord("|")) & (t.ends - t.starts == 1)) / safe
     marks = t.words((last == ord("!")).astype(float)) / safe
-    lowers = t.words(LOWER[firsts]) / safe
+    opened = t.words(LOWER[firsts] + UPPER[firsts])
+    lowers = t.words(LOWER[firsts]) / np.maximum(opened, 1)
     stops = t.words(STOP[last]) / safe
     size = letters / safe
-    values = (capitals, symbols, repeats, bars, marks, lowers, stops, size)
+    return np.stack((capitals, symbols, repeats, bars, marks, lowers, stops, size), axis=1), words, opened
+
+
+def votes(t: Texts) -> np.ndarray:
+    """Vote of every labeller (columns) on every row: 1 good, 0 bad, -1 none."""
+    values, words, opened = shares(t)
+    lowers, stops, size = values[:, 5], values[:, 6], values[:, 7]
     # (good below, bad above) of each share; None: says nothing on that side
     ranges = ((0.15, 0.3), (0.05, 0.2), (0.08, 0.25), (0.02, 0.15), (0.05, 0.2), None, None, None)
     out = np.full((t.n, len(LABELLERS)), -1, np.int8)
     long = words >= 5
-    for n, (value, limits) in enumerate(zip(values, ranges, strict=True)):
+    for n, limits in enumerate(ranges):
+        value = values[:, n]
         if limits:
             out[long & (value < limits[0]), n] = 1
             out[long & (value > limits[1]), n] = 0
-    out[long & (lowers > 0.6), 5] = 1
-    out[long & (lowers < 0.35), 5] = 0
+    out[(opened >= 5) & (lowers > 0.6), 5] = 1
+    out[(opened >= 5) & (lowers < 0.35), 5] = 0
     out[long & (stops > 0.02) & (stops < 0.4), 6] = 1
     out[(words >= 60) & (stops < 0.004), 6] = 0
     out[long & (size > 2.5) & (size < 12), 7] = 1
@@ -158,10 +170,12 @@ def features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         code = HASHES + ((triple.astype(np.uint64) * ODD) >> np.uint64(64 - HASHES.bit_length() + 1)).astype(np.int64)
     count = np.maximum(np.bincount(row, minlength=t.n), 1)
-    again = t.repeats()
-    return (np.concatenate((t.rows, row, t.rows[again])),
-            np.concatenate((word, code, np.full(int(again.sum()), REPEATED))),
-            np.concatenate((1 / words[t.rows], 1 / count[row], 1 / words[t.rows[again]])))
+    values, seen, _ = shares(t)
+    steps = np.searchsorted(STEPS, values.ravel()).reshape(values.shape) + np.arange(values.shape[1]) * (len(STEPS) + 1)
+    some = np.flatnonzero(seen > 0)
+    return (np.concatenate((t.rows, row, np.repeat(some, values.shape[1]))),
+            np.concatenate((word, code, 2 * HASHES + steps[some].ravel())),
+            np.concatenate((1 / words[t.rows], 1 / count[row], np.ones(len(some) * values.shape[1]))))
 
 
 @dataclass
@@ -200,7 +214,7 @@ def fit(spark: SparkSession, docs: DataFrame, *, text: str = "text", sample: int
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", SLICE):
                 found, n = np.unique(pattern_of(votes(tables(part.column(0)))), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["pattern", "n"])
 
@@ -217,7 +231,7 @@ def fit(spark: SparkSession, docs: DataFrame, *, text: str = "text", sample: int
 
     def soft_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", SLICE):
                 t = tables(part.column(0))
                 row, feature, value = features(t)
                 key, at = np.unique(row * N_FEATURES + feature, return_inverse=True)
@@ -236,7 +250,7 @@ def fit(spark: SparkSession, docs: DataFrame, *, text: str = "text", sample: int
     try:
         if soft.select("label").distinct().count() < 2:  # all documents alike
             return Model(posterior, dict(zip(LABELLERS, accuracy.tolist(), strict=True)), np.zeros(N_FEATURES), 4.0 if good @ counts > total / 2 else -4.0)
-        trained = LogisticRegression(maxIter=30, regParam=1e-4, weightCol="weight", standardization=True).fit(soft)
+        trained = LogisticRegression(maxIter=60, regParam=1e-3, weightCol="weight", standardization=True).fit(soft)
     finally:
         soft.unpersist()
     return Model(posterior, dict(zip(LABELLERS, accuracy.tolist(), strict=True)), trained.coefficients.toArray(), float(trained.intercept))
@@ -255,7 +269,7 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     """(key, weak_posterior, score, kept) of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", SLICE):
                 weak, chance = rate(part.column(1), model)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(weak), pa.array(chance)], names=["key", "weak_posterior", "score"])
 
@@ -275,7 +289,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, *, text: str = "text", sampl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, text):
+            for part in text_slices(batch, text, SLICE):
                 yield part.filter(pa.array(rate(part.column(part.schema.get_field_index(text)), model)[1] >= KEEP))
 
     return docs.mapInArrow(run, docs.schema)
