@@ -208,6 +208,22 @@ def test_licenses_edges(spark, docs, empty):
     assert got == [(1, -1, "MIT"), (1, 1, "MIT"), (2, -1, "MIT"), (3, 0, "MIT"), (3, 0, "MIT")]
 
 
+def test_license_pruning_loses_nothing(spark, monkeypatch):
+    rnd = random.Random(7)
+    texts = [t for wordings in licenses.TEMPLATES.values() for t in wordings]
+    docs = []
+    for n in range(400):
+        words = rnd.choice(texts).split(" ")
+        for _ in range(rnd.randint(0, max(1, len(words) // 5))):  # around the threshold
+            words[rnd.randrange(len(words))] = rnd.choice(["x", "of", "the", "license", ""])
+        docs.append((n, rnd.choice(["", "Intro\n"]) + " ".join(words).swapcase()))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    pruned = sorted(tuple(r) for r in licenses.license_lines(frame).collect())
+    assert 1 <= len(licenses.needed_words(licenses.template_bigrams(licenses.TEMPLATES), 0.8)) <= 20
+    monkeypatch.setattr(licenses, "needed_words", lambda *a: [""])
+    assert pruned == sorted(tuple(r) for r in licenses.license_lines(frame).collect()) and len(pruned) > 100
+
+
 def test_quality_edges(spark, docs, empty):
     rows = quality.classify(spark, docs).collect()
     assert len(rows) == len(TEXTS) and all(0 <= r.score <= 1 for r in rows)

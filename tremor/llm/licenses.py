@@ -7,7 +7,10 @@ distinct pairs of neighbouring words. A unit matches a template when the Dice
 coefficient of the two sets is at least ``threshold``. Templates whose size lies
 outside ``threshold / (2 - threshold)`` and its inverse times the unit's size
 cannot reach it and are not compared; units that share too few pairs with all
-templates together are not either. Both bounds are exact.
+templates together are not either. A match holds at least
+``threshold / (2 - threshold)`` of the template's pairs, so texts and lines
+without any of a few words that touch the other pairs of every template are
+left out before they are cut into words. All these bounds are exact.
 
 Null and empty texts match nothing. Ties go to the template named first in
 alphabetical order. Repeated rows are reported each.
@@ -55,6 +58,32 @@ def template_bigrams(templates: dict[str, list[str]]) -> list[tuple[str, list[st
     return out
 
 
+def needed_words(templates: list[tuple[str, list[str]]], threshold: float) -> list[str]:
+    """Words of which every match of any template holds at least one (as part of a word).
+
+    Pairs free of these words are too few for a match, in every template. Chosen
+    greedily: the word that brings most templates furthest; words of up to four letters
+    only where no longer one helps, those found in few templates first.
+    """
+    open_ = [(set(bs), threshold / (2 - threshold) * len(bs)) for _, bs in templates]
+    words = sorted({w for _, bs in templates for b in bs for w in b.split(" ")}, key=lambda w: (-len(w), w))
+    common = {w: sum(any(w in b.split(" ") for b in bs) for _, bs in templates) for w in words}
+    chosen: list[str] = []
+    while any(len(free) >= most for free, most in open_):
+        gain = lambda w: sum(min(sum(w in b for b in free), len(free) - most + 1) for free, most in open_ if len(free) >= most)
+        best = max(words, key=lambda w: (gain(w) * (len(w) > 4), gain(w), -common[w]))
+        chosen.append(best)
+        open_ = [({b for b in free if best not in b}, most) for free, most in open_]
+    return chosen
+
+
+def holds_any(text: Column, words: list[str]) -> Column:
+    found = F.lit(False)
+    for w in words:
+        found = found | F.contains(text, F.lit(w))
+    return found
+
+
 def bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring words."""
     words = F.split(F.trim(F.regexp_replace(F.translate(text, A_Z, a_z), r"[^0-9a-z\x{80}-\x{10ffff}]+", " ")), " ")
@@ -85,11 +114,16 @@ def license_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", t
     """(key, unit, license, dice): every line (numbered from 0) that matches; unit -1 is a
     whole text of several lines."""
     wording = template_bigrams(templates or TEMPLATES)
-    whole = F.coalesce(F.col(text), F.lit(""))
+    words = needed_words(wording, threshold)
+    # explode_outer of one value: the filter stays above it, so the text is lower-cased once.
+    docs = docs.select(F.col(key).alias(key), F.col(text).alias("text"), F.explode_outer(F.array(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("low"))
+    docs = docs.filter(holds_any(F.col("low"), words)).select(key, "text")
+    whole = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(whole, "\n", -1)
     units = F.concat(F.transform(lines, lambda s, i: F.struct(i.alias("unit"), s.alias("s"))),
                      F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("unit"), whole.alias("s")))).otherwise(F.array().cast("array<struct<unit:int,s:string>>")))
-    exploded = docs.select(F.col(key).alias(key), F.explode_outer(units).alias("u")).select(key, "u.unit", bigrams(F.col("u.s")).alias("own"))
+    exploded = docs.select(key, F.explode_outer(units).alias("u")).filter(holds_any(F.lower(F.col("u.s")), words))
+    exploded = exploded.select(key, "u.unit", bigrams(F.col("u.s")).alias("own"))
     # explode_outer keeps the filter above the match, which is then computed once.
     found = exploded.select(key, "unit", F.explode_outer(F.array(match_bigrams(F.col("own"), wording, threshold))).alias("hit")).filter("hit is not null")
     return found.select(key, "unit", F.col("hit.name").alias("license"), F.round(-F.col("hit.rank"), 6).alias("dice"))
