@@ -307,6 +307,14 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(frame.limit(0)).collect() == []
 
 
+def test_long_documents_come_in_small_batches(spark):
+    from tremor.llm.common import prepare
+    prepare(spark)
+    frame = spark.range(60, numPartitions=1).select("id", F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    sizes = frame.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in bs), "n long").collect()
+    assert max(r.n for r in sizes) < 32 << 20 and sum(r.n for r in sizes) >= 60 << 20
+
+
 def test_keep_rows(docs):
     want = docs.filter("doc_id is null or doc_id = 9").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     assert keep_rows(docs, want).count() == 4 and keep_rows(docs, want, once=True).count() == 2

@@ -16,16 +16,16 @@ from pyspark.sql import functions as F
 
 from tremor.session import ensure_checkpoint_dir, fill_unset
 
-# Rows per Arrow batch sent to Python where the session sets none: whole
-# documents travel in these batches, so a batch is kept to a few MB of typical text.
-BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+# Size of an Arrow batch sent to Python where the session sets none: whole documents
+# travel in these batches, so one is kept to a few MB of text, long documents included.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 # Bytes of text handled at once inside a batch.
 SLICE_BYTES = 4 << 20
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def prepare(spark: SparkSession) -> None:
-    fill_unset(spark, BATCH_ROWS)
+    fill_unset(spark, BATCH_LIMITS)
     ensure_checkpoint_dir(spark)
     ship_package(spark)
 
@@ -123,6 +123,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column (null as empty) and its row offsets, from 0."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if pa.types.is_large_string(column.type):
+        column = column.cast(pa.string())
     if column.null_count:
         column = column.fill_null("")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset:column.offset + len(column) + 1]
