@@ -31,7 +31,7 @@ from tremor.llm.common import keep_rows, scratch, stored, text_bytes, text_hash,
 
 BLOCK_BYTES = 4096
 BUCKET_ROWS = 1024  # rows sorted together when names are given
-SPACE_BYTES, SPACE_ROWS = 48 << 20, 1 << 20  # of one space of local names
+SPACE_BYTES, SPACE_ROWS = 16 << 20, 1 << 20  # of one space of local names
 NAMED = pa.schema([("space", pa.int64()), ("local", pa.int32()), ("block", pa.binary()), ("row", pa.int64()), ("key", pa.int64()),
                    ("text_hash", pa.int64()), ("sha", pa.binary()), ("locals", pa.list_(pa.int32()))])
 
@@ -42,7 +42,7 @@ def local_names(docs: DataFrame, key: str, text: str, block_bytes: int) -> DataF
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        space, names, held, used = (part << 24), {}, 0, 0
+        space, names, held, used = (part << 16), {}, 0, 0
         for batch in batches:
             for piece in text_slices(batch):
                 raw, offsets = text_bytes(piece.column(2))

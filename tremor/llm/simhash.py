@@ -35,6 +35,7 @@ from tremor.llm.components import connected_components
 SEED = 42
 SUBTRIE_ROWS = 32_768  # fingerprints aimed at below one top-level node
 PAIR_CHUNK = 1 << 19  # node pairs walked at once
+SLICE = 1 << 20  # bytes of text fingerprinted at once
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 
@@ -81,7 +82,7 @@ def fingerprints(docs: DataFrame, *, width: int = 4, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE):
                 fp = fingerprint_column(part.column(2), width).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp)], names=["key", "text_hash", "fp"])
 
