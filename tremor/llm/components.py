@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tremor.llm.common import stored
 
 
+FILE_ROWS = 100_000
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, path: str) -> DataFrame:
     """(node, root) for every node of ``edges(u, v)``; root is the smallest node reachable.
 
@@ -25,15 +28,16 @@ def connected_components(spark: SparkSession, edges: DataFrame, path: str) -> Da
     last = state(current)
     while last[0]:
         turn += 1
+        parts = -(-last[0] // FILE_ROWS)  # files of a size, however many shuffle partitions there are
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        least = stored(least, f"{path}/least{turn}")  # so that AQE can split the join where a node has many neighbours
+        least = stored(least.coalesce(parts), f"{path}/least{turn}")  # so that AQE can split the join where a node has many neighbours
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, f"{path}/large{turn}")
+        large = stored(large.coalesce(parts), f"{path}/large{turn}")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        current = stored(small, f"{path}/edges{turn}")
+        current = stored(small.coalesce(parts), f"{path}/edges{turn}")
         now = state(current)
         if now == last:
             break
