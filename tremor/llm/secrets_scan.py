@@ -2,10 +2,15 @@
 
 The base layer is the text itself (null as empty). A worklist holds layers
 still to be scanned: a layer with percent escapes or Unicode escapes gives a
-layer with these undone, every run that is base64 (standard or URL alphabet)
-of readable text gives a layer of its own, and one of compressed bytes (gzip,
-zlib, bzip2, xz) a layer of the unpacked text. Every layer knows for each of
-its characters the span of the original text that it came from, so findings
+layer with these undone, one with ASCII characters in units of two or four bytes
+(UTF-16, UTF-32) a layer without the zero bytes. Every run of base64 characters
+(standard or URL alphabet) gives layers of its own, line by line and with the
+lines joined that only line breaks separate, in each of the four phases, so that
+letters glued to a payload do not hide it; bytes that are no UTF-8 stay as
+surrogates and hide nothing beside them. Compressed streams (gzip of any number of
+members, zlib, bzip2, xz) anywhere in these bytes give layers of the unpacked
+text; a stream that breaks off gives what came before. Every layer knows for each
+of its characters the span of the original text that it came from, so findings
 in any depth carry spans of the text as stored. A layer whose content has been
 seen for the same origin is not opened again: cycles end, and the list runs
 dry when nothing new unwraps.
@@ -17,7 +22,6 @@ Whole texts are scanned, without limits on length or depth.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -41,9 +45,14 @@ ASSIGN_VALUE = 6
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|%u[0-9A-Fa-f]{4}")
-HAS_ESCAPE = re.compile(r"%[0-9A-Fa-fu]|\\[uUx]|&#")
-BASE64 = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
-UNREADABLE = re.compile(r"[\x00-\x08\x0e-\x1f\x7f\ufffd]")
+WIDE = re.compile(r"(?:[\x01-\x7f]\x00){4,}[\x01-\x7f]?|(?:\x00[\x01-\x7f]){4,}|(?:[\x01-\x7f]\x00{3}){4,}|(?:\x00{3}[\x01-\x7f]){4,}")
+HAS_ESCAPE = re.compile(r"%[0-9A-Fa-fu]|\\[uUx]|&#|\x00")
+# Runs of 16 characters (the shortest finding has 12 bytes), and shorter ones that go on in the next line.
+LEAST = 16
+BASE64 = tuple(re.compile(rf"(?<![{a}])(?=[{a}]{{{LEAST}}}|[{a}]++[ \t]*[\r\n])[{a}]++(?:[ \t]*+[\r\n][ \t\r\n]*+[{a}]++)*+") for a in ("A-Za-z0-9+/", "A-Za-z0-9_-"))
+LINE = re.compile(r"[^ \t\r\n]+")
+PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|[\x08\x18\x28\x38\x48\x58\x68\x78](?=[^\x20-\x3f\x60-\x7f\xa0-\xbf\xe0-\xff])", re.S)
+PIECE = 1 << 8  # bytes given to a decompressor at once: so much is lost before an error
 Layer = tuple[str, np.ndarray, np.ndarray]
 
 
@@ -73,18 +82,22 @@ def replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return "".join((*parts, text[at:])), np.concatenate((*starts, begin[at:])), np.concatenate((*ends, stop[at:]))
 
 
-def undo_percent(run: str) -> list[tuple[str, int, int]] | None:
-    data = bytes.fromhex(run.replace("%", ""))
-    try:
-        chars = data.decode()
-    except UnicodeDecodeError:
-        return None
-    out, at = [], 0
-    for c in chars:
-        n = 3 * len(c.encode())
-        out.append((c, at, at + n))
-        at += n
-    return out
+def decoded(data: bytes) -> tuple[str, np.ndarray]:
+    """(text, bytes of each character); a byte that is no UTF-8 is a surrogate."""
+    text = data.decode("utf-8", "surrogateescape")
+    if text.isascii():
+        return text, np.ones(len(text), np.int64)
+    return text, np.fromiter((1 if "\udc80" <= c <= "\udcff" else len(c.encode()) for c in text), np.int64, len(text))
+
+
+def undo_percent(run: str) -> list[tuple[str, int, int]]:
+    chars, sizes = decoded(bytes.fromhex(run.replace("%", "")))
+    last = (3 * np.cumsum(sizes)).tolist()
+    return list(zip(chars, [0, *last[:-1]], last, strict=True))
+
+
+def undo_wide(run: str) -> list[tuple[str, int, int]]:
+    return [(c, n, n + 1) for n, c in enumerate(run) if c != "\0"]
 
 
 def undo_unicode(run: str) -> list[tuple[str, int, int]] | None:
@@ -93,56 +106,83 @@ def undo_unicode(run: str) -> list[tuple[str, int, int]] | None:
     return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else [(chr(code), 0, len(run))]
 
 
-def unpack(data: bytes) -> bytes | None:
-    """Compressed bytes unpacked; None if they are none."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompress(data, 31)
-        if len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-            return zlib.decompress(data)
-        if data[:3] == b"BZh":
-            return bz2.decompress(data)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.decompress(data)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        pass
-    return None
-
-
-def readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if not text or UNREADABLE.search(text) else text
+def stream(data: bytes, at: int) -> tuple[bytes, int]:
+    """(unpacked bytes, end) of the compressed stream at a place, as far as it is whole."""
+    kind, out, view = data[at:at + 2], [], memoryview(data)
+    make = {b"\x1f\x8b": lambda: zlib.decompressobj(31), b"BZ": bz2.BZ2Decompressor, b"\xfd7": lzma.LZMADecompressor}.get(kind, zlib.decompressobj)
+    while True:
+        unpacker, begin = make(), at
+        try:
+            while at < len(data) and not unpacker.eof:
+                piece = view[at:at + PIECE]
+                out.append(unpacker.decompress(piece))
+                at += len(piece) - len(unpacker.unused_data)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            return b"".join(out), begin
+        if not unpacker.eof or kind not in (b"\x1f\x8b", b"BZ", b"\xfd7") or data[at:at + 2] != kind:
+            return b"".join(out), at
+
+
+def unpacked(data: bytes) -> Iterator[tuple[bytes, int, int]]:
+    """(bytes, start, end) of every compressed stream, and of those inside them with the outer place."""
+    work: list[tuple[bytes, int, int]] = [(data, -1, -1)]
+    seen = set()
+    while work:
+        outer, lo, hi = work.pop()
+        at = 0
+        while m := PACKED.search(outer, at):
+            at = m.start() + 1
+            if len(m[0]) == 1 and (outer[m.start()] << 8 | outer[m.start() + 1]) % 31:
+                continue
+            got, end = stream(outer, m.start())
+            if not got:
+                continue
+            at = max(at, end)
+            new = (got, m.start(), end if end > m.start() else len(outer)) if lo < 0 else (got, lo, hi)
+            mark = (hashlib.blake2b(got, digest_size=16).digest(), *new[1:])
+            if mark not in seen:
+                seen.add(mark)
+                work.append(new)
+                yield new
+
+
+def worth(text: str) -> bool:
+    """Whether a layer holds a finding or anything to unwrap."""
+    return any(p.search(text) for p in (HAS_ESCAPE, ASSIGN, ACCESS, HEX, *BASE64))
+
+
+def open_run(run: str, begin: np.ndarray, stop: np.ndarray, url: bool) -> Iterator[Layer]:
+    """Layers of a run of base64 characters, in all four phases."""
+    for phase in range(4):
+        size = len(run) - phase
+        size -= size % 4 == 1
+        if size < LEAST:
+            break
+        data = base64.b64decode(run[phase:phase + size] + "=" * (-size % 4), altchars=b"-_" if url else None)
+        if worth(data.decode("utf-8", "surrogateescape")):
+            got, sizes = decoded(data)
+            last = np.cumsum(sizes)
+            yield got, begin[phase + (last - sizes) * 8 // 6], stop[phase + np.minimum(-(-last * 8 // 6), size) - 1]
+        for inner, a, b in unpacked(data):  # every unpacked character comes from the whole stream
+            got = inner.decode("utf-8", "surrogateescape")
+            if worth(got):
+                lo, hi = begin[phase + a * 8 // 6], stop[phase + min(-(-b * 8 // 6), size) - 1]
+                yield got, np.full(len(got), lo), np.full(len(got), hi)
 
 
 def undo_base64(layer: Layer) -> Iterator[Layer]:
     text, begin, stop = layer
     for number, pattern in enumerate(BASE64):
         for m in pattern.finditer(text):
-            run = m[0].rstrip("=")
-            if number and not ("-" in run or "_" in run) or len(run) % 4 == 1:
-                continue
-            try:
-                data = base64.b64decode(run + "=" * (-len(run) % 4), altchars=b"-_" if number else None)
-            except (binascii.Error, ValueError):
+            if number and not ("-" in m[0] or "_" in m[0]):
                 continue
-            packed = data
-            while (inner := unpack(packed)) is not None and inner != packed:
-                packed = inner
-            got = readable(packed)
-            if got is None:
-                continue
-            if packed is not data:  # every unpacked character comes from the whole run
-                lo, hi = begin[m.start()], stop[m.start() + len(run) - 1]
-                yield got, np.full(len(got), lo), np.full(len(got), hi)
-                continue
-            sizes = np.fromiter((len(c.encode()) for c in got), np.int64, len(got)) if not got.isascii() else np.ones(len(got), np.int64)
-            last = np.cumsum(sizes)
-            first = m.start() + (last - sizes) * 8 // 6
-            final = m.start() + np.minimum(-(-last * 8 // 6), len(run)) - 1
-            yield got, begin[first], stop[final]
+            lines = [line.span() for line in LINE.finditer(text, *m.span())]
+            for a, b in lines:
+                if b - a >= LEAST and (not number or "-" in text[a:b] or "_" in text[a:b]):
+                    yield from open_run(text[a:b], begin[a:b], stop[a:b], bool(number))
+            if len(lines) > 1 and sum(b - a for a, b in lines) >= LEAST:
+                at = np.concatenate([np.arange(a, b) for a, b in lines])
+                yield from open_run("".join(text[a:b] for a, b in lines), begin[at], stop[at], bool(number))
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -158,7 +198,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
         layer = work.pop()
         made = list(undo_base64(layer))
         if HAS_ESCAPE.search(layer[0]):
-            made += [x for x in (replaced(layer, PERCENT, undo_percent), replaced(layer, UNICODE, undo_unicode)) if x]
+            made += [x for x in (replaced(layer, PERCENT, undo_percent), replaced(layer, UNICODE, undo_unicode), replaced(layer, WIDE, undo_wide)) if x]
         for new in made:
             mark = (hashlib.blake2b(new[0].encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(new[1][0]) if len(new[1]) else 0, int(new[2][-1]) if len(new[2]) else 0)
             if mark in seen:
