@@ -7,7 +7,10 @@ import lzma
 import random
 import zlib
 
-from tremor.llm import secrets_scan
+import duckdb
+
+from tremor.llm import licenses, secrets_scan
+from tremor.llm.queries import ORACLES
 
 
 def test_secrets_wrapped_wide_and_glued():
@@ -38,3 +41,21 @@ def test_secrets_wrapped_wide_and_glued():
     assert [text[a:b] for a, _, b in secrets_scan.scan(text)[1]][-1].endswith(text[-1])
     words = "\n".join(["wordlist"] * 2000)
     assert secrets_scan.scan(words) == ([], [])
+
+
+def test_licenses_at_the_threshold(spark):
+    """Units with a Dice coefficient of exactly 0.8, on either side of the template's size."""
+    texts = ["Released under the MIT License - see file", "Released under the BSD 3-Clause License see the file"]
+    for wordings in licenses.TEMPLATES.values():
+        for t in wordings:
+            words = t.split(" ")
+            n = len(licenses.template_bigrams({"": [t]})[0][1])
+            texts += [" ".join((t, *(f"x{i}" for i in range(more)))) for more in range(n // 2 - 1, n // 2 + 2)]
+            texts += [" ".join(words[:len(words) - less]) for less in range(n // 3 - 1, n // 3 + 2) if less > 0]
+    rows = list(enumerate(texts))
+    found = {tuple(r) for r in licenses.license_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert found == set(con.execute(ORACLES["op7_license_scan"]).fetchall())
+    assert sum(r[3] == 0.8 for r in found) > 10

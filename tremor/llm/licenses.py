@@ -19,6 +19,7 @@ alphabetical order. Repeated rows are reported each.
 from __future__ import annotations
 
 import re
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +59,12 @@ def template_bigrams(templates: dict[str, list[str]]) -> list[tuple[str, list[st
     return out
 
 
+def ratio(threshold: float) -> tuple[int, int]:
+    """The threshold as it is written, in whole numbers: bounds on sets of words are exact with these."""
+    exact = Fraction(str(threshold))
+    return exact.numerator, exact.denominator
+
+
 def needed_words(templates: list[tuple[str, list[str]]], threshold: float) -> list[str]:
     """Words of which every match of any template holds at least one (as part of a word).
 
@@ -65,7 +72,8 @@ def needed_words(templates: list[tuple[str, list[str]]], threshold: float) -> li
     greedily: the word that brings most templates furthest; words of up to four letters
     only where no longer one helps, those found in few templates first.
     """
-    open_ = [(set(bs), threshold / (2 - threshold) * len(bs)) for _, bs in templates]
+    top, base = ratio(threshold)
+    open_ = [(set(bs), Fraction(top * len(bs), 2 * base - top)) for _, bs in templates]
     words = sorted({w for _, bs in templates for b in bs for w in b.split(" ")}, key=lambda w: (-len(w), w))
     common = {w: sum(any(w in b.split(" ") for b in bs) for _, bs in templates) for w in words}
     chosen: list[str] = []
@@ -93,20 +101,22 @@ def bigrams(text: Column) -> Column:
 def match_bigrams(own: Column, templates: list[tuple[str, list[str]]], threshold: float) -> Column:
     """Best (name, dice) struct for a set of bigrams, or null."""
     everything = F.array(*[F.lit(b) for b in sorted({b for _, bs in templates for b in bs})])
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    top, base = ratio(threshold)  # the sizes of a match are within top to other of each other
+    other = 2 * base - top
 
     def scored(own_: Column) -> Column:
         common, n = F.array_intersect(own_, everything), F.size(own_)
         hits = []
         for name, bs in templates:
             m = len(bs)
-            fits = (n >= low * m) & (n <= high * m) & (F.size(common) >= threshold * (n + m) / 2)
-            dice = 2.0 * F.size(F.array_intersect(common, F.array(*[F.lit(b) for b in bs]))) / (n + m)
-            hits.append(F.when(fits & (dice >= threshold), F.struct((-dice).alias("rank"), F.lit(name).alias("name"))))
+            fits = (n * other >= top * m) & (n * top <= other * m) & (F.size(common) * 2 * base >= (n + m) * top)
+            shared = F.size(F.array_intersect(common, F.array(*[F.lit(b) for b in bs])))
+            dice = 2.0 * shared / (n + m)
+            hits.append(F.when(fits & (shared * 2 * base >= (n + m) * top), F.struct((-dice).alias("rank"), F.lit(name).alias("name"))))
         return F.array_min(F.array_compact(F.array(*hits)))
 
     sizes = [len(bs) for _, bs in templates]
-    return F.when((F.size(own) >= low * min(sizes)) & (F.size(own) <= high * max(sizes)) & F.arrays_overlap(own, everything), scored(own))
+    return F.when((F.size(own) * other >= top * min(sizes)) & (F.size(own) * top <= other * max(sizes)) & F.arrays_overlap(own, everything), scored(own))
 
 
 def license_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8,
