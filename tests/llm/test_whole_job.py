@@ -9,7 +9,7 @@ import zlib
 
 import duckdb
 
-from tremor.llm import licenses, secrets_scan
+from tremor.llm import licenses, quality, secrets_scan
 from tremor.llm.queries import ORACLES
 
 
@@ -59,3 +59,28 @@ def test_licenses_at_the_threshold(spark):
     con.executemany("insert into documents values (?, ?)", rows)
     assert found == set(con.execute(ORACLES["op7_license_scan"]).fetchall())
     assert sum(r[3] == 0.8 for r in found) > 10
+
+
+def test_quality_sample_under_skew(spark, monkeypatch):
+    """At most ``sample`` texts, the large group of copies among them once with its share as weight."""
+    rows = [(n, f"Plain text number {n} says a few things. It goes on.") for n in range(3000)] + [(n, "BUY NOW !! | | $$$ BUY NOW !! | | $$$") for n in range(3000, 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    hashes = docs.select(quality.text_hash().alias("text_hash"))
+    hot = docs.filter("doc_id = 3000").select(quality.text_hash()).first()[0]
+    sampled, distinct = quality.priority_sample(hashes, 200)
+    weights = dict(sampled)
+    assert distinct == 3001 and len(sampled) == len(weights) == 200
+    assert weights[hot] == 2000 and 0.8 * 3000 < sum(weights.values()) - 2000 < 1.2 * 3000
+    assert quality.priority_sample(hashes, 3001)[0] != [] and set(dict(quality.priority_sample(hashes, 4000)[0]).values()) == {1.0, 2000.0}
+    fitted = []
+
+    class Seen(quality.LogisticRegression):
+        def fit(self, table):
+            fitted.extend(table.collect())
+            return super().fit(table)
+
+    monkeypatch.setattr(quality, "LogisticRegression", Seen)
+    quality.fit(spark, docs, sample=200)
+    assert len({r.features for r in fitted}) <= 200 and len(fitted) <= 2 * 200
+    share = sum(r.weight for r in fitted if r.weight > 1000) / sum(r.weight for r in fitted)
+    assert 0.3 < share < 0.5

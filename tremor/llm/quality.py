@@ -5,8 +5,10 @@ Expectation-maximisation over the counts of all vote patterns (all documents;
 at most 3**labellers rows) estimates how each labeller votes on good and on
 bad documents, and gives every pattern a posterior. The posteriors, as soft
 labels, train a linear scorer on hashed features (logistic regression) over a
-sample of at most about ``sample`` documents, chosen by text hash. The scorer
-then rates every whole document; ``kept`` means a probability of 0.5 or more.
+priority sample of at most ``sample`` distinct texts: a text of many copies is
+likelier to be in it, one that holds more than its share of the rows always is,
+and weights make up for that, so the sample stands for the rows of the corpus
+under any skew. The scorer then rates every whole document; ``kept`` means a probability of 0.5 or more.
 
 Null and empty texts have no votes and no features: their score is that of the
 intercept alone. Null keys are scored like others, repeated rows get equal
@@ -29,7 +31,7 @@ from tremor.llm.common import prepare, spread_ranges, text_bytes, text_hash, tex
 
 SLICE = 1 << 20  # bytes of text whose tables are held at once
 KEEP = 0.5  # least score of a document that stays
-SAMPLE = 8_000  # documents the scorer is fitted on, about
+SAMPLE = 8_000  # distinct texts the scorer is fitted on, at most
 HASHES = 1 << 10  # hashed features of words, and as many of character shapes
 # Bounds of the ranges that the labellers' measures fall into, a feature for each measure and range.
 STEPS = np.array([0.005, 0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.5, 2, 2.5, 3, 4, 6, 9, 12, 16])
@@ -209,6 +211,30 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
     return good, accuracy
 
 
+def priority_sample(texts: DataFrame, sample: int) -> tuple[list[tuple[int, float]], int]:
+    """((text hash, weight) of at most ``sample`` distinct texts, distinct texts in all).
+
+    A text with n rows has priority n / u, u in (0, 1] from its salted hash. The highest
+    priorities are taken; a weight is n, or the first priority left out if that is more.
+    """
+    u = (F.shiftrightunsigned(F.xxhash64("text_hash", F.lit(7)), 11) + 1) / float(1 << 53)
+    ranked = texts.groupBy("text_hash").agg(F.count("*").alias("n")).select("text_hash", "n", (F.col("n") / u).alias("priority")).cache()
+    try:
+        # Counts by size of priority bring the rows that come to the driver down to little more than the sample.
+        sizes = ranked.groupBy(F.floor(F.log2("priority") * 8).alias("size")).count().orderBy(F.desc("size")).collect()
+        above, least = 0, 0
+        for r in sizes:
+            above, least = above + r["count"], r["size"]
+            if above > sample:
+                break
+        top = ranked.filter(F.floor(F.log2("priority") * 8) >= least).collect()
+    finally:
+        ranked.unpersist()
+    top.sort(key=lambda r: (-r.priority, r.text_hash))
+    limit = top[sample].priority if len(top) > sample else 0.0
+    return [(r.text_hash, float(max(r.n, limit))) for r in top[:sample]], sum(r["count"] for r in sizes)
+
+
 def fit(spark: SparkSession, docs: DataFrame, *, text: str = "text", sample: int = SAMPLE) -> Model:
     texts = docs.select(F.col(text).alias("text"), text_hash(text).alias("text_hash"))
 
@@ -226,12 +252,18 @@ def fit(spark: SparkSession, docs: DataFrame, *, text: str = "text", sample: int
     good, accuracy = fit_labels(ids, counts)
     posterior = dict(zip(ids.tolist(), good.tolist(), strict=True))
     total = int(counts.sum())
-    slots = max(1, total // sample)
-    chosen = texts.filter(F.pmod(F.xxhash64("text_hash", F.lit(7)), F.lit(slots)) == 0)
+    sampled, distinct = priority_sample(texts, sample)
+    weight_of = dict(sampled)
+    chosen = texts
+    if distinct > len(sampled):  # the table of at most ``sample`` hashes goes to every task
+        chosen = texts.join(F.broadcast(spark.createDataFrame([(h,) for h, _ in sampled], "text_hash long")), "text_hash").select("text", "text_hash")
 
     def soft_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()  # a task gives each text once
         for batch in batches:
-            for part in text_slices(batch, "text", SLICE):
+            hashes = batch.column(1).to_pylist()
+            first = [n for n, h in enumerate(hashes) if h not in met and not met.add(h)]
+            for part in text_slices(batch.take(pa.array(first, pa.int64())), "text", SLICE):
                 t = tables(part.column(0))
                 row, feature, value = features(t)
                 key, at = np.unique(row * N_FEATURES + feature, return_inverse=True)
@@ -239,14 +271,15 @@ def fit(spark: SparkSession, docs: DataFrame, *, text: str = "text", sample: int
                 bounds = np.searchsorted(key // N_FEATURES, np.arange(t.n + 1))
                 label = [posterior[p] for p in pattern_of(votes(t)).tolist()]
                 lists = pa.array(bounds.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(label), pa.ListArray.from_arrays(lists, pa.array((key % N_FEATURES).astype(np.int32))),
-                                                  pa.ListArray.from_arrays(lists, pa.array(sums))], names=["good", "at", "value"])
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([weight_of[h] for h in part.column(1).to_pylist()], pa.float64()), pa.array(label), pa.ListArray.from_arrays(lists, pa.array((key % N_FEATURES).astype(np.int32))),
+                                                  pa.ListArray.from_arrays(lists, pa.array(sums))], names=["text_hash", "rows", "good", "at", "value"])
 
     vector = F.udf(lambda at, value: SparseVector(N_FEATURES, at, value), VectorUDT())  # over the bounded sample only
-    rows = chosen.mapInArrow(soft_labels, "good double, at array<int>, value array<double>").select("good", vector("at", "value").alias("features"))
-    soft = rows.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("good").alias("weight")),
-                                                     F.struct(F.lit(0.0).alias("label"), (1 - F.col("good")).alias("weight")))).alias("l")).select("features", "l.*")
-    soft = soft.filter("weight > 0.01").cache()
+    rows = chosen.mapInArrow(soft_labels, "text_hash long, rows double, good double, at array<int>, value array<double>").dropDuplicates(["text_hash"])
+    rows = rows.select("rows", "good", vector("at", "value").alias("features"))
+    soft = rows.select("features", "rows", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("good").alias("weight")),
+                                                     F.struct(F.lit(0.0).alias("label"), (1 - F.col("good")).alias("weight")))).alias("l")).select("features", "rows", "l.*")
+    soft = soft.filter("weight > 0.01").withColumn("weight", F.col("weight") * F.col("rows")).drop("rows").cache()
     try:
         if soft.select("label").distinct().count() < 2:  # all documents alike
             return Model(posterior, dict(zip(LABELLERS, accuracy.tolist(), strict=True)), np.zeros(N_FEATURES), 4.0 if good @ counts > total / 2 else -4.0)
