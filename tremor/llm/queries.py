@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm import chat, decontaminate, exact_dedup, licenses, packing, quality, secrets_scan, simhash, token_counts, token_shards
+from tremor.llm import chat, decontaminate, exact_dedup, fim, licenses, packing, quality, ranked_search, secrets_scan, simhash, substrings, token_counts, token_shards
 from tremor.llm.common import read_table, scratch
 
 END_ID = 2
@@ -73,8 +73,24 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = fim.fill_in_middle(spark, read_table(spark, sf_dir, "documents"), salt="1")
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.find_repeats(spark, read_table(spark, sf_dir, "documents"), width=35)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return ranked_search.search(spark, docs, benchmark, k=10).select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES = {f.__name__: f for f in (op1_token_shards, op2_secret_scan, op3_decontaminate, op4_token_counts, op5_exact_dedup, op6_packing,
-                                   op7_license_scan, op8_quality, op9_simhash, op10_chat_format)}
+                                   op7_license_scan, op8_quality, op9_simhash, op10_chat_format,
+                                   op11_fill_in_middle, op12_substring_dedup, op13_ranked_search)}
 
 
 def sql_text(value: str) -> str:
@@ -131,4 +147,43 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_license_scan": OP7_SQL, "op10_chat_format": OP10_SQL}
+OP11_SQL = """
+WITH t AS (SELECT doc_id, text, w, CAST(len(w) AS BIGINT) AS n, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h
+           FROM (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w FROM documents)),
+c AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+                  WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (SELECT *, array_to_string(w[1:least(a, b)], '') AS prefix, array_to_string(w[least(a, b) + 1:greatest(a, b)], '') AS middle,
+             array_to_string(w[greatest(a, b) + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT row, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT row, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+hit AS (SELECT DISTINCT row, unnest(range(i, i + 35)) AS spot FROM (SELECT row, i, count(*) OVER (PARTITION BY g) AS n FROM g) WHERE n > 1),
+words AS (SELECT row, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS spot FROM d),
+kept AS (SELECT row, string_agg(word, ' ' ORDER BY spot) AS kept, count(*) AS n FROM words ANTI JOIN hit USING (row, spot) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (row)
+"""
+
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({LOW.format('text')}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all({LOW.format('text')}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark),
+size AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+post AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM d) GROUP BY row, term),
+asked AS (SELECT item, item_id, term, count(*) AS times FROM (SELECT item, item_id, unnest(w) AS term FROM b) GROUP BY item, item_id, term),
+weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(size.docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM post, size GROUP BY term),
+norm AS (SELECT row, doc_id, 25 + (75 * len(w) * docs) // terms AS m FROM d, size),
+scored AS (SELECT item, item_id, row, doc_id, CAST(sum(times * weight.w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+           FROM asked JOIN post USING (term) JOIN weight USING (term) JOIN norm USING (row) GROUP BY item, item_id, row, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_license_scan": OP7_SQL, "op10_chat_format": OP10_SQL,
+                           "op11_fill_in_middle": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_ranked_search": OP13_SQL}
