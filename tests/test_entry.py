@@ -16,8 +16,11 @@ def test_entry_smoke(spark):
     assert df.columns[:2] == ["event", "post_count"]
 
 
+WITHOUT_SQL = {"segment_words"}  # compared with a plain version in test_lexicon.py
+
+
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - WITHOUT_SQL == set(ORACLES)
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
@@ -26,7 +29,7 @@ def con():
     return duck(SF_SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF_SMALL)
     spdf = df.toPandas()
@@ -39,7 +42,7 @@ def test_query_matches_oracle(spark, con, name):
 
 
 WRITES_OR_TRAINS = {"write_results", "split_files", "post_results_csv", "catalogue_listing", "cleaned_cache",
-                    "stream_cache", "read_posts", "train_classifier", "write_table", "label_json", "read_two_roots"}
+                    "stream_cache", "read_posts", "train_classifier", "write_table", "label_json", "read_two_roots", "ingest_errors", "epoch_batches"}
 
 
 def test_no_cross_join_or_row_python_in_any_query(spark):

@@ -186,9 +186,16 @@ def test_paths_reach_the_reader_in_batches(spark, roots, monkeypatch):
     assert many == rows(IO.read_posts(spark, list(roots)), "event", "pos", "text")
 
 
-def test_large_split_objects_are_read_back_whole(spark, tmp_path):
-    split = spark.range(25).select(F.concat(F.lit("e"), F.col("id")).alias("event"), F.when(F.col("id") % 3 == 0, "val").otherwise("train").alias("part"))
-    IO.write_split_object(split, str(tmp_path / "o"), events_per_object=4)
+def test_split_object_is_one_object_at_every_size(spark, tmp_path):
+    split = spark.range(2500).select(F.concat(F.lit('e" \\ é'), F.col("id")).alias("event"), F.when(F.col("id") % 3 == 0, "val").otherwise("train").alias("part")).repartition(5)
+    for n, part in enumerate((split, split.where("part = 'val'"), split.limit(0))):
+        IO.write_split_object(part, str(tmp_path / f"o{n}"))
+        (name,) = [f for f in os.listdir(tmp_path / f"o{n}") if f.startswith("part-")]
+        with open(tmp_path / f"o{n}" / name, encoding="utf-8") as f:
+            got = json.load(f)
+        assert set(got) == {"train_topics", "val_topics"}
+        assert sorted([(e, "train") for e in got["train_topics"]] + [(e, "val") for e in got["val_topics"]]) == rows(part, "event", "part")
+    IO.write_split_object(split, str(tmp_path / "o"))
     assert rows(IO.read_split(spark, str(tmp_path / "o")), "event", "part") == rows(split, "event", "part")
 
 

@@ -130,12 +130,12 @@ def test_cache_run_parses_only_new_event_files(spark, corpus_root, tmp_path, mon
     with open(f"{mine}/新事件/新事件.csv", "w", encoding="utf-8") as f:
         f.write("id,用户昵称,微博正文,发布时间\n1,u1,新的帖子,2025-01-03 08:00\n")
     seen = []
-    real = IO.read_posts_of
+    real = IO.ingest
 
     def spy(spark_, files, *a, **k):
         seen.append(sorted(r.event for r in files.select("event").collect()))
         return real(spark_, files, *a, **k)
-    monkeypatch.setattr(IO, "read_posts_of", spy)
+    monkeypatch.setattr(IO, "ingest", spy)
     second = flows.prepare_corpus(spark, mine, default_year=2024, cache_path=cache)
     assert seen == [["新事件"]]                     # cached events' CSVs are not parsed again
     assert second.posts.count() == n_first + 1     # every post once

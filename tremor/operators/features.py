@@ -119,6 +119,63 @@ def event_features(posts: DataFrame, default_year: int | None = None,
     return _finish(agg, catalogue)
 
 
+STATE_SUMS = ("n", "s_reposts", "s_comments", "s_likes", "n_ts", "n_night")
+USER_SKETCH = 12  # log2 of the sketch's buckets: a relative standard error of about 1.6 %
+
+
+def feature_state(posts: DataFrame, default_year: int | None = None, sketch: int = USER_SKETCH) -> DataFrame:
+    """A mergeable state of the statistics A1-A11 of these posts.
+
+    (event, facet, key, n, first_pos, sums, ts_min, ts_max, flags, users): one row for all posts of an
+    event, one for each hour and one for each location. ``users`` is a HyperLogLog sketch of the
+    nicknames on the first; all else is exact. States of disjoint sets of posts merge.
+    """
+    typed = typed_posts(posts, default_year)
+    measures = [F.col("reposts"), F.col("comments"), F.col("likes"), F.col("ts"), S.is_night("ts").cast("int"), F.col("nickname")]
+    names = ["reposts", "comments", "likes", "ts", "night", "user"]
+    nothing = [F.lit(None).cast(t) for t in ("double", "double", "double", "timestamp_ntz", "int", "string")]
+
+    def facet(kind, key, values):
+        return F.struct(F.lit(kind).alias("facet"), key.cast("string").alias("key"), *[v.alias(n) for v, n in zip(values, names)])
+
+    rows = typed.select("event", "pos", *_FLAGS, F.inline(F.array(
+        facet("all", F.lit(""), measures), facet("hour", F.when(F.col("ts").isNotNull(), F.hour("ts")), nothing),
+        facet("location", F.col("location"), nothing)))).where(F.col("key").isNotNull())
+    state = rows.groupBy("event", "facet", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"),
+        F.sum("reposts").alias("s_reposts"), F.sum("comments").alias("s_comments"), F.sum("likes").alias("s_likes"),
+        F.count("ts").alias("n_ts"), F.sum("night").alias("n_night"), F.min("ts").alias("ts_min"), F.max("ts").alias("ts_max"),
+        *[F.max(F.col(f).cast("int")).alias(f) for f in _FLAGS], F.hll_sketch_agg("user", F.lit(sketch)).alias("users"))
+    return state.withColumn("users", F.when(F.col("facet") == "all", F.col("users")))
+
+
+def merge_states(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """One state of the posts of several states."""
+    rows = first
+    for other in others:
+        rows = rows.unionByName(other)
+    merged = rows.groupBy("event", "facet", "key").agg(
+        *[F.sum(c).alias(c) for c in STATE_SUMS], F.min("first_pos").alias("first_pos"), F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"),
+        *[F.max(f).alias(f) for f in _FLAGS], F.hll_union_agg("users").alias("users"))
+    return merged.withColumn("users", F.when(F.col("facet") == "all", F.col("users"))).select(*first.columns)
+
+
+def features_of_state(state: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
+    """The statistics of ``event_features`` from a state; ``unique_users`` and ``user_post_ratio`` are estimates."""
+    is_all, is_hour, is_place = (F.col("facet") == k for k in ("all", "hour", "location"))
+    hour_code = F.col("n") * 32 + (31 - F.when(is_hour, F.col("key")).cast("long"))
+    agg = state.groupBy("event").agg(
+        F.sum(F.when(is_all, F.col("n"))).alias("post_count"),
+        *[F.sum(c).alias(c) for c in ("s_reposts", "s_comments", "s_likes", "n_night")],
+        F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"), F.sum(F.when(is_all, F.col("n_ts"))).alias("n_ts"),
+        (31 - F.max(hour_code) % 32).alias("peak"),
+        F.max(F.when(is_all, F.hll_sketch_estimate("users"))).alias("n_users"),
+        F.count(F.when(is_place, F.lit(1))).alias("n_locations"), F.max(F.when(is_place, F.col("n"))).alias("top_n"),
+        F.max_by(F.when(is_place, F.col("key")), F.when(is_place, F.struct(F.col("n"), -F.col("first_pos")))).alias("top_loc"),
+        *[(F.max(f) == 1).alias(f) for f in _FLAGS])
+    return _finish(agg, catalogue)
+
+
 def location_stats(typed: DataFrame) -> DataFrame:
     """A9-A11 inputs: number of locations, count of the most frequent one and
     its name (first seen on ties), from an (event, location) pre-aggregate."""

@@ -95,6 +95,12 @@ def level_distribution(split: DataFrame) -> DataFrame:
     return split.groupBy("part", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
+def level_rollup(split: DataFrame) -> DataFrame:
+    """A13 with totals: (part, level, n, totals) for each part and level (totals 0), each part
+    (1, level null) and all (3, part and level null)."""
+    return split.rollup("part", "level").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("totals"))
+
+
 def class_count(labels: DataFrame) -> DataFrame:
     """A14."""
     return labels.agg(F.count_distinct("level").alias("n_classes"))

@@ -1,25 +1,35 @@
 """Pooling post vectors into event vectors.
 
 Input: posts(event, pos, vec ARRAY<DOUBLE>, valid BOOLEAN[, score DOUBLE]).
-``vec`` may also be an ML vector, which stays sparse up to the pool. Vectors are
-summed element-wise by an ML ``Summarizer`` (one vector buffer per event and
-map partition, partial aggregation before the shuffle); softmax sums go by
-(event, salt) first. So a hot event never lands as raw rows on one task and
-nothing is exploded.
+Arrays are summed element-wise by an ML ``Summarizer`` (one vector buffer per
+event and map partition, partial aggregation before the shuffle); softmax sums
+go by (event, salt) first. So a hot event never lands as raw rows on one task.
+
+``vec`` may also be a sparse struct (``sparse.SPARSE``) or a Spark ML vector: mean,
+max, cls and attentive pooling then add up (event, index, value) rows with partial
+aggregation and give the same arrays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sparse as SP
+
 # --- fixed values that must equal the reference --------------------------------
 EPS = 1e-10          # mean-pool denominator guard
 MASK_SCORE = -1e9    # score given to invalid posts before the softmax
 # -------------------------------------------------------------------------------
 SALTS = 64           # parts of an event in the softmax sums
+SCORED_ROWS = 256    # posts multiplied with the score network's weights at once
 
 
 def _vsum(vec_col: F.Column, weight: F.Column | None = None) -> F.Column:
@@ -39,6 +49,12 @@ def _zeros(dim: F.Column) -> F.Column:
 
 def mean_pool(posts: DataFrame, vec: str = "vec", valid: str = "valid") -> DataFrame:
     """V1: sum over valid posts / (n_valid + 1e-10); zero vector when none."""
+    if SP.is_sparse(posts, vec):
+        posts = SP.as_struct(posts, vec)
+        sizes = SP.sizes_of(posts, vec, valid)
+        sums = SP.entries_of(posts.where(valid), vec, "event").groupBy("event", "i").agg(F.sum("v").alias("s"))
+        mean = sums.join(sizes.select("event", "n_valid"), "event").select("event", "i", (F.col("s") / (F.col("n_valid") + EPS)).alias("v"))
+        return SP.event_vectors(mean, sizes).select("event", "vec", "n_valid")
     ok = F.col(valid)
     zero = F.array_repeat(F.lit(0.0), F.size(vec))
     agg = posts.groupBy("event").agg(
@@ -54,6 +70,15 @@ def mean_pool(posts: DataFrame, vec: str = "vec", valid: str = "valid") -> DataF
 def max_pool(posts: DataFrame, vec: str = "vec", valid: str = "valid", compat_inf: bool = False) -> DataFrame:
     """V2: element-wise max over valid posts. No valid post -> null vector
     (``compat_inf=True`` gives the reference's -inf vector)."""
+    if SP.is_sparse(posts, vec):
+        posts = SP.as_struct(posts, vec)
+        sizes = SP.sizes_of(posts, vec, valid)
+        tops = SP.entries_of(posts.where(valid), vec, "event").groupBy("event", "i").agg(F.max("v").alias("m"), F.count(F.lit(1)).alias("c"))
+        # a post that does not store an index has a zero there
+        values = tops.join(sizes.select("event", "n_valid"), "event").select(
+            "event", "i", F.when(F.col("c") < F.col("n_valid"), F.greatest("m", F.lit(0.0))).otherwise(F.col("m")).alias("v"))
+        none = F.array_repeat(F.lit(float("-inf")), F.col("dim")) if compat_inf else F.lit(None).cast("array<double>")
+        return SP.event_vectors(values, sizes).select("event", F.when(F.col("n_valid") > 0, F.col("vec")).otherwise(none).alias("vec"), "n_valid")
     ok = F.col(valid)
     floor = F.array_repeat(F.lit(float("-inf")), F.size(vec))
     agg = posts.groupBy("event").agg(
@@ -73,7 +98,10 @@ def cls_pool(posts: DataFrame, vec: str = "vec") -> DataFrame:
     fetched with a semi-join on (event, pos), never sorting the posts.
     """
     first = posts.groupBy("event").agg(F.min("pos").alias("pos"))
-    return posts.join(first, ["event", "pos"], "left_semi").select("event", F.col(vec).alias("vec"))
+    found = posts.join(first, ["event", "pos"], "left_semi")
+    if SP.is_sparse(posts, vec):
+        return SP.as_struct(found, vec).select("event", SP.dense(vec).alias("vec"))
+    return found.select("event", F.col(vec).alias("vec"))
 
 
 def _salted(posts: DataFrame) -> DataFrame:
@@ -110,6 +138,11 @@ def attentive_pool(posts: DataFrame, vec: str = "vec", valid: str = "valid", sco
     Softmax sums of each (event, salt) are brought to the event's maximum by
     ``exp(part maximum - maximum)`` and added up.
     """
+    if SP.is_sparse(posts, vec):
+        posts = SP.as_struct(posts, vec)
+        values = SP.entries_of(_weighted(posts, _masked(score, valid), vec), vec, "event", "alpha")
+        sums = values.groupBy("event", "i").agg(F.sum(F.col("alpha") * F.col("v")).alias("v"))
+        return SP.event_vectors(sums, SP.sizes_of(posts, vec, valid)).select("event", "vec")
     parts = _merged_parts(_softmax_parts(posts, _masked(score, valid), vec))
     agg = parts.groupBy("event").agg(_vsum(F.col("_s"), F.col("_f")).alias("s"), F.sum(F.col("_z") * F.col("_f")).alias("z"))
     return agg.select("event", F.transform("s", lambda x: x / F.col("z")).alias("vec"))
@@ -118,12 +151,63 @@ def attentive_pool(posts: DataFrame, vec: str = "vec", valid: str = "valid", sco
 def attention_weights(posts: DataFrame, valid: str = "valid", score: str = "score") -> DataFrame:
     """V4's second output: alpha per post. The event's maximum and sum are repeated for
     each salt, so the posts are joined on (event, salt)."""
-    masked = _masked(score, valid)
+    return _weighted(posts, _masked(score, valid)).select("event", "pos", "alpha")
+
+
+def _weighted(posts: DataFrame, masked: F.Column, *keep: str) -> DataFrame:
+    """(event, pos, kept columns, alpha): the softmax weight of every post."""
     parts = _merged_parts(_softmax_parts(posts, masked, None))
     total = parts.groupBy("event").agg(F.max("_top").alias("_top"), F.sum(F.col("_z") * F.col("_f")).alias("_z"))
     spread = total.select("event", "_top", "_z", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    rows = _salted(posts).select("event", "_salt", "pos", masked.alias("_score"))
-    return rows.join(spread, ["event", "_salt"]).select("event", "pos", (F.exp(F.col("_score") - F.col("_top")) / F.col("_z")).alias("alpha"))
+    rows = _salted(posts).select("event", "_salt", "pos", masked.alias("_score"), *keep)
+    return rows.join(spread, ["event", "_salt"]).select("event", "pos", *keep, (F.exp(F.col("_score") - F.col("_top")) / F.col("_z")).alias("alpha"))
+
+
+def attention_score(posts: DataFrame, weights: DataFrame, vec: str = "vec", out: str = "score", max_bytes: int = 64 << 20) -> DataFrame:
+    """V4's score network: ``sum over units of v * tanh(w . x + b)`` for every post, in ``out``.
+
+    ``weights(unit, w ARRAY<DOUBLE>, b DOUBLE, v DOUBLE)`` has a row for each hidden unit. They are
+    sent to the tasks in blocks of at most ``max_bytes``; one block after the other adds its units' part,
+    so a network of any size is scored. Posts may be arrays, sparse structs or ML vectors; a null
+    vector has a null score.
+    """
+    known = SP.is_sparse(posts, vec)
+    posts = SP.as_struct(posts, vec) if known else posts
+    width = weights.agg(F.max(F.size("w"))).first()[0]
+    if width is None:
+        return posts.withColumn(out, F.when(F.col(vec).isNotNull(), F.lit(0.0)))
+    per_block = max(1, max_bytes // (8 * (width + 2)))
+    ordered = weights.orderBy("unit").select("w", "b", "v").toLocalIterator()
+    scored = posts.withColumn(out, F.when(F.col(vec).isNotNull(), F.lit(0.0)))
+    while block := list(islice(ordered, per_block)):
+        matrix, bias, factor = (np.array([r[n] for r in block], float) for n in range(3))
+        scored = _add_units(scored, vec, out, posts.sparkSession.sparkContext.broadcast((matrix, bias, factor)), known)
+    return scored
+
+
+def _add_units(posts: DataFrame, vec: str, out: str, shared, known: bool) -> DataFrame:
+    at, to = posts.columns.index(vec), posts.columns.index(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, bias, factor = shared.value
+        for batch in batches:
+            total = batch.column(to).to_numpy(zero_copy_only=False).astype(float)
+            filled = np.flatnonzero(np.asarray(batch.column(at).is_valid()))
+            for n in range(0, len(filled), SCORED_ROWS):
+                rows = filled[n:n + SCORED_ROWS]
+                column = batch.column(at).take(pa.array(rows))
+                if known:
+                    x = np.zeros((len(rows), matrix.shape[1]))
+                    lists = column.field("indices")
+                    x[np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = column.field("values").flatten().to_numpy()
+                else:
+                    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
+                total[rows] += np.tanh(x @ matrix.T + bias) @ factor
+            columns = list(batch.columns)
+            columns[to] = pa.array(total, pa.float64(), mask=np.isnan(total) & ~np.isin(np.arange(len(total)), filled))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return posts.mapInArrow(run, posts.schema)
 
 
 def attentive_pool_unmasked(posts: DataFrame, n_slots: int, pad_score: float = 0.0,

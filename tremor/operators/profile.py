@@ -6,11 +6,14 @@ then count per bin.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import modality
 from ..functions.text import char_length, is_valid, token_count
+from .cleaning import spread
 
 N_BINS = 50  # reference histogram bins
 
@@ -30,19 +33,21 @@ def corpus_summary(posts: DataFrame, text_col: str = "text", cached: DataFrame |
     return per_event.agg(*aggs)
 
 
-def lengths(posts: DataFrame, text_col: str = "text") -> DataFrame:
-    """Per valid post: word (whitespace token) and character lengths."""
-    return posts.where(is_valid(text_col)).select(
-        "event", token_count(text_col).cast("long").alias("words"), char_length(text_col).cast("long").alias("chars"))
+def lengths(posts: DataFrame, text_col: str = "text", segmenter: Callable[[Column], Column] | None = None,
+            partitions: int | None = None) -> DataFrame:
+    """Per valid post: word and character lengths (P14); words are whitespace tokens, or those of ``segmenter``."""
+    return spread(posts, partitions).where(is_valid(text_col)).select(
+        "event", token_count(text_col, segmenter).cast("long").alias("words"), char_length(text_col).cast("long").alias("chars"))
 
 
-def length_stats(posts: DataFrame, text_col: str = "text") -> DataFrame:
+def length_stats(posts: DataFrame, text_col: str = "text", segmenter: Callable[[Column], Column] | None = None,
+                 partitions: int | None = None) -> DataFrame:
     """Mean, median, min, max and population std of words and chars.
 
     The exact median keeps one counter per distinct length, so its buffer is
     bounded by the length range.
     """
-    ln = lengths(posts, text_col)
+    ln = lengths(posts, text_col, segmenter, partitions)
     aggs = []
     for c in ("words", "chars"):
         aggs += [F.avg(c).alias(f"{c}_mean"), F.median(c).alias(f"{c}_median"),
@@ -63,13 +68,14 @@ def histogram(values: DataFrame, col: str, bins: int = N_BINS) -> DataFrame:
             .select("bin", F.lit(lo).alias("min"), F.lit(hi).alias("max"), "n"))
 
 
-def length_histogram(posts: DataFrame, text_col: str = "text", bins: int = N_BINS) -> DataFrame:
+def length_histogram(posts: DataFrame, text_col: str = "text", bins: int = N_BINS, segmenter: Callable[[Column], Column] | None = None,
+                     partitions: int | None = None) -> DataFrame:
     """A16 over word and char lengths: (measure, bin, n).
 
     One pass over the texts: both measures are stacked and reduced to one row
     per (measure, distinct value) before the per-measure range and binning.
     """
-    ln = lengths(posts, text_col)
+    ln = lengths(posts, text_col, segmenter, partitions)
     stacked = ln.select(F.inline(F.array(
         F.struct(F.lit("words").alias("measure"), F.col("words").cast("double").alias("x")),
         F.struct(F.lit("chars").alias("measure"), F.col("chars").cast("double").alias("x")))))

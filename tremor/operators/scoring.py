@@ -1,8 +1,8 @@
 """Scoring, prediction results, embedding and the classifier.
 
 The reference's neural encoder and fusion MLP are not rebuilt; instead:
-* ``embed`` runs a caller-supplied encoder over Arrow batches of non-blank
-  posts (``mapInPandas``), or a JVM-only char-bigram hashing embedding;
+* ``embed`` runs a caller-supplied encoder over batches of non-blank posts
+  (``mapInPandas``), or a char-bigram hashing embedding with sparse vectors;
 * ``train_classifier`` fits a Spark ML multinomial logistic regression (or an
   MLP) on event vector ⊕ statistics, with class weights.
 """
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import LEVEL_TO_LABEL, argmax, level_label, result_id, softmax
 from ..functions.text import is_valid, truncate_len
+from .cleaning import spread
+from .sparse import bigram_vectors
 
 # --- fixed values that must equal the reference: result columns -----------------
 EVENT_RESULT = ["event_name", "predicted_class", "predicted_label", "probabilities"]
@@ -74,11 +76,13 @@ def batch_predict(requested: DataFrame, scored: DataFrame, reason: str = "event
 # ----------------------------------------------------------------------------- E14
 
 EMBED_DIM = 1 << 12  # hashed bigram buckets of the default embedding
+ENCODE_BATCH = 512  # fixed value: posts given to an encoder at once, at most
 
 
 def hashed_bigram_embedding(posts: DataFrame, text_col: str = "text", num_features: int = EMBED_DIM,
                             max_len: int | None = None) -> DataFrame:
-    """Default JVM-only post embedding: char bigrams -> HashingTF -> L2 norm.
+    """Char bigrams -> HashingTF -> L2 norm by Spark ML, as whole arrays: the vectors of
+    ``sparse.bigram_vectors`` for callers that need an array for each post.
 
     Only non-blank posts are embedded (blank ones are left to the caller as
     zero / invalid). ``max_len`` (P6) cuts posts first; by default whole texts are embedded.
@@ -94,18 +98,35 @@ def hashed_bigram_embedding(posts: DataFrame, text_col: str = "text", num_featur
     return emb.withColumn("vec", vector_to_array("_emb")).drop("_chars", "_bigrams", "_tf", "_emb")
 
 
+def encode_batches(lengths: list[int], count: int, chars: int | None = None) -> list[list[int]]:
+    """Places of the texts by length, in batches of at most ``count`` texts and ``chars`` characters (or one text)."""
+    out: list[list[int]] = []
+    held = 0
+    for place in sorted(range(len(lengths)), key=lambda p: (lengths[p], p)):
+        if not out or len(out[-1]) >= count or chars is not None and held + lengths[place] > chars:
+            out.append([])
+            held = 0
+        out[-1].append(place)
+        held += lengths[place]
+    return out
+
+
 def embed(posts: DataFrame, encoder: Callable | None = None, dim: int | None = None,
-          text_col: str = "text", max_len: int | None = None, encoder_factory: Callable | None = None) -> DataFrame:
+          text_col: str = "text", max_len: int | None = None, encoder_factory: Callable | None = None,
+          batch_size: int = ENCODE_BATCH, batch_chars: int | None = None, sparse: bool = True, partitions: int | None = None) -> DataFrame:
     """Post vectors for non-blank posts.
 
-    ``encoder(list[str]) -> sequence of float sequences`` is called per Arrow
-    batch (batch size from ``spark.sql.execution.arrow.maxRecordsPerBatch``).
-    ``encoder_factory()`` returns such an encoder and runs once per task, on the
-    executor, so a model is loaded there instead of travelling with the task.
-    Without either the JVM-only hashed char-bigram embedding is used.
+    ``encoder(list[str]) -> sequence of float sequences`` is called with at most ``batch_size``
+    posts and, given ``batch_chars``, at most that many characters (a longer post comes alone).
+    Posts of an Arrow batch are grouped by length, so that those of a call are alike; vectors
+    go back to their posts' places. ``encoder_factory()`` returns such an encoder and runs
+    once per task, on the executor, so a model is loaded there instead of travelling with the task.
+    Without either the hashed char-bigram embedding is used: sparse structs, or arrays
+    with ``sparse=False``. ``partitions``: see ``cleaning.spread``.
     """
+    posts = spread(posts, partitions)
     if encoder is None and encoder_factory is None:
-        return hashed_bigram_embedding(posts, text_col, max_len=max_len)
+        return bigram_vectors(posts, text_col, EMBED_DIM, max_len) if sparse else hashed_bigram_embedding(posts, text_col, max_len=max_len)
     if dim is None:
         raise ValueError("dim is required with a custom encoder")
     import pandas as pd
@@ -116,8 +137,12 @@ def embed(posts: DataFrame, encoder: Callable | None = None, dim: int | None = N
     def run(batches):
         encode = encoder_factory() if encoder_factory is not None else encoder
         for pdf in batches:
-            vecs = encode(pdf[text_col].tolist()) if len(pdf) else []
-            yield pdf.assign(vec=pd.Series([list(map(float, v)) for v in vecs], index=pdf.index, dtype=object))
+            texts = pdf[text_col].tolist()
+            vecs: list = [None] * len(texts)
+            for places in encode_batches([len(t) for t in texts], batch_size, batch_chars):
+                for place, v in zip(places, encode([texts[p] for p in places]), strict=True):
+                    vecs[place] = list(map(float, v))
+            yield pdf.assign(vec=pd.Series(vecs, index=pdf.index, dtype=object))
     return src.mapInPandas(run, schema)
 
 

@@ -10,13 +10,14 @@ only after the cap, so a list holds at most ``n`` entries.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MAX_TWEETS, topic_sentence, truncate
 from ..functions.text import is_valid
 
 
+BATCH_EVENTS = 4  # fixed value: events in a training batch
 CAP_BUCKETS = 64  # hash buckets of an event in the first stage of a cap
 
 
@@ -114,6 +115,40 @@ def shuffle_key(seed: int, epoch: int) -> F.Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col("event")))
 
 
+def numbered(rows: DataFrame, order: list[Column | str], out: str = "number", partitions: int | None = None) -> DataFrame:
+    """``rows`` with their 0-based place in the order of ``order`` (which tells all rows apart).
+
+    Rows are dealt to ranges of the order and written; the sizes of the ranges before a row's own
+    and its place in that range make its number. No task sees all rows.
+    """
+    from ..sources.files import land
+    spark = rows.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = land(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dict(ranged.groupBy("_range").count().collect())  # a row for each range
+    before, total = [], 0
+    for n in range(parts):
+        before.append((n, total))
+        total += sizes.get(n, 0)
+    starts = spark.createDataFrame(before, "_range int, _before long")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_place", place).join(F.broadcast(starts), "_range").withColumn(out, F.col("_before") + F.col("_place")).drop("_range", "_before", "_place")
+
+
+def epoch_batches(events: DataFrame, seed: int = 42, epoch: int = 0, size: int = BATCH_EVENTS, partitions: int | None = None) -> DataFrame:
+    """O5 + E9: events in the shuffled order of an epoch, with ``number`` from 0 and ``batch``
+    (``size`` events each, the last one what is left). One row per event."""
+    keyed = events.withColumn("_key", shuffle_key(seed, epoch))
+    out = numbered(keyed, ["_key", "event"], "number", partitions).drop("_key")
+    return out.withColumn("batch", F.floor(F.col("number") / size).cast("long"))
+
+
+def write_epoch(batches: DataFrame, path: str, partitions: int | None = None) -> None:
+    """An epoch's events as JSON lines, in order: the part files by name, the lines inside them by number."""
+    parts = partitions or int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    batches.repartitionByRange(parts, "number").sortWithinPartitions("number").write.mode("overwrite").json(path)
+
+
 def best_epoch(history: DataFrame, metric: str = "val_f1") -> DataFrame:
     """Running best (strict improvement, best starts at 0) per epoch.
 

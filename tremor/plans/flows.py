@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MAX_LEN, MAX_TWEETS, topic_sentence
-from ..functions.text import clean_text
 from ..operators import features as A
+from ..operators.cleaning import clean_posts
 from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import pooling as V
 from ..operators import profile as PR
 from ..operators import scoring as E
+from ..operators import sparse as SP
 from ..operators import windows as W
 from ..session import ensure_checkpoint_dir
 from ..sources import files as IO
@@ -39,6 +40,7 @@ class Corpus:
     features: DataFrame   # event + 12 statistics + top_location
     catalogue: DataFrame  # event, path, root_rank
     images: DataFrame | None = None  # event, id, path, ext: the image picked for a post
+    errors: DataFrame | None = None  # event, root_rank, error: files that could not be read
 
     def modality(self) -> DataFrame:
         """Per event, posts with text and image, text only, neither."""
@@ -49,9 +51,13 @@ class Corpus:
 
 
 def prepare_corpus(spark: SparkSession, roots: str | list[str], default_year: int | None = None,
-                   cache_path: str | None = None, events: DataFrame | None = None, images: bool = False) -> Corpus:
+                   cache_path: str | None = None, events: DataFrame | None = None, images: bool = False,
+                   partitions: int | None = None) -> Corpus:
     """Read, type and clean all event posts; compute per-event statistics.
 
+    A file that cannot be read (vanished, not UTF-8, an unclosed quote, no text column) is
+    in ``errors`` and has no posts; the others go on. ``partitions``: see ``cleaning.spread``.
+
     The listing names the files to read (first root that has an event's file);
     with a cache, only those of events that are not in it are parsed. ``images``
     lists the events' image files too and picks one for each post (S12), reading
@@ -65,26 +71,29 @@ def prepare_corpus(spark: SparkSession, roots: str | list[str], default_year: in
     # results all read it instead of re-parsing CSVs and re-running the regexes.
     if cache_path:
         todo = cat.join(IO.cached_events(spark, cache_path).select("event").distinct(), "event", "left_anti")
-        cleaned = IO.cleaned_cache(spark, IO.read_posts_of(spark, todo), cache_path, "text", requested=cat)
+        posts, errors = IO.ingest(spark, todo)
+        readable = cat.join(errors, ["event", "root_rank"], "left_anti")
+        cleaned = IO.cleaned_cache(spark, posts, cache_path, "text", requested=readable, partitions=partitions)
     else:
-        cleaned = IO.land(IO.read_posts_of(spark, cat).withColumn("clean_text", clean_text("text")), "posts")
+        posts, errors = IO.ingest(spark, cat)
+        cleaned = IO.land(clean_posts(posts, "text", "clean_text", partitions), "posts")
     features = A.event_features(cleaned, default_year, catalogue=cat)
     picked = PR.pick_images(IO.image_manifest(spark, roots, verify=True)) if images else None
-    return Corpus(cleaned, features, cat, picked)
+    return Corpus(cleaned, features, cat, picked, errors)
 
 
 def event_vectors(corpus: Corpus, pooling: str = "mean", encoder: Callable | None = None, dim: int | None = None,
                   max_posts: int = MAX_TWEETS, max_len: int | None = MAX_LEN, score: Callable | None = None,
                   add_topic: bool = True, use_stats: bool = True, drop_p: float = 0.0, seed: int = 42, epoch: int = 0,
-                  encoder_factory: Callable | None = None) -> DataFrame:
+                  encoder_factory: Callable | None = None, weights: DataFrame | None = None) -> DataFrame:
     """(event, features ARRAY<DOUBLE>): pooled post vectors, followed by the 12 statistics with ``use_stats``.
 
     Posts are capped per event before embedding (only non-blank posts are
     embedded). ``drop_p`` drops posts at random, keeping one per event (R2, for
     training). ``add_topic`` puts the sentence `Topic: {event}` first (P7).
     ``pooling`` in mean / max / cls / attentive. For attentive pooling
-    ``score(vec_col) -> Column`` gives the per-post score (default: the
-    vector's L2 norm).
+    ``weights`` is the score network (``pooling.attention_score``); without it
+    ``score(vec_col) -> Column`` gives the per-post score (default: the vector's L2 norm).
     """
     if pooling not in POOLINGS:
         raise ValueError(f"unknown pooling: {pooling}")
@@ -96,7 +105,9 @@ def event_vectors(corpus: Corpus, pooling: str = "mean", encoder: Callable | Non
         topics = corpus.features.select("event", F.lit(-1).cast("long").alias("pos"), F.lit(None).cast("string").alias("id"),
                                         topic_sentence("event").alias("text"))
         capped = capped.unionByName(topics)
-    emb = E.embed(capped, encoder=encoder, dim=dim, max_len=max_len, encoder_factory=encoder_factory).withColumn("valid", F.lit(True))
+    # the default embedding stays sparse up to the pool; a caller's score function is given arrays
+    emb = E.embed(capped, encoder=encoder, dim=dim, max_len=max_len, encoder_factory=encoder_factory,
+                  sparse=score is None or pooling != "attentive").withColumn("valid", F.lit(True))
     if pooling == "mean":
         pooled = V.mean_pool(emb)
     elif pooling == "max":
@@ -104,8 +115,12 @@ def event_vectors(corpus: Corpus, pooling: str = "mean", encoder: Callable | Non
     elif pooling == "cls":
         pooled = V.cls_pool(emb)
     else:
-        s = score(F.col("vec")) if score else F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-        pooled = V.attentive_pool(emb.withColumn("score", s))
+        if weights is not None:
+            emb = V.attention_score(emb, weights)
+        else:
+            stored = "vec.values" if SP.is_sparse(emb, "vec") else "vec"
+            emb = emb.withColumn("score", score(F.col("vec")) if score else F.sqrt(F.aggregate(stored, F.lit(0.0), lambda a, x: a + x * x)))
+        pooled = V.attentive_pool(emb)
     # events without any embedded post get a zero text vector of the same width
     width = int(dim) if encoder is not None or encoder_factory is not None else E.EMBED_DIM
     stats = V.stats_array(corpus.features, A.FEATURES)
@@ -169,8 +184,8 @@ def predict_events(spark: SparkSession, model, corpus: Corpus, requested: DataFr
     """Score every event. Returns (event_results, post_results, batch_status).
     ``vectors``: further arguments of ``event_vectors``, as in training."""
     # a file without the text column fails in the reference; report it
-    errors = None
-    if "has_text" in corpus.posts.columns:
+    errors = None if corpus.errors is None else corpus.errors.groupBy("event").agg(F.min("error").alias("error"))
+    if errors is None and "has_text" in corpus.posts.columns:
         errors = (corpus.posts.groupBy("event").agg(F.max(F.col("has_text").cast("int")).alias("_t"))
                   .where(F.col("_t") == 0).select("event", F.lit("no text column").alias("error")))
     vecs = event_vectors(corpus, pooling, encoder, dim, max_posts=max_posts, **vectors)

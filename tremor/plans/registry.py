@@ -17,12 +17,15 @@ from pyspark.sql.types import DoubleType, FloatType
 from ..functions import scalars as S
 from ..functions import text as T
 from ..operators import features as A
+from ..operators import lexicon as X
 from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import pooling as V
 from ..operators import profile as PR
 from ..operators import scoring as E
+from ..operators import sparse as SP
 from ..operators import windows as W
+from ..operators.cleaning import clean_posts
 from ..sources import fixtures as FX
 from . import sqlgen as G
 
@@ -53,6 +56,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
                        for f in df.schema.fields])
 
 
+def cores(spark: SparkSession) -> int:
+    """The number of tasks that texts are dealt to: the driver tables lie in few row groups."""
+    return spark.sparkContext.defaultParallelism
+
+
 def V_(*names: str) -> str:
     return FX.with_views(*names)
 
@@ -95,6 +103,22 @@ def q_event_features(spark, sf):
     return rounded(A.event_features(FX.fx_meta(spark, sf), default_year=YEAR))
 
 
+@register("feature_states", f"""
+WITH f AS ({ORACLES["event_features"]})
+SELECT event, post_count, timespan_hours, peak_hour, night_ratio, avg_reposts, avg_comments, avg_likes, engagement_ratio,
+  location_diversity, top_location_ratio, top_location, true AS users_close FROM f""")
+def q_feature_states(spark, sf):
+    """A1-A11 from the stored states of two runs over disjoint posts: all exact but the users, whose
+    estimate lies within five standard errors of the exact number."""
+    from ..sources.files import land
+    m = FX.fx_meta(spark, sf)
+    states = [land(A.feature_state(m.where(F.col("pos") % 3 == 0 if first else F.col("pos") % 3 != 0), YEAR), "state") for first in (True, False)]
+    merged = A.features_of_state(land(A.merge_states(*states), "merged"))
+    exact = A.event_features(m, default_year=YEAR).select("event", F.col("unique_users").alias("exact"))
+    close = F.abs(F.col("unique_users") - F.col("exact")) <= F.greatest(F.lit(1.0), 5 * 1.04 / 64 * F.col("exact"))
+    return rounded(merged.join(exact, "event").withColumn("users_close", close).drop("exact", "unique_users", "user_post_ratio"))
+
+
 @register("normalize_time", V_("fx_meta") + f"""
 SELECT event, pos, published_raw, {G.normalize_time(G.na('published_raw'), YEAR)} AS normalized,
   {G.post_time(G.na('published_raw'), YEAR)} AS ts
@@ -209,8 +233,31 @@ for _name, (_sf, _gf) in _TEXT_STEPS.items():
 
 @register("clean_text", V_("fx_text") + f"SELECT event, pos, {G.clean_text('text')} AS text FROM fx_text")
 def q_clean_text(spark, sf):
-    d = FX.fx_text(spark, sf)
-    return d.select("event", "pos", T.clean_text("text").alias("text"))
+    d = FX.fx_text(spark, sf).select("event", "pos", "text")
+    return clean_posts(d, "text", "text", partitions=cores(spark))
+
+
+@register("emoji_table", r"""
+WITH t AS (SELECT doc_id AS pos, chr(CAST(127462 + doc_id % 26 AS INTEGER)) || chr(CAST(127462 + (doc_id * 7) % 26 AS INTEGER)) || chr(CAST(127462 + (doc_id * 3) % 26 AS INTEGER)) || ' '
+    || replace(text, ', ', ', ' || chr(CAST(128074 + doc_id % 7 AS INTEGER)) || CASE WHEN doc_id % 2 = 0 THEN chr(CAST(127995 + doc_id % 5 AS INTEGER)) ELSE '' END)
+    || chr(CAST(128104 + doc_id % 3 AS INTEGER)) || chr(8205) || CASE WHEN doc_id % 5 = 0 THEN chr(127806) ELSE chr(127891) END
+    || substr(CAST(doc_id AS VARCHAR), 1, 1) || chr(65039) || chr(8419) AS text FROM documents),
+k AS (SELECT pos, regexp_extract_all(text, '[\x{1F468}\x{1F469}]\x{200D}[\x{1F33E}\x{1F373}\x{1F393}\x{1F3A4}]|[0-9]\x{FE0F}\x{20E3}|[\x{1F1E6}-\x{1F1FF}]{2}|[\x{1F44A}-\x{1F450}][\x{1F3FB}-\x{1F3FF}]|[\x{1F300}-\x{1F64F}]|[^0-9\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1F64F}]+|[0-9\x{1F1E6}-\x{1F1FF}]') AS pieces FROM t)
+SELECT pos, array_to_string(list_transform(pieces, lambda p: CASE
+    WHEN regexp_matches(p, '^([\x{1F300}-\x{1F64F}]|[\x{1F1E6}-\x{1F1FF}][\x{1F1E6}-\x{1F1FF}]|[0-9]\x{FE0F}\x{20E3})')
+    THEN ':e' || array_to_string(list_transform(string_split(p, ''), lambda c: lower(to_hex(ord(c)))), '_') || ':' ELSE p END), '') AS text
+FROM k""")
+def q_emoji_table(spark, sf):
+    """T6 with a table of more than 1,500 sequences: flags, skin tones, joined people, keys."""
+    return X.demojize_table(FX.fx_emoji(spark, sf), FX.emoji_table(spark))
+
+
+@register("segment_words")
+def q_segment_words(spark, sf):
+    """P14 by a dictionary: texts without blanks are cut into the words of all documents. No SQL:
+    the best path over every place of a text is compared with a plain version in the tests."""
+    cut = X.segment(FX.fx_unspaced(spark, sf), FX.word_frequencies(spark, sf))
+    return cut.select("event", "pos", F.size("words").cast("long").alias("n_words"), F.md5(F.array_join("words", " ")).alias("words_md5"))
 
 
 # ============================================================================ windows / list view
@@ -342,6 +389,13 @@ def q_label_distribution(spark, sf):
     return L.level_distribution(_split(spark, sf))
 
 
+@register("label_rollup", V_("fx_labels", "fx_catalogue") + ", " + _ENC_SQL + "," + _SPLIT_SQL + """
+SELECT part, level, count(*) AS n, CAST(grouping_id(part, level) AS INTEGER) AS totals FROM split GROUP BY ROLLUP (part, level)""")
+def q_label_rollup(spark, sf):
+    """A13 with totals."""
+    return L.level_rollup(_split(spark, sf))
+
+
 @register("class_count", V_("fx_labels") + ", " + _ENC_SQL + """
 SELECT count(DISTINCT level) AS n_classes FROM lab""")
 def q_class_count(spark, sf):
@@ -401,7 +455,7 @@ SELECT round(avg(words), 6) AS words_mean, round(median(words), 6) AS words_medi
 FROM ln""")
 def q_length_stats(spark, sf):
     d = FX.documents(spark, sf)
-    out = PR.length_stats(d.select(F.col("source").alias("event"), "text"))
+    out = PR.length_stats(d.select(F.col("source").alias("event"), "text"), partitions=cores(spark))
     return rounded(out.select(*[F.col(c).cast("double") if "median" in c or "mean" in c or "std" in c
                                 else F.col(c).cast("long") for c in out.columns]))
 
@@ -417,7 +471,7 @@ GROUP BY 1, 2"""
 @register("length_histogram", "WITH " + _LEN_SQL + _hist_sql("words") + "\nUNION ALL" + _hist_sql("chars"))
 def q_length_histogram(spark, sf):
     d = FX.documents(spark, sf)
-    return PR.length_histogram(d.select(F.col("source").alias("event"), "text"))
+    return PR.length_histogram(d.select(F.col("source").alias("event"), "text"), partitions=cores(spark))
 
 
 @register("corpus_summary", V_("fx_text") + f"""
@@ -500,6 +554,20 @@ def q_pool_attentive(spark, sf):
     return _long(V.attentive_pool(_vec(spark, sf)))
 
 
+@register("pool_attentive_scored", V_("fx_vec") + """
+, u AS (SELECT n_regionkey / 10.0 AS b, cos(n_nationkey + 1) AS v, list_transform(range(1, 65), lambda i: sin((n_nationkey + 1) * i)) AS w FROM nation),
+net AS (SELECT pos, sum(v * (exp(2 * h) - 1) / (exp(2 * h) + 1)) AS score FROM (SELECT pos, v, list_dot_product(vec, w) + b AS h FROM fx_vec, u) GROUP BY pos),
+scored AS (SELECT f.event, f.pos, f.vec, f.valid, net.score FROM fx_vec f JOIN net ON f.pos = net.pos)
+""" + _ATT_SQL.replace("fx_vec", "scored") + """
+SELECT event, CAST(i - 1 AS INTEGER) AS i, round(sum(w * x) / any_value(z), 5) AS v
+FROM (SELECT w.event, w.w, z.z, unnest(w.vec) AS x, generate_subscripts(w.vec, 1) AS i
+      FROM w JOIN z ON w.event = z.event)
+GROUP BY event, i""")
+def q_pool_attentive_scored(spark, sf):
+    """V4 with its score network."""
+    return _long(V.attentive_pool(V.attention_score(_vec(spark, sf).drop("score"), FX.fx_units(spark, sf))))
+
+
 @register("attention_weights", V_("fx_vec") + _ATT_SQL + """
 SELECT w.event, w.pos, round(w.w / z.z, 9) AS alpha FROM w JOIN z ON w.event = z.event""")
 def q_attention_weights(spark, sf):
@@ -725,6 +793,17 @@ def q_loss_batched(spark, sf):
     return rounded(M.batched_loss(_vec(spark, sf)), 9)
 
 
+@register("epoch_loss", V_("fx_vec") + f"""
+, lp AS (SELECT y, {G.log_softmax_list('logits')} AS lp,
+    (row_number() OVER (ORDER BY md5(concat_ws(':', '{SEED}', '1', CAST(pos AS VARCHAR))), CAST(pos AS VARCHAR)) - 1) // 4 AS batch FROM fx_vec),
+b AS (SELECT batch, avg(-lp[y + 1]) AS b, sum(-lp[y + 1]) AS s, count(*) AS n FROM lp GROUP BY batch)
+SELECT round(avg(b), 9) AS loss, round(sum(s) / sum(n), 9) AS row_mean_loss, count(*) AS n_batches FROM b""")
+def q_epoch_loss(spark, sf):
+    """E9 over the batches of four of a shuffled epoch."""
+    events = _vec(spark, sf).select(F.col("pos").cast("string").alias("event"), "logits", "y")
+    return rounded(M.batched_loss(W.epoch_batches(events, SEED, 1)), 9)
+
+
 @register("best_epoch", V_("fx_history") + """
 , h AS (SELECT epoch, val_f1,
           coalesce(max(val_f1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS prev_best
@@ -818,7 +897,7 @@ def q_cleaned_cache(spark, sf):
     from ..sources.files import cleaned_cache, scratch_dir
     posts = FX.fx_text(spark, sf).select("event", "pos", "text")
     path = scratch_dir(spark, "clean-cache")
-    cleaned_cache(spark, posts, path)
+    cleaned_cache(spark, posts, path, partitions=cores(spark))
     return cleaned_cache(spark, posts, path).select("event", "pos", "clean_text")
 
 
@@ -851,6 +930,42 @@ def q_read_posts(spark, sf):
     return posts.select("event", "id", F.col("text"))
 
 
+@register("ingest_errors", V_("fx_text") + """
+SELECT event, count(*) AS n_posts, NULL AS error FROM fx_text GROUP BY event
+UNION ALL SELECT * FROM (VALUES ('latin', 0, 'not UTF-8'), ('open quote', 0, 'unclosed quote'), ('gone', 0, 'file not found'), ('no text', 0, 'no text column'))""")
+def q_ingest_errors(spark, sf):
+    """E12 + S1: beside the good event files one is not UTF-8, one ends inside a quote, one has
+    vanished and one has no text column; each is an error of its own, the others are read."""
+    from ..sources.files import catalogue, ingest, scratch_dir, write_event_csvs
+    root, pattern = scratch_dir(spark, "ingest"), r"event=([^/]+)/[^/]+$"
+    write_event_csvs(FX.fx_text(spark, sf).select("event", "id", F.col("text").alias("微博正文")), root)
+    one = FX.documents(spark, sf).agg(F.max_by("doc_id", "n_chars").alias("id"), F.max_by("text", "n_chars").alias("said"))
+    plain = F.translate("said", '",\n\r', "    ")
+    ready = lambda df: df.coalesce(1).write.option("header", True).option("quote", "")
+    # headers are of ASCII letters but for the UTF-8 bytes of the text column's name
+    name = "微博正文".encode().decode("latin-1")
+    ready(one.select("id", F.concat(F.lit("é"), F.regexp_replace(plain, "[^\\x{0}-\\x{ff}]", "?")).alias(name))).option("encoding", "ISO-8859-1").csv(f"{root}/event=latin")
+    ready(one.select("id", F.concat(F.lit('"'), plain).alias("微博正文"))).csv(f"{root}/event=open quote")
+    ready(one.select("id", plain.alias("text"))).csv(f"{root}/event=no text")
+    files = catalogue(spark, root, event_pattern=pattern)
+    gone = spark.createDataFrame([("gone", f"{root}/event=gone/gone.csv", 10, 0)], files.schema)
+    posts, errors = ingest(spark, files.unionByName(gone), event_pattern=pattern)
+    counts = posts.groupBy("event").agg(F.count(F.lit(1)).alias("n_posts"))
+    events = files.select("event").union(gone.select("event")).distinct()
+    return events.join(counts, "event", "left").join(errors.select("event", "error"), "event", "left").fillna({"n_posts": 0})
+
+
+@register("image_verify", """
+SELECT 'root/e' || (doc_id % 10) || '/images/' || doc_id || CASE WHEN doc_id % 7 IN (3, 4) THEN '.jpg' ELSE '.png' END AS path,
+  CASE WHEN doc_id % 7 IN (3, 4) THEN 'jpeg' WHEN doc_id % 7 < 3 THEN 'png' END AS format,
+  CASE doc_id % 7 WHEN 1 THEN 'truncated' WHEN 2 THEN 'wrong checksum' WHEN 4 THEN 'truncated' WHEN 5 THEN 'unknown format' WHEN 6 THEN 'empty' END AS fault
+FROM documents""")
+def q_image_verify(spark, sf):
+    """Which image files can be decoded."""
+    from ..sources.images import verify_images
+    return verify_images(FX.fx_image_files(spark, sf)).select("path", "format", "fault")
+
+
 @register("write_results", V_("fx_vec") + f"""
 , p AS (SELECT CAST(pos AS VARCHAR) AS event_name, logits, list_transform(logits, lambda x: exp(x - list_max(logits))) AS e FROM fx_vec)
 SELECT event_name, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS predicted_class,
@@ -936,11 +1051,23 @@ def q_post_results_csv(spark, sf):
 SELECT event, pos, 4096 AS dim, CASE WHEN length(text) >= 2 THEN 1.0 ELSE 0.0 END AS norm
 FROM c WHERE {G.is_valid('text')}""")
 def q_embed_posts(spark, sf):
-    d = FX.fx_text(spark, sf).select("event", "pos", T.clean_text("text").alias("text"))
+    d = clean_posts(FX.fx_text(spark, sf).select("event", "pos", "text"), "text", "text", partitions=cores(spark))
     emb = E.embed(d)
     # a post with at least one bigram has a unit vector, a one-character post the zero vector
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x))
-    return emb.select("event", "pos", F.size("vec").alias("dim"), F.round(norm, 6).alias("norm"))
+    norm = F.sqrt(F.aggregate("vec.values", F.lit(0.0), lambda acc, x: acc + x * x))
+    return emb.select("event", "pos", F.col("vec.size").alias("dim"), F.round(norm, 6).alias("norm"))
+
+
+@register("embed_pooled", V_("fx_text") + f"""
+, c AS (SELECT event, pos, {G.clean_text('text')} AS text FROM fx_text),
+g AS (SELECT event, pos, list_transform(range(1, length(text)), lambda i: text[i:i + 1]) AS grams FROM c WHERE {G.is_valid('text')}),
+k AS (SELECT event, count(*) AS n, count(*) FILTER (WHERE len(grams) > 0) AS with_bigrams FROM g GROUP BY event)
+SELECT event, n AS n_valid, 4096 AS dim, with_bigrams > 0 AS any_value FROM k""")
+def q_embed_pooled(spark, sf):
+    """E14 + V1: sparse vectors up to the event's mean."""
+    d = clean_posts(FX.fx_text(spark, sf).select("event", "pos", "text"), "text", "text", partitions=cores(spark))
+    pooled = V.mean_pool(E.embed(d).withColumn("valid", F.lit(True)))
+    return pooled.select("event", "n_valid", F.size("vec").alias("dim"), F.exists("vec", lambda x: x > 0).alias("any_value"))
 
 
 def _counting_encoder():
@@ -977,6 +1104,19 @@ def q_train_classifier(spark, sf):
     return scored.select("event", "true", F.col("pred").isin(0, 1, 2).alias("class_known"), F.lit(bool(right >= common)).alias("at_least_majority"))
 
 
+@register("epoch_batches", V_("fx_catalogue") + f"""
+, k AS (SELECT event, epoch, md5(concat_ws(':', '{SEED}', CAST(epoch AS VARCHAR), event)) AS key FROM fx_catalogue, (SELECT unnest([0, 1]) AS epoch))
+SELECT event, epoch, row_number() OVER (PARTITION BY epoch ORDER BY key, event) - 1 AS number,
+  CAST((row_number() OVER (PARTITION BY epoch ORDER BY key, event) - 1) // 4 AS BIGINT) AS batch FROM k""")
+def q_epoch_batches(spark, sf):
+    """O5 + E9: two epochs numbered and cut into batches, written in order and read back."""
+    from ..sources.files import scratch_dir
+    out = scratch_dir(spark, "epochs")
+    for epoch in (0, 1):
+        W.write_epoch(W.epoch_batches(FX.fx_catalogue(spark, sf), SEED, epoch), f"{out}/epoch={epoch}")
+    return spark.read.schema("event string, number long, batch long, epoch int").json(out)
+
+
 @register("epoch_order", V_("fx_catalogue") + f"""
 SELECT event, epoch, md5(concat_ws(':', '{SEED}', CAST(epoch AS VARCHAR), event)) AS sort_key
 FROM fx_catalogue, (SELECT unnest([0, 1]) AS epoch)""")

@@ -8,21 +8,30 @@ of positional cells; header rows and the name mapping come from that table. A
 multi-line CSV file is not splittable, so a file is parsed in order by one
 task: its rows get consecutive ``monotonically_increasing_id`` values, and the
 row index inside the file is the distance to the file's header id.
+
+Files are parsed as bytes (ISO-8859-1) and cells decoded as UTF-8 afterwards, so
+that a file which is not UTF-8 is known as such. ``ingest`` decides per file:
+bad ones go to an error table, the others go on.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 from itertools import islice
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.scalars import event_from_path, na_to_null, unescape_path
-from ..functions.text import clean_text
+from ..operators.cleaning import clean_posts
 from ..operators.scoring import EVENT_RESULT
-from ..session import ensure_checkpoint_dir
+from ..session import batch_rows, ensure_checkpoint_dir
+from .images import verify_images
 
 # --- fixed values that must equal the reference --------------------------------
 # CSV header -> canonical column name (header list of the post CSV).
@@ -42,11 +51,12 @@ IMAGE_EXTS = ["jpg", "png", "jpeg"]
 # -------------------------------------------------------------------------------
 
 WIDTH = 48  # cells the parser is first asked for; wider headers are parsed again at their width
-FILES_PER_READ = 20_000  # paths handed to one reader, which takes them on the driver
+FILES_PER_READ = 100_000  # paths handed to one reader, which takes them on the driver
+IMAGES_PER_BATCH = 16  # image files a task holds at once
 BOM = "\ufeff"
 CACHE_BUCKETS = 64
 CACHE_SALTS = 8  # files per bucket and run, so that a hot event is written by several tasks
-RAW = "cells array<string>, file string, mid long, root_rank int, commas int"
+RAW = "cells array<string>, file string, mid long, root_rank int, commas int, sound boolean, quoted string"
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -73,7 +83,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 CSV_OPTIONS = {
-    "header": False, "multiLine": True, "escape": '"', "emptyValue": "", "encoding": "UTF-8", "mode": "PERMISSIVE",
+    "header": False, "multiLine": True, "escape": '"', "emptyValue": "", "encoding": "ISO-8859-1", "mode": "PERMISSIVE", "ignoreMissingFiles": True,
     "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "columnNameOfCorruptRecord": "_raw",
 }
 
@@ -83,14 +93,24 @@ def csv_schema(width: int) -> StructType:
 
 
 def cells_frame(df: DataFrame, width: int = WIDTH, root_rank: int = 0) -> DataFrame:
-    """Positional CSV rows -> RAW. ``commas`` of a row that does not have ``width`` cells
-    bounds how many it has."""
+    """Positional CSV rows -> RAW.
+
+    ``commas`` of a row that does not have ``width`` cells bounds how many it has. ``sound``: all
+    cells are UTF-8. ``quoted``: the row as it stands in the file (bytes as characters) where a
+    quote may be open in it, that is with an odd number of quotes or with quotes and a line break.
+    """
+    decoded = [F.encode(F.col(f"c{i}"), "ISO-8859-1").cast("string") for i in range(width)]
+    raw = F.col("_raw")
+    quotes = F.length(raw) - F.length(F.replace(raw, F.lit('"')))
     return df.select(
-        F.array(*[F.col(f"c{i}") for i in range(width)]).alias("cells"),
+        F.array(*decoded).alias("_cells"),
         F.col("_metadata.file_path").alias("file") if "file" not in df.columns else F.col("file"),
         F.monotonically_increasing_id().alias("mid"),
         F.lit(root_rank).alias("root_rank"),
-        F.coalesce(F.length("_raw") - F.length(F.replace(F.col("_raw"), F.lit(","))), F.lit(0)).alias("commas"))
+        F.coalesce(F.length(raw) - F.length(F.replace(raw, F.lit(","))), F.lit(width)).alias("commas"),
+        F.when((quotes % 2 == 1) | (quotes > 0) & (raw.contains("\n") | raw.contains("\r")), raw).alias("quoted"),
+    ).select(F.transform("_cells", F.make_valid_utf8).alias("cells"), "file", "mid", "root_rank", "commas",
+             F.forall("_cells", lambda c: c.isNull() | F.is_valid_utf8(c)).alias("sound"), "quoted")
 
 
 def widest_header(raw: DataFrame) -> int:
@@ -111,33 +131,94 @@ def land_cells(spark: SparkSession, files: DataFrame, width: int = WIDTH) -> Dat
     """Parse the listed files (path, root_rank), each once, and land their cells.
 
     Paths reach the readers in batches of ``FILES_PER_READ``; no list of all of
-    them is held. A batch with a header wider than ``width`` is parsed again
-    at that width, so no column is lost.
+    them is held. A batch with a header of ``width`` cells or more is parsed again
+    with more cells than that, so no column is lost. A file that has vanished
+    since it was listed has no rows.
     """
     out, folders = scratch_dir(spark, "cells"), []
     listed = files.select("path", F.col("root_rank") if "root_rank" in files.columns else F.lit(0).alias("root_rank"))
     rows = listed.toLocalIterator()
     while batch := list(islice(rows, FILES_PER_READ)):
         for rank in sorted({r.root_rank for r in batch}):
-            paths, folder, cells = [_literal_path(r.path) for r in batch if r.root_rank == rank], f"{out}/{len(folders)}", width
-            while True:
-                scan = spark.read.schema(csv_schema(cells)).options(**CSV_OPTIONS).csv(paths)
+            paths, folder, cells = [r.path for r in batch if r.root_rank == rank], f"{out}/{len(folders)}", width
+            while paths:
+                try:
+                    scan = spark.read.schema(csv_schema(cells)).options(**CSV_OPTIONS).csv([_literal_path(p) for p in paths])
+                except AnalysisException as gone:
+                    if gone.getCondition() != "PATH_NOT_FOUND":
+                        raise
+                    paths = [p for p in paths if path_exists(spark, p)]
+                    continue
                 cells_frame(scan, cells, rank).write.mode("overwrite").parquet(folder)
                 needed = widest_header(spark.read.schema(RAW).parquet(folder))
                 if needed <= cells:
+                    folders.append(folder)
                     break
                 cells = needed
-            folders.append(folder)
     if not folders:
         return spark.createDataFrame([], RAW)
     return spark.read.schema(RAW).parquet(*folders)
 
 
-def apply_headers(raw: DataFrame, event_pattern: str | None = None, columns: dict[str, str] | None = None) -> DataFrame:
+CELL = re.compile(r'("(?:[^"]++|"")*+)("?)[^,\r\n]*+|[^,\r\n]*+')
+
+
+def quote_is_open(row: str) -> bool:
+    """Whether a CSV row ends inside a quoted cell (a quote opens at the beginning of a cell only)."""
+    at = 0
+    while at < len(row):
+        m = CELL.match(row, at)
+        if m[1] is not None and not m[2]:
+            return True
+        at = m.end() + 1
+    return False
+
+
+def unclosed_files(raw: DataFrame) -> DataFrame:
+    """(file) of files whose last row ends inside a quoted cell."""
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [quote_is_open(r) for r in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], names=["file"])
+
+    last = raw.groupBy("file").agg(F.max_by("quoted", "mid").alias("quoted")).where("quoted is not null")
+    return last.mapInArrow(check, "file string")
+
+
+def ingest(spark: SparkSession, files: DataFrame, width: int = WIDTH, event_pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """S1 + E12: (canonical posts of the files that can be read, errors (event, root_rank, error) of the others).
+
+    ``files`` are rows of ``catalogue`` (event, path, root_rank). Errors: ``file not found`` (it
+    vanished after the listing, or is empty), ``not UTF-8``, ``unclosed quote``, ``no text column``;
+    a file with several has the first of these. One bad file of an event makes the event an error.
+    """
+    raw = land_cells(spark, files, width)
+    event = event_of_file(event_pattern).alias("event")
+    kinds = ["file not found", "not UTF-8", "unclosed quote", "no text column"]
+    heads = apply_headers(raw, event_pattern, rows=False)
+    found = [
+        files.select("event", "root_rank").distinct().join(raw.select(event, "root_rank").distinct(), ["event", "root_rank"], "left_anti"),
+        raw.where(~F.col("sound")).select(event, "root_rank").distinct(),
+        raw.join(unclosed_files(raw), "file", "left_semi").select(event, "root_rank").distinct(),
+        heads.where(F.col("hidx.text") == 0).select("event", "root_rank").distinct(),
+    ]
+    every = None
+    for n, rows in enumerate(found):
+        rows = rows.select("event", "root_rank", F.lit(n).alias("kind"))
+        every = rows if every is None else every.unionByName(rows)
+    names = F.array(*[F.lit(k) for k in kinds])
+    errors = every.groupBy("event", "root_rank").agg(F.min("kind").alias("kind")).select("event", "root_rank", F.element_at(names, F.col("kind") + 1).alias("error"))
+    errors = land(errors, "ingest-errors")
+    good = canonical_posts(apply_headers(raw, event_pattern)).join(errors, ["event", "root_rank"], "left_anti")
+    return good, errors
+
+
+def apply_headers(raw: DataFrame, event_pattern: str | None = None, columns: dict[str, str] | None = None, rows: bool = True) -> DataFrame:
     """First row of each file = its header (BOM stripped); the other rows get a
     0-based ``pos`` and ``hidx``: for each wanted column (header name ->
     canonical name, default ``POST_COLUMNS``) its 1-based cell position in that
-    file, 0 when the file lacks it. ``raw`` is a landed table.
+    file, 0 when the file lacks it. ``raw`` is a landed table. Without ``rows``: the
+    header rows' (event, root_rank, file, hidx) only.
 
     The first row of each file is a fixed-width min per file; the header rows
     become a table of a few ints per file, joined back on ``file``.
@@ -151,9 +232,11 @@ def apply_headers(raw: DataFrame, event_pattern: str | None = None, columns: dic
 
     first = raw.groupBy("file").agg(F.min("mid").alias("mid"))
     headers = raw.join(first, ["file", "mid"]).select(
-        "file", F.col("mid").alias("hmid"), F.struct(*[position(name).alias(canon) for name, canon in columns.items()]).alias("hidx"))
-    rows = raw.join(headers, "file").where(F.col("mid") != F.col("hmid"))
-    return rows.select(event_of_file(event_pattern).alias("event"), "root_rank", "file", (F.col("mid") - F.col("hmid") - 1).alias("pos"),
+        "file", "root_rank", F.col("mid").alias("hmid"), F.struct(*[position(name).alias(canon) for name, canon in columns.items()]).alias("hidx"))
+    if not rows:
+        return headers.select(event_of_file(event_pattern).alias("event"), "root_rank", "file", "hidx")
+    posts = raw.join(headers.drop("root_rank"), "file").where(F.col("mid") != F.col("hmid"))
+    return posts.select(event_of_file(event_pattern).alias("event"), "root_rank", "file", (F.col("mid") - F.col("hmid") - 1).alias("pos"),
                        "cells", "hidx")
 
 
@@ -292,7 +375,7 @@ def read_cache(spark: SparkSession, cache_path: str, schema: StructType | None =
 
 
 def cleaned_cache(spark: SparkSession, posts: DataFrame, cache_path: str, text_col: str = "text",
-                  requested: DataFrame | None = None) -> DataFrame:
+                  requested: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """Read-through cache of cleaned posts (Parquet, bucketed folders by event).
 
     Only events missing from the cache are cleaned and appended; the result is
@@ -300,11 +383,11 @@ def cleaned_cache(spark: SparkSession, posts: DataFrame, cache_path: str, text_c
     ``posts``; pass the file catalogue to avoid parsing the CSVs for it).
     The cache keeps every canonical column, so statistics can be computed
     from it. Timestamps stay typed (Q7b). Events without posts are entered
-    too, so they are not looked for again.
+    too, so they are not looked for again. ``partitions``: see ``cleaning.spread``.
     """
     requested = (posts if requested is None else requested).select("event").distinct()
     new = land(uncached_events(requested, cached_events(spark, cache_path).select("event").distinct()), "uncached")
-    todo = posts.join(new, "event", "left_semi").withColumn("clean_text", clean_text(text_col))
+    todo = clean_posts(posts.join(new, "event", "left_semi"), text_col, "clean_text", partitions)
     write_cache_run(todo, new, cache_path, f"batch-{uuid.uuid4().hex}")
     return read_cache(spark, cache_path, todo.schema, requested)
 
@@ -367,19 +450,21 @@ def write_split(split: DataFrame, path: str) -> None:
     split.select("event", "part").write.mode("overwrite").json(path)
 
 
-def write_split_object(split: DataFrame, path: str, events_per_object: int = 100_000) -> None:
-    """S8 in the reference's object layout ``{train_topics, val_topics}``.
+def write_split_object(split: DataFrame, path: str) -> None:
+    """S8 in the reference's layout: one object ``{train_topics, val_topics}`` in one file, events sorted.
 
-    Splits of up to ``events_per_object`` events make one object; larger ones
-    are written as several of the same layout (a reader takes their union), each
-    a bounded array in its own row, dealt by event hash.
+    The object is written as lines, one per event, by one task that sorts and streams them (the
+    layout is a single file); no array of all events is built.
     """
-    objects = max(1, -(-split.count() // events_per_object))
-    split = split.withColumn("_object", F.pmod(F.xxhash64("event"), F.lit(objects)))
-    obj = (split.groupBy("_object").agg(
-        F.array_sort(F.collect_list(F.when(F.col("part") == "train", F.col("event")))).alias("train_topics"),
-        F.array_sort(F.collect_list(F.when(F.col("part") == "val", F.col("event")))).alias("val_topics")).drop("_object"))
-    (obj.coalesce(1) if objects == 1 else obj).write.mode("overwrite").json(path)
+    parts = {"train": 1, "val": 3}
+    first = split.where(F.col("part").isin(*parts)).groupBy("part").agg(F.min("event").alias("first"))
+    quoted = F.expr("substring(to_json(array(event)), 2, length(to_json(array(event))) - 2)")
+    events = split.join(first, "part").select(
+        F.element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), F.col("part")).alias("line"), "event",
+        F.concat(F.when(F.col("event") == F.col("first"), F.lit("")).otherwise(F.lit(",")), quoted).alias("value"))
+    frame = split.sparkSession.createDataFrame([(0, None, '{"train_topics": ['), (2, None, '], "val_topics": ['), (4, None, "]}")], "line int, event string, value string")
+    (events.unionByName(frame).coalesce(1).sortWithinPartitions("line", "event").select("value")
+     .write.mode("overwrite").option("lineSep", "\n").text(path))
 
 
 def write_event_results(scored: DataFrame, path: str) -> None:
@@ -428,8 +513,9 @@ def write_event_csvs(posts: DataFrame, root: str) -> None:
 
 def image_manifest(spark: SparkSession, roots: str | list[str], verify: bool = False) -> DataFrame:
     """``<root>/<event>/images/<id>.<ext>`` files -> (event, id, path, ext,
-    ext_rank, length[, readable]). ``verify`` reads the files and checks the
-    JPEG / PNG signature (the reference falls through on decode failure)."""
+    ext_rank, length[, format, fault, readable]). ``verify`` reads the files, a few
+    at a time, and walks their containers (``images.verify_images``); the reference falls
+    through on decode failure. The verdicts are written, so a file is read once."""
     roots = [roots] if isinstance(roots, str) else list(roots)
     rank = F.array_position(F.array(*[F.lit(e) for e in IMAGE_EXTS]), F.lower(F.col("ext"))) - 1
     frames = []
@@ -446,8 +532,8 @@ def image_manifest(spark: SparkSession, roots: str | list[str], verify: bool = F
             F.lit(root_rank).alias("root_rank"))
         m = m.where(F.col("event") != "").withColumn("ext_rank", rank.cast("int"))
         if verify:
-            sig = F.hex(F.substring("content", 1, 4))
-            m = m.withColumn("readable", sig.startswith("FFD8FF") | (sig == "89504E47")).drop("content")
+            with batch_rows(spark, IMAGES_PER_BATCH):
+                m = land(verify_images(m).withColumn("readable", F.col("fault").isNull()), "images")
         frames.append(m)
     out = frames[0]
     for f in frames[1:]:

@@ -163,6 +163,101 @@ def fx_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def code_point(code: F.Column) -> F.Column:
+    """The character of a code point."""
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+
+
+def emoji_table(spark: SparkSession) -> DataFrame:
+    """(seq, name) by rule: pictures, pairs of regional letters, hands with a skin tone, people joined
+    with a thing, and keys; the name is `e` and the code points in hexadecimal."""
+    def each(first, last):
+        return spark.range(first, last + 1).select(F.col("id").alias("c"))
+
+    def pairs(a, b, *between):
+        return a.toDF("a").join(b.toDF("b"), F.lit(True)).select(F.array("a", *[F.lit(x).cast("long") for x in between], "b").alias("codes"))
+
+    def listed(*codes):
+        return spark.createDataFrame([(c,) for c in codes], "c long")
+
+    keys = spark.range(0x30, 0x3A).select(F.array("id", F.lit(0xFE0F).cast("long"), F.lit(0x20E3).cast("long")).alias("codes"))
+    tables = [each(0x1F300, 0x1F64F).select(F.array("c").alias("codes")), pairs(each(0x1F1E6, 0x1F1FF), each(0x1F1E6, 0x1F1FF)),
+              pairs(each(0x1F44A, 0x1F450), each(0x1F3FB, 0x1F3FF)), pairs(listed(0x1F468, 0x1F469), listed(0x1F33E, 0x1F373, 0x1F393, 0x1F3A4), 0x200D), keys]
+    every = tables[0]
+    for more in tables[1:]:
+        every = every.unionByName(more)
+    return every.select(F.array_join(F.transform("codes", code_point), "").alias("seq"),
+                        F.concat(F.lit("e"), F.array_join(F.transform("codes", lambda c: F.lower(F.hex(c))), "_")).alias("name"))
+
+
+def fx_emoji(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with emoji before, between and after their words."""
+    d = documents(spark, sf_dir)
+    n = F.col("doc_id")
+    letters = [code_point(F.lit(0x1F1E6) + n % 26), code_point(F.lit(0x1F1E6) + (n * 7) % 26), code_point(F.lit(0x1F1E6) + (n * 3) % 26)]
+    hand = F.concat(code_point(F.lit(0x1F44A) + n % 7), F.when(n % 2 == 0, code_point(F.lit(0x1F3FB) + n % 5)).otherwise(F.lit("")))
+    person = F.concat(code_point(F.lit(0x1F468) + n % 3), F.lit("\u200d"), F.when(n % 5 == 0, F.lit("\U0001F33E")).otherwise(F.lit("\U0001F393")))
+    key = F.concat(F.substring(n.cast("string"), 1, 1), F.lit("\ufe0f\u20e3"))
+    return d.select(n.alias("pos"), F.concat(*letters, F.lit(" "), F.replace("text", F.lit(", "), F.concat(F.lit(", "), hand)), person, key).alias("text"))
+
+
+def fx_unspaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without blanks between words, as in scripts that write none."""
+    return documents(spark, sf_dir).select(F.col("source").alias("event"), F.col("doc_id").alias("pos"), F.translate("text", " \n", "").alias("text"))
+
+
+def word_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, freq): the runs of letters of all documents."""
+    words = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+
+
+def fx_image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as of ``binaryFile`` (path, length, content): a small image for each document, some of them damaged."""
+    import struct
+    import zlib
+
+    import pyarrow as pa
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    def png(said):
+        width = max(1, min(len(said), 64))
+        lines = -(-max(len(said), 1) // width)
+        pixels = b"".join(b"\0" + said[n * width:(n + 1) * width].ljust(width, b"\0") for n in range(lines))
+        return (b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, lines, 8, 0, 0, 0, 0))
+                + chunk(b"IDAT", zlib.compress(pixels)) + chunk(b"IEND", b""))
+
+    def jpeg(said):
+        head = b"\xff\xd8\xff\xe0\x00\x04JF\xff\xc0\x00\x0b\x08\x00\x10\x00\x10\x01\x01\x11\x00"
+        return head + b"\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00" + said.replace(b"\xff", b"\xff\x00") + b"\xff\xd0ab\xff\xd9"
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                said, kind = (text or "").encode(), doc % 7
+                data = jpeg(said) if kind in (3, 4) else b"GIF89a" if kind == 5 else b"" if kind == 6 else png(said)
+                if kind == 1:
+                    data = data[:-9]
+                elif kind == 2:
+                    data = data[:40] + bytes([data[40] ^ 1]) + data[41:]
+                elif kind == 4:
+                    data = data[:-2]
+                made.append((f"root/e{doc % 10}/images/{doc}.{'jpg' if kind in (3, 4) else 'png'}", len(data), data))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["path", "length", "content"])
+
+    return documents(spark, sf_dir).select("doc_id", "text").mapInArrow(run, "path string, length long, content binary")
+
+
+def fx_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score network of one hidden unit for each nation: (unit, w, b, v)."""
+    n = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(n.alias("unit"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin((n + 1) * i)).alias("w"),
+                                                 (F.col("n_regionkey") / 10.0).alias("b"), F.cos(n + 1).alias("v"))
+
+
 # ----------------------------------------------------------------------------- SQL
 
 def _text_case() -> str:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.scalars import unescape_path
 from ..functions.text import clean_text
 from ..sources import files as IO
 
@@ -37,15 +38,15 @@ def start_cache_stream(spark: SparkSession, landing: str, cache_path: str, check
                        available_now: bool = True, width: int = IO.WIDTH,
                        event_pattern: str | None = None) -> StreamingQuery:
     """Start the stream; ``available_now`` processes what has landed and stops.
-    ``event_pattern`` names events from the path as in ``files.read_posts``. A
-    header wider than ``width`` fails the batch instead of losing columns."""
+    ``event_pattern`` names events from the path as in ``files.read_posts``. The
+    files of a batch with a header wider than ``width`` are parsed again at its width."""
     checkpoint = checkpoint or f"{cache_path.rstrip('/')}/checkpoints/{md5(landing.rstrip('/').encode()).hexdigest()}"
     stream = md5(checkpoint.rstrip("/").encode()).hexdigest()
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         raw = IO.land(IO.cells_frame(batch, width), "stream-cells")
-        if (needed := IO.widest_header(raw)) > width:
-            raise ValueError(f"a header has up to {needed} columns: start the stream with width={needed}")
+        if (needed := IO.widest_header(raw)) > width:  # the batch's files again, with room for all columns
+            raw = IO.land_cells(spark, raw.select(unescape_path("file").alias("path")).distinct(), needed)
         posts = IO.canonical_posts(IO.apply_headers(raw, event_pattern)).withColumn("clean_text", clean_text("text"))
         events = raw.select(IO.event_of_file(event_pattern).alias("event")).distinct()
         IO.write_cache_run(posts, events, cache_path, f"stream-{stream}-{batch_id}")
