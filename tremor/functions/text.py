@@ -262,4 +262,5 @@ def token_count(col: Column | str, segmenter: Callable[[Column], Column] | None
     """
     if segmenter is not None:
         return F.size(F.filter(segmenter(_c(col)), is_valid))
-    return F.size(F.filter(F.split(_c(col), f"{WS}+", -1), lambda x: x != ""))
+    single = F.trim(F.regexp_replace(_c(col), f"{WS}+", " "))
+    return _bound(single, lambda t: F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1))

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..functions.text import is_valid, truncate_len
 
 SPARSE = "struct<size:int,indices:array<int>,values:array<double>>"
 SEED = 42  # of the hash, as in Spark ML's HashingTF
@@ -43,44 +42,66 @@ def murmur3(data: bytes, seed: int = SEED) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
+def distinct(values: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, ascending, place of each value among them) of numbers below ``bound``."""
+    if bound > 8 * len(values) + 1024:  # a table of all numbers would be mostly empty
+        return np.unique(values, return_inverse=True)
+    seen = np.zeros(bound, dtype=bool)
+    seen[values] = True
+    found = np.flatnonzero(seen)
+    place = np.zeros(bound, np.int32)
+    place[found] = np.arange(len(found))
+    return found, place[values]
+
+
 def bigram_rows(texts: list[str], size: int, known: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bounds of the rows, index, value) of the texts' bigram vectors of unit length."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     row = np.repeat(np.arange(len(texts)), lengths)
     inside = np.flatnonzero(row[1:] == row[:-1])
-    pairs, which = np.unique(codes[inside] << 32 | codes[inside + 1], return_inverse=True)
-    for pair in pairs.tolist():
+    chars = np.flatnonzero(np.bincount(codes))  # numbered, so that a pair is a small number
+    number = np.zeros(int(chars[-1]) + 1 if len(chars) else 1, np.int64)
+    number[chars] = np.arange(len(chars))
+    small = number[codes]
+    pairs, which = distinct(small[inside] * len(chars) + small[inside + 1], len(chars) ** 2)
+    buckets = np.zeros(len(pairs), np.int64)
+    for n, pair in enumerate((chars[pairs // max(len(chars), 1)] << 32 | chars[pairs % max(len(chars), 1)]).tolist()):
         if pair not in known:
             known[pair] = murmur3(f"{chr(pair >> 32)} {chr(pair & 0xFFFFFFFF)}".encode("utf-8", "surrogatepass")) % size
-    index = np.fromiter((known[p] for p in pairs.tolist()), np.int64, len(pairs))[which] if len(pairs) else which
-    cell, count = np.unique(row[inside] * size + index, return_counts=True)
+        buckets[n] = known[pair]
+    cell, which = distinct(row[inside] * size + buckets[which], len(texts) * size)
+    count = np.bincount(which, minlength=len(cell))
     owner = cell // size
     norm = np.sqrt(np.bincount(owner, count.astype(float) ** 2, minlength=len(texts)))
     return np.searchsorted(owner, np.arange(len(texts) + 1)), cell % size, count / norm[owner]
 
 
 def bigram_vectors(posts: DataFrame, text_col: str = "text", size: int = 1 << 12, max_len: int | None = None, out: str = "vec") -> DataFrame:
-    """E14 default: hashed character bigrams of non-blank posts as sparse unit vectors.
+    """E14 default: hashed character bigrams of non-blank posts as sparse unit vectors (``max_len``: of their first characters, P6).
 
     The same vectors as character bigrams through Spark ML's ``HashingTF`` and
     ``Normalizer``, without an array of characters or of all buckets for a post.
     """
-    src = posts.where(is_valid(text_col)).withColumn(text_col, truncate_len(F.col(text_col), max_len))
-    at = src.columns.index(text_col)
-    kept = [c for c in src.columns if c != out]
-    schema = StructType([f for f in src.schema.fields if f.name != out] + [StructField(out, src.sparkSession.createDataFrame([], f"v {SPARSE}").schema["v"].dataType)])
+    at = posts.columns.index(text_col)
+    kept = [c for c in posts.columns if c != out]
+    schema = StructType([f for f in posts.schema.fields if f.name != out] + [StructField(out, posts.sparkSession.createDataFrame([], f"v {SPARSE}").schema["v"].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, int] = {}
         for batch in batches:
-            bounds, index, value = bigram_rows(batch.column(at).to_pylist(), size, known)
+            # Blank posts go here: a filter before this step would compute the text of the plan below twice.
+            texts = [t[:max_len] if t and t.strip() else None for t in batch.column(at).to_pylist()]
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array([t is not None for t in texts], pa.bool_()))
+            bounds, index, value = bigram_rows([t for t in texts if t is not None], size, known)
             lists = pa.array(bounds.astype(np.int32))
             vec = pa.StructArray.from_arrays([pa.array(np.full(batch.num_rows, size, np.int32)), pa.ListArray.from_arrays(lists, pa.array(index.astype(np.int32))),
                                               pa.ListArray.from_arrays(lists, pa.array(value))], names=["size", "indices", "values"])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), vec], names=[*kept, out])
 
-    return src.mapInArrow(run, schema)
+    return posts.mapInArrow(run, schema)
 
 
 def is_sparse(df: DataFrame, vec: str) -> bool:

@@ -25,7 +25,7 @@ from ..operators import profile as PR
 from ..operators import scoring as E
 from ..operators import sparse as SP
 from ..operators import windows as W
-from ..operators.cleaning import clean_posts
+from ..operators.cleaning import clean_posts, spread
 from ..sources import fixtures as FX
 from . import sqlgen as G
 
@@ -249,14 +249,14 @@ SELECT pos, array_to_string(list_transform(pieces, lambda p: CASE
 FROM k""")
 def q_emoji_table(spark, sf):
     """T6 with a table of more than 1,500 sequences: flags, skin tones, joined people, keys."""
-    return X.demojize_table(FX.fx_emoji(spark, sf), FX.emoji_table(spark))
+    return X.demojize_table(spread(FX.fx_emoji(spark, sf), cores(spark)), FX.emoji_table(spark))
 
 
 @register("segment_words")
 def q_segment_words(spark, sf):
     """P14 by a dictionary: texts without blanks are cut into the words of all documents. No SQL:
     the best path over every place of a text is compared with a plain version in the tests."""
-    cut = X.segment(FX.fx_unspaced(spark, sf), FX.word_frequencies(spark, sf))
+    cut = X.segment(spread(FX.fx_unspaced(spark, sf), cores(spark)), FX.word_frequencies(spark, sf))
     return cut.select("event", "pos", F.size("words").cast("long").alias("n_words"), F.md5(F.array_join("words", " ")).alias("words_md5"))
 
 
