@@ -122,3 +122,61 @@ def conversations(rows):
         loss = "".join(t for _, r, t in turns if r == "assistant")
         out[conv] = (len(turns), sha("".join(f"{r}\n{t}\n" for _, r, t in turns)), len(loss), sha(loss))
     return out
+
+
+def fill_in_middle(docs, salt="1"):
+    out = []
+    for doc_id, text in docs:
+        text = text or ""
+        units = re.findall(r"[A-Za-z]+|[^A-Za-z]", text)
+        code = hashlib.sha256(f"{salt}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+        h = [int(code[8 * k:8 * k + 8], 16) for k in range(4)]
+        a, b = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+        prefix, middle, suffix = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+        if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+            out.append((doc_id, len(units), "plain", None, None, text))
+        elif h[3] % 100 < 20:
+            out.append((doc_id, len(units), "spm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}"))
+        else:
+            out.append((doc_id, len(units), "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}"))
+    return out
+
+
+def substrings(docs, width=35):
+    """(key, words, removed, kept words) of every row."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", text or "") for _, text in docs]
+    starts = defaultdict(int)
+    for w in words:
+        for i in range(len(w) - width + 1):
+            starts[tuple(w[i:i + width])] += 1
+    out = []
+    for (doc_id, _), w in zip(docs, words, strict=True):
+        gone = {at for i in range(len(w) - width + 1) if starts[tuple(w[i:i + width])] > 1 for at in range(i, i + width)}
+        out.append((doc_id, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return out
+
+
+def ranked(docs, items, k=10):
+    """(item, rank, key, score) with ties by key, nulls last."""
+    terms = [WORD.findall((t or "").translate(A_Z)) for _, t in docs]
+    sizes = [len(t) for t in terms]
+    n_docs, n_terms = sum(n > 0 for n in sizes), sum(sizes)
+    held = [{t: w.count(t) for t in set(w)} for w in terms]
+    df = defaultdict(int)
+    for h in held:
+        for t in h:
+            df[t] += 1
+    out = []
+    for item, text in items:
+        asked = WORD.findall((text or "").translate(A_Z))
+        scores = []
+        for (doc_id, _), h, n in zip(docs, held, sizes, strict=True):
+            score = 0
+            for t in asked:
+                if t in h:
+                    norm = 25 + (75 * n * n_docs) // n_terms
+                    score += int(np.floor(1000 * np.log((2 * n_docs + 2) / (2 * df[t] + 1)))) * ((10 ** 9 * h[t]) // (1000 * h[t] + 8 * norm))
+            if score > 0:
+                scores.append((-score, doc_id is None, doc_id or 0, doc_id))
+        out += [(item, n + 1, key, -s) for n, (s, _, _, key) in enumerate(sorted(scores, key=lambda r: r[:3])[:k])]
+    return out

@@ -60,11 +60,15 @@ def frame_cuts(raw: np.ndarray, size: int) -> list[int]:
     cuts, at = [], 0
     while len(raw) - at > size:
         end = at + size
-        while LATER[raw[end]] and end > at + 1:
+        while end > at and LATER[raw[end]]:
             end -= 1
+        if end == at:  # a character longer than a frame
+            end += 1
+            while end < len(raw) and LATER[raw[end]]:
+                end += 1
         cuts.append(end)
         at = end
-    return [*cuts, len(raw)]
+    return cuts if cuts and at == len(raw) else [*cuts, len(raw)]
 
 
 def frame_row(raw: np.ndarray, size: int, pack: zstandard.ZstdCompressor) -> tuple:

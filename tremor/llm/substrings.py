@@ -90,7 +90,7 @@ def least_places(values: np.ndarray, reach: int) -> np.ndarray:
     least = values
     while size < reach:
         step = min(size, reach - size)
-        keep = least[:-step] <= least[step:] if step else np.ones(len(least), dtype=bool)
+        keep = least[:-step] <= least[step:]
         place = np.where(keep, place[:-step], place[step:])
         least = np.where(keep, least[:-step], least[step:])
         size += step
@@ -224,9 +224,9 @@ def cut_suffixes(docs: DataFrame, wanted: DataFrame, path: str, text: str, width
     return docs.sparkSession.read.schema(made.schema).parquet(path)
 
 
-def frequent(suffixes: DataFrame, prefix: str, rows: int) -> tuple[DataFrame, int]:
+def frequent(suffixes: DataFrame, prefix: str, rows: int, path: str) -> tuple[DataFrame, int]:
     """(the prefixes that begin more than ``rows`` suffixes, how many these are)."""
-    found = suffixes.groupBy(prefix).count().filter(F.col("count") > rows).select(prefix, F.lit(True).alias(f"often_{prefix}"))
+    found = stored(suffixes.groupBy(prefix).count().filter(F.col("count") > rows).select(prefix, F.lit(True).alias(f"often_{prefix}")), path)
     return found, found.count()
 
 
@@ -234,8 +234,7 @@ def dealt(suffixes: DataFrame, path: str, group_rows: int, bin_rows: int) -> tup
     """(suffixes with the group of their shortest prefix that is not too frequent, those that have none, bins)."""
     open_ = suffixes
     for n in PREFIXES:
-        often, size = frequent(suffixes, f"p{n}", group_rows)
-        often = stored(often, f"{path}/often{n}")
+        often, size = frequent(suffixes, f"p{n}", group_rows, f"{path}/often{n}")
         open_ = open_.join(F.broadcast(often) if size <= BROADCAST_ROWS else often, f"p{n}", "left")
     group = F.coalesce(*[F.when(F.col(f"often_p{n}").isNull(), F.xxhash64(F.lit(n), f"p{n}")) for n in PREFIXES])
     bins = max(1, -(-suffixes.count() // bin_rows))
@@ -245,6 +244,8 @@ def dealt(suffixes: DataFrame, path: str, group_rows: int, bin_rows: int) -> tup
 
 def sorted_tree(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order of the rows, words that each shares with the one before it) of rows of word numbers."""
+    if not table.shape[1]:
+        return np.arange(len(table)), np.zeros(len(table), np.int64)
     order = np.lexsort(table.T[::-1])
     ranked = table[order]
     same = np.zeros(ranked.shape, dtype=bool)
