@@ -2,9 +2,10 @@
 
 Overlapping heuristic labellers vote good, bad or nothing on every document.
 Expectation-maximisation over the counts of all vote patterns (all documents;
-at most 3**labellers rows) estimates how each labeller votes on good and on
-bad documents, and gives every pattern a posterior. The posteriors, as soft
-labels, train a linear scorer on hashed features (logistic regression) over a
+at most 3**labellers rows) estimates how each labeller votes on good documents and
+on each kind of bad ones, from prior beliefs worth a fixed number of documents, and
+gives every pattern a posterior. The posteriors, as soft labels with both sides kept,
+train a linear scorer on hashed words and character shapes (logistic regression) over a
 priority sample of at most ``sample`` distinct texts: a text of many copies is
 likelier to be in it, one that holds more than its share of the rows always is,
 and weights make up for that, so the sample stands for the rows of the corpus
@@ -12,7 +13,8 @@ under any skew. The scorer then rates every whole document; ``kept`` means a pro
 
 Null and empty texts have no votes and no features: their score is that of the
 intercept alone. Null keys are scored like others, repeated rows get equal
-scores, an empty table gives no rows.
+scores, an empty table gives no rows. Whole texts of any length are read; other
+columns do not matter.
 """
 
 from __future__ import annotations
@@ -27,23 +29,20 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm.common import prepare, spread_ranges, text_bytes, text_hash, text_slices, words_of
+from tremor.llm.common import prepare, scratch, spread_ranges, stored, text_bytes, text_hash, text_slices, words_of
 
 SLICE = 1 << 20  # bytes of text whose tables are held at once
 KEEP = 0.5  # least score of a document that stays
 SAMPLE = 8_000  # distinct texts the scorer is fitted on, at most
-HASHES = 1 << 10  # hashed features of words, and as many of character shapes
-# Bounds of the ranges that the labellers' measures fall into, a feature for each measure and range.
-STEPS = np.array([0.005, 0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.5, 2, 2.5, 3, 4, 6, 9, 12, 16])
+HASHES = 1 << 13  # hashed features of words, and as many of character shapes
 ROUNDS = 60
-# Prior beliefs about a labeller: how often it calls a good document bad, how many of the
-# bad ones it finds (each looks for one kind of junk), and the weight of these
-# beliefs in corpora. Without them the largest kind of junk becomes the bad class
-# and other kinds pass for noise of single labellers.
-FALSE_ALARM, FINDS, WEIGHT_GOOD, WEIGHT_BAD = 0.001, 0.3, 10.0, 0.1
+# Prior beliefs about a labeller, worth PRIOR documents for each class and labeller at every size of
+# the corpus: how often it calls a good document bad, how many it finds of the kind of junk it looks
+# for, and of other kinds.
+PRIOR, FALSE_ALARM, FINDS, FINDS_OTHERS = 20.0, 0.01, 0.9, 0.05
 LABELLERS = ("capitals", "symbols", "repeats", "bars", "marks", "lower_starts", "sentences", "word_length")
 
-N_FEATURES = 2 * HASHES + len(LABELLERS) * (len(STEPS) + 1)
+N_FEATURES = 2 * HASHES
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 UPPER = np.zeros(256, np.int64)
@@ -172,43 +171,44 @@ def features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         code = HASHES + ((triple.astype(np.uint64) * ODD) >> np.uint64(64 - HASHES.bit_length() + 1)).astype(np.int64)
     count = np.maximum(np.bincount(row, minlength=t.n), 1)
-    values, seen, _ = shares(t)
-    steps = np.searchsorted(STEPS, values.ravel()).reshape(values.shape) + np.arange(values.shape[1]) * (len(STEPS) + 1)
-    some = np.flatnonzero(seen > 0)
-    return (np.concatenate((t.rows, row, np.repeat(some, values.shape[1]))),
-            np.concatenate((word, code, 2 * HASHES + steps[some].ravel())),
-            np.concatenate((1 / words[t.rows], 1 / count[row], np.ones(len(some) * values.shape[1]))))
+    return np.concatenate((t.rows, row)), np.concatenate((word, code)), np.concatenate((1 / words[t.rows], 1 / count[row]))
 
 
 @dataclass
 class Model:
     posterior: dict[int, float]  # of good, by vote pattern
-    accuracy: dict[str, float]  # of each labeller where it votes
+    accuracy: dict[str, float]  # of each labeller where it votes, from the table that the posterior comes from
     weights: np.ndarray
     intercept: float
 
 
 def fit_labels(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Expectation-maximisation over vote patterns: (posterior of good by pattern, labeller accuracies)."""
+    """Expectation-maximisation over vote patterns: (posterior of good by pattern, labeller accuracies).
+
+    Class 0 is good; every labeller has a class of bad documents of its own, which those that it calls
+    bad begin in, so that no kind of junk has to look like another. Both results come from the
+    same table of votes by class.
+    """
     kinds = len(LABELLERS)
     vote = (patterns[:, None] // 3 ** np.arange(kinds)) % 3  # 0 none, 1 bad, 2 good
     counts = counts.astype(float)
-    total = counts.sum()
-    prior = 1 + total * np.array([[0, WEIGHT_BAD * FINDS, WEIGHT_BAD * (1 - FINDS)], [0, WEIGHT_GOOD * FALSE_ALARM, WEIGHT_GOOD * (1 - FALSE_ALARM)]])
-    good = np.clip(((vote == 2).sum(1) + 1.0) / ((vote > 0).sum(1) + 1.5) - 0.5 * (vote == 1).any(1), 0.05, 0.95)
+    belief = np.empty((1 + kinds, kinds, 2))
+    belief[0], belief[1:] = (FALSE_ALARM, 1 - FALSE_ALARM), (FINDS_OTHERS, 1 - FINDS_OTHERS)
+    belief[1 + np.arange(kinds), np.arange(kinds)] = FINDS, 1 - FINDS
+    said = np.stack((vote == 1, vote == 2), axis=2).astype(float)  # silence is no evidence
+    good = np.where((vote == 1).any(1), 0.05, 0.95)
+    blame = (vote == 1) + 1e-3
+    share = np.column_stack((good, (1 - good)[:, None] * blame / blame.sum(1, keepdims=True)))
     for _ in range(ROUNDS):
-        share = (good @ counts + 1) / (total + 2)
-        logit = np.full(len(patterns), np.log(share) - np.log(1 - share))
-        accuracy = np.zeros(kinds)
-        for n in range(kinds):
-            seen = np.array([[(w * counts)[vote[:, n] == v].sum() for v in range(3)] for w in (1 - good, good)])
-            table = seen + prior
-            chance = np.log(table / table[:, 1:].sum(1, keepdims=True))
-            # Silence is no evidence: a labeller may be silent for reasons of length alone.
-            logit += np.where(vote[:, n] > 0, (chance[1] - chance[0])[vote[:, n]], 0)
-            accuracy[n] = (seen[1, 2] + seen[0, 1]) / max(seen[:, 1:].sum(), 1)
-        good = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return good, accuracy
+        weight = share * counts[:, None]
+        table = np.einsum("pc,pns->cns", weight, said) + PRIOR * belief
+        size = weight.sum(0) + PRIOR / (1 + kinds)
+        chance = np.log(table / table.sum(2, keepdims=True))
+        logit = np.log(size / size.sum()) + np.einsum("pns,cns->pc", said, chance)
+        share = np.exp(logit - logit.max(1, keepdims=True))
+        share /= share.sum(1, keepdims=True)
+    right = table[0, :, 1] + table[1:, :, 0].sum(0)
+    return share[:, 0], right / table.sum((0, 2))
 
 
 def priority_sample(texts: DataFrame, sample: int) -> tuple[list[tuple[int, float]], int]:
@@ -218,18 +218,16 @@ def priority_sample(texts: DataFrame, sample: int) -> tuple[list[tuple[int, floa
     priorities are taken; a weight is n, or the first priority left out if that is more.
     """
     u = (F.shiftrightunsigned(F.xxhash64("text_hash", F.lit(7)), 11) + 1) / float(1 << 53)
-    ranked = texts.groupBy("text_hash").agg(F.count("*").alias("n")).select("text_hash", "n", (F.col("n") / u).alias("priority")).cache()
-    try:
-        # Counts by size of priority bring the rows that come to the driver down to little more than the sample.
-        sizes = ranked.groupBy(F.floor(F.log2("priority") * 8).alias("size")).count().orderBy(F.desc("size")).collect()
-        above, least = 0, 0
-        for r in sizes:
-            above, least = above + r["count"], r["size"]
-            if above > sample:
-                break
-        top = ranked.filter(F.floor(F.log2("priority") * 8) >= least).collect()
-    finally:
-        ranked.unpersist()
+    ranked = texts.groupBy("text_hash").agg(F.count("*").alias("n")).select("text_hash", "n", (F.col("n") / u).alias("priority"))
+    ranked = stored(ranked, f"{scratch(texts.sparkSession, 'quality')}/priorities")
+    # Counts by size of priority bring the rows that come to the driver down to little more than the sample.
+    sizes = ranked.groupBy(F.floor(F.log2("priority") * 8).alias("size")).count().orderBy(F.desc("size")).collect()
+    above, least = 0, 0
+    for r in sizes:
+        above, least = above + r["count"], r["size"]
+        if above > sample:
+            break
+    top = ranked.filter(F.floor(F.log2("priority") * 8) >= least).collect()
     top.sort(key=lambda r: (-r.priority, r.text_hash))
     limit = top[sample].priority if len(top) > sample else 0.0
     return [(r.text_hash, float(max(r.n, limit))) for r in top[:sample]], sum(r["count"] for r in sizes)
@@ -279,7 +277,7 @@ def fit(spark: SparkSession, docs: DataFrame, *, text: str = "text", sample: int
     rows = rows.select("rows", "good", vector("at", "value").alias("features"))
     soft = rows.select("features", "rows", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("good").alias("weight")),
                                                      F.struct(F.lit(0.0).alias("label"), (1 - F.col("good")).alias("weight")))).alias("l")).select("features", "rows", "l.*")
-    soft = soft.filter("weight > 0.01").withColumn("weight", F.col("weight") * F.col("rows")).drop("rows").cache()
+    soft = soft.withColumn("weight", F.col("weight") * F.col("rows")).drop("rows").cache()
     try:
         if soft.select("label").distinct().count() < 2:  # all documents alike
             return Model(posterior, dict(zip(LABELLERS, accuracy.tolist(), strict=True)), np.zeros(N_FEATURES), 4.0 if good @ counts > total / 2 else -4.0)
