@@ -1,11 +1,12 @@
 """Secret scan with recursive unwrapping of encoded layers.
 
 The base layer is the text itself (null as empty). A worklist holds layers
-still to be scanned: a layer with percent escapes or Unicode escapes gives a
-layer with these undone, one with ASCII characters in units of two or four bytes
+still to be scanned: a layer with percent escapes (with plus signs as blanks too), or with
+Unicode, backslash or entity escapes gives a layer with these undone, one with ASCII characters in units of two or four bytes
 (UTF-16, UTF-32) a layer without the zero bytes. Every run of base64 characters
 (standard or URL alphabet) gives layers of its own, line by line and with the
-lines joined that only line breaks separate, in each of the four phases, so that
+lines joined that only line breaks separate, or breaks with a mark at the next line's
+beginning and quotes around the lines, in each of the four phases, so that
 letters glued to a payload do not hide it; bytes that are no UTF-8 stay as
 surrogates and hide nothing beside them. Compressed streams (gzip of any number of
 members, zlib, bzip2, xz) anywhere in these bytes give layers of the unpacked
@@ -16,7 +17,9 @@ seen for the same origin is not opened again: cycles end, and the list runs
 dry when nothing new unwraps.
 
 Base findings stay as they are; a span found in several layers counts once.
-Whole texts are scanned, without limits on length or depth.
+Whole texts are scanned, without limits on length or depth; an unpacked layer is held whole.
+Null and empty texts have no findings. Null keys are kept, repeated rows are scanned each, an
+empty table gives no rows, other columns do not matter.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from __future__ import annotations
 import base64
 import bz2
 import hashlib
+import html
 import lzma
 import re
 import zlib
@@ -44,13 +48,21 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_VALUE = 6
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|%u[0-9A-Fa-f]{4}")
+FORM = re.compile(r"(?:%[0-9A-Fa-f]{2}|\+)+")  # plus signs as blanks, in texts with percent escapes
+ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}|\+")
+# What a letter or sign after a backslash stands for.
+BACKSLASHED = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "v": "\v", "a": "\a", "/": "/", '"': '"', "'": "'", "\\": "\\"}
+UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|%u[0-9A-Fa-f]{4}"
+                     r"""|&[A-Za-z]{2,8}[0-9]{0,2};|\\[0-3][0-7]{2}|\\[nrtbfva/"'\\]""")
 WIDE = re.compile(r"(?:[\x01-\x7f]\x00){4,}[\x01-\x7f]?|(?:\x00[\x01-\x7f]){4,}|(?:[\x01-\x7f]\x00{3}){4,}|(?:\x00{3}[\x01-\x7f]){4,}")
-HAS_ESCAPE = re.compile(r"%[0-9A-Fa-fu]|\\[uUx]|&#|\x00")
+HAS_ESCAPE = re.compile(r"""%[0-9A-Fa-fu]|\\[uUxnrtbfva/"'\\0-3]|&#|&[A-Za-z]{2,8}[0-9]{0,2};|\x00""")
 # Runs of 16 characters (the shortest finding has 12 bytes), and shorter ones that go on in the next line.
 LEAST = 16
 BASE64 = tuple(re.compile(rf"(?<![{a}])(?=[{a}]{{{LEAST}}}|[{a}]++[ \t]*[\r\n])[{a}]++(?:[ \t]*+[\r\n][ \t\r\n]*+[{a}]++)*+") for a in ("A-Za-z0-9+/", "A-Za-z0-9_-"))
 LINE = re.compile(r"[^ \t\r\n]+")
+# Marks that lines of wrapped base64 begin with, and quotes with a joining sign that they end with.
+MARKED = re.compile(r"""[\r\n][ \t]*[>#*|;:%"']{1,3}[ \t]*[A-Za-z0-9+/_-]""")
+EDGE = re.compile(r"""["'][ \t]*[+\\,;.]?[ \t]*(?=[\r\n])|[\r\n][ \t\r\n]*[>#*|;:%"']{1,3}[ \t]*""")
 PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|[\x08\x18\x28\x38\x48\x58\x68\x78](?=[^\x20-\x3f\x60-\x7f\xa0-\xbf\xe0-\xff])", re.S)
 PIECE = 1 << 8  # bytes given to a decompressor at once: so much is lost before an error
 Layer = tuple[str, np.ndarray, np.ndarray]
@@ -96,11 +108,26 @@ def undo_percent(run: str) -> list[tuple[str, int, int]]:
     return list(zip(chars, [0, *last[:-1]], last, strict=True))
 
 
+def undo_form(run: str) -> list[tuple[str, int, int]]:
+    tokens = ESCAPED.findall(run)
+    chars, sizes = decoded(bytes(0x20 if t == "+" else int(t[1:], 16) for t in tokens))
+    ends = np.cumsum([len(t) for t in tokens])
+    last = ends[np.cumsum(sizes) - 1].tolist()
+    return list(zip(chars, [0, *last[:-1]], last, strict=True))
+
+
 def undo_wide(run: str) -> list[tuple[str, int, int]]:
     return [(c, n, n + 1) for n, c in enumerate(run) if c != "\0"]
 
 
 def undo_unicode(run: str) -> list[tuple[str, int, int]] | None:
+    if run[0] == "&" and run[1] != "#":
+        name = html.unescape(run)
+        return None if name == run or len(name) != 1 else [(name, 0, len(run))]
+    if run[0] == "\\" and run[1] in BACKSLASHED and len(run) == 2:
+        return [(BACKSLASHED[run[1]], 0, 2)]
+    if run[0] == "\\" and run[1] in "0123":
+        return [(chr(int(run[1:], 8)), 0, len(run))]
     digits = run.strip("\\uUx{}&#;%")
     code = int(digits, 10 if run.startswith("&#") and not run.startswith("&#x") else 16)
     return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else [(chr(code), 0, len(run))]
@@ -185,6 +212,13 @@ def undo_base64(layer: Layer) -> Iterator[Layer]:
                 yield from open_run("".join(text[a:b] for a, b in lines), begin[at], stop[at], bool(number))
 
 
+def without_edges(layer: Layer) -> Layer | None:
+    """The layer without marks at line beginnings and quotes at line ends, if base64 stands behind them."""
+    if not MARKED.search(layer[0]):
+        return None
+    return replaced(layer, EDGE, lambda run: [("\n", 0, len(run))] if run[0] in "\r\n" else [])
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base findings, all findings) as (start, kind number, end) of the original text."""
     base = find(text)
@@ -197,8 +231,11 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     while work:
         layer = work.pop()
         made = list(undo_base64(layer))
+        if bare := without_edges(layer):
+            made += undo_base64(bare)
         if HAS_ESCAPE.search(layer[0]):
-            made += [x for x in (replaced(layer, PERCENT, undo_percent), replaced(layer, UNICODE, undo_unicode), replaced(layer, WIDE, undo_wide)) if x]
+            form = replaced(layer, FORM, undo_form) if "+" in layer[0] and PERCENT.search(layer[0]) else None
+            made += [x for x in (form, replaced(layer, PERCENT, undo_percent), replaced(layer, UNICODE, undo_unicode), replaced(layer, WIDE, undo_wide)) if x]
         for new in made:
             mark = (hashlib.blake2b(new[0].encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(new[1][0]) if len(new[1]) else 0, int(new[2][-1]) if len(new[2]) else 0)
             if mark in seen:
