@@ -2,8 +2,8 @@
 
 A normalised text (A-Z lower-cased, null as empty) is cut into blocks of a
 fixed size. Distinct blocks are sorted inside hash buckets and numbered, so
-equal blocks, and only these, share an integer name; no hash stands for
-content. Then the names of adjacent blocks are paired, the distinct pairs
+equal blocks, and only these, share an integer name; digests tie rows to names
+and are checked to be as distinct as the blocks. Then the names of adjacent blocks are paired, the distinct pairs
 sorted and named alike, until each document has one name. Two texts are equal
 exactly when they finish in the same round with the same name.
 
@@ -74,6 +74,19 @@ def sorted_names(rows: DataFrame, keys: list[str | Column], buckets: int) -> Col
     return F.shiftleft(bucket, 32).bitwiseOR(rank.cast("long"))
 
 
+def block_names(blocks: DataFrame, path: str) -> DataFrame:
+    """(digest, name): distinct blocks, sorted where hashing deals them to, get integers.
+
+    A block that many spaces hold is one row of each task before the shuffle. Blocks are told apart by
+    their content; their digest only ties a space's block to its name, and two blocks of one digest are an error.
+    """
+    distinct = blocks.select("digest", "block").distinct()
+    names = stored(distinct.sortWithinPartitions("block").select("digest", F.monotonically_increasing_id().alias("name")), path)
+    if names.groupBy("digest").count().filter("count > 1").take(1):
+        raise ValueError("two blocks have one SHA-256 digest")
+    return names
+
+
 def buckets_for(rows: int) -> int:
     return max(1, -(-rows // BUCKET_ROWS))
 
@@ -85,12 +98,12 @@ def name_documents(spark: SparkSession, docs: DataFrame, path: str, *, key: str
     named.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(f"{path}/local")
     named = spark.read.schema(named.schema).parquet(f"{path}/local")
     found = named.filter("row is not null")
-    counts = named.agg(F.count("block"), F.max(F.size("locals"))).first()
-    blocks = named.filter("block is not null")
-    names = blocks.select("space", "local", sorted_names(blocks, ["block"], buckets_for(counts[0])).alias("name"))
+    longest = named.agg(F.max(F.size("locals"))).first()[0]
+    blocks = named.filter("block is not null").withColumn("digest", F.unhex(F.sha2("block", 256)))
+    names = blocks.select("space", "local", "digest").join(block_names(blocks, f"{path}/names"), "digest").select("space", "local", "name")
     parts = found.select("space", "row", F.size("locals").alias("n"), F.posexplode("locals").alias("at", "local"))
     level = stored(parts.join(names, ["space", "local"]).select("row", "n", F.col("at").cast("long").alias("at"), "name"), f"{path}/round0")
-    done, left, turn = [level.filter("n = 1").select("row", F.lit(0).alias("round"), "name")], counts[1] or 0, 0
+    done, left, turn = [level.filter("n = 1").select("row", F.lit(0).alias("round"), "name")], longest or 0, 0
     while left > 1:
         turn += 1
         half = F.shiftright("at", 1)
