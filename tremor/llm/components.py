@@ -34,7 +34,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, path: str) -> Da
         least = stored(least.coalesce(parts), f"{path}/least{turn}")  # so that AQE can split the join where a node has many neighbours
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large.coalesce(parts), f"{path}/large{turn}")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts), f"{path}/next{turn}")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         current = stored(small.coalesce(parts), f"{path}/edges{turn}")

@@ -14,6 +14,9 @@ they differ in are added up, and a pair is dropped as soon as they exceed
 deal the node pairs out as units of work; each unit walks its two subtries in
 arrays and returns a spanning forest of the links it found, never all pairs.
 Components are then contracted over the whole graph.
+
+Repeated rows have equal fingerprints and one component; an empty table gives no rows;
+other columns do not matter.
 """
 
 from __future__ import annotations
@@ -233,7 +236,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, width: int = 4, max
     roots = linked_components(spark, distinct.select("fp"), f"{path}/graph", max_bits)
     member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("component"))
     member = stored(member, f"{path}/members")
-    smallest = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Written, so that a component of many fingerprints meets it in a join that AQE can split.
+    smallest = stored(member.groupBy("component").agg(F.min("least").alias("component_id")), f"{path}/smallest")
     named = member.join(smallest, "component").select("fp", "component", "component_id")
     return (rows.join(named, "fp")
             .select(F.col("key").alias(key), "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component"))
