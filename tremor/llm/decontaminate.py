@@ -15,7 +15,8 @@ proximity match has every word within ``slop`` words of its place as seen from
 the rarest one. Windows never cross documents.
 
 Ties and repeated rows are independent documents; null keys and item ids are
-values like others (a null item id is written as an empty string).
+values like others (a null item id is written as an empty string). Empty tables give
+no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -144,8 +145,12 @@ class Segment:
         at = np.searchsorted(self.places, (codes << 32) + np.maximum(low, 0))
         return (at < len(self.places)) & (self.places[np.minimum(at, len(self.places) - 1)] <= (codes << 32) + high)
 
-    def matches(self, rows: np.ndarray, order: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(window, first word's position, exact) of all windows of one length."""
+    def matches(self, rows: np.ndarray, order: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(window, document, first word's position, exact) of all windows of one length.
+
+        The document is that of the anchor; its words only count. A proximity match may begin before or
+        end behind it where words of the window are missing there.
+        """
         width = rows.shape[1]
         here = np.flatnonzero((self.code[rows] >= 0).all(axis=1))
         if not len(here):
@@ -161,21 +166,23 @@ class Segment:
             taken = spread_ranges(self.first[anchors[a:b]], sizes[a:b])
             for c in range(0, len(window), CANDIDATES):
                 w = window[c:c + CANDIDATES]
-                at = (self.places[taken[c:c + CANDIDATES]] & 0xFFFFFFFF) - order[w, 0]
+                at = self.places[taken[c:c + CANDIDATES]] & 0xFFFFFFFF
                 doc = np.searchsorted(self.bounds, at, side="right") - 1
-                ok = (at >= 0) & (at + width <= self.bounds[np.minimum(doc + 1, len(self.bounds) - 1)])
-                w, at = w[ok], at[ok]
-                exact = np.ones(len(w), dtype=bool)
+                low, high = self.bounds[doc], self.bounds[doc + 1]
+                at = at - order[w, 0]
+                exact = (at >= low) & (at + width <= high)
+                if not slop:
+                    w, at, doc, low, high, exact = (x[exact] for x in (w, at, doc, low, high, exact))
                 for k in range(1, width):
                     place = order[w, k]
                     term = codes[w, place]
                     exact &= self.holds(term, at + place, at + place)
-                    near = exact | self.holds(term, at + place - slop, at + place + slop) if slop else exact
-                    w, at, exact = w[near], at[near], exact[near]
+                    near = exact | self.holds(term, np.maximum(at + place - slop, low), np.minimum(at + place + slop, high - 1)) if slop else exact
+                    w, at, doc, low, high, exact = (x[near] for x in (w, at, doc, low, high, exact))
                     if not len(w):
                         break
                 if len(w):
-                    yield here[w], at, exact
+                    yield here[w], doc, at, exact
 
 
 def merged(doc: np.ndarray, item: np.ndarray, exact: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -233,12 +240,12 @@ def find_items(index: DataFrame, block: Block, slop: int) -> DataFrame:
                         opened = True
                     if not opened:
                         continue
-                    for window, at, exact in segment.matches(rows, order, slop):
+                    for window, doc, at, exact in segment.matches(rows, order, slop):
                         n = sizes[window]
                         item = owner[spread_ranges(first[window], n)]
-                        at, exact = np.repeat(at, n), np.repeat(exact, n)
-                        doc = np.searchsorted(segment.bounds, at, side="right") - 1
-                        hits.append(merged(doc, item, exact.astype(np.int8), at - segment.bounds[doc], at - segment.bounds[doc] + rows.shape[1]))
+                        doc, at, exact = np.repeat(doc, n), np.repeat(at, n), np.repeat(exact, n)
+                        begin, end = segment.bounds[doc], segment.bounds[doc + 1]
+                        hits.append(merged(doc, item, exact.astype(np.int8), np.maximum(at, begin) - begin, np.minimum(at + rows.shape[1], end) - begin))
                 if hits:
                     doc, item, exact, low, high = merged(*(np.concatenate(x) for x in zip(*hits, strict=True)))
                     yield pa.RecordBatch.from_arrays(
