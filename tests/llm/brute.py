@@ -180,3 +180,43 @@ def ranked(docs, items, k=10):
                 scores.append((-score, doc_id is None, doc_id or 0, doc_id))
         out += [(item, n + 1, key, -s) for n, (s, _, _, key) in enumerate(sorted(scores, key=lambda r: r[:3])[:k])]
     return out
+
+
+def label_model(votes, counts, prior, false_alarm, finds, finds_others, rounds):
+    """(posterior of good by pattern, accuracies) by plain expectation-maximisation; votes 1 good, 0 bad, -1 none."""
+    kinds = len(votes[0])
+    classes = range(kinds + 1)
+
+    def belief(c, n, side):
+        bad = false_alarm if c == 0 else finds if c == n + 1 else finds_others
+        return prior * (bad if side == 0 else 1 - bad)
+
+    share = []
+    for v in votes:
+        good = 0.05 if 0 in v else 0.95
+        blame = [(1 if x == 0 else 0) + 1e-3 for x in v]
+        share.append([good, *((1 - good) * b / sum(blame) for b in blame)])
+    for _ in range(rounds):
+        table = {(c, n, s): belief(c, n, s) for c in classes for n in range(kinds) for s in (0, 1)}
+        size = [prior / (kinds + 1)] * (kinds + 1)
+        for v, k, r in zip(votes, counts, share, strict=True):
+            for c in classes:
+                size[c] += r[c] * k
+                for n, x in enumerate(v):
+                    if x >= 0:
+                        table[c, n, x] += r[c] * k
+        for i, v in enumerate(votes):
+            likely = []
+            for c in classes:
+                p = np.log(size[c] / sum(size))
+                for n, x in enumerate(v):
+                    if x >= 0:
+                        p += np.log(table[c, n, x] / (table[c, n, 0] + table[c, n, 1]))
+                likely.append(p)
+            top = [np.exp(p - max(likely)) for p in likely]
+            share[i] = [t / sum(top) for t in top]
+    right = []
+    for n in range(kinds):
+        total = sum(table[c, n, s] for c in classes for s in (0, 1))
+        right.append((table[0, n, 1] + sum(table[c, n, 0] for c in classes if c)) / total)
+    return [r[0] for r in share], right

@@ -102,7 +102,7 @@ def test_packing(spark, docs):
 def test_license_scan(spark, docs):
     rows = QUERIES["op7_license_scan"](spark, SF).collect()
     assert {d for d, t in docs if "icense" in t} == {r.doc_id for r in rows}
-    fetched = {(r.doc_id, r.unit, r.license, r.dice) for r in rows}
+    fetched = {(r.doc_id, r.kind, r.unit, r.license, r.dice) for r in rows}
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
     assert fetched == set(con.execute(ORACLES["op7_license_scan"]).fetchall())

@@ -126,13 +126,27 @@ OP7_SQL = f"""
 WITH wording AS (SELECT name, {BIGRAMS} AS grams FROM (SELECT name, {WORDS.format(LOW.format('t'))} AS w FROM (VALUES
     {", ".join(f"({sql_text(name)}, {sql_text(text)})" for name, texts in licenses.TEMPLATES.items() for text in texts)}) AS v(name, t))),
 docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
-lines AS (SELECT row, doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(0, len(string_split(text, chr(10))))) AS unit FROM docs
-          UNION ALL SELECT row, doc_id, text, -1 FROM docs WHERE contains(text, chr(10))),
-units AS (SELECT row, doc_id, unit, {BIGRAMS} AS grams FROM (SELECT row, doc_id, unit, {WORDS.format(LOW.format('s'))} AS w FROM lines)),
-scored AS (SELECT row, doc_id, unit, name, 2.0 * len(list_intersect(units.grams, wording.grams)) / (len(units.grams) + len(wording.grams)) AS dice
-           FROM units, wording WHERE len(units.grams) > 0 AND len(units.grams) < 3 * len(wording.grams) AND len(wording.grams) < 3 * len(units.grams))
-SELECT doc_id, CAST(unit AS INTEGER) AS unit, name AS license, round(CAST(dice AS DOUBLE), 6) AS dice
-FROM (SELECT *, row_number() OVER (PARTITION BY row, unit ORDER BY dice DESC, name) AS place FROM scored WHERE dice >= 0.8) WHERE place = 1
+paragraphs AS (SELECT row, doc_id, regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') AS p FROM docs),
+lines AS (SELECT row, doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(0, len(string_split(text, chr(10))))) AS unit, 'line' AS kind FROM docs
+          UNION ALL SELECT row, doc_id, text, -1, 'text' FROM docs WHERE contains(text, chr(10))
+          UNION ALL SELECT row, doc_id, unnest(p), unnest(range(0, len(p))), 'paragraph' FROM paragraphs WHERE len(p) > 1),
+units AS (SELECT row, doc_id, kind, unit, {BIGRAMS} AS grams FROM (SELECT row, doc_id, kind, unit, {WORDS.format(LOW.format('s'))} AS w FROM lines)),
+scored AS (SELECT row, doc_id, kind, unit, name, 2.0 * len(list_intersect(units.grams, wording.grams)) / (len(units.grams) + len(wording.grams)) AS dice
+           FROM units, wording WHERE len(units.grams) > 0 AND len(units.grams) < 3 * len(wording.grams) AND len(wording.grams) < 3 * len(units.grams)),
+anchor AS (SELECT * FROM (VALUES {", ".join(f"({sql_text(w)}, {t}, {n}, {size}, {sql_text(licenses.template_bigrams(licenses.TEMPLATES)[t][0])})" for w, t, n, size in licenses.anchors(licenses.TEMPLATES, 0.8))}) AS v(word, t, n, size, name)),
+template AS (SELECT t, {BIGRAMS} AS wanted FROM (SELECT t, {WORDS.format(LOW.format('said'))} AS w FROM (VALUES
+    {", ".join(f"({t}, {sql_text(text)})" for t, text in enumerate(x for _, texts in sorted(licenses.TEMPLATES.items()) for x in texts))}) AS v(t, said))),
+wide AS (SELECT row, doc_id, {WORDS.format(LOW.format('text'))} AS w FROM docs),
+spots AS (SELECT row, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM wide),
+starts AS (SELECT DISTINCT spots.row, t, size, name, i - n AS unit FROM spots JOIN anchor USING (word) WHERE i >= n),
+cut AS (SELECT starts.row, doc_id, t, unit, name, unit + size AS stop, w[unit + 1:unit + size] AS w FROM starts JOIN wide USING (row) WHERE unit + size <= len(wide.w)),
+slid AS (SELECT row, doc_id, unit, name, stop, 2.0 * len(list_intersect(grams, wanted)) / (len(grams) + len(wanted)) AS dice
+         FROM (SELECT row, doc_id, t, unit, name, stop, {BIGRAMS} AS grams FROM cut) JOIN template USING (t)),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row, name ORDER BY dice DESC, unit, stop) AS place FROM slid WHERE dice >= 0.8) WHERE place = 1),
+every AS (SELECT doc_id, kind, unit, name, dice FROM (SELECT *, row_number() OVER (PARTITION BY row, kind, unit ORDER BY dice DESC, name) AS place FROM scored WHERE dice >= 0.8) WHERE place = 1
+          UNION ALL SELECT doc_id, 'window', unit, name, dice FROM top h WHERE NOT EXISTS (SELECT 1 FROM top g WHERE g.row = h.row AND g.unit < h.stop AND h.unit < g.stop
+                                                                                          AND (g.dice > h.dice OR g.dice = h.dice AND g.name < h.name)))
+SELECT doc_id, kind, CAST(unit AS INTEGER) AS unit, name AS license, round(CAST(dice AS DOUBLE), 6) AS dice FROM every
 """
 
 OP10_SQL = r"""
