@@ -58,7 +58,7 @@ def test_licenses_at_the_threshold(spark):
     con.execute("create table documents (doc_id bigint, text varchar)")
     con.executemany("insert into documents values (?, ?)", rows)
     assert found == set(con.execute(ORACLES["op7_license_scan"]).fetchall())
-    assert sum(r[3] == 0.8 for r in found) > 10
+    assert sum(r[4] == 0.8 for r in found) > 10
 
 
 def test_quality_sample_under_skew(spark, monkeypatch):

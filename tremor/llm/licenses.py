@@ -132,7 +132,8 @@ def needed_words(templates: list[tuple[str, list[str]]], threshold: float) -> li
 def anchors(templates: dict[str, list[str]], threshold: float) -> list[tuple[str, int, int, int]]:
     """(word, template number, place in it, words of it): the anchor words of each template.
 
-    Taken greedily, the word of most pairs first, until the template's pairs without any of them are too few for a match.
+    Taken greedily, the word of most pairs first, until the template's pairs without any of them are too few for a
+    match; words of up to four letters, which stand in any text, only where no longer one helps.
     """
     top, base = ratio(threshold)
     out = []
@@ -142,7 +143,8 @@ def anchors(templates: dict[str, list[str]], threshold: float) -> list[tuple[str
         most = Fraction(top * len(free), 2 * base - top)
         chosen: set[str] = set()
         while free and len(free) >= most:
-            best = max(sorted(set(words) - chosen), key=lambda w: (min(sum(w in pair for pair in free), len(free) - most + 1), len(w)))
+            gain = lambda w: sum(w in pair for pair in free)
+            best = max(sorted(set(words) - chosen), key=lambda w: (gain(w) * (len(w) > 4), gain(w), len(w)))
             chosen.add(best)
             free = {pair for pair in free if best not in pair}
         out += [(w, number, n, len(words)) for n, w in enumerate(words) if w in chosen and len(words) > 1]
@@ -174,7 +176,8 @@ def window_hits(text: Column, templates: dict[str, list[str]], wording: list[tup
             shared, both = F.size(F.array_intersect(own, wanted)), F.size(own) + F.size(wanted)
             return F.struct(F.when(shared * 2 * base >= both * top, -2.0 * shared / both).alias("rank"), s["start"].alias("start"), F.element_at(names, s["t"] + 1).alias("name"),
                             (s["start"] + s["size"]).alias("stop"))
-        return once(F.array_distinct(F.slice(pairs, s["start"] + 1, s["size"] - 1)), dice)
+        # place by place: a slice would copy the whole text's pairs for every window
+        return once(F.array_distinct(F.transform(F.sequence(s["start"], s["start"] + s["size"] - 2), lambda i: F.get(pairs, i))), dice)
 
     best = lambda hits: F.transform(F.array_distinct(F.transform(hits, lambda h: h["name"])),
                                     lambda name: F.array_min(F.filter(hits, lambda h: h["name"] == name)))
