@@ -453,8 +453,8 @@ def write_split(split: DataFrame, path: str) -> None:
 def write_split_object(split: DataFrame, path: str) -> None:
     """S8 in the reference's layout: one object ``{train_topics, val_topics}`` in one file, events sorted.
 
-    The object is written as lines, one per event, by one task that sorts and streams them (the
-    layout is a single file); no array of all events is built.
+    The object is written in one line, an event at a time, by one task that sorts and streams them
+    (the layout is a single file); no array of all events is built.
     """
     parts = {"train": 1, "val": 3}
     first = split.where(F.col("part").isin(*parts)).groupBy("part").agg(F.min("event").alias("first"))
@@ -464,7 +464,7 @@ def write_split_object(split: DataFrame, path: str) -> None:
         F.concat(F.when(F.col("event") == F.col("first"), F.lit("")).otherwise(F.lit(",")), quoted).alias("value"))
     frame = split.sparkSession.createDataFrame([(0, None, '{"train_topics": ['), (2, None, '], "val_topics": ['), (4, None, "]}")], "line int, event string, value string")
     (events.unionByName(frame).coalesce(1).sortWithinPartitions("line", "event").select("value")
-     .write.mode("overwrite").option("lineSep", "\n").text(path))
+     .write.mode("overwrite").option("lineSep", " ").text(path))
 
 
 def write_event_results(scored: DataFrame, path: str) -> None:
