@@ -1,6 +1,8 @@
 """S1-S12 on small files written by the test into a fresh temporary folder."""
 
 import json
+import struct
+import zlib
 import os
 
 import pytest
@@ -39,7 +41,10 @@ def roots(tmp_path_factory):
     write(f"{r2}/ev5/ev5.csv", HEAD1 + "\n5,u5,only in r2,广州,1,1,1,2025-01-01 00:00\n")
     img = f"{r1}/ev1/images"
     os.makedirs(img)
-    jpeg, png = b"\xff\xd8\xff\xe0" + b"0" * 20, b"\x89PNG\r\n\x1a\n" + b"0" * 20
+    # whole containers: the manifest walks them to their end
+    jpeg = b"\xff\xd8\xff\xc0\x00\x0b\x08\x00\x08\x00\x08\x01\x01\x11\x00\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00abc\xff\xd9"
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    png = (b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b""))
     for name, data in [("1.jpg", jpeg), ("1.png", png), ("2.jpg", b""), ("2.png", png), ("3.jpeg", b"notanimage")]:
         with open(f"{img}/{name}", "wb") as f:
             f.write(data)
