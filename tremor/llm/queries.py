@@ -16,7 +16,7 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     path = scratch(spark, "op1")
     token_shards.write_token_shards(spark, docs, path, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID)
-    return token_shards.digests(spark, path, docs, "<u2")
+    return token_shards.digests(spark, path, docs)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
