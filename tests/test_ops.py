@@ -218,6 +218,50 @@ def test_losses_vs_numpy(spark):
     assert b.n_batches == 10
 
 
+def plain_multinomial(x, y, w, reg):
+    """Weighted multinomial logistic regression by Newton steps: class probabilities of the rows.
+
+    The penalty is on coefficients of features scaled by their weighted deviation, not on intercepts.
+    """
+    mean = (w[:, None] * x).sum(0) / w.sum()
+    scaled = x / np.sqrt((w[:, None] * (x - mean) ** 2).sum(0) / (w.sum() - (w ** 2).sum() / w.sum()))
+    a = np.column_stack([scaled, np.ones(len(x))])
+    n, classes = a.shape[1], y.max() + 1
+    penalty = np.tile(np.append(np.full(n - 1, reg), 0.0), classes)
+    beta = np.zeros(n * classes)
+    share = w / w.sum()
+    for _ in range(60):
+        z = a @ beta.reshape(classes, n).T
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        gradient = ((share[:, None] * (p - np.eye(classes)[y])).T @ a).ravel() + penalty * beta
+        hessian = np.diag(penalty)
+        for j in range(classes):
+            for k in range(classes):
+                v = share * p[:, j] * ((j == k) - p[:, k])
+                hessian[j * n:(j + 1) * n, k * n:(k + 1) * n] += a.T @ (v[:, None] * a)
+        beta = beta - np.linalg.pinv(hessian, rcond=1e-12) @ gradient
+    return p
+
+
+def test_classifier_against_a_plain_fit(spark):
+    from tremor.operators import scoring as E
+    rng = np.random.default_rng(6)
+    y = np.repeat([0, 1, 2], [150, 60, 30])
+    x = rng.normal(size=(len(y), 3)) * [1.0, 5.0, 0.2] + np.array([[0, 0, 0], [0.5, 3, 0.1], [-0.5, 4, -0.1]])[y]
+    df = spark.createDataFrame([(str(i), v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y, strict=True))], "event string, features array<double>, label int")
+    weights = L.class_weights(df.select(F.col("label").alias("level")))
+    by_class = {r.level: r.weight for r in weights.collect()}
+    train = df.join(weights.select(F.col("level").alias("label"), "weight"), "label")
+    got = {int(r.event): r.probability for r in E.predict_classes(E.train_classifier(train), df).collect()}
+    want = plain_multinomial(x, y, np.array([by_class[c] for c in y]), 1e-4)
+    assert np.abs(np.array([got[i] for i in range(len(y))]) - want).max() < 2e-3
+    unweighted = plain_multinomial(x, y, np.ones(len(y)), 1e-4)
+    assert np.abs(unweighted - want).max() > 0.05  # the weights matter here
+    plain = {int(r.event): r.probability for r in E.predict_classes(E.train_classifier(df, weight_col=None), df).collect()}
+    assert np.abs(np.array([plain[i] for i in range(len(y))]) - unweighted).max() < 2e-3
+
+
 def test_mlp_classifier(spark):
     from tremor.operators import scoring as E
     rng = np.random.default_rng(2)
