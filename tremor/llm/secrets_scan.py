@@ -17,7 +17,8 @@ seen for the same origin is not opened again: cycles end, and the list runs
 dry when nothing new unwraps.
 
 Base findings stay as they are; a span found in several layers counts once.
-Whole texts are scanned, without limits on length or depth; an unpacked layer is held whole.
+Whole texts are scanned, without limits on length or depth. The text of an unpacked layer is held whole; as
+all its characters come from one stream, it has one span, and so have the layers made from it.
 Null and empty texts have no findings. Null keys are kept, repeated rows are scanned each, an
 empty table gives no rows, other columns do not matter.
 """
@@ -46,6 +47,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_VALUE = 6
+ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 FORM = re.compile(r"(?:%[0-9A-Fa-f]{2}|\+)+")  # plus signs as blanks, in texts with percent escapes
@@ -68,9 +70,24 @@ PIECE = 1 << 8  # bytes given to a decompressor at once: so much is lost before
 Layer = tuple[str, np.ndarray, np.ndarray]
 
 
+def same(value: int, size: int) -> np.ndarray:
+    """One value for all characters, stored once."""
+    return np.broadcast_to(np.int64(value), size)
+
+
+def is_same(values: np.ndarray) -> bool:
+    return values.strides == (0,)
+
+
+def may_assign(text: str) -> bool:
+    """Whether a word of the first kind is in the text (lower-casing loses none)."""
+    low = text.lower()
+    return any(word in low for word in ASSIGN_WORDS)
+
+
 def find(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end), leftmost non-overlapping for each kind."""
-    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_VALUE]
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_VALUE] if may_assign(text) else []
     # Greedy runs below the least length contain no shorter match, so the length stands in the pattern.
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -80,17 +97,21 @@ def find(text: str) -> list[tuple[int, int, int]]:
 def replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with all matches decoded; None if nothing changes."""
     text, begin, stop = layer
-    parts, starts, ends, at = [], [], [], 0
+    parts, starts, ends, at, one = [], [], [], 0, is_same(begin) and is_same(stop)
     for m in pattern.finditer(text):
         got = decode(m[0])
         if got is None:
             continue
         parts += [text[at:m.start()], "".join(c for c, _, _ in got)]
-        starts += [begin[at:m.start()], np.array([begin[m.start() + a] for _, a, _ in got], np.int64)]
-        ends += [stop[at:m.start()], np.array([stop[m.start() + b - 1] for _, _, b in got], np.int64)]
+        if not one:
+            starts += [begin[at:m.start()], np.array([begin[m.start() + a] for _, a, _ in got], np.int64)]
+            ends += [stop[at:m.start()], np.array([stop[m.start() + b - 1] for _, _, b in got], np.int64)]
         at = m.end()
     if not parts:
         return None
+    if one:
+        new = "".join((*parts, text[at:]))
+        return new, same(begin[0], len(new)), same(stop[0], len(new))
     return "".join((*parts, text[at:])), np.concatenate((*starts, begin[at:])), np.concatenate((*ends, stop[at:]))
 
 
@@ -173,9 +194,14 @@ def unpacked(data: bytes) -> Iterator[tuple[bytes, int, int]]:
                 yield new
 
 
+def alphabets(text: str) -> tuple[re.Pattern, ...]:
+    """The base64 patterns that matter: without a sign of the URL alphabet the standard one finds all runs."""
+    return BASE64 if "-" in text or "_" in text else BASE64[:1]
+
+
 def worth(text: str) -> bool:
     """Whether a layer holds a finding or anything to unwrap."""
-    return any(p.search(text) for p in (HAS_ESCAPE, ASSIGN, ACCESS, HEX, *BASE64))
+    return any(p.search(text) for p in (HAS_ESCAPE, ACCESS, HEX, *alphabets(text))) or may_assign(text) and ASSIGN.search(text) is not None
 
 
 def open_run(run: str, begin: np.ndarray, stop: np.ndarray, url: bool) -> Iterator[Layer]:
@@ -186,7 +212,11 @@ def open_run(run: str, begin: np.ndarray, stop: np.ndarray, url: bool) -> Iterat
         if size < LEAST:
             break
         data = base64.b64decode(run[phase:phase + size] + "=" * (-size % 4), altchars=b"-_" if url else None)
-        if worth(data.decode("utf-8", "surrogateescape")):
+        got = data.decode("utf-8", "surrogateescape")
+        good = worth(got)
+        if good and is_same(begin) and is_same(stop):
+            yield got, same(begin[0], len(got)), same(stop[0], len(got))
+        elif good:
             got, sizes = decoded(data)
             last = np.cumsum(sizes)
             yield got, begin[phase + (last - sizes) * 8 // 6], stop[phase + np.minimum(-(-last * 8 // 6), size) - 1]
@@ -194,12 +224,12 @@ def open_run(run: str, begin: np.ndarray, stop: np.ndarray, url: bool) -> Iterat
             got = inner.decode("utf-8", "surrogateescape")
             if worth(got):
                 lo, hi = begin[phase + a * 8 // 6], stop[phase + min(-(-b * 8 // 6), size) - 1]
-                yield got, np.full(len(got), lo), np.full(len(got), hi)
+                yield got, same(lo, len(got)), same(hi, len(got))
 
 
 def undo_base64(layer: Layer) -> Iterator[Layer]:
     text, begin, stop = layer
-    for number, pattern in enumerate(BASE64):
+    for number, pattern in enumerate(alphabets(text)):
         for m in pattern.finditer(text):
             if number and not ("-" in m[0] or "_" in m[0]):
                 continue
@@ -208,8 +238,12 @@ def undo_base64(layer: Layer) -> Iterator[Layer]:
                 if b - a >= LEAST and (not number or "-" in text[a:b] or "_" in text[a:b]):
                     yield from open_run(text[a:b], begin[a:b], stop[a:b], bool(number))
             if len(lines) > 1 and sum(b - a for a, b in lines) >= LEAST:
-                at = np.concatenate([np.arange(a, b) for a, b in lines])
-                yield from open_run("".join(text[a:b] for a, b in lines), begin[at], stop[at], bool(number))
+                run = "".join(text[a:b] for a, b in lines)
+                if is_same(begin) and is_same(stop):
+                    yield from open_run(run, begin[:len(run)], stop[:len(run)], bool(number))
+                else:
+                    at = np.concatenate([np.arange(a, b) for a, b in lines])
+                    yield from open_run(run, begin[at], stop[at], bool(number))
 
 
 def without_edges(layer: Layer) -> Layer | None:
