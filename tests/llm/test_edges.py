@@ -204,8 +204,10 @@ def test_licenses_edges(spark, docs, empty):
     mit = licenses.TEMPLATES["MIT"][1]
     half = mit[:len(mit) // 2] + "\n" + mit[len(mit) // 2:]
     texts = [(1, "Intro.\n" + mit.upper()), (2, half), (3, "Released under the MIT license"), (3, "Released under the MIT license"), (4, "released under")]
-    got = sorted((r.doc_id, r.unit, r.license) for r in licenses.license_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    rows = licenses.license_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    got = sorted((r.doc_id, r.unit, r.license) for r in rows if r.kind != "window")
     assert got == [(1, -1, "MIT"), (1, 1, "MIT"), (2, -1, "MIT"), (3, 0, "MIT"), (3, 0, "MIT")]
+    assert sorted((r.doc_id, r.license) for r in rows if r.kind == "window") == [(1, "MIT"), (2, "MIT"), (3, "MIT"), (3, "MIT")]
 
 
 def test_license_pruning_loses_nothing(spark, monkeypatch):
@@ -219,7 +221,7 @@ def test_license_pruning_loses_nothing(spark, monkeypatch):
         docs.append((n, rnd.choice(["", "Intro\n"]) + " ".join(words).swapcase()))
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     pruned = sorted(tuple(r) for r in licenses.license_lines(frame).collect())
-    assert 1 <= len(licenses.needed_words(licenses.template_bigrams(licenses.TEMPLATES), 0.8)) <= 20
+    assert 1 <= len(licenses.needed_words(licenses.template_bigrams(licenses.TEMPLATES), 0.8)) <= 2 * len(texts)
     monkeypatch.setattr(licenses, "needed_words", lambda *a: [""])
     assert pruned == sorted(tuple(r) for r in licenses.license_lines(frame).collect()) and len(pruned) > 100
 
