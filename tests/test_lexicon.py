@@ -117,3 +117,49 @@ def test_emoji_table_of_the_query_is_large(spark):
     assert X.demojize_table(one, table).first().text == ":e1f468_200d_1f33e::e1f1e6_1f1e7:\U0001F1E8:e1f44a_1f3fb::e31_fe0f_20e3:1"
     assert X.demojize_table(one, table.limit(0)).first().text == one.first().text
     assert X.demojize_table(one.select(F.lit("z").alias("_named"), "text"), table, out="t").columns == ["_named", "text", "t"]
+
+
+def test_many_texts_at_once_equal_one_run_at_a_time(monkeypatch):
+    """Ties, entries over the ends of texts, parts of all lengths; entries of one hash are told apart."""
+    monkeypatch.setattr(X, "TOGETHER_CHARS", 100)
+    signs = "中国人ab1-é\U0001F600"
+    for _ in range(150):
+        entries = list({"".join(RND.choice(signs) for _ in range(RND.randint(1, 5))): RND.choice([0, 1, 2, 3, 5, 8]) for _ in range(RND.randint(0, 25))}.items())
+        unknown = RND.choice([0, 3, 6, 9])
+        texts = [None, "", *["".join(RND.choice(signs + " 　") for _ in range(RND.randint(0, 60))) for _ in range(8)]]
+        known = X.Lexicon(entries)
+        want = [None if t is None else [w for part in t.split() for w in X.cheapest_cut(part, known, unknown)] for t in texts]
+        assert X.segmenter(X.Matcher(entries), unknown)(texts) == want
+
+
+@pytest.mark.parametrize("bits", [X.FILTER_BITS, 6])
+def test_pieces_let_through_hold_every_entry(monkeypatch, bits):
+    """A crowded filter lets more pieces through, and none too few; pieces of equal hash all come."""
+    monkeypatch.setattr(X, "TOGETHER_CHARS", 50)
+    entries = ["中国", "国人民", "abc", "b", "\U0001F468‍\U0001F33E"]
+    texts = [None, "", *["".join(RND.choice("中国人民abcd‍\U0001F468\U0001F33E") for _ in range(40)) for _ in range(30)]]
+    lengths = X.np.array([len(e) for e in entries])
+    bits = min(bits, 16)
+    _, at = X.entry_hashes(X.code_points("".join(entries)), X.np.cumsum(lengths) - lengths, lengths, bits, 0)
+    for hashing in (X.longer, lambda h, codes: h + X.np.uint64(1)):
+        if hashing is not X.longer:
+            monkeypatch.setattr(X, "longer", hashing)
+            at = X.np.arange(1 << bits)
+        found = {p for pieces in X.usable_pieces(texts, X.packed(at, bits), bits, 3) for p in pieces}
+        assert {e for e in entries if any(e in (t or "") for t in texts)} <= found
+        if hashing is not X.longer:
+            assert {t[i:i + n] for t in texts if t for n in (1, 2, 3) for i in range(len(t) - n + 1)} <= found
+
+
+def test_a_large_dictionary_is_cut_to_what_a_group_can_use(spark, monkeypatch):
+    """A table over the limit: far fewer pieces than places times lengths meet it."""
+    texts = ["".join(RND.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2000)) for _ in range(4)]
+    words = [t[i:i + n] for t in texts for i, n in ((RND.randrange(1900), RND.randint(1, 24)) for _ in range(300))]
+    lengths = X.np.array([len(w) for w in words])
+    _, at = X.entry_hashes(X.code_points("".join(words)), X.np.cumsum(lengths) - lengths, lengths, 20, 0)
+    found = [p for pieces in X.usable_pieces(texts, X.packed(at, 20), 20, 24) for p in pieces]
+    assert set(words) <= set(found) and len(found) < 3 * len(set(words))  # 24 pieces a place: 190,000
+    posts = spark.createDataFrame([(n, t) for n, t in enumerate([*texts, None, ""])], "id long, text string").repartition(3)
+    table = spark.createDataFrame([(w, 1) for w in words], "word string, freq long")
+    monkeypatch.setattr(X, "GROUP_BYTES", 3000)
+    assert rows(X.segment(posts, table, max_chars=10).where("id < 4")) == rows(X.segment(posts, table).where("id < 4"))
