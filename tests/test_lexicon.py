@@ -163,3 +163,21 @@ def test_a_large_dictionary_is_cut_to_what_a_group_can_use(spark, monkeypatch):
     table = spark.createDataFrame([(w, 1) for w in words], "word string, freq long")
     monkeypatch.setattr(X, "GROUP_BYTES", 3000)
     assert rows(X.segment(posts, table, max_chars=10).where("id < 4")) == rows(X.segment(posts, table).where("id < 4"))
+
+
+def test_first_signs_of_a_table_are_found_quickly():
+    """The time for a text does not grow with the number of signs that entries begin with."""
+    import time
+    text = "the words of a text " * 20_000
+
+    def seconds(signs):
+        known = X.Lexicon([(chr(0x10000 + 2 * n), "x") for n in range(signs)])
+        firsts = X.np.zeros(0x110000, bool)
+        firsts[[ord(c) for c in known.firsts]] = True
+        took = []
+        for _ in range(3):
+            begun = time.perf_counter()
+            assert X.named(known, text + "\U00010000", firsts) == text + ":x:"
+            took.append(time.perf_counter() - begun)
+        return min(took)
+    assert seconds(20_000) < 10 * seconds(10) + 0.05
