@@ -149,3 +149,46 @@ def test_default_vectors_in_flows_are_sparse_up_to_the_pool(spark, posts):
     a, b = ({r.event: r.vec for r in x.collect()} for x in (pooled, whole))
     assert set(a) == set(b) and all(np.allclose(a[e], b[e], atol=1e-12) for e in a)
     assert rows(pooled, "event", "n_valid") == [("a", 3), ("c", 3)]
+
+
+def test_bigrams_of_parts_add_up(monkeypatch):
+    """Long texts come in parts, short ones together; whatever the parts, the vectors are those of the whole."""
+    import random
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice("abé中 \U0001F600") for _ in range(rnd.choice([1, 2, 3, 5, 20, 300]))) for _ in range(60)]
+    whole = SP.bigram_rows(texts, 64, {})
+    for chars, pairs in ((1, 0), (2, 3), (7, 10), (50, 1000), (10_000, 5)):
+        monkeypatch.setattr(SP, "TOGETHER_CHARS", chars)
+        monkeypatch.setattr(SP, "KNOWN_PAIRS", pairs)
+        for a, b in zip(SP.bigram_rows(texts, 64, {}), whole, strict=True):
+            assert (a == b).all()
+    for parts, rows in SP.text_parts(texts, 50):
+        assert sum(map(len, parts)) <= 51 and len(parts) == len(rows)
+
+
+def test_bigram_memory_does_not_grow_with_the_batch():
+    import tracemalloc
+    peaks = []
+    for count in (200, 2000):
+        tracemalloc.start()
+        SP.bigram_rows(["the words of a text " * 100] * count, 4096, {})
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2 * peaks[0] + 4_000_000  # 4 million characters: over 200 MB when taken at once
+
+
+def test_batches_of_long_texts_are_cut_by_rows(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(SP, "TOGETHER_CHARS", 10)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(7)), "text": ["abc", None, "x" * 30, "abcd", "efgh", "", "y" * 11]})
+    cut = list(SP.pieces_of_batches(iter([batch, batch.slice(0, 0)]), 1))
+    assert pa.Table.from_batches(cut).to_pydict() == batch.to_pydict()
+    assert [b.num_rows for b in cut] == [2, 1, 3, 1]
+
+
+def test_only_so_many_pairs_are_remembered(monkeypatch):
+    monkeypatch.setattr(SP, "KNOWN_PAIRS", 20)
+    monkeypatch.setattr(SP, "TOGETHER_CHARS", 10)
+    known = {}
+    SP.bigram_rows(["".join(map(chr, range(200, 1200)))], 64, known)
+    assert len(known) <= 40

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from pyspark.sql.types import StructField, StructType
 
 SPARSE = "struct<size:int,indices:array<int>,values:array<double>>"
 SEED = 42  # of the hash, as in Spark ML's HashingTF
+TOGETHER_CHARS = 1 << 18  # characters worked on at once; a longer text comes in parts
+KNOWN_PAIRS = 200_000  # pairs of characters whose hash a task remembers
 
 
 def murmur3(data: bytes, seed: int = SEED) -> int:
@@ -54,29 +57,82 @@ def distinct(values: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
     return found, place[values]
 
 
-def bigram_rows(texts: list[str], size: int, known: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bounds of the rows, index, value) of the texts' bigram vectors of unit length."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-    row = np.repeat(np.arange(len(texts)), lengths)
-    inside = np.flatnonzero(row[1:] == row[:-1])
+def text_parts(texts: list[str], chars: int) -> Iterator[tuple[list[str], list[int]]]:
+    """(stretches of the texts, number of each one's text), at most ``chars`` characters at a time and one in
+    common between stretches of a text, so that every pair of neighbours is in one of them."""
+    parts, rows, held = [], [], 0
+    for n, text in enumerate(texts):
+        at = 0
+        while True:
+            part = text[at:at + max(2, chars - held)]
+            parts.append(part)
+            rows.append(n)
+            held += len(part)
+            if held >= chars:
+                yield parts, rows
+                parts, rows, held = [], [], 0
+            at += len(part) - 1
+            if at + 1 >= len(text):
+                break
+    if parts:
+        yield parts, rows
+
+
+def bigram_counts(parts: list[str], rows: list[int], texts: int, size: int, known: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(row * size + index, count) of the bigrams in some parts of texts, cells ascending."""
+    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    lengths = np.fromiter((len(t) for t in parts), np.int64, len(parts))
+    part = np.repeat(np.arange(len(parts)), lengths)
+    inside = np.flatnonzero(part[1:] == part[:-1])
     chars = np.flatnonzero(np.bincount(codes))  # numbered, so that a pair is a small number
     number = np.zeros(int(chars[-1]) + 1 if len(chars) else 1, np.int64)
     number[chars] = np.arange(len(chars))
     small = number[codes]
     pairs, which = distinct(small[inside] * len(chars) + small[inside + 1], len(chars) ** 2)
     buckets = np.zeros(len(pairs), np.int64)
+    if len(known) > KNOWN_PAIRS:
+        known.clear()
     for n, pair in enumerate((chars[pairs // max(len(chars), 1)] << 32 | chars[pairs % max(len(chars), 1)]).tolist()):
         if pair not in known:
             known[pair] = murmur3(f"{chr(pair >> 32)} {chr(pair & 0xFFFFFFFF)}".encode("utf-8", "surrogatepass")) % size
         buckets[n] = known[pair]
-    cell, which = distinct(row[inside] * size + buckets[which], len(texts) * size)
-    count = np.bincount(which, minlength=len(cell))
+    first = rows[0] if rows else 0
+    cell, which = distinct((np.array(rows, np.int64)[part[inside]] - first) * size + buckets[which], texts * size)
+    return cell + first * size, np.bincount(which, minlength=len(cell))
+
+
+def bigram_rows(texts: list[str], size: int, known: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bounds of the rows, index, value) of the texts' bigram vectors of unit length."""
+    cells, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for parts, rows in text_parts(texts, TOGETHER_CHARS):
+        cell, count = bigram_counts(parts, rows, rows[-1] - rows[0] + 1, size, known)
+        shared = int(len(cells[-1]) and np.searchsorted(cell, (rows[0] + 1) * size))  # of a text that begins before these parts
+        if shared and cells[-1][-1] >= rows[0] * size:
+            begun = int(np.searchsorted(cells[-1], rows[0] * size))
+            both, which = np.unique(np.concatenate([cells[-1][begun:], cell[:shared]]), return_inverse=True)
+            added = np.bincount(which, np.concatenate([counts[-1][begun:], count[:shared]]), minlength=len(both)).astype(np.int64)
+            cell, count = np.concatenate([both, cell[shared:]]), np.concatenate([added, count[shared:]])
+            cells[-1], counts[-1] = cells[-1][:begun], counts[-1][:begun]
+        cells.append(cell)
+        counts.append(count)
+    cell, count = np.concatenate(cells), np.concatenate(counts)
     owner = cell // size
     norm = np.sqrt(np.bincount(owner, count.astype(float) ** 2, minlength=len(texts)))
     return np.searchsorted(owner, np.arange(len(texts) + 1)), cell % size, count / norm[owner]
 
 
+def pieces_of_batches(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Batches of few enough rows that their texts have about ``TOGETHER_CHARS`` bytes (or one row)."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < batch.num_rows:
+            before = int(ends[first - 1]) if first else 0
+            end = max(first + 1, int(np.searchsorted(ends, before + TOGETHER_CHARS, "right")))
+            yield batch.slice(first, end - first)
+            first = end
+
+
 def bigram_vectors(posts: DataFrame, text_col: str = "text", size: int = 1 << 12, max_len: int | None = None, out: str = "vec") -> DataFrame:
     """E14 default: hashed character bigrams of non-blank posts as sparse unit vectors (``max_len``: of their first characters, P6).
 
@@ -89,7 +145,7 @@ def bigram_vectors(posts: DataFrame, text_col: str = "text", size: int = 1 << 12
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, int] = {}
-        for batch in batches:
+        for batch in pieces_of_batches(batches, at):
             # Blank posts go here: a filter before this step would compute the text of the plan below twice.
             texts = [t[:max_len] if t and t.strip() else None for t in batch.column(at).to_pylist()]
             columns = list(batch.columns)
