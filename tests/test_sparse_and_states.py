@@ -192,3 +192,24 @@ def test_only_so_many_pairs_are_remembered(monkeypatch):
     known = {}
     SP.bigram_rows(["".join(map(chr, range(200, 1200)))], 64, known)
     assert len(known) <= 40
+
+
+@pytest.mark.parametrize("pool", [V.mean_pool, V.max_pool, lambda p: V.max_pool(p, compat_inf=True)])
+def test_posts_are_embedded_once_for_a_pool(spark, posts, pool):
+    plan = plan_of(pool(E.embed(posts).withColumn("valid", F.lit(True))))
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_sparse_pools_of_odd_rows(spark):
+    """Equal posts, posts without values or vector, invalid posts and an event that is null."""
+    data = [("a", (4, [0, 2], [1.0, -2.0]), True)] * 2 + [("a", (4, [], []), True), ("a", (4, [1], [9.0]), False), ("a", (4, [1], [9.0]), None), ("a", None, True)]
+    data += [("b", (4, [3], [5.0]), False), ("c", (4, [0, 1, 2, 3], [-1.0, -2.0, -3.0, 4.0]), True), ("d", (4, [], []), True), ("e", None, True), (None, (4, [1], [3.0]), True)]
+    odd = spark.createDataFrame(data, f"event string, vec {SP.SPARSE}, valid boolean").repartition(5)
+    zero = [0.0] * 4
+    mean = {r.event: (r.n_valid, r.vec) for r in V.mean_pool(odd).collect()}
+    assert {e: n for e, (n, _) in mean.items()} == {"a": 4, "b": 0, "c": 1, "d": 1, "e": 1, None: 1}
+    assert mean["e"][1] is None and all(mean[e][1] == zero for e in ("b", "d", None))
+    assert np.allclose(mean["a"][1], [0.5, 0.0, -1.0, 0.0]) and np.allclose(mean["c"][1], [-1.0, -2.0, -3.0, 4.0])
+    top = {r.event: r.vec for r in V.max_pool(odd).collect()}
+    assert top == {"a": [1.0, 0.0, 0.0, 0.0], "b": None, "c": [-1.0, -2.0, -3.0, 4.0], "d": zero, "e": None, None: zero}
+    assert {r.event: r.vec for r in V.max_pool(odd, compat_inf=True).collect()}["b"] == [float("-inf")] * 4

@@ -51,10 +51,9 @@ def mean_pool(posts: DataFrame, vec: str = "vec", valid: str = "valid") -> DataF
     """V1: sum over valid posts / (n_valid + 1e-10); zero vector when none."""
     if SP.is_sparse(posts, vec):
         posts = SP.as_struct(posts, vec)
-        sizes = SP.sizes_of(posts, vec, valid)
-        sums = SP.entries_of(posts.where(valid), vec, "event").groupBy("event", "i").agg(F.sum("v").alias("s"))
-        mean = sums.join(sizes.select("event", "n_valid"), "event").select("event", "i", (F.col("s") / (F.col("n_valid") + EPS)).alias("v"))
-        return SP.event_vectors(mean, sizes).select("event", "vec", "n_valid")
+        events = SP.pooled_entries(posts, vec, valid, F.sum("v").alias("s"))
+        mean = F.transform("entries", lambda e: F.struct(e["i"].alias("i"), (e["s"] / (F.col("n_valid") + EPS)).alias("v")))
+        return events.withColumn("entries", mean).select("event", SP.whole(F.col("entries"), F.col("dim")).alias("vec"), "n_valid")
     ok = F.col(valid)
     zero = F.array_repeat(F.lit(0.0), F.size(vec))
     agg = posts.groupBy("event").agg(
@@ -72,13 +71,13 @@ def max_pool(posts: DataFrame, vec: str = "vec", valid: str = "valid", compat_in
     (``compat_inf=True`` gives the reference's -inf vector)."""
     if SP.is_sparse(posts, vec):
         posts = SP.as_struct(posts, vec)
-        sizes = SP.sizes_of(posts, vec, valid)
-        tops = SP.entries_of(posts.where(valid), vec, "event").groupBy("event", "i").agg(F.max("v").alias("m"), F.count(F.lit(1)).alias("c"))
+        events = SP.pooled_entries(posts, vec, valid, F.max("v").alias("m"), F.count(F.lit(1)).alias("c"))
         # a post that does not store an index has a zero there
-        values = tops.join(sizes.select("event", "n_valid"), "event").select(
-            "event", "i", F.when(F.col("c") < F.col("n_valid"), F.greatest("m", F.lit(0.0))).otherwise(F.col("m")).alias("v"))
+        tops = F.transform("entries", lambda e: F.struct(
+            e["i"].alias("i"), F.when(e["c"] < F.col("n_valid"), F.greatest(e["m"], F.lit(0.0))).otherwise(e["m"]).alias("v")))
         none = F.array_repeat(F.lit(float("-inf")), F.col("dim")) if compat_inf else F.lit(None).cast("array<double>")
-        return SP.event_vectors(values, sizes).select("event", F.when(F.col("n_valid") > 0, F.col("vec")).otherwise(none).alias("vec"), "n_valid")
+        filled = SP.whole(F.col("entries"), F.col("dim"))
+        return events.withColumn("entries", tops).select("event", F.when(F.col("n_valid") > 0, filled).otherwise(none).alias("vec"), "n_valid")
     ok = F.col(valid)
     floor = F.array_repeat(F.lit(float("-inf")), F.size(vec))
     agg = posts.groupBy("event").agg(

@@ -197,6 +197,23 @@ def entries_of(posts: DataFrame, vec: str, *keep: str | Column) -> DataFrame:
     return posts.select(*keep, F.inline(F.arrays_zip(F.col(f"{vec}.indices"), F.col(f"{vec}.values")))).withColumnsRenamed({"indices": "i", "values": "v"})
 
 
+def pooled_entries(posts: DataFrame, vec: str, valid: str, *pooled: Column) -> DataFrame:
+    """(event, n_valid, dim, entries): of every event the valid posts, the size, and (i, pooled...) by
+    ascending index of the values ``v`` that its valid posts store.
+
+    The posts are gone through once, however dear their vectors are: a post is counted at its first value, one
+    without values has a row of its own. An event that is null has no entries.
+    """
+    stored = F.when(F.col(valid) & F.col("event").isNotNull(), F.arrays_zip(F.col(f"{vec}.indices"), F.col(f"{vec}.values")))
+    rows = posts.select("event", F.col(valid).alias("_valid"), F.col(f"{vec}.size").alias("_size"), F.posexplode_outer(stored).alias("_k", "_e"))
+    first = F.col("_valid") & (F.coalesce("_k", F.lit(0)) == 0)
+    cells = (rows.select("event", F.when(first, F.lit(1)).alias("_post"), "_size", F.col("_e.indices").alias("i"), F.col("_e.values").alias("v"))
+             .groupBy("event", "i").agg(*pooled, F.count("_post").alias("_posts"), F.max("_size").alias("_size")))
+    entry = F.struct(*(c for c in cells.columns if c not in ("event", "_posts", "_size")))
+    return cells.groupBy("event").agg(F.sum("_posts").alias("n_valid"), F.max("_size").alias("dim"),
+                                      F.sort_array(F.collect_list(F.when(F.col("i").isNotNull(), entry))).alias("entries"))
+
+
 def event_vectors(values: DataFrame, sizes: DataFrame) -> DataFrame:
     """(event, ..., vec) from values (event, i, v) and one row per event with ``dim``; events without values are zero."""
     lists = values.groupBy("event").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("_entries"))
