@@ -8,8 +8,10 @@ import random
 import zlib
 
 import duckdb
+import pyarrow.parquet as pq
 
-from tremor.llm import licenses, quality, secrets_scan
+from tremor.llm import decontaminate, licenses, quality, secrets_scan
+from tremor.llm.common import batch_rows, prepare
 from tremor.llm.queries import ORACLES
 
 
@@ -84,3 +86,18 @@ def test_quality_sample_under_skew(spark, monkeypatch):
     assert len({r.features for r in fitted}) <= 200 and len(fitted) <= 2 * 200
     share = sum(r.weight for r in fitted if r.weight > 1000) / sum(r.weight for r in fitted)
     assert 0.3 < share < 0.5
+
+
+def test_a_segment_of_the_index_is_read_alone(spark, tmp_path, monkeypatch):
+    """What a task holds of the index does not grow with its number of segments: each is a row group."""
+    monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", 200)
+    rows = [(n, f"some words of document {n} and the end of it " * (20 if n == 5 else 1)) for n in range(40)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    prepare(spark)
+    with batch_rows(spark, 2000):
+        index = decontaminate.build_index(docs, str(tmp_path / "index"))
+    groups = [m.row_group(n).num_rows for f in (tmp_path / "index").glob("*.parquet") for m in [pq.read_metadata(f)] for n in range(m.num_row_groups)]
+    assert index.count() == len(groups) > 5 and set(groups) == {1}
+    found, _ = decontaminate.decontaminate(spark, docs, spark.createDataFrame([("a", "words of document 5 and the end of it some"), ("b", "document 7 and")], "item_id string, text string"))
+    assert {r.doc_id: (r.n_words, r.n_hit, r.items) for r in found.where("n_hit > 0").collect()} == {5: (200, 190, ["a"]), 7: (10, 3, ["b"])}
+    assert found.count() == 41

@@ -36,6 +36,9 @@ from tremor.llm.common import LOWER_A_Z, batch_rows, keep_rows, packed_strings,
 WIDTH, SLOP = 10, 2
 BLOCK_WINDOWS = 100_000  # test windows asked at once
 SEGMENT_BYTES = 4 << 20  # text of a segment
+# Rows of the index have MBs: Parquet looks at the size of a row group only every hundred rows, and Spark reads as
+# many rows at once as the row group has (4,096 at most). So a segment is a row group of its own.
+INDEX_FILES = {"compression": "zstd", "parquet.enable.dictionary": "false", "parquet.block.row.count.limit": "1"}
 CANDIDATES = 1 << 20  # candidates held at once in a task
 WORD = np.zeros(256, dtype=bool)
 WORD[0x30:0x3A] = True
@@ -75,7 +78,7 @@ def build_index(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), kinds, strict=True)], names=list(row))
 
     made = rows.mapInArrow(segments, INDEX)
-    made.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
+    made.write.options(**INDEX_FILES).parquet(path)
     return docs.sparkSession.read.schema(made.schema).parquet(path)
 
 
@@ -120,6 +123,13 @@ def item_blocks(benchmark: DataFrame, item: str, text: str, width: int, limit: i
         yield Block(windows)
 
 
+def single_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of the index, one at a time: only one is held as Python objects."""
+    for batch in batches:
+        for n in range(batch.num_rows):
+            yield batch.slice(n, 1).to_pylist()[0]
+
+
 class Segment:
     """One row of the index."""
 
@@ -204,11 +214,10 @@ def term_totals(index: DataFrame, asked: pa.Array) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(terms), np.int64)
-        for batch in batches:
-            for row in batch.to_pylist():
-                segment = Segment(row, terms)
-                has = segment.code >= 0
-                total[has] += segment.counts[segment.code[has]]
+        for row in single_rows(batches):
+            segment = Segment(row, terms)
+            has = segment.code >= 0
+            total[has] += segment.counts[segment.code[has]]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
 
@@ -231,26 +240,25 @@ def find_items(index: DataFrame, block: Block, slop: int) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, asked, named = shared.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                segment, opened, hits = Segment(row, terms), False, []
-                for rows, order, owner, first, sizes in asked:
-                    if not opened and (segment.code[rows] >= 0).all(axis=1).any():
-                        segment.open(row)
-                        opened = True
-                    if not opened:
-                        continue
-                    for window, doc, at, exact in segment.matches(rows, order, slop):
-                        n = sizes[window]
-                        item = owner[spread_ranges(first[window], n)]
-                        doc, at, exact = np.repeat(doc, n), np.repeat(at, n), np.repeat(exact, n)
-                        begin, end = segment.bounds[doc], segment.bounds[doc + 1]
-                        hits.append(merged(doc, item, exact.astype(np.int8), np.maximum(at, begin) - begin, np.minimum(at + rows.shape[1], end) - begin))
-                if hits:
-                    doc, item, exact, low, high = merged(*(np.concatenate(x) for x in zip(*hits, strict=True)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(doc), row["segment"])), pa.array(doc.astype(np.int32)), pa.array([named[i] for i in item], pa.string()),
-                         pa.array(exact.astype(bool)), pa.array(low), pa.array(high)], names=["segment", "ord", "item", "exact", "low", "high"])
+        for row in single_rows(batches):
+            segment, opened, hits = Segment(row, terms), False, []
+            for rows, order, owner, first, sizes in asked:
+                if not opened and (segment.code[rows] >= 0).all(axis=1).any():
+                    segment.open(row)
+                    opened = True
+                if not opened:
+                    continue
+                for window, doc, at, exact in segment.matches(rows, order, slop):
+                    n = sizes[window]
+                    item = owner[spread_ranges(first[window], n)]
+                    doc, at, exact = np.repeat(doc, n), np.repeat(at, n), np.repeat(exact, n)
+                    begin, end = segment.bounds[doc], segment.bounds[doc + 1]
+                    hits.append(merged(doc, item, exact.astype(np.int8), np.maximum(at, begin) - begin, np.minimum(at + rows.shape[1], end) - begin))
+            if hits:
+                doc, item, exact, low, high = merged(*(np.concatenate(x) for x in zip(*hits, strict=True)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(doc), row["segment"])), pa.array(doc.astype(np.int32)), pa.array([named[i] for i in item], pa.string()),
+                     pa.array(exact.astype(bool)), pa.array(low), pa.array(high)], names=["segment", "ord", "item", "exact", "low", "high"])
 
     return index.select("segment", "sizes", "term_ends", "term_bytes", "counts", "steps").mapInArrow(find, "segment long, ord int, item string, exact boolean, low long, high long")
 
