@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, rows
+from conftest import SF_SMALL, plan_of, rows
 from tremor.functions import text as T
 from tremor.operators import lexicon as X
 from tremor.operators import profile as PR
@@ -181,3 +181,29 @@ def test_first_signs_of_a_table_are_found_quickly():
             took.append(time.perf_counter() - begun)
         return min(took)
     assert seconds(20_000) < 10 * seconds(10) + 0.05
+
+
+def test_pieces_of_a_large_table_are_written_in_parts(spark, monkeypatch):
+    """Disk: pieces and entries pass in compressed parts and once a group, not row by row."""
+    texts = ["".join(RND.choice("abcdefgh") for _ in range(3000)) for _ in range(12)]
+    table = spark.createDataFrame([(t[i:i + n], 1 + i % 3) for t in texts for i in range(0, 2900, 7) for n in (2, 5, 9)], "word string, freq long")
+    posts = spark.createDataFrame([*enumerate(texts), (90, None), (91, "")], "id long, text string").repartition(3)
+    monkeypatch.setattr(X, "GROUP_BYTES", 5000)
+    monkeypatch.setattr(X, "SHARE_CHARS", 3000)
+    made = X.segment(posts, table, max_chars=2000)
+    assert not [line for line in plan_of(made).splitlines() if "Exchange" in line and "entry" in line]
+    assert {r.id: r.words for r in made.collect()} == {r.id: r.words for r in X.segment(posts, table).collect()}
+    pieces = list({t[i:i + n] for t in texts for i in range(2900) for n in (5, 6, 7, 8, 9)})
+    parts = list(X.shared_out(X.pa.table({"entry": pieces}), 3, 7, True))
+    assert sorted(e for p in parts for e in X.unpacked_entries(p.column("_entries")[0]).column("entry").to_pylist()) == sorted(pieces)
+    assert sum(len(p.column("_entries")[0].as_py()) for p in parts) < 4 * len(pieces)  # a row of its own: 14 bytes
+
+
+def test_entries_that_all_tasks_have_are_few(spark):
+    costs = spark.createDataFrame([(f"w{n}", n % 50) for n in range(3000)], "entry string, value long")
+    names = costs.select("entry", F.col("value").cast("string").alias("value"))
+    for table in (costs, names):
+        for most in (10, 500, 5000):
+            rank, limit = X.rank_of(table), X.head_limit(table, most / 14000, most)
+            assert (table.where(rank < F.lit(limit)).agg(F.sum(F.length("entry"))).first()[0] or 0) <= most
+            assert table.where(rank < F.lit(limit)).count() + table.where(rank >= F.lit(limit)).count() == 3000
